@@ -5,18 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alignspark.llm import tokens
+from alignspark.llm import pii, quality, tokens
 from alignspark.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; the held-out fifth trains nothing."""
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return quality.score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds 4096 tokens."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.detect(table(spark, sf_dir, "documents")).drop("scored")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op5_pii": op5_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
