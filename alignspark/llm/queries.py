@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import pii, quality, tokens
-from alignspark.llm.common import table
+from alignspark.llm import pii, quality, token_store, tokens
+from alignspark.llm.common import new_path, table
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("scored")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in a content-addressed store, read back and verified."""
+    path = new_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.read_store(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op5_pii": op5_pii,
+    "op6_token_store": op6_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
