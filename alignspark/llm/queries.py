@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import pii, quality, token_store, tokens
+from alignspark.llm import near_dedup, pii, quality, token_store, tokens
 from alignspark.llm.common import new_path, table
 
 
@@ -24,6 +24,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on shingles of two words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.detect(table(spark, sf_dir, "documents")).drop("scored")
@@ -39,6 +44,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
 }
