@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import near_dedup, pii, quality, token_store, tokens
+from alignspark.llm import decontam, near_dedup, pii, quality, token_store, tokens
 from alignspark.llm.common import new_path, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; the held-out fifth trains nothing."""
     documents = table(spark, sf_dir, "documents")
@@ -42,6 +47,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
@@ -49,4 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontam.ORACLE,
+}
