@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import decontam, near_dedup, pii, quality, token_store, tokens
+from alignspark.llm import decontam, hamming, near_dedup, packing, pii, quality, token_store, tokens
 from alignspark.llm.common import new_path, table
 
 
@@ -46,6 +46,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings, by sign bits, of every hundredth embedding."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, bits=64)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into bins of 4096 tokens."""
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -53,8 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
+    "op8_top_k": op8_top_k,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontam.ORACLE,
+    "op8_top_k": hamming.ORACLE,
 }
