@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import decontam, hamming, near_dedup, packing, pii, quality, token_store, tokens
+from alignspark.llm import decontam, hamming, licenses, near_dedup, packing, pii, quality, token_store, tokens
 from alignspark.llm.common import new_path, table
 
 
@@ -57,6 +57,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document: its own statement's, or that of the nearest directory with a licence file."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", licenses.document_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -66,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontam.ORACLE,
     "op8_top_k": hamming.ORACLE,
+    "op10_licenses": licenses.oracle(),
 }
