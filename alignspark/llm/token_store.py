@@ -28,11 +28,13 @@ its recipe is read back, as its parts do not add up).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,8 +45,11 @@ MODEL = "byte_bpe_50k.json"
 WINDOW = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 4096
 #: Distinct pieces that a Python worker remembers.
-MEMO = 400_000
-JOIN = 256
+MEMO = 1_000_000
+#: Plain pieces that are encoded as one string.
+JOIN = 32
+#: A plain piece: a space, then neither white space, controls nor the mark of a special token.
+_PLAIN = r"^ [^\x00-\x20\x7F-\x{A0}\pZ<]+$"
 
 
 @lru_cache(maxsize=2)
@@ -63,59 +68,74 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-_memo: dict[str, dict[str, bytes]] = {}
-
-
-def _encode_new(path: str, pieces: list[str]) -> list[bytes]:
-    """Ids of each piece as bytes.  Plain pieces (a space, then no white space) are joined and
-    encoded together; where a token begins with the space, the next piece begins."""
-    tok = _tokenizer(path)
-    out: list[bytes | None] = [None] * len(pieces)
-    plain = [i for i, p in enumerate(pieces) if p[0] == " " and p.split() == [p[1:]] and "<|" not in p]
-    groups = [plain[i : i + JOIN] for i in range(0, len(plain), JOIN)]
-    opens = _space_first(path)
-    for group, enc in zip(groups, tok.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(enc.ids, dtype=np.uint32)
-        edges = np.flatnonzero(opens[ids])
-        if len(edges) == len(group):
-            for i, part in zip(group, np.split(ids, edges[1:]), strict=True):
-                out[i] = part.tobytes()
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, enc in zip(rest, tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-        out[i] = np.array(enc.ids, dtype=np.uint32).tobytes()
-    return out
+class _Pieces:
+    """Ids of the pieces that a Python worker has met: one flat array, and where each piece's ids stand in it."""
+
+    def __init__(self, path: str):
+        self.path, self.tok = path, _tokenizer(path)
+        self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)  # tokens that begin with a space
+        for token, i in self.tok.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint16 if len(self.opens) <= 65536 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        pieces = words.to_pylist()
+        known = list(map(self.number.get, pieces))
+        new = [i for i, k in enumerate(known) if k is None]
+        if new:
+            if len(self.number) + len(new) > MEMO:
+                self.clear()
+                new = range(len(pieces))
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+            order = [i for i in new if plain[i]]
+            self._add([pieces[i] for i in order], JOIN)
+            self._add([pieces[i] for i in new if not plain[i]], 1)
+            known = list(map(self.number.get, pieces))
+        return np.array(known, dtype=np.int64)
+
+    def _add(self, pieces: list[str], join: int) -> None:
+        """Encode pieces, ``join`` at a time: where a token begins with a space, the next piece begins."""
+        if not pieces:
+            return
+        groups = [pieces[i : i + join] for i in range(0, len(pieces), join)]
+        coded = [e.ids for e in self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+        ids = np.array(list(itertools.chain.from_iterable(coded)), dtype=self.flat.dtype)
+        if join == 1:
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+        else:
+            edges = np.flatnonzero(self.opens[ids])
+            if len(edges) != len(pieces):  # never seen; then every piece is encoded by itself
+                return self._add(pieces, 1)
+            size = np.diff(np.append(edges, len(ids)))
+        n = len(self.size)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
 
 @lru_cache(maxsize=2)
-def _space_first(path: str) -> np.ndarray:
-    tok = _tokenizer(path)
-    out = np.zeros(tok.get_vocab_size() + 1, bool)
-    for token, i in tok.get_vocab().items():
-        out[i] = token.startswith("Ġ")
-    return out
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
 
 
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ends): ids of all texts one after another, each with the end id, and where each text ends."""
     pieces, first = cut(texts)
-    memo = _memo.setdefault(path, {})
+    memo = _pieces(path)
     coded = pieces.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    new = [p for p in words if p not in memo]
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = words
-    memo.update(zip(new, _encode_new(path, new), strict=True))
-    parts = [memo[p] for p in words]
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
-    pick = coded.indices.to_numpy().astype(np.int64)
-    run = np.concatenate([[0], np.cumsum(size[pick])])
+    pick = memo.look_up(coded.dictionary)[coded.indices.to_numpy()]
+    run = np.concatenate([[0], np.cumsum(memo.size[pick])])
     ends = run[first[1:]] + np.arange(1, len(first))
     ids = np.full(int(run[-1]) + len(first) - 1, end_id, dtype=np.uint32)
     keep = np.ones(len(ids), bool)
     keep[ends - 1] = False
-    ids[keep] = flat[ragged(np.cumsum(size) - size, size, pick)]
+    ids[keep] = memo.flat[ragged(memo.first, memo.size, pick)]
     return ids, ends
 
 
@@ -160,8 +180,8 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
 
         zip_ = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for big in batches:
-            for lo in range(0, len(big), 2048):
-                batch = big.slice(lo, 2048)
+            for lo in range(0, len(big), 4096):
+                batch = big.slice(lo, 4096)
                 ids, ends = encode(tokenizer, batch.column(1), end_id)
                 stop = chunk_ends(ids, ends)
                 start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
