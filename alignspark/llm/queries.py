@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import decontam, hamming, licenses, near_dedup, packing, pii, quality, token_store, tokens
+from alignspark.llm import decontam, hamming, licenses, near_dedup, packing, pii, quality, substring, token_store, tokens
 from alignspark.llm.common import new_path, table
 
 
@@ -46,6 +46,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that other documents hold, too."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings, by sign bits, of every hundredth embedding."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
