@@ -1,10 +1,481 @@
-"""All registered queries of the alignment engine and the SQL that checks them."""
+"""All registered queries of the alignment engine and the SQL that checks them.
+
+Sequences come from the tables: distinct part names, DNA derived from customer
+and supplier keys (paired within a nation), and each user's events in order.
+Parameters are integral where exact scores are compared.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alignspark.alphabet import DNA, Alphabet
+from alignspark.functions import encoding, render
+from alignspark.functions import sql as sqlfn
+from alignspark.operators import gradient, logistic
+from alignspark.operators.align import Problem, align, score_distinct
+from alignspark.operators.batch import PairBatch
+from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
+from alignspark.params import AlignParams, SubstMatrix
+from alignspark.plans.oracle import best_sql, log_z_sql
+from alignspark.sources.storage import materialize
+from alignspark.streaming.scoring import score_stream
+
+NAMES = Alphabet.get("abcdefghijklmnopqrstuvwxyz ")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def uniform(alphabet: Alphabet, match: float, mismatch: float, *gaps: float) -> AlignParams:
+    n = len(alphabet)
+    return AlignParams(SubstMatrix((match - mismatch) * np.eye(n) + mismatch, alphabet.symbols), *gaps)
+
+
+# Scores: (match, mismatch, open_a, extend_a, open_b, extend_b).
+UNIT = (0, -1, 0, 1, 0, 1)
+PLAIN = (2, -1, 0, 1, 0, 1)
+AFFINE = (2, -4, 4, 2, 4, 2)
+SKEWED = (3, -2, 5, 1, 2, 2)
+
+
+def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two distinct part names within a brand."""
+    x = _read(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
+    return block_pairs(x.withColumn("id", F.col("p_name")), "id", "p_name", "p_brand").select(F.concat_ws(":", "p_brand", "seq_a", "seq_b").alias("pair_id"), "p_brand", "seq_a", "seq_b")
+
+
+BRANDS_SQL = "SELECT x.p_brand || ':' || x.p_name || ':' || y.p_name AS pair_id, x.p_brand, x.p_name AS a, y.p_name AS b FROM (SELECT DISTINCT p_brand, p_name FROM part) x JOIN (SELECT DISTINCT p_brand, p_name FROM part) y ON x.p_brand = y.p_brand AND x.p_name < y.p_name"
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two distinct part names that some brand has, once."""
+    return brand_names(spark, sf_dir).select("seq_a", "seq_b").distinct().select(F.concat_ws(":", "seq_a", "seq_b").alias("pair_id"), "seq_a", "seq_b")
+
+
+NAMES_SQL = f"SELECT DISTINCT a || ':' || b AS pair_id, a, b FROM ({BRANDS_SQL})"
+
+
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of one nation, as DNA."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", dna_of(F.col("c_custkey")).alias("c_dna"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", dna_of(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("s_dna"))
+    both = bipartite_pairs(c, s, ["nation"], "c_custkey", "c_dna", "s_suppkey", "s_dna")
+    return both.select((F.col("id_a") * 1_000_000 + F.col("id_b")).alias("pair_id"), "nation", "seq_a", "seq_b")
+
+
+_DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+DNA_SQL = f"SELECT c_custkey * 1000000 + s_suppkey AS pair_id, c_nationkey AS nation, {_DNA.format('CAST(c_custkey AS VARCHAR)')} AS a, {_DNA.format(chr(39) + 's' + chr(39) + ' || CAST(s_suppkey AS VARCHAR)')} AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey"
+DNA_PAIRS = f"SELECT pair_id, a, b FROM ({DNA_SQL})"
+
+
+# Encoding -----------------------------------------------------------------
+@query("encode_codes", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: CAST(strpos('abcdefghijklmnopqrstuvwxyz ', c) - 1 AS VARCHAR)), ',') AS codes, strpos('abcdefghijklmnopqrstuvwxyz ', substr(p_name, 1, 1)) - 1 AS first_code FROM part")
+def encode_codes(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(encoding.encode(F.col("p_name"), NAMES), ",").alias("codes"), encoding.index_of(F.substring("p_name", 1, 1), NAMES).cast("bigint").alias("first_code"))
+
+
+@query("decode_roundtrip", "SELECT p_partkey, p_name FROM part")
+def decode_roundtrip(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    return p.select("p_partkey", encoding.decode(encoding.encode(F.col("p_name"), NAMES), NAMES).alias("p_name"))
+
+
+@query("alphabet_rejects", "SELECT c_custkey, regexp_matches(upper(c_name), '^[ACGT]*$') AS valid, CAST(length(regexp_extract(upper(c_name), '^[ACGT]*')) AS INTEGER) AS foreign_at, contains('ACGT', substr(upper(c_name), 1, 1)) AS has_first FROM customer")
+def alphabet_rejects(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", F.upper("c_name").alias("s"))
+    return c.select("c_custkey", encoding.is_valid(F.col("s"), DNA).alias("valid"), encoding.first_foreign(F.col("s"), DNA).cast("int").alias("foreign_at"), encoding.contains(F.substring("s", 1, 1), DNA).alias("has_first"))
+
+
+@query("subst_lookup", f"SELECT pair_id, CAST(CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 2 ELSE -4 END AS DOUBLE) AS score FROM ({DNA_SQL})")
+def subst_lookup(spark, sf_dir):
+    return dna(spark, sf_dir).select("pair_id", encoding.pair_score(F.substring("seq_a", 1, 1), F.substring("seq_b", 1, 1), uniform(DNA, *AFFINE).matrix).alias("score"))
+
+
+@query("params_axpy", "SELECT a.s || b.s AS field, CAST(CASE WHEN a.s = b.s THEN 2.0 ELSE -4.0 END + 0.5 * CASE WHEN a.s = b.s THEN 3.0 ELSE -2.0 END AS DOUBLE) AS value FROM (SELECT unnest(['A','C','G','T']) AS s) a, (SELECT unnest(['A','C','G','T']) AS s) b UNION ALL SELECT f, CAST(v AS DOUBLE) FROM (VALUES ('gap_open_a', 6.5), ('gap_extend_a', 2.5), ('gap_open_b', 5.0), ('gap_extend_b', 3.0)) t(f, v)")
+def params_axpy(spark, sf_dir):
+    p = uniform(DNA, *AFFINE) + 0.5 * uniform(DNA, *SKEWED)
+    rows = spark.createDataFrame(list(enumerate(p.flat().tolist())), "k int, value double")
+    return rows.select(F.substring_index(gradient.field_names(p, F.col("k")), ".", -1).alias("field"), "value")
+
+
+# Pairs --------------------------------------------------------------------
+@query("pairs_block_join", f"SELECT p_brand, count(*) AS n, min(a) AS first_a, max(b) AS last_b FROM ({BRANDS_SQL}) GROUP BY p_brand")
+def pairs_block_join(spark, sf_dir):
+    return brand_names(spark, sf_dir).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("seq_a").alias("first_a"), F.max("seq_b").alias("last_b"))
+
+
+@query("pairs_seed_join", f"""WITH q AS (SELECT s_suppkey AS id, {_DNA.format("'s' || CAST(s_suppkey AS VARCHAR)")} AS s FROM supplier), t AS (SELECT c_custkey + 1000000000 AS id, {_DNA.format('CAST(c_custkey AS VARCHAR)')} AS s FROM customer),
+qw AS (SELECT DISTINCT id, substr(s, k, 8) AS w FROM (SELECT id, s, unnest(range(1, 26)) AS k FROM q)), tw AS (SELECT DISTINCT id, substr(s, k, 8) AS w FROM (SELECT id, s, unnest(range(1, 26)) AS k FROM t))
+SELECT qw.id AS id_a, tw.id AS id_b, count(*) AS shared FROM qw JOIN tw USING (w) GROUP BY ALL""")
+def pairs_seed_join(spark, sf_dir):
+    q = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), dna_of(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("s"))
+    t = _read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000_000).alias("id"), dna_of(F.col("c_custkey")).alias("s"))
+    return seed_pairs(q, t, 8, "id", "s").select("id_a", "id_b", "shared")
+
+
+@query("pairs_pending_antijoin", f"SELECT pair_id FROM ({DNA_SQL}) WHERE nation NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+def pairs_pending_antijoin(spark, sf_dir):
+    pairs = dna(spark, sf_dir)
+    done = pairs.join(_read(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("nation")), "nation", "left_semi")
+    return pending_pairs(pairs, done, "pair_id").select("pair_id")
+
+
+# Scores -------------------------------------------------------------------
+@query("nw_edit_distance", f"SELECT pair_id, CAST(-levenshtein(a, b) AS DOUBLE) AS score FROM ({BRANDS_SQL})")
+def nw_edit_distance(spark, sf_dir):
+    return score_distinct(brand_names(spark, sf_dir), uniform(NAMES, *UNIT), Problem("global", "linear", "none"))
+
+
+def _score_query(name, pairs, pairs_sql, alphabet, mode, model, values, **problem):
+    def run(spark, sf_dir):
+        p = Problem(mode, model, "none", **problem)
+        return score_distinct(pairs(spark, sf_dir), uniform(alphabet, *values), p)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = best_sql(pairs_sql, mode, model, *values, band=problem.get("band"))
+
+
+for _name, _mode in (("nw_score", "global"), ("sw_score", "local"), ("glocal_score", "glocal")):
+    _score_query(_name, names, NAMES_SQL, NAMES, _mode, "linear", PLAIN)
+    _score_query(f"{_name}_affine", dna, DNA_PAIRS, DNA, _mode, "affine", AFFINE)
+_score_query("nw_score_asymmetric", dna, DNA_PAIRS, DNA, "global", "affine", SKEWED)
+_score_query("nw_score_banded", dna, DNA_PAIRS, DNA, "global", "affine", AFFINE, band=4)
+_score_query("sw_score_banded", names, NAMES_SQL, NAMES, "local", "linear", PLAIN, band=2)
+_score_query("nw_score_int16", names, NAMES_SQL, NAMES, "global", "affine", AFFINE, precision="int16")
+_score_query("sw_score_float32", names, NAMES_SQL, NAMES, "local", "affine", AFFINE, precision="float32")
+
+
+@query("band_wide_equals_full", f"SELECT pair_id, TRUE AS same FROM ({DNA_SQL})")
+def band_wide_equals_full(spark, sf_dir):
+    pairs, p = dna(spark, sf_dir), uniform(DNA, *AFFINE)
+    full = align(pairs, p, Problem("local", "affine", "none"))
+    wide = align(pairs, p, Problem("local", "affine", "none", band=64)).withColumnRenamed("score", "wide")
+    return full.join(wide, "pair_id").select("pair_id", (F.col("score") == F.col("wide")).alias("same"))
+
+
+@query("nw_score_guided", best_sql(NAMES_SQL, "global", "affine", *AFFINE))
+def nw_score_guided(spark, sf_dir):
+    """Banded around the full pass's own path, wide enough to hold it."""
+    pairs, p = names(spark, sf_dir), uniform(NAMES, *AFFINE)
+    guides = align(pairs, p, Problem("global", "affine", "none"), ("score", "guide")).select("pair_id", "guide_j")
+    return align(pairs.join(guides, "pair_id"), p, Problem("global", "affine", "none", band=12))
+
+
+def _two_sets(alphabet: Alphabet) -> AlignParams:
+    return AlignParams.stack([uniform(alphabet, *AFFINE), uniform(alphabet, 3, -4, 6, 1, 6, 1)])
+
+
+_BY_ROW = {"open_a": "CASE WHEN (i + 1) % 2 = 1 THEN 4 ELSE 6 END", "ext_a": "CASE WHEN (i + 1) % 2 = 1 THEN 2 ELSE 1 END", "open_b": "CASE WHEN (i + 1) % 2 = 1 THEN 4 ELSE 6 END", "ext_b": "CASE WHEN (i + 1) % 2 = 1 THEN 2 ELSE 1 END"}
+
+
+@query("nw_score_tracked", best_sql(NAMES_SQL, "local", "affine", *AFFINE, subst="CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN CASE WHEN (i + 1) % 2 = 1 THEN 2 ELSE 3 END ELSE -4 END", by_row=_BY_ROW))
+def nw_score_tracked(spark, sf_dir):
+    """Two parameter sets that take turns along the first sequence."""
+    track = F.transform(F.sequence(F.lit(0), F.length("seq_a") - 1), lambda i: i % 2)
+    return align(names(spark, sf_dir).withColumn("track", track), _two_sets(NAMES), Problem("local", "affine", "none"))
+
+
+# Paths --------------------------------------------------------------------
+def _paths(spark, sf_dir, mode, model, values, keep=("path",)):
+    pairs = names(spark, sf_dir)
+    return align(pairs, uniform(NAMES, *values), Problem(mode, model, "none"), ("score", *keep)).join(pairs, "pair_id")
+
+
+_VIEW = ("seq_a", "seq_b", "ops", "start_i", "start_j")
+
+
+def _rescored(al, match, mismatch, open_, ext):
+    """The score of two gapped strings, column by column."""
+    n = F.length(al["a"])
+    at = lambda s, k: F.substring(al[s], k, F.lit(1))
+    cols = F.transform(F.sequence(F.lit(1), n), lambda k: F.when((at("a", k) == "-") | (at("b", k) == "-"), F.lit(-float(ext))).otherwise(F.when(at("a", k) == at("b", k), F.lit(float(match))).otherwise(F.lit(float(mismatch)))))
+    opens = F.size(F.regexp_extract_all(al["a"], F.lit("-+"), F.lit(0))) + F.size(F.regexp_extract_all(al["b"], F.lit("-+"), F.lit(0)))
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(cols, F.lit(0.0), lambda x, y: x + y) - opens * float(open_))
+
+
+@query("aligned_strings", f"SELECT pair_id, a AS degapped_a, b AS degapped_b, score, TRUE AS same_length FROM ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)}) JOIN ({NAMES_SQL}) USING (pair_id)")
+def aligned_strings(spark, sf_dir):
+    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.aligned(*map(F.col, _VIEW)).alias("al"))
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    return al.select("pair_id", bare("al.a").alias("degapped_a"), bare("al.b").alias("degapped_b"), _rescored(F.col("al"), 2, -4, 4, 2).alias("score"), (F.length("al.a") == F.length("al.b")).alias("same_length"))
+
+
+def _consumed(cigar, kinds: str):
+    """Residues that the operations ``kinds`` of a CIGAR string take."""
+    runs = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{kinds}]"), F.lit(1))
+    return F.aggregate(runs, F.lit(0), lambda acc, x: acc + x.cast("int")).cast("bigint")
+
+
+@query("cigar", f"SELECT pair_id, length(a) AS n_query, length(b) AS n_ref FROM ({NAMES_SQL})")
+def cigar(spark, sf_dir):
+    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW)).alias("c"))
+    return c.select("pair_id", _consumed(F.col("c"), "MI").alias("n_query"), _consumed(F.col("c"), "MD").alias("n_ref"))
+
+
+@query("cigar_extended", f"SELECT pair_id, CAST(-levenshtein(a, b) AS DOUBLE) AS score FROM ({NAMES_SQL})")
+def cigar_extended(spark, sf_dir):
+    """The edit distance read off an extended CIGAR: unequal and gapped columns."""
+    c = _paths(spark, sf_dir, "global", "linear", UNIT).select("pair_id", render.cigar(*map(F.col, _VIEW), extended=True).alias("c"))
+    return c.select("pair_id", (-_consumed(F.col("c"), "XID")).cast("double").alias("score"))
+
+
+@query("cigar_soft_clip", f"SELECT pair_id, length(a) AS n_query FROM ({NAMES_SQL})")
+def cigar_soft_clip(spark, sf_dir):
+    c = _paths(spark, sf_dir, "local", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW), soft_clip=True).alias("c"))
+    return c.select("pair_id", _consumed(F.col("c"), "MIS").alias("n_query"))
+
+
+@query("coordinates", f"SELECT pair_id, CAST(0 AS BIGINT) AS from_a, CAST(0 AS BIGINT) AS from_b, length(a) AS to_a, length(b) AS to_b FROM ({NAMES_SQL})")
+def coordinates(spark, sf_dir):
+    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.coordinates(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("c"))
+    return c.select("pair_id", F.col("c.a")[0].alias("from_a"), F.col("c.b")[0].alias("from_b"), F.element_at("c.a", -1).alias("to_a"), F.element_at("c.b", -1).alias("to_b"))
+
+
+@query("index_pairs", f"SELECT pair_id, CAST(length(a) - levenshtein(a, b) <= length(a) AS BOOLEAN) AS rising FROM ({NAMES_SQL})")
+def index_pairs(spark, sf_dir):
+    """Aligned positions rise on both sides."""
+    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.index_pairs(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("p"))
+    return c.select("pair_id", (F.array_sort("p") == F.col("p")).alias("rising"))
+
+
+@query("formatted_width", f"SELECT pair_id, TRUE AS wrapped FROM ({NAMES_SQL})")
+def formatted_width(spark, sf_dir):
+    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.aligned(*map(F.col, _VIEW)).alias("al"))
+    lines = F.split(render.formatted(F.col("al"), 8), "\n")
+    widths = F.forall(lines, lambda x: F.length(x) <= 8) & (F.size(lines) == F.ceil(F.length("al.a") / 8) * 4 - 1)
+    return al.select("pair_id", widths.alias("wrapped"))
+
+
+@query("guide_path", f"SELECT pair_id, TRUE AS valid FROM ({NAMES_SQL})")
+def guide_path(spark, sf_dir):
+    g = _paths(spark, sf_dir, "glocal", "affine", AFFINE, ("guide",))
+    return g.select("pair_id", render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+
+
+@query("guide_from_aligned", f"SELECT pair_id, length(a) + 1 AS entries, TRUE AS valid FROM ({NAMES_SQL})")
+def guide_from_aligned(spark, sf_dir):
+    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", "seq_a", "seq_b", render.aligned(*map(F.col, _VIEW)).alias("al"))
+    g = al.withColumn("g", render.guide_from_aligned(F.col("al.a"), F.col("al.b")))
+    return g.select("pair_id", F.size("g").cast("bigint").alias("entries"), render.valid_guide(F.col("g"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+
+
+# Gradients ----------------------------------------------------------------
+def _graded(spark, sf_dir, mode="global"):
+    return align(dna(spark, sf_dir), uniform(DNA, *AFFINE), Problem(mode, "affine", "hard"), ("score", "grad"))
+
+
+@query("hard_grad_dot_params", best_sql(DNA_PAIRS, "global", "affine", *AFFINE))
+def hard_grad_dot_params(spark, sf_dir):
+    """The gradient times the parameters is the score."""
+    flat = F.array(*(F.lit(float(x)) for x in uniform(DNA, *AFFINE).flat()))
+    dot = F.aggregate(F.map_entries("grad"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.get(flat, e["key"]))
+    return _graded(spark, sf_dir).select("pair_id", dot.alias("score"))
+
+
+@query("compute_grad_total", f"SELECT sum(score) AS total FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)})")
+def compute_grad_total(spark, sf_dir):
+    """The summed gradient times the parameters is the sum of scores."""
+    p = uniform(DNA, *AFFINE)
+    flat = F.array(*(F.lit(float(x)) for x in p.flat()))
+    return gradient.summed(_graded(spark, sf_dir, "local")).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
+
+
+@query("compute_grad_by_set", f"SELECT sum(score) AS total, TRUE AS in_two_sets FROM ({ORACLE_SQL['nw_score_tracked']})")
+def compute_grad_by_set(spark, sf_dir):
+    p = _two_sets(NAMES)
+    track = F.transform(F.sequence(F.lit(0), F.length("seq_a") - 1), lambda i: i % 2)
+    rows = align(names(spark, sf_dir).withColumn("track", track), p, Problem("local", "affine", "hard"), ("score", "grad"))
+    flat = spark.createDataFrame(list(enumerate(p.flat().tolist())), "field int, parameter double")
+    sums = gradient.summed(rows).join(flat, "field")
+    return sums.agg(F.sum(F.col("value") * F.col("parameter")).alias("total"), (F.countDistinct(F.floor(F.col("field") / p.n_fields)) == 2).alias("in_two_sets"))
+
+
+@query("grad_in_order", f"SELECT sum(score) AS total FROM ({best_sql(DNA_PAIRS, 'global', 'affine', *AFFINE)})")
+def grad_in_order(spark, sf_dir):
+    flat = F.array(*(F.lit(float(x)) for x in uniform(DNA, *AFFINE).flat()))
+    return gradient.summed_in_order(_graded(spark, sf_dir)).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
+
+
+@query("weighted_grad", f"SELECT sum(score * (nation % 3)) AS total FROM ({best_sql(DNA_PAIRS, 'global', 'affine', *AFFINE)}) JOIN ({DNA_SQL}) USING (pair_id)")
+def weighted_grad(spark, sf_dir):
+    weights = dna(spark, sf_dir).select("pair_id", (F.col("nation") % 3).cast("double").alias("weight"))
+    flat = F.array(*(F.lit(float(x)) for x in uniform(DNA, *AFFINE).flat()))
+    return gradient.weighted(_graded(spark, sf_dir), weights).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
+
+
+@query("grads_dense", f"SELECT pair_id, 16 AS n_matrix, 4 AS n_gaps, CAST(32 AS DOUBLE) AS used_a, CAST(32 AS DOUBLE) AS used_b FROM ({DNA_SQL})")
+def grads_dense(spark, sf_dir):
+    """Dense gradients: aligned pairs and gap columns use up both sequences."""
+    d = gradient.dense(_graded(spark, sf_dir), uniform(DNA, *AFFINE))
+    pairs = F.aggregate("matrix_grad", F.lit(0.0), lambda x, y: x + y)
+    return d.select("pair_id", F.size("matrix_grad").alias("n_matrix"), F.size("gap_grad").alias("n_gaps"), (pairs - F.col("gap_grad")[3]).alias("used_a"), (pairs - F.col("gap_grad")[1]).alias("used_b"))
+
+
+@query("sql_align_grad", f"SELECT pair_id, score FROM ({best_sql(NAMES_SQL, 'global', 'linear', *PLAIN)})")
+def sql_align_grad(spark, sf_dir):
+    """Gradient rows from a SQL table function."""
+    p = uniform(NAMES, *PLAIN)
+    sqlfn.register(spark, p, "names_")
+    names(spark, sf_dir).createOrReplaceTempView("name_pairs")
+    spark.createDataFrame(list(enumerate(p.flat().tolist())), "field int, parameter double").createOrReplaceTempView("name_parameters")
+    return spark.sql("SELECT pair_id, sum(g.value * q.parameter) AS score FROM name_pairs, LATERAL names_align_grad(seq_a, seq_b, 'global', 'linear') g JOIN name_parameters q ON g.field = q.field GROUP BY pair_id")
+
+
+@query("sql_scores", f"SELECT pair_id, score AS nw FROM ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)})")
+def sql_scores(spark, sf_dir):
+    sqlfn.register(spark, uniform(NAMES, *AFFINE), "names_affine_")
+    names(spark, sf_dir).createOrReplaceTempView("name_pairs")
+    return spark.sql("SELECT pair_id, names_affine_nw_score_affine(seq_a, seq_b) AS nw FROM name_pairs")
+
+
+# Ensembles ----------------------------------------------------------------
+def _soft(name, pairs, pairs_sql, alphabet, mode, model, values, temperature=1.0):
+    def run(spark, sf_dir):
+        rows = align(pairs(spark, sf_dir), uniform(alphabet, *values), Problem(mode, model, "soft", temperature=temperature))
+        return rows.select("pair_id", F.round("score", 6).alias("log_z"))
+
+    QUERIES[name], ORACLE_SQL[name] = run, log_z_sql(pairs_sql, mode, model, *values, temperature=temperature)
+
+
+for _name, _mode in (("nw", "global"), ("sw", "local"), ("glocal", "glocal")):
+    _soft(f"{_name}_soft_logz", names, NAMES_SQL, NAMES, _mode, "linear", PLAIN)
+    _soft(f"{_name}_affine_soft_logz", names, NAMES_SQL, NAMES, _mode, "affine", AFFINE)
+_soft("soft_temperature", names, NAMES_SQL, NAMES, "global", "affine", AFFINE, 2.0)
+
+
+@query("soft_grad_uses_both", f"SELECT pair_id, CAST(length(a) AS DOUBLE) AS used_a, CAST(length(b) AS DOUBLE) AS used_b FROM ({NAMES_SQL})")
+def soft_grad_uses_both(spark, sf_dir):
+    """Expected pairs and gap columns of a global ensemble use up both sequences."""
+    p = uniform(NAMES, *AFFINE)
+    rows = align(names(spark, sf_dir), p, Problem("global", "affine", "soft"), ("score", "grad"))
+    d, n = gradient.gradient_rows(rows), len(NAMES) ** 2
+    at = lambda k: F.sum(F.when(F.col("field") == n + k, F.col("value")).otherwise(0.0))
+    pairs = F.sum(F.when(F.col("field") < n, F.col("value")).otherwise(0.0))
+    return d.groupBy("pair_id").agg(F.round(pairs - at(3), 6).alias("used_a"), F.round(pairs - at(1), 6).alias("used_b"))
+
+
+@query("posterior_guide", f"SELECT pair_id, TRUE AS valid FROM ({NAMES_SQL})")
+def posterior_guide(spark, sf_dir):
+    pairs = names(spark, sf_dir)
+    g = align(pairs, uniform(NAMES, *AFFINE), Problem("global", "affine", "soft", posterior=True), ("score", "guide")).join(pairs, "pair_id")
+    return g.select("pair_id", render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+
+
+# Batches, training, analysis ------------------------------------------------
+@query("batch_total", f"SELECT sum(score) AS total FROM ({best_sql(DNA_PAIRS, 'global', 'affine', *AFFINE)})")
+def batch_total(spark, sf_dir):
+    batch = PairBatch(dna(spark, sf_dir), uniform(DNA, *AFFINE), grad_mode="none")
+    batch.score_and_grad()
+    return batch.scores().agg(F.sum("score").alias("total"))
+
+
+@query("batch_banded_step", f"SELECT pair_id, TRUE AS at_most_full FROM ({DNA_SQL})")
+def batch_banded_step(spark, sf_dir):
+    """A training step: full pass, new parameters, banded pass around the old paths; never above the full score."""
+    batch = PairBatch(dna(spark, sf_dir), uniform(DNA, *AFFINE), mode="local", grad_mode="hard")
+    batch.score_and_grad()
+    batch.set_params(uniform(DNA, *SKEWED))
+    batch.banded_grad(4)
+    full = align(dna(spark, sf_dir), uniform(DNA, *SKEWED), Problem("local", "affine", "none")).withColumnRenamed("score", "full")
+    return batch.scores().join(full, "pair_id").select("pair_id", (F.col("score") <= F.col("full")).alias("at_most_full"))
+
+
+def _labelled(spark, sf_dir):
+    """Scores that follow a document's length, and its quality label."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", ((F.length("text") % 97).cast("double") / 16 - 3).alias("score"))
+    return docs.join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+
+
+LABELLED_SQL = "SELECT doc_id, CAST(length(text) % 97 AS DOUBLE) / 16 - 3 AS score, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)"
+
+
+@query("logistic_probabilities", f"SELECT doc_id, round(1 / (1 + exp(-(score + 0.25))), 9) AS probability FROM ({LABELLED_SQL})")
+def logistic_probabilities(spark, sf_dir):
+    return logistic.probabilities(_labelled(spark, sf_dir), 0.25).select("doc_id", F.round("probability", 9).alias("probability"))
+
+
+@query("logistic_alpha_residual", f"SELECT TRUE AS fitted, count(*) AS n FROM ({LABELLED_SQL})")
+def logistic_alpha_residual(spark, sf_dir):
+    """At the fitted intercept, labels and probabilities sum to the same."""
+    rows = materialize(_labelled(spark, sf_dir), "labelled")
+    alpha = logistic.fit_alpha(rows)
+    return rows.agg((F.abs(F.sum(F.col("label") - logistic.probability(F.col("score"), alpha))) < 1e-6).alias("fitted"), F.count(F.lit(1)).alias("n"))
+
+
+@query("logistic_step", "SELECT TRUE AS residual_is_zero")
+def logistic_step(spark, sf_dir):
+    batch = PairBatch(dna(spark, sf_dir), uniform(DNA, *AFFINE), mode="local")
+    batch.score_and_grad()
+    labels = dna(spark, sf_dir).select("pair_id", (F.col("nation") % 2).cast("double").alias("label"))
+    found = logistic.step(batch, labels, -3.0)
+    rows = batch.scores().join(labels, "pair_id")
+    return rows.agg((F.abs(F.sum(F.col("label") - logistic.probability(F.col("score"), found.alpha))) < 1e-6).alias("residual_is_zero"))
+
+
+@query("best_hit_topk", f"SELECT pair_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id // 1000000 ORDER BY score DESC, pair_id) AS rank FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)})) WHERE rank <= 3")
+def best_hit_topk(spark, sf_dir):
+    scored = align(dna(spark, sf_dir), uniform(DNA, *AFFINE), Problem("local", "affine", "none"))
+    scored = scored.withColumn("q", F.floor(F.col("pair_id") / 1_000_000))
+    return best_hits(scored, "q", 3, "pair_id").select("pair_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query("score_histogram", f"SELECT c_mktsegment, score, count(*) AS n FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)}) JOIN customer ON c_custkey = pair_id // 1000000 GROUP BY ALL")
+def score_histogram(spark, sf_dir):
+    scored = align(dna(spark, sf_dir), uniform(DNA, *AFFINE), Problem("local", "affine", "none")).withColumn("c_custkey", F.floor(F.col("pair_id") / 1_000_000))
+    return scored.join(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_equals_batch", best_sql(NAMES_SQL, "local", "linear", *PLAIN))
+def stream_equals_batch(spark, sf_dir):
+    """Pairs read as a stream, aligned by the same operator, and written once."""
+    from alignspark.sources.storage import shared_dir
+    from alignspark.streaming.scoring import run_to_parquet
+    import uuid
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = names(spark, sf_dir)
+    pairs.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(pairs.schema).parquet(f"{base}/in")
+    run_to_parquet(score_stream(stream, uniform(NAMES, *PLAIN), Problem("local", "linear", "none")), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+# User journeys: a letter an event type.
+_LETTERS = (("click", "A"), ("error", "B"), ("purchase", "C"), ("signup", "D"), ("view", "E"))
+JOURNEY = Alphabet.get("ABCDE")
+
+
+def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose first two events are alike, in pairs of whole event sequences."""
+    letter = F.element_at(F.create_map(*(F.lit(x) for kv in _LETTERS for x in kv)), F.col("event_type"))
+    events = _read(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", letter.alias("letter")).alias("e"))
+    users = events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["letter"]), "").alias("journey"))
+    pairs = block_pairs(users.withColumn("head", F.substring("journey", 1, 2)), "user_id", "journey", "head")
+    return pairs.select(F.concat_ws(":", "id_a", "id_b").alias("pair_id"), "seq_a", "seq_b")
+
+
+_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LETTERS)
+JOURNEYS_SQL = f"""SELECT CAST(x.user_id AS VARCHAR) || ':' || CAST(y.user_id AS VARCHAR) AS pair_id, x.s AS a, y.s AS b
+FROM (SELECT user_id, string_agg(CASE event_type {_CASE} END, '' ORDER BY ts, event_id) AS s FROM events GROUP BY user_id) x
+JOIN (SELECT user_id, string_agg(CASE event_type {_CASE} END, '' ORDER BY ts, event_id) AS s FROM events GROUP BY user_id) y ON substr(x.s, 1, 2) = substr(y.s, 1, 2) AND x.user_id < y.user_id"""
+_score_query("journey_scores", journeys, JOURNEYS_SQL, JOURNEY, "local", "affine", AFFINE)
