@@ -88,13 +88,15 @@ def best_fit(documents: DataFrame, capacity: int = CAPACITY, max_per_source: int
     carried = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.col("source").cast("string").alias("source"), mark.cast("bigint").alias("cluster"))
     counted = tokens.token_counts(documents.select(carried.alias("key"), F.col("text")), id_col="key", path=tokenizer).select("key.*", "n_tokens")
     shards = max(1, -(-documents.count() // shard))
-    dealt = counted.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def run(key, pdf):
         pdf = pdf.sort_values(["n_tokens", "id"], ascending=[False, True], kind="stable")
         source = pd.factorize(pdf["source"], use_na_sentinel=False)[0].tolist()
-        rows = []
+        rows, void = [], []
         for i, s, c, n in zip(pdf["id"].tolist(), source, pdf["cluster"].tolist(), pdf["n_tokens"].tolist(), strict=True):
+            if not n:
+                void.append((i, 0, 0, 0, None, None))
             rows += [(min(capacity, n - a), i, a // capacity, a, s, None if c is None or pd.isna(c) else int(c)) for a in range(0, n, capacity)]
         # pieces of one document share its cluster; only full ones precede the rest, and those fill a bin each
         rows.sort(key=lambda x: -x[0])
@@ -104,10 +106,8 @@ def best_fit(documents: DataFrame, capacity: int = CAPACITY, max_per_source: int
         for x, b in zip(rows, bins, strict=True):
             out.append((x[1], x[2], x[3], x[0], (int(key[0]) << BIN_BITS) + b, used[b]))
             used[b] += x[0]
-        return pd.DataFrame(out, columns=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "place"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out + void, columns=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "place"]).astype({"doc_id": "Int64", "bin_id": "Int64", "place": "Int64"})
 
     schema = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, bin_id bigint, place bigint"
     dealt = dealt.withColumn("cluster", F.col("cluster").cast("string"))  # pandas would round large integers beside nulls
-    packed = dealt.groupBy("shard").applyInPandas(run, schema)
-    void = counted.where("n_tokens = 0").select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first_token"), "n_tokens", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("place"))
-    return packed.unionByName(void)
+    return dealt.groupBy("shard").applyInPandas(run, schema)
