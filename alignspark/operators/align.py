@@ -20,7 +20,7 @@ from alignspark.params import AlignParams
 from alignspark.plans import kernel as kn
 
 #: Cells that one block fills at most (a longer pair is a block of its own).
-BLOCK_CELLS = 400_000
+BLOCK_CELLS = 2_000_000
 OPS = "array<struct<op:tinyint,len:int>>"
 
 GRADS = ("hard", "soft", "none")
@@ -75,8 +75,12 @@ class Problem:
             if len(bad):
                 raise ValueError(f"{self.precision} needs integral parameters of at most {INT_LIMIT[self.precision]}, got {bad[0]}")
 
-    def scoring(self, params: AlignParams) -> kn.Scoring:
+    def scoring(self, params: AlignParams, steps: int = 1 << 62) -> kn.Scoring:
+        """Parameters for paths of up to ``steps`` moves.  Integral ones whose sums stay below 2^24 are exact in 32 bits, too."""
         kind = np.float32 if self.precision == "float32" and self.grad != "soft" else np.float64
+        flat = params.flat()
+        if self.grad != "soft" and (flat == np.rint(flat)).all() and 2 * steps * float(np.abs(flat).max()) < 1 << 24:
+            kind = np.float32
         t = self.temperature if self.grad == "soft" else 1.0
         return kn.Scoring((params.matrices / t).astype(kind).ravel(), (params.gaps / t).astype(kind), len(params.alphabet), self.mode, self.gap_model)
 
@@ -109,7 +113,7 @@ def check_guide(g: np.ndarray, m: int, n: int, who) -> None:
 
 def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True) -> list[dict]:
     """One result a pair: score, and with ``paths`` ops, start, end, guide; with a gradient, its fields."""
-    s, k_sets = p.scoring(params), params.num_sets
+    k_sets = params.num_sets
     out: list[dict] = [{} for _ in ids]
     if p.precision in INT_LIMIT and len(ids):
         worst = max(len(x) + len(y) for x, y in zip(a, b, strict=True)) + INT_MARGIN
@@ -120,6 +124,7 @@ def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignPara
         aa, bb = [a[i] for i in at], [b[i] for i in at]
         m, n = np.array([len(x) for x in aa]), np.array([len(x) for x in bb])
         width = int(m.max())
+        s = p.scoring(params, width + int(n.max()) + 2)
         block = kn.Block(kn.pad(aa, width, np.uint8), kn.pad(bb, int(n.max()), np.uint8), m, n)
         if k_sets > 1 or tracks is not None or gap_tracks is not None:
             rows = [np.zeros(len(x), np.int64) if tracks is None or tracks[i] is None else np.asarray(tracks[i], np.int64) for i, x in zip(at, aa, strict=True)]
@@ -157,7 +162,7 @@ def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignPara
                 r["grad"] = (grads[1][edges[k] : edges[k + 1]], grads[2][edges[k] : edges[k + 1]])
             if post is not None:
                 r["guide"] = post[k]
-            if hard is not None and hard[1] is not None:
+            if paths and hard is not None and hard[1] is not None:
                 ends, moves, count = hard
                 mv = moves[k, : count[k]]
                 turn = np.flatnonzero(np.diff(mv)) + 1

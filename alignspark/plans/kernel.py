@@ -200,11 +200,11 @@ def best_state(v: list[np.ndarray]) -> np.ndarray:
 class Ends:
     """Where the best alignments of a block end, gathered diagonal by diagonal."""
 
-    def __init__(self, sweep: Sweep):
-        self.w, k = sweep, sweep.k
+    def __init__(self, sweep: Sweep, places: bool = True):
+        self.w, self.places, k = sweep, places, sweep.k
         p = len(k)
         self.score, self.i, self.j, self.state = np.full(p, NEG, sweep.s.matrices.dtype), np.zeros(p, np.int64), np.zeros(p, np.int64), np.zeros(p, np.int8)
-        self.mode = sweep.s.mode
+        self.mode, self.shortest = sweep.s.mode, int(k.n.min())
         if self.mode == "local":
             self.row = np.full((p, sweep.rows + 1), NEG, self.score.dtype)
             self.col, self.row_state = np.zeros((p, sweep.rows + 1), np.int32), np.zeros((p, sweep.rows + 1), np.int8)
@@ -218,7 +218,14 @@ class Ends:
             part = [x[:, lo:hi] for x in v]
             top = part[0] if len(part) == 1 else np.maximum(np.maximum(part[0], part[1]), part[2])
             j = d - np.arange(lo, hi)
-            better = (top > self.row[:, lo:hi]) & (j <= k.n[:, None])
+            short = d - lo > self.shortest  # some cells lie beyond a shorter second sequence
+            if not self.places:
+                row = self.row[:, lo:hi]
+                np.maximum(row, np.where(j <= k.n[:, None], top, NEG) if short else top, out=row)
+                return
+            better = top > self.row[:, lo:hi]
+            if short:
+                better &= j <= k.n[:, None]
             self.row[:, lo:hi][better] = top[better]
             self.col[:, lo:hi][better] = np.broadcast_to(j, better.shape)[better]
             if len(part) == 3:
@@ -283,7 +290,7 @@ def viterbi(block: Block, s: Scoring, paths: bool) -> tuple[Ends, np.ndarray | N
     """(ends, moves, counts): the best scores; with ``paths`` also each pair's moves in forward
     order (0 both advance, 1 gap in B, 2 gap in A) in its row's first ``counts`` entries."""
     sweep = Sweep(block, s, np.maximum)
-    ends, total = Ends(sweep), sweep.rows + sweep.cols + 1
+    ends, total = Ends(sweep, paths), sweep.rows + sweep.cols + 1
     if not paths:
         for d, v in sweep.diagonals():
             ends.see(d, v)
