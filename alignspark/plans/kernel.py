@@ -4,8 +4,9 @@ A block holds pairs of similar lengths, padded.  Every cell of an
 anti-diagonal depends on the two before it only, so numpy fills one diagonal of
 all pairs at once, with the operands of each cell in their textbook order.
 States: linear gaps have one (H), affine gaps three (M aligned, X gap in B,
-Y gap in A).  The same recurrence serves the best path (max) and the ensemble
-of all paths (logaddexp).
+Y gap in A).  The same recurrence serves the best path (max, +) and the ensemble
+of all paths: in probabilities (+, *) while no sum can leave the range of a
+double, else in logarithms (logaddexp, +).
 
 Memory: of long pairs only every C-th diagonal is kept, the others are filled
 again block by block on the way back.
@@ -40,6 +41,24 @@ class Scoring:
         return self.n * self.n + 4
 
 
+@dataclass(frozen=True)
+class Algebra:
+    """How paths add up (plus) and how steps of a path do (times); ``enter`` takes a score into it."""
+
+    plus: object
+    times: object
+    zero: float
+    one: float
+    enter: object
+
+
+BEST = Algebra(np.maximum, np.add, NEG, 0.0, lambda x: x)
+LOGS = Algebra(np.logaddexp, np.add, NEG, 0.0, lambda x: x)
+PROBABILITIES = Algebra(np.add, np.multiply, 0.0, 1.0, np.exp)
+#: Largest exponent for which sums and products of probabilities stay far within a double.
+SAFE_EXPONENT = 600.0
+
+
 @dataclass
 class Block:
     """Padded codes of pairs, their lengths, and per-row sets and bands."""
@@ -90,8 +109,9 @@ def default_guide(m: int, n: int) -> np.ndarray:
 class Sweep:
     """Fills diagonals of a block, forwards."""
 
-    def __init__(self, block: Block, s: Scoring, join):
-        self.k, self.s, self.join = block, s, join
+    def __init__(self, block: Block, s: Scoring, algebra: Algebra):
+        self.k, self.s, self.algebra = block, s, algebra
+        self.weights = algebra.enter(s.matrices)
         self.rows, self.cols = block.a.shape[1], block.b.shape[1]
         self.affine, self.states = s.model == "affine", 3 if s.model == "affine" else 1
         p, g, kind = len(block), s.gaps, s.matrices.dtype
@@ -105,6 +125,7 @@ class Sweep:
             self.base = (block.track * s.n + block.a) * s.n
         self.open_a, self.ext_a = g[by_gap, 0], g[by_gap, 1]
         self.open_b, self.ext_b = g[by_row, 2], g[by_row, 3]
+        self.go_a, self.on_a, self.go_b, self.on_b = (algebra.enter(-x) for x in (self.open_a, self.ext_a, self.open_b, self.ext_b))
         self.b_back = block.b[:, ::-1].astype(np.int64)
         self.column0 = self._column0(kind)
         self.reach = None
@@ -130,16 +151,16 @@ class Sweep:
         return out
 
     def blank(self) -> list[np.ndarray]:
-        return [np.full((len(self.k), self.rows + 1), NEG, self.s.matrices.dtype) for _ in range(self.states)]
+        return [np.full((len(self.k), self.rows + 1), self.algebra.zero, self.s.matrices.dtype) for _ in range(self.states)]
 
     def inner(self, d: int) -> tuple[int, int]:
         """Rows of diagonal d away from both borders, end exclusive."""
         return max(1, d - self.cols), min(self.rows, d - 1) + 1
 
     def score(self, d: int, lo: int, hi: int) -> np.ndarray:
-        """Substitution scores of the cells (i, d - i), lo <= i < hi."""
+        """Substitution scores (entered into the algebra) of the cells (i, d - i), lo <= i < hi."""
         at = self.cols - d
-        return self.s.matrices[self.base[:, lo - 1 : hi - 1] + self.b_back[:, at + lo : at + hi]]
+        return self.weights[self.base[:, lo - 1 : hi - 1] + self.b_back[:, at + lo : at + hi]]
 
     def outside(self, d: int, lo: int, hi: int) -> np.ndarray | None:
         if self.k.low is None:
@@ -149,35 +170,35 @@ class Sweep:
 
     def fill(self, d: int, one: list[np.ndarray], two: list[np.ndarray]) -> list[np.ndarray]:
         """Diagonal d from d - 1 and d - 2."""
-        out, mode, join = self.blank(), self.s.mode, self.join
+        out, mode, plus, times, one_, zero, enter = self.blank(), self.s.mode, self.algebra.plus, self.algebra.times, self.algebra.one, self.algebra.zero, self.algebra.enter
         lo, hi = self.inner(d)
         if lo < hi:
             up, here = slice(lo - 1, hi - 1), slice(lo, hi)
             score = self.score(d, lo, hi)
             if self.affine:
                 m1, x1, y1 = one
-                m = join(join(two[0][:, up], two[1][:, up]), two[2][:, up]) + score
-                x = join((join(m1[:, up], y1[:, up]) - self.open_b[:, here]) - self.ext_b[:, here], x1[:, up] - self.ext_b[:, here])
-                y = join((join(m1[:, here], x1[:, here]) - self.open_a[:, here]) - self.ext_a[:, here], y1[:, here] - self.ext_a[:, here])
-                cells = [join(m, 0) if mode == "local" else m, x, y]
+                m = times(plus(plus(two[0][:, up], two[1][:, up]), two[2][:, up]), score)
+                x = plus(times(times(plus(m1[:, up], y1[:, up]), self.go_b[:, here]), self.on_b[:, here]), times(x1[:, up], self.on_b[:, here]))
+                y = plus(times(times(plus(m1[:, here], x1[:, here]), self.go_a[:, here]), self.on_a[:, here]), times(y1[:, here], self.on_a[:, here]))
+                cells = [plus(m, one_) if mode == "local" else m, x, y]
             else:
-                h = join(join(two[0][:, up] + score, one[0][:, up] - self.ext_b[:, here]), one[0][:, here] - self.ext_a[:, here])
-                cells = [join(h, 0) if mode == "local" else h]
+                h = plus(plus(times(two[0][:, up], score), times(one[0][:, up], self.on_b[:, here])), times(one[0][:, here], self.on_a[:, here]))
+                cells = [plus(h, one_) if mode == "local" else h]
             outside = self.outside(d, lo, hi)
             for o, c in zip(out, cells, strict=True):
-                o[:, here] = c if outside is None else np.where(outside, NEG, c)
+                o[:, here] = c if outside is None else np.where(outside, zero, c)
         if d <= self.cols:  # row 0
             if mode != "global" or d == 0:
-                out[0][:, 0] = 0
+                out[0][:, 0] = one_
             else:
-                v = -(self.open_a[:, 0] + d * self.ext_a[:, 0]) if self.affine else -d * self.ext_a[:, 0]
-                out[-1][:, 0] = v if self.reach is None else np.where(d <= self.reach[1], v, NEG)
+                v = enter(-(self.open_a[:, 0] + d * self.ext_a[:, 0]) if self.affine else -d * self.ext_a[:, 0])
+                out[-1][:, 0] = v if self.reach is None else np.where(d <= self.reach[1], v, zero)
         if 0 < d <= self.rows:  # column 0
             if mode == "local":
-                out[0][:, d] = 0
+                out[0][:, d] = one_
             else:
-                v = self.column0[:, d]
-                out[1 if self.affine else 0][:, d] = v if self.reach is None else np.where(d <= self.reach[0], v, NEG)
+                v = enter(self.column0[:, d])
+                out[1 if self.affine else 0][:, d] = v if self.reach is None else np.where(d <= self.reach[0], v, zero)
         return out
 
     def diagonals(self, start: int = 0, stop: int | None = None, one=None, two=None):
@@ -289,7 +310,7 @@ def codes(sweep: Sweep, d: int, now, one, two) -> np.ndarray:
 def viterbi(block: Block, s: Scoring, paths: bool) -> tuple[Ends, np.ndarray | None, np.ndarray | None]:
     """(ends, moves, counts): the best scores; with ``paths`` also each pair's moves in forward
     order (0 both advance, 1 gap in B, 2 gap in A) in its row's first ``counts`` entries."""
-    sweep = Sweep(block, s, np.maximum)
+    sweep = Sweep(block, s, BEST)
     ends, total = Ends(sweep, paths), sweep.rows + sweep.cols + 1
     if not paths:
         for d, v in sweep.diagonals():
@@ -400,36 +421,38 @@ def guide_of(i0: int, j0: int, i1: int, j1: int, m: int, n: int, moves: np.ndarr
     return g
 
 
-def _lse(*xs: np.ndarray) -> np.ndarray:
-    out = xs[0]
-    for x in xs[1:]:
-        out = np.logaddexp(out, x)
-    return out
-
-
 def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False) -> tuple[np.ndarray, tuple | None, list | None]:
     """(log Z, gradient as (pair, field, value), posterior guides) of the ensemble of all paths."""
-    with np.errstate(invalid="ignore", over="ignore"):
-        return _forward_backward(block, s, gradient, posterior)
+    steps = block.a.shape[1] + block.b.shape[1] + 2
+    step = max(float(np.abs(s.matrices).max()), float(np.abs(s.gaps[:, [0, 2]]).max() + np.abs(s.gaps[:, [1, 3]]).max()))
+    safe = steps * (step + np.log(3)) < SAFE_EXPONENT  # three moves at most lead out of a cell
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        return _forward_backward(block, s, PROBABILITIES if safe else LOGS, gradient, posterior)
 
 
-def _forward_backward(block, s, gradient, posterior):
-    sweep = Sweep(block, s, np.logaddexp)
+def _forward_backward(block, s, algebra, gradient, posterior):
+    sweep = Sweep(block, s, algebra)
+    plus, times, zero, logs = algebra.plus, algebra.times, algebra.zero, algebra is LOGS
     p, total, mode = len(block), sweep.rows + sweep.cols + 1, s.mode
     rows = np.arange(sweep.rows + 1)
 
+    def sums(*xs):
+        out = xs[0]
+        for x in xs[1:]:
+            out = plus(out, x)
+        return out
+
     def in_band(d: int) -> np.ndarray:
         j = d - rows
         ok = (j >= 0)[None, :] & (j[None, :] <= block.n[:, None]) & (rows[None, :] <= block.m[:, None])
         return ok if block.low is None else ok & (j >= block.low) & (j <= block.high)
 
-    def is_end(d: int) -> np.ndarray:
-        ok = in_band(d)
+    def is_end(d: int, band: np.ndarray) -> np.ndarray:
         if mode == "global":
-            return ok & (rows[None, :] == block.m[:, None]) & (d == block.m + block.n)[:, None]
-        return ok & (rows[None, :] == block.m[:, None]) if mode == "glocal" else ok
+            return band & (rows[None, :] == block.m[:, None]) & (d == block.m + block.n)[:, None]
+        return band & (rows[None, :] == block.m[:, None]) if mode == "glocal" else band
 
-    log_z = np.full(p, NEG)
+    z = np.full(p, zero)
     per_table = total * p * (sweep.rows + 1) * 8 * sweep.states
     step = total if per_table <= 4 * TABLE_BYTES else max(2, int(np.sqrt(2 * total)))
     marks, kept, one, two = {}, {}, sweep.blank(), sweep.blank()
@@ -438,33 +461,42 @@ def _forward_backward(block, s, gradient, posterior):
             marks[d] = (one, two)
         if step == total and (gradient or posterior):
             kept[d] = v
-        log_z = np.logaddexp(log_z, np.logaddexp.reduce(np.where(is_end(d), _lse(*v), NEG), axis=1))
+        z = plus(z, plus.reduce(np.where(is_end(d, in_band(d)), sums(*v), zero), axis=1))
         one, two = v, one
+    log_z = z if logs else np.log(z)
     if not (gradient or posterior):
         return log_z, None, None
     n_sets, square = len(s.gaps), s.n * s.n
     grad = np.zeros(p * n_sets * s.fields)
-    z = log_z[:, None]
+    share = z[:, None]
     guide_value, guide_at = np.full((p, sweep.rows + 1), -1.0), np.zeros((p, sweep.rows + 1), np.int64)
     if block.low is not None:
         guide_at[:] = block.low
     owner = np.arange(p)[:, None] * (n_sets * s.fields)
 
+    def part(x: np.ndarray) -> np.ndarray:
+        """The share of all paths."""
+        x = np.exp(x - share) if logs else x / share
+        return np.where(np.isfinite(x), x, 0.0)
+
     def add(where: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
-        weight = np.where(where & np.isfinite(weight), np.exp(weight), 0.0)
+        weight = np.where(where, part(weight), 0.0)
+        if at.shape[1] == 1:  # one field a pair
+            grad[at[:, 0]] += weight.sum(axis=1)
+            return
         np.add(grad, np.bincount(np.broadcast_to(at, weight.shape).ravel(), weights=weight.ravel(), minlength=len(grad)), out=grad)
 
     if block.track is None:
-        by_row = by_gap = np.zeros((1, sweep.rows + 1), np.int64)
+        by_row = by_gap = np.zeros((1, 1), np.int64)
     else:
         by_row = np.concatenate([block.track[:, :1] if sweep.rows else np.zeros((p, 1), np.int64), block.track], axis=1) * s.fields
         by_gap = block.gap_track * s.fields
-    down = lambda x, last=NEG: np.concatenate([x[:, 1:], np.full((p, 1), last)], axis=1)  # noqa: E731  row i + 1 seen from row i
-    above = lambda x: np.concatenate([np.full((p, 1), NEG), x[:, :-1]], axis=1)
-    ob, eb, oa, ea = (np.broadcast_to(x, (p, sweep.rows + 1)) for x in (sweep.open_b, sweep.ext_b, sweep.open_a, sweep.ext_a))
-    ob_next, eb_next = down(ob, 0.0), down(eb, 0.0)
-    after = after2 = [np.full((p, sweep.rows + 1), NEG) for _ in range(sweep.states)]  # what is pushed from diagonals d + 1 and d + 2
-    last_y = np.full((p, sweep.rows + 1), NEG)
+    down = lambda x: np.concatenate([x[:, 1:], np.full((p, 1), zero)], axis=1)  # noqa: E731  row i + 1 seen from row i
+    above = lambda x: np.concatenate([np.full((p, 1), zero), x[:, :-1]], axis=1)
+    ob, eb, oa, ea = (np.broadcast_to(x, (p, sweep.rows + 1)) for x in (sweep.go_b, sweep.on_b, sweep.go_a, sweep.on_a))
+    nothing = np.full((p, sweep.rows + 1), zero)
+    after = after2 = [nothing] * sweep.states  # what diagonals d + 1 and d + 2 push back
+    last_y = nothing
     min_j, min_i = int(mode == "local"), int(mode != "global")
     for start in sorted(marks, reverse=True):
         stop = min(start + step, total)
@@ -475,45 +507,45 @@ def _forward_backward(block, s, gradient, posterior):
                 kept[d] = v
         for d in range(stop - 1, start - 1, -1):
             band, j = in_band(d), d - rows
-            end = np.where(is_end(d), 0.0, NEG)
-            score = np.full((p, sweep.rows + 1), NEG)  # of the move into (i + 1, j + 1)
+            end = np.where(is_end(d, band), algebra.one, zero)
+            score = nothing.copy()  # of the move into (i + 1, j + 1)
             lo, hi = sweep.inner(d + 2)
             if lo < hi:
                 score[:, lo - 1 : hi - 1] = sweep.score(d + 2, lo, hi)
-            diag = down(after2[0]) + score
+            diag = plus(times(down(after2[0]), score), end)
             if sweep.affine:
-                x, y = down(after[1]), after[2]
-                b = [_lse(diag, x - ob_next - eb_next, y - oa - ea, end), _lse(diag, x - eb_next, y - oa - ea, end), _lse(diag, x - ob_next - eb_next, y - ea, end)]
+                x_on, y_on = down(times(after[1], eb)), times(after[2], ea)  # the penalties of the row that is entered
+                x_open, y_open = down(times(times(after[1], eb), ob)), times(y_on, oa)
+                b = [sums(diag, x_open, y_open), sums(diag, x_on, y_open), sums(diag, x_open, y_on)]
             else:
-                b = [_lse(diag, down(after[0]) - eb_next, after[0] - ea, end)]
-            b = [np.where(band, np.where(np.isnan(x), NEG, x), NEG) for x in b]
+                b = [sums(diag, down(times(after[0], eb)), times(after[0], ea))]
+            b = [np.where(band, x, zero) for x in b]
             f, f1, f2 = kept[d], kept.get(d - 1) or sweep.blank(), kept.get(d - 2) or sweep.blank()
             lo, hi = sweep.inner(d)
             if gradient and lo < hi:
                 here = slice(lo, hi)
-                pred = _lse(*(x[:, lo - 1 : hi - 1] for x in f2)) + sweep.score(d, lo, hi)
+                pred = times(sums(*(x[:, lo - 1 : hi - 1] for x in f2)), sweep.score(d, lo, hi))
                 key = sweep.base[:, lo - 1 : hi - 1] + sweep.b_back[:, sweep.cols - d + lo : sweep.cols - d + hi]
                 track = 0 if block.track is None else by_row[:, here] // s.fields * 4
-                add(band[:, here], owner + key + track, pred + b[0][:, here] - z)
+                add(band[:, here], owner + key + track, times(pred, b[0][:, here]))
             if gradient:
                 i_ok, j_ok = rows >= 1, j >= min_j
                 if sweep.affine:
-                    pairs = (
-                        (i_ok, by_row, 3, -1, f[1] + b[1] - z), (j >= 1, by_gap, 1, -1, f[2] + b[2] - z),
-                        (i_ok & j_ok, by_row, 2, -1, np.logaddexp(above(f1[0]), above(f1[2])) - ob - eb + b[1] - z),
-                        ((rows >= min_i) & (j >= 1), by_gap, 0, -1, np.logaddexp(f1[0], f1[1]) - oa - ea + b[2] - z),
+                    counted = (
+                        (i_ok, by_row, 3, times(f[1], b[1])), (j >= 1, by_gap, 1, times(f[2], b[2])),
+                        (i_ok & j_ok, by_row, 2, times(times(times(plus(above(f1[0]), above(f1[2])), ob), eb), b[1])),
+                        ((rows >= min_i) & (j >= 1), by_gap, 0, times(times(times(plus(f1[0], f1[1]), oa), ea), b[2])),
                     )
                 else:
-                    pairs = ((i_ok & j_ok, by_row, 3, -1, above(f1[0]) - eb + b[0] - z), ((rows >= min_i) & (j >= 1), by_gap, 1, -1, f1[0] - ea + b[0] - z))
-                for where, at, gap, _, weight in pairs:
+                    counted = ((i_ok & j_ok, by_row, 3, times(times(above(f1[0]), eb), b[0])), ((rows >= min_i) & (j >= 1), by_gap, 1, times(times(f1[0], ea), b[0])))
+                for where, at, gap, weight in counted:
                     add(band & where[None, :], owner + at + square + gap, weight)
             if posterior:
-                value = np.exp(_lse(*(x + y for x, y in zip(f, b, strict=True))) - z)
-                value -= np.exp((last_y if sweep.affine else f[0] - ea + last_y) - z)
-                value = np.where(np.isnan(value), 0.0, value)
+                value = part(sums(*(times(x, y) for x, y in zip(f, b, strict=True))))
+                value = value - part(last_y if sweep.affine else times(times(f[0], ea), last_y))
                 better = band & (value >= guide_value)
                 guide_value[better], guide_at[better] = value[better], np.broadcast_to(j, band.shape)[better]
-                last_y = f[2] + b[2] if sweep.affine else b[0]
+                last_y = times(f[2], b[2]) if sweep.affine else b[0]
             after2, after = after, b
     out = None
     if gradient:

@@ -87,6 +87,30 @@ def test_bands(mode, model):
         assert t["score"] <= f["score"]
 
 
+@pytest.mark.parametrize("mode,model", CASES)
+def test_logarithms_equal_probabilities(monkeypatch, mode, model):
+    rng = np.random.default_rng(8)
+    params = random_params(rng, k=2)
+    a, b = [rng.integers(0, 3, n) for n in rng.integers(0, 25, 20)], [rng.integers(0, 3, n) for n in rng.integers(0, 25, 20)]
+    tracks = [rng.integers(0, 2, len(x)) for x in a]
+    more = {"mode": mode, "gap_model": model, "grad": "soft", "tracks": tracks, "band": 9}
+    fast = run(params, a, b, **more)
+    monkeypatch.setattr(kn, "SAFE_EXPONENT", 0.0)
+    for x, y in zip(fast, run(params, a, b, **more), strict=True):
+        if np.isfinite(y["score"]):
+            assert x["score"] == pytest.approx(y["score"], abs=1e-11)
+            got, want = (dict(zip(r["grad"][0].tolist(), r["grad"][1].tolist(), strict=True)) for r in (x, y))
+            assert all(got.get(f, 0) == pytest.approx(want.get(f, 0), abs=1e-10) for f in set(got) | set(want))
+
+
+def test_long_ensembles_stay_finite():
+    rng = np.random.default_rng(8)
+    params = random_params(rng)
+    a = [rng.integers(0, 3, 700)]
+    r = run(params * 3.0, a, a, grad="soft", paths=False)[0]
+    assert np.isfinite(r["score"]) and np.isfinite(r["grad"][1]).all()
+
+
 def test_known_results():
     dna = AlignParams(SubstMatrix(2 * np.eye(4) - 1, "ACGT"), 2, 1, 2, 1)
     one = lambda a, b, p, **k: solve([0], [p.alphabet.codes(a)], [p.alphabet.codes(b)], p, Problem(**k))[0]
