@@ -155,6 +155,11 @@ def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignPara
             if p.grad == "hard":
                 grads = kn.path_counts(block, s, *hard)
         edges = np.searchsorted(grads[0], np.arange(len(at) + 1)) if grads is not None else None
+        with_paths = paths and hard is not None and hard[1] is not None
+        if with_paths:
+            ends, moves, count = hard
+            first, op, length = kn.runs(moves, count)
+            columns = kn.guides(block, ends, moves, count) if post is None else None
         for k, i in enumerate(at):
             r = out[i]
             r["score"] = float(score[k])
@@ -162,14 +167,11 @@ def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignPara
                 r["grad"] = (grads[1][edges[k] : edges[k + 1]], grads[2][edges[k] : edges[k + 1]])
             if post is not None:
                 r["guide"] = post[k]
-            if paths and hard is not None and hard[1] is not None:
-                ends, moves, count = hard
-                mv = moves[k, : count[k]]
-                turn = np.flatnonzero(np.diff(mv)) + 1
-                first = np.concatenate([[0], turn]) if len(mv) else np.zeros(0, np.int64)
-                r["ops"] = (mv[first], np.diff(np.append(first, len(mv))))
+            if with_paths:
+                r["ops"] = (op[first[k] : first[k + 1]], length[first[k] : first[k + 1]])
                 r["start"], r["end"] = (int(ends.start_i[k]), int(ends.start_j[k])), (int(ends.i[k]), int(ends.j[k]))
-                r.setdefault("guide", kn.guide_of(*r["start"], *r["end"], int(m[k]), int(n[k]), mv))
+                if post is None:
+                    r["guide"] = columns[k, : m[k] + 1]
     return out
 
 
@@ -185,6 +187,12 @@ def encode_all(texts: pa.Array, ids: list, params: AlignParams, which: str) -> l
     return out
 
 
+def joined(parts: list[np.ndarray], kind) -> tuple[pa.Array, pa.Array]:
+    """(offsets, values) of one list a row."""
+    edge = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+    return pa.array(edge), pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+
+
 def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), outputs: tuple[str, ...] = ("score",), id_col: str = "pair_id") -> DataFrame:
     """Align every row's ``seq_a`` and ``seq_b``.
 
@@ -211,7 +219,6 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
         schema.append("grad map<int,double>")
     paths = "path" in wanted or "guide" in wanted
     names = [x.split()[0].strip("`") for x in schema]
-    ops_type = pa.list_(pa.struct([("op", pa.int8()), ("len", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,14 +227,15 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
             rows = solve(ids, encode_all(batch.column(1), ids, params, "seq_a"), encode_all(batch.column(2), ids, params, "seq_b"), params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), paths)
             cols = [batch.column(0), pa.array([r["score"] for r in rows], pa.float64())]
             if "path" in wanted:
-                cols.append(pa.array([[{"op": int(o), "len": int(x)} for o, x in zip(*r["ops"], strict=True)] for r in rows], ops_type))
+                edge, op = joined([r["ops"][0] for r in rows], np.int8)
+                length = joined([r["ops"][1] for r in rows], np.int32)[1]
+                cols.append(pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays([op, length], ["op", "len"])))
                 cols += [pa.array([r[e][x] for r in rows], pa.int32()) for e, x in (("start", 0), ("start", 1), ("end", 0), ("end", 1))]
             if "guide" in wanted:
-                cols.append(pa.array([r["guide"].tolist() for r in rows], pa.list_(pa.int32())))
+                cols.append(pa.ListArray.from_arrays(*joined([r["guide"] for r in rows], np.int32)))
             if "grad" in wanted:
-                size = np.cumsum([0] + [len(r["grad"][0]) for r in rows]).astype(np.int32)
-                cat = lambda k, kind: np.concatenate([r["grad"][k] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
-                cols.append(pa.MapArray.from_arrays(pa.array(size), pa.array(cat(0, np.int32)), pa.array(cat(1, np.float64))))
+                edge, field = joined([r["grad"][0] for r in rows], np.int32)
+                cols.append(pa.MapArray.from_arrays(edge, field, joined([r["grad"][1] for r in rows], np.float64)[1]))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, ", ".join(schema))

@@ -404,21 +404,33 @@ def _summed(owner: np.ndarray, key: np.ndarray, value: np.ndarray, s: Scoring) -
     return both // width, both % width, np.bincount(where, weights=value, minlength=len(both))
 
 
-def guide_of(i0: int, j0: int, i1: int, j1: int, m: int, n: int, moves: np.ndarray) -> np.ndarray:
-    """The column after each row of a path; rows that it does not cover are interpolated."""
-    g = np.full(m + 1, -1, np.int64)
-    g[0], g[m] = 0, n
-    g[i1] = j1
-    enters_i = i0 + np.cumsum(moves != 2)
-    enters_j = j0 + np.cumsum(moves != 1)
-    down = moves != 2
-    g[enters_i[down] - 1] = (enters_j - (moves == 0))[down]
-    known = np.flatnonzero(g >= 0)
-    for lo, hi in zip(known[:-1], known[1:], strict=True):
-        k = np.arange(lo + 1, hi)
-        step = (g[hi] - g[lo]) * (k - lo)
-        g[k] = g[lo] + np.sign(step) * (np.abs(step) // (hi - lo))
-    return g
+def runs(moves: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, move, length): the moves of each pair k in runs first[k]:first[k + 1]."""
+    pair, at = np.nonzero(np.arange(moves.shape[1])[None, :] < count[:, None])
+    mv = moves[pair, at]
+    new = np.flatnonzero((at == 0) | np.append(True, mv[1:] != mv[:-1])) if len(mv) else np.zeros(0, np.int64)
+    return np.searchsorted(pair[new], np.arange(len(count) + 1)), mv[new], np.diff(np.append(new, len(mv)))
+
+
+def guides(block: Block, ends: Ends, moves: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The column after each row of each pair's path (entries beyond a pair's last row mean nothing).
+
+    Rows before and after a local path are interpolated from (0, 0) and to (m, n).
+    """
+    p, rows = len(block), np.arange(block.a.shape[1] + 1)[None, :]
+    every = np.arange(p)
+    used = np.arange(moves.shape[1])[None, :] < count[:, None]
+    i = ends.start_i[:, None] + np.cumsum((moves != 2) & used, axis=1)  # the cell each move enters
+    j = ends.start_j[:, None] + np.cumsum((moves != 1) & used, axis=1)
+    g = np.zeros((p, rows.size), np.int64)
+    g[every, block.m] = block.n
+    g[every, ends.i] = ends.j
+    pair, at = np.nonzero(used & (moves != 2))
+    g[pair, i[pair, at] - 1] = j[pair, at] - (moves[pair, at] == 0)
+    s, e, m, n = (x[:, None] for x in (ends.start_i, ends.i, block.m, block.n))
+    at_s, at_e = g[every, ends.start_i][:, None], g[every, ends.i][:, None]
+    g = np.where((rows > 0) & (rows < s), at_s * rows // np.maximum(s, 1), g)
+    return np.where((rows > e) & (rows < m), at_e + (n - at_e) * (rows - e) // np.maximum(m - e, 1), g)
 
 
 def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False) -> tuple[np.ndarray, tuple | None, list | None]:
