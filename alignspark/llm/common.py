@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Let Arrow batches of this session hold at most ``size`` of data.
+
+    Texts are long: a batch exists in the JVM and, in several forms, in the
+    Python worker, and an executor has one of each for every core.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -1,12 +1,15 @@
 """Exact nearest neighbours of binary codes by incremental multi-index hashing.
 
 A vector's code is the sign bits of its entries.  Codes are cut into segments
-of about log2(number of codes) bits; an inverted index maps each segment value
-to codes.  In round t every query that is still open probes all values at
-distance t from its own, in every segment.  Two codes whose distance is below
-segments * (t + 1) agree in some segment up to t bits, so after round t every
-code nearer than that has been met.  A query closes once its k-th verified
-distance is below it.  Only open queries go on; nothing is capped.
+of about log2(number of codes) - 3 bits, so that a segment value has some eight
+codes; an inverted index maps each segment value to codes.  Round by round, queries that are still open probe all values at
+distance t from their own: t up to 1 in every segment, then each t in the first
+half of the segments and in the others.  A code that none of these rounds met
+differs in t + 1 bits or more in each of the h segments that were probed up to
+t and in t bits or more in the others: its distance is at least
+segments * t + h.  A query closes once its k-th verified distance is below
+that.  Only open queries go on, and of what they meet only codes that are no
+farther than the k-th best so far; nothing is capped.
 
 Equal codes are one entry with the k + 1 smallest ids behind it (no more can
 be among the k nearest by distance and id), so a code that a third of all rows
@@ -52,8 +55,8 @@ def sign_codes(vectors: DataFrame, bits: int, id_col: str = "vec_id", vector_col
 
 
 def segments(bits: int, rows: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: about log2(rows) bits, 4 to 20."""
-    width = min(max(round(math.log2(max(rows, 2))), 4), 20, bits)
+    """(first bit, bits) of each segment: about log2(rows) - 3 bits, 4 to 20."""
+    width = min(max(round(math.log2(max(rows, 2))) - 3, 4), 20, bits)
     n = -(-bits // width)
     edge = [i * bits // n for i in range(n + 1)]
     return [(a, b - a) for a, b in itertools.pairwise(edge)]
@@ -64,11 +67,21 @@ def _values(cuts: list[tuple[int, int]]):
     return F.array(*(F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("code", a).bitwiseAND((1 << n) - 1).alias("value")) for s, (a, n) in enumerate(cuts)))
 
 
-def _masks(spark, cuts: list[tuple[int, int]], t: int) -> DataFrame:
-    """All masks of t bits of each segment: their number depends on the segment's width alone."""
-    width = max(n for _, n in cuts)
-    masks = spark.range(1 << width).where(F.bit_count("id") == t).select(F.col("id").alias("mask"))
-    return masks.select(F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(1 << n).alias("end")) for s, (_, n) in enumerate(cuts)))).alias("x"), "mask").select("x.*", "mask").where("mask < end").select("segment", "mask")
+def rounds(cuts: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """([(segment, t), ...] to probe, distance below which every code has been met)."""
+    m, widest = len(cuts), max(n for _, n in cuts)
+    yield [(s, t) for t in (0, 1) for s in range(m)], 2 * m
+    for t in range(2, widest + 1):
+        for lo, hi in ((0, -(-m // 2)), (-(-m // 2), m)):
+            if lo < hi:
+                yield [(s, t) for s in range(lo, hi)], m * t + hi
+
+
+def _masks(spark, cuts: list[tuple[int, int]], probes: list[tuple[int, int]]) -> DataFrame:
+    """(segment, mask): all masks of t bits; their number depends on the segments' width alone."""
+    wanted = [(s, t, 1 << cuts[s][1]) for s, t in probes]
+    masks = spark.range(1 << max(n for _, n in cuts)).select(F.col("id").alias("mask"), F.bit_count("id").cast("int").alias("t")).where(F.col("t").isin(sorted({t for _, t in probes})))
+    return masks.join(F.broadcast(spark.createDataFrame(wanted, "segment int, t int, end bigint")), "t").where("mask < end").select("segment", "mask")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -85,30 +98,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     entries = materialize(entries, "code-entries")
     total = entries.count()
     asked = materialize(sign_codes(queries, bits, id_col, vector_col).withColumnsRenamed({"id": "query_id"}), "query-codes")
-    open_ = asked.select("code").distinct()
+    open_ = asked.select("code").distinct().withColumn("bound", F.lit(bits))
     cuts = segments(bits, total)
     index = materialize(entries.select("code", F.size("ids").alias("n"), F.col("ids")[0].alias("low"), F.explode(_values(cuts)).alias("x")).select("code", "n", "low", "x.segment", "x.value"), "segment-index")
     found = None  # (query, code, distance, n, low): the best so far of open queries
     done = None
-    for t in range(max(n for _, n in cuts) + 1):
-        probes = open_.select("code", F.explode(_values(cuts)).alias("x")).select(F.col("code").alias("query"), "x.segment", "x.value")
-        if t:
-            probes = probes.join(F.broadcast(_masks(spark, cuts, t)), "segment").select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "n", "low").distinct()
+    for probed, below in rounds(cuts):
+        probes = open_.select("code", "bound", F.explode(_values(cuts)).alias("x")).select(F.col("code").alias("query"), "bound", "x.segment", "x.value")
+        probes = probes.join(F.broadcast(_masks(spark, cuts, probed)), "segment").select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        near = (probes.segment == index.segment) & (probes.value == index.value) & (distance <= F.col("bound"))
+        met = probes.join(index, near).select("query", "code", distance.alias("distance"), "n", "low").distinct()
         if found is not None:
             met = met.unionByName(found).distinct()
         order = W.partitionBy("query").orderBy("distance", "low")
         best = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        covered = len(cuts) * (t + 1) - 1
         best = materialize(best, "neighbours")
-        closed = best.where((F.col("upto") >= k + 1) & (F.col("distance") <= covered)).select("query").distinct()
-        if covered >= bits:
+        closed = best.where((F.col("upto") >= k + 1) & (F.col("distance") < below)).select("query").distinct()
+        if below > bits:
             closed = best.select("query").distinct()
         part = best.join(closed, "query", "left_semi").drop("r", "upto")
         done = part if done is None else done.unionByName(part)
         found = best.join(closed, "query", "left_anti").drop("r", "upto")
         # a query of which nothing was met yet is not in best, but still open
-        open_ = materialize(open_.join(closed.withColumnRenamed("query", "code"), "code", "left_anti"), "open-queries")
+        bounds = best.where(F.col("upto") >= k + 1).groupBy(F.col("query").alias("code")).agg(F.min("distance").alias("found"))
+        still = open_.join(closed.withColumnRenamed("query", "code"), "code", "left_anti").join(bounds, "code", "left")
+        open_ = materialize(still.select("code", F.coalesce("found", "bound").alias("bound")), "open-queries")
         if open_.isEmpty():
             break
     hits = done.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignspark.llm import decontam, hamming, licenses, near_dedup, packing, pii, quality, substring, token_store, tokens
-from alignspark.llm.common import new_path, table
+from alignspark.llm.common import new_path, small_batches, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; the held-out fifth trains nothing."""
+    small_batches(spark)
     documents = table(spark, sf_dir, "documents")
     model = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -26,21 +27,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds 4096 tokens."""
+    small_batches(spark)
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=4096)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents on shingles of two words."""
+    small_batches(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
+    small_batches(spark)
     return pii.detect(table(spark, sf_dir, "documents")).drop("scored")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in a content-addressed store, read back and verified."""
+    small_batches(spark)
     path = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
     return token_store.read_store(spark, path)
@@ -48,6 +53,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that other documents hold, too."""
+    small_batches(spark)
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
@@ -59,6 +65,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into bins of 4096 tokens."""
+    small_batches(spark)
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 

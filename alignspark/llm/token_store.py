@@ -40,12 +40,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alignspark.llm.segments import cut, ragged
+from alignspark.llm.words import steps
 
 MODEL = "byte_bpe_50k.json"
 WINDOW = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 4096
 #: Distinct pieces that a Python worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
+#: Bytes of text that are encoded at a time.
+CUT_BYTES = 8_000_000
 #: Plain pieces that are encoded as one string.
 JOIN = 32
 #: A plain piece: a space, then neither white space, controls nor the mark of a special token.
@@ -180,8 +183,8 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
 
         zip_ = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for big in batches:
-            for lo in range(0, len(big), 4096):
-                batch = big.slice(lo, 4096)
+            for lo, hi in steps(big.column(1), CUT_BYTES):
+                batch = big.slice(lo, hi - lo)
                 ids, ends = encode(tokenizer, batch.column(1), end_id)
                 stop = chunk_ends(ids, ends)
                 start = np.concatenate([[0], stop[:-1]]).astype(np.int64)

@@ -26,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignspark.llm.segments import cut
+from alignspark.llm.words import steps
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct pieces that a Python worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
+#: Bytes of text that are cut at a time.
+CUT_BYTES = 8_000_000
 SPACE = "▁"
 
 
@@ -98,8 +101,8 @@ def token_counts(df: DataFrame, text: str | Column = "text", id_col: str = "doc_
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_bytes array<bigint>, prefix_tokens array<bigint>" * tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, ends, counts = first_table(path, batch.column(1))
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in steps(b.column(1), CUT_BYTES)):
+            first, ends, counts = prefix_tables(path, batch.column(1))
             last, some = np.maximum(first[1:] - 1, 0), np.diff(first) > 0
             n = np.where(some, counts[last] if len(counts) else 0, 0)
             size = np.where(some, ends[last] if len(ends) else 0, 0)
@@ -110,7 +113,6 @@ def token_counts(df: DataFrame, text: str | Column = "text", id_col: str = "doc_
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = [id_col, "n_bytes", "n_tokens", "over_limit"] + ["prefix_bytes", "prefix_tokens"] * tables
-    first_table = prefix_tables
     return src.mapInArrow(run, schema)
 
 

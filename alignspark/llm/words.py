@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes that one step handles; a longer text is a step of its own.
-STEP = 4_000_000
+#: Text bytes that one step handles (it takes some fifty times that memory); a longer text is a step of its own.
+STEP = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,12 +39,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about STEP bytes of text."""
+def steps(texts: pa.Array, most: int = STEP) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes of text; a longer text is a range of its own."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     run, at = np.cumsum(size), 0
     while at < len(size):
-        end = max(at + 1, int(np.searchsorted(run, (run[at - 1] if at else 0) + STEP, side="right")))
+        end = max(at + 1, int(np.searchsorted(run, (run[at - 1] if at else 0) + most, side="right")))
         yield at, end
         at = end
 

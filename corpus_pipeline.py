@@ -12,31 +12,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alignspark.llm import decontam, near_dedup, packing, pii, quality
-from alignspark.llm.common import materialize, table
+from alignspark.llm.common import materialize, small_batches, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted on the labelled ones among them, accepts."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles."""
+    small_batches(spark)
     return near_dedup.keep_representatives(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no window of ten words of a benchmark item."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced."""
+    small_batches(spark)
     return docs.withColumn("text", pii.redacted(docs["text"]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document goes: bins of 4096 tokens."""
+    small_batches(spark)
     return packing.best_fit(docs)
 
 
