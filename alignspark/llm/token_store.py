@@ -83,17 +83,23 @@ class _Pieces:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.extra: list[str] = []
+        self.mark = (0, 0)
         self.flat, self.first, self.size = np.zeros(0, np.uint16 if len(self.opens) <= 65536 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def look_up(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct pieces; new ones are encoded."""
+        for piece in self.extra:
+            del self.number[piece]
+        if self.extra:
+            n, ids = self.mark
+            self.first, self.size, self.flat, self.extra = self.first[:n], self.size[:n], self.flat[:ids], []
         pieces = words.to_pylist()
         known = list(map(self.number.get, pieces))
         new = [i for i, k in enumerate(known) if k is None]
         if new:
-            if len(self.number) + len(new) > MEMO:
-                self.clear()
-                new = range(len(pieces))
+            if len(self.number) + len(new) > MEMO:  # known pieces stay; these are forgotten after this batch
+                self.extra, self.mark = [pieces[i] for i in new], (len(self.size), len(self.flat))
             plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
             order = [i for i in new if plain[i]]
             self._add([pieces[i] for i in order], JOIN)
