@@ -6,13 +6,15 @@ Layout of a store, all Parquet in one folder:
   ``hash`` (BLAKE2b, 16 bytes), ``n_ids``, ``payload`` and ``uses``.  The
   payload (ids as little-endian unsigned 16-bit integers, or 32-bit where the
   vocabulary needs it, zstandard-compressed) stands in exactly one row of each
-  hash.  ``uses`` lists where the chunk occurs: document, position, offset and
-  the document's length.
+  hash.  ``uses`` lists where the chunk occurs: document, row (a number that
+  only this input row has), position, offset, the document's length and, at its
+  first chunk, its root.
 * ``recipes/`` - one row per document in ascending id order (range
   partitions, each sorted): ``part``, id, ``n_tokens``, ``root``, the hash of
-  its chunk hashes in order (a Merkle manifest of depth one).
+  its chunk hashes in order (a Merkle manifest of depth one).  Length and root
+  are those of the ids as they were encoded.
 * ``manifest/`` - one row per recipe partition: its number of documents, its
-  ids and the hash of its roots, the next level of the Merkle tree.
+  ids and a sum of the hashes of its roots, the next level of the Merkle tree.
 
 A rolling hash over the last ``WINDOW`` ids decides where chunks end, so equal
 passages give equal chunks wherever they stand.  Ids travel once, to the row of
@@ -21,8 +23,8 @@ within a batch before the shuffle, so a chunk that a third of all documents
 hold arrives as one row a batch.
 
 Defined results: null and empty texts consist of the end id alone; documents
-with a null id are not stored; ids must be unique (a repeated id raises when
-its recipe is read back, as its parts do not add up).
+with a null id are not stored; rows with one id are stored, placed and read back
+one by one, in the order of their roots.
 """
 
 from __future__ import annotations
@@ -174,14 +176,14 @@ def chunk_ends(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-_USES = "array<struct<doc:bigint,pos:int,offset:bigint,total:bigint>>"
+_USES = "array<struct<doc:bigint,row:bigint,pos:int,offset:bigint,total:bigint,root:string>>"
 
 
 def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokenizer: str | None = None, end_id: int = 0, partitions: int | None = None) -> None:
     """Encode every document and write a store into the folder ``path`` (one that all executors share)."""
     tokenizer = tokenizer or model_path()
     spark = documents.sparkSession
-    src = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    src = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     wide = 4 if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) > 65536 else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,20 +200,27 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
                 doc_end = np.searchsorted(ends, start, side="right")
                 doc_start = np.concatenate([[0], ends[:-1]])[doc_end]
                 total = ends[doc_end] - doc_start
-                docs = batch.column(0).to_numpy()[doc_end]
+                docs, row = batch.column(0).to_numpy()[doc_end], batch.column(2).to_numpy()[doc_end]
                 new_doc = np.concatenate([[True], doc_end[1:] != doc_end[:-1]])
                 number = np.arange(len(start)) - np.maximum.accumulate(np.where(new_doc, np.arange(len(start)), 0))
                 found: dict[bytes, list] = {}
-                for d, k, a, b, o, n in zip(docs.tolist(), number.tolist(), start.tolist(), stop.tolist(), (start - doc_start).tolist(), total.tolist(), strict=True):
+                head, hashes = None, []
+                for d, w, k, a, b, o, n in zip(docs.tolist(), row.tolist(), number.tolist(), start.tolist(), stop.tolist(), (start - doc_start).tolist(), total.tolist(), strict=True):
                     raw = narrow[a:b].tobytes()
                     key = hashlib.blake2b(raw, digest_size=16).digest()
                     entry = found.get(key)
                     if entry is None:
                         entry = found[key] = [b - a, zip_.compress(raw), []]
-                    entry[2].append({"doc": d, "pos": k, "offset": o, "total": n})
+                    use = {"doc": d, "row": w, "pos": k, "offset": o, "total": n, "root": None}
+                    entry[2].append(use)
+                    if k == 0:
+                        head, hashes = use, []
+                    hashes.append(key)
+                    if o + b - a == n:
+                        head["root"] = hashlib.sha256(b"".join(hashes).hex().upper().encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([e[0] for e in found.values()], pa.int32()), pa.array([e[1] for e in found.values()], pa.binary()), pa.array([e[2] for e in found.values()], uses)], names=["hash", "n_ids", "payload", "uses"])
 
-    uses = pa.list_(pa.struct([("doc", pa.int64()), ("pos", pa.int32()), ("offset", pa.int64()), ("total", pa.int64())]))
+    uses = pa.list_(pa.struct([("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("offset", pa.int64()), ("total", pa.int64()), ("root", pa.string())]))
     met = src.mapInArrow(run, f"hash binary, n_ids int, payload binary, uses {_USES}")
     first = F.row_number().over(W.partitionBy("hash").orderBy(F.lit(1)))
     (
@@ -219,15 +228,17 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
         .select("hash", "n_ids", F.when(F.col("n") == 1, F.col("payload")).alias("payload"), "uses")
         .write.option("compression", "none").parquet(f"{path}/chunks")
     )
-    use = spark.read.parquet(f"{path}/chunks").select("hash", "n_ids", F.explode("uses").alias("u"))
-    recipes = use.groupBy(F.col("u.doc").alias(id_col)).agg(F.sum("n_ids").alias("n_tokens"), _root().alias("root"))
+    use = spark.read.parquet(f"{path}/chunks").select(F.explode("uses").alias("u"))
+    recipes = use.where("u.pos = 0").select(F.col("u.doc").alias(id_col), F.col("u.total").alias("n_tokens"), F.col("u.root").alias("root"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipes.repartitionByRange(n, id_col).sortWithinPartitions(id_col).withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
-    written = spark.read.parquet(f"{path}/recipes")
-    (
-        written.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_ids"), F.min(id_col).alias("first_doc"), F.bit_xor(F.xxhash64(id_col, "root")).alias("roots"))
-        .coalesce(1).write.parquet(f"{path}/manifest")
-    )
+    recipes.repartitionByRange(n, id_col).sortWithinPartitions(id_col, "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
+    _summed(spark.read.parquet(f"{path}/recipes"), id_col).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _summed(recipes: DataFrame, id_col: str) -> DataFrame:
+    """One row per recipe partition, as the manifest holds it."""
+    root = F.pmod(F.xxhash64(id_col, "root"), F.lit(2**40))
+    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_ids"), F.min(id_col).alias("first_doc"), F.sum(root).alias("roots"))
 
 
 def _root():
@@ -260,8 +271,9 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", narrow: b
     """id, start, n_tokens, ids_crc32 of every stored document, from the store's files.
 
     Each chunk is read once, checked against its hash and summed up; recipes
-    put the sums together.  A document whose chunks do not give its root, or a
-    partition that disagrees with the manifest, raises.
+    put the sums together.  A document whose chunks do not give its root and
+    length, chunks without a recipe, or a partition that disagrees with the
+    manifest (also one that is missing on either side) raises.
     """
     stored = spark.read.parquet(f"{path}/chunks")
     payloads = stored.where(F.col("payload").isNotNull()).select("hash", "n_ids", "payload")
@@ -286,21 +298,30 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", narrow: b
     use = stored.select("hash", "n_ids", F.explode("uses").alias("u")).join(checked, "hash")
     docs = (
         use.withColumn("part_crc", moved("crc", (F.col("u.total") - F.col("u.offset") - F.col("n_ids")) * 4))
-        .groupBy(F.col("u.doc").alias(id_col))
+        .groupBy(F.col("u.doc").alias("doc_read"), F.col("u.row").alias("row"))
         .agg(F.sum("n_ids").alias("n_read"), F.bit_xor("part_crc").alias("ids_crc32"), _root().alias("root_read"))
     )
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = spark.read.parquet(f"{path}/manifest")
     # one row per recipe partition, as many as the writer's partitions: their running sum is small
     before = parts.select("part", (F.sum("n_ids").over(W.orderBy("first_doc").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
-    within = F.sum("n_tokens").over(W.partitionBy("part").orderBy(id_col).rowsBetween(W.unboundedPreceding, -1))
-    placed = recipes.withColumn("within", within).join(F.broadcast(before), "part")
+    in_order = W.partitionBy("part").orderBy(id_col, "root").rowsBetween(W.unboundedPreceding, -1)
+    placed = recipes.withColumn("within", F.sum("n_tokens").over(in_order)).withColumn("copy", F.row_number().over(W.partitionBy(id_col).orderBy("root")))
+    docs = docs.withColumn("copy_read", F.row_number().over(W.partitionBy("doc_read").orderBy("root_read", "row")))
+    now = _summed(recipes, id_col)
+    same = F.coalesce((F.col("m.documents") == F.col("r.documents")) & (F.col("m.n_ids") == F.col("r.n_ids")) & (F.col("m.first_doc") == F.col("r.first_doc")) & (F.col("m.roots") == F.col("r.roots")), F.lit(False))
+    sound = parts.alias("m").join(now.alias("r"), "part", "full").select("part", same.alias("same"), F.col("r.documents").isNull().alias("gone"))
+    lost = sound.where("gone").select(*[F.raise_error(F.concat(F.lit("the manifest has a partition without recipes: "), F.col("part").cast("string"))).cast("bigint").alias(c) for c in (id_col, "start", "n_tokens", "ids_crc32")])
+    placed = placed.join(F.broadcast(before.join(sound, "part", "full")), "part", "left")
     good = (F.col("root") == F.col("root_read")) & (F.col("n_tokens") == F.col("n_read"))
-    return placed.join(docs, id_col, "left").select(
-        F.when(F.coalesce(good, F.lit(False)), F.col(id_col)).otherwise(F.raise_error(F.concat(F.lit("document does not match its recipe: "), F.col(id_col).cast("string")))).cast("bigint").alias(id_col),
+    name = F.coalesce(F.col(id_col), F.col("doc_read"))
+    fails = lambda text, x: F.raise_error(F.concat(F.lit(text), x.cast("string"))).cast("bigint")
+    return placed.join(docs, (F.col(id_col) == F.col("doc_read")) & (F.col("copy") == F.col("copy_read")), "full").select(
+        F.when(~F.coalesce(good, F.lit(False)), fails("document does not match its recipe: ", name))
+        .when(~F.coalesce("same", F.lit(False)), fails("recipes do not match the manifest, partition ", F.col("part"))).otherwise(F.col(id_col)).alias(id_col),
         (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).cast("bigint").alias("start"),
         F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("ids_crc32").cast("bigint").alias("ids_crc32"),
-    )
+    ).unionByName(lost)
 
 
 def _ids(key: bytes, n: int, payload: bytes, narrow: bool) -> np.ndarray:
@@ -316,9 +337,9 @@ def _ids(key: bytes, n: int, payload: bytes, narrow: bool) -> np.ndarray:
 
 
 def read_documents(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id", narrow: bool = True) -> DataFrame:
-    """The full id arrays of chosen documents: (id, ids array<int>)."""
+    """The full id arrays of chosen documents: (id, ids array<int>), one row for each stored row."""
     stored = spark.read.parquet(f"{path}/chunks")
-    wanted = stored.select("hash", F.explode("uses").alias("u")).select("hash", F.col("u.doc").alias(id_col), F.col("u.pos").alias("pos")).join(ids.select(id_col).distinct(), id_col, "left_semi")
+    wanted = stored.select("hash", F.explode("uses").alias("u")).select("hash", F.col("u.doc").alias(id_col), F.col("u.row").alias("row"), F.col("u.pos").alias("pos")).join(ids.select(id_col).distinct(), id_col, "left_semi")
     payloads = stored.where(F.col("payload").isNotNull()).select("hash", "n_ids", "payload")
 
     @F.pandas_udf("array<int>")
@@ -327,5 +348,5 @@ def read_documents(spark: SparkSession, path: str, ids: DataFrame, id_col: str =
 
         return pd.Series([np.concatenate([_ids(x["hash"], x["n_ids"], x["payload"], narrow) for x in p]).astype(np.int32) for p in parts])
 
-    rows = wanted.join(payloads, "hash").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "n_ids", "payload"))).alias("parts"))
+    rows = wanted.join(payloads, "hash").groupBy(id_col, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "n_ids", "payload"))).alias("parts"))
     return rows.select(id_col, opened("parts").alias("ids"))

@@ -71,3 +71,53 @@ def test_empty_table(spark):
     path = new_path(spark, "store")
     ts.write_store(spark.createDataFrame([], "doc_id long, text string"), path)
     assert ts.read_store(spark, path).count() == 0
+
+
+def test_repeated_ids_are_stored_one_by_one(spark):
+    long = "the cat sat on a mat " * 900
+    data = [(1, long), (1, long), (1, "other"), (2, "a b"), (2, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    path = new_path(spark, "store")
+    ts.write_store(df, path)
+    got = sorted(ts.read_store(spark, path).collect(), key=lambda r: r.start)
+    crc = lambda t: (len(plain(t)), zlib.crc32(np.array(plain(t), "<u4").tobytes()))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, *crc(t)) for i, t in data)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert sorted((r.doc_id, r.ids) for r in ts.read_documents(spark, path, df).collect()) == sorted((i, plain(t)) for i, t in data)
+
+
+def rewritten(spark, path, name, change):
+    """The store with one of its tables changed."""
+    import shutil
+
+    change(spark.read.parquet(f"{path}/{name}")).write.parquet(f"{path}/new")
+    local = path.removeprefix("file://")
+    shutil.rmtree(f"{local}/{name}")
+    shutil.move(f"{local}/new", f"{local}/{name}")
+
+
+@pytest.mark.parametrize("name, change, says", [
+    ("manifest", lambda d: d.selectExpr("part", "documents", "n_ids", "first_doc", "roots + 1 as roots"), "do not match the manifest"),
+    ("manifest", lambda d: d.selectExpr("part", "documents + 1 as documents", "n_ids", "first_doc", "roots"), "do not match the manifest"),
+    ("manifest", lambda d: d.limit(0), "do not match the manifest"),
+    ("recipes", lambda d: d.where("doc_id > 1"), "does not match its recipe"),
+    ("chunks", lambda d: d.where("uses[0].doc > 1"), "does not match its recipe"),
+])
+def test_every_level_is_compared(spark, name, change, says):
+    path = new_path(spark, "store")
+    ts.write_store(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), path, partitions=1)
+    rewritten(spark, path, name, change)
+    with pytest.raises(Exception, match=says):
+        ts.read_store(spark, path).collect()
+
+
+def test_a_partition_lost_with_its_documents_is_found(spark):
+    path = new_path(spark, "store")
+    ts.write_store(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), path)
+    rewritten(spark, path, "recipes", lambda d: d.where("doc_id > 1"))
+    rewritten(spark, path, "chunks", lambda d: d.where("uses[0].doc > 1"))
+    with pytest.raises(Exception, match="manifest"):
+        ts.read_store(spark, path).collect()
