@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and
 non-overlapping within a kind.  Long runs of digits or letters cost time in
 proportion to their length: a pattern is only tried where a match can start.
-Two more kinds are added, never replacing base spans: ``iban`` (mod-97) and
+Two more kinds are added, never replacing base spans: ``iban`` (its end is where
+mod-97 confirms it, whatever follows in capitals or digits after a space) and
 ``card`` numbers that sit inside a longer run of digit groups, taken only if
 Luhn confirms them and a word that announces a card stands nearby.
 
@@ -35,7 +36,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_WORD = re.compile(r"[A-Za-z0-9]")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+#: Countries by the length of their IBANs.
+_IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH BY CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_SIZE = {country: size for size, countries in _IBAN_SIZES.items() for country in countries.split()}
 _ANNOUNCE = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write)\b"),
     "ip": re.compile(r"(?i)\b(?:ip|addr(?:ess)?|host|server)\b"),
@@ -107,14 +117,31 @@ def score(text: str, start: int, kind: int, end: int, checked: bool) -> float:
     return min(max(s, 0.0), 1.0)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that mod-97 confirms: of the country's length, else up to the end of a group, the longest first."""
+    at = 0
+    while head := _IBAN.search(text, at):
+        start, at = head.start(), head.end()
+        rest = _IBAN_REST.match(text, at)
+        if not rest:
+            continue
+        places = [i for i in range(start, rest.end()) if text[i] != " "]
+        sizes = [n for n in range(len(places), 14, -1) if not (places[n - 1] + 1 < len(text) and _WORD.match(text[places[n - 1] + 1]))]
+        sizes.sort(key=lambda n: n != _IBAN_SIZE.get(head.group()[:2]))
+        code = "".join(text[i] for i in places)
+        found = next((n for n in sizes if mod97(code[:n])), 0)
+        if found:
+            at = places[found - 1] + 1
+            yield start, at
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     taken = [(s, e) for s, _, e in base]
     free = lambda s, e: all(e <= a or b <= s for a, b in taken)
     out = []
-    for m in _IBAN.finditer(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code) and free(m.start(), m.end()) and score(text, m.start(), 4, m.end(), True) >= 0.5:
-            out.append((m.start(), 4, m.end()))
+    for s, e in _ibans(text):
+        if free(s, e) and score(text, s, 4, e, True) >= 0.5:
+            out.append((s, 4, e))
     for m in _GROUPED.finditer(text):
         if m.end() - m.start() < 17 or not _ANNOUNCE["card"].search(text[max(0, m.start() - CONTEXT) : m.start()]):
             continue

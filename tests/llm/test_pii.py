@@ -55,3 +55,18 @@ def test_rows(spark):
     assert pii.detect(df.limit(0)).count() == 0
     out = df.select(pii.redacted(df.text).alias("t")).collect()
     assert [r.t for r in out] == [None, "", "x [EMAIL]", "x [EMAIL]"]
+
+
+def test_ibans_end_where_the_checksum_confirms_them():
+    german, british, unlisted = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "XX"
+    for check in range(2, 99):
+        if pii.mod97(f"XX{check:02}ABCDEFGH345678K"):
+            unlisted = f"XX{check:02} ABCD EFGH 3456 78K"
+    found = lambda t: [t[s:e] for s, k, e in pii.find_spans(t)[1] if k == 4]
+    for iban in (german, british, unlisted, german.replace(" ", "")):
+        for after in ("", " BIC COBADEFFXXX", " 2024", " 1250 EUR", " A", ". AB", " " + "9" * 40):
+            assert found(f"IBAN {iban}{after}") == [iban], (iban, after)
+    assert found(f"accounts {german} {british} {german}") == [german, british, german]
+    assert found(f"bank AB12 {german}") == [german]
+    assert found(f"IBAN {german[:-1]}1 BIC COBADEFFXXX") == [] and found(f"IBAN {german}9") == [] and found(f"IBAN {german}x") == []
+    assert pii.redact_text(f"IBAN {german} BIC COBADEFFXXX") == "IBAN [IBAN] BIC COBADEFFXXX"
