@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -46,3 +47,34 @@ def ragged(values_first: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> n
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(values_first[pick] - (ends - n), n)
+
+
+class Numbers:
+    """Numbers of the distinct strings that a Python worker has met, in the order of their arrival.
+
+    They are held as one Arrow array, so that only new strings ever become
+    Python objects.  Up to ``most`` stay; what comes beyond is numbered for one
+    batch and then forgotten (:attr:`kept` tells how many stay).
+    """
+
+    def __init__(self, most: int):
+        self.most, self.known = most, pa.array([], pa.large_string())
+
+    @property
+    def kept(self) -> int:
+        return len(self.known)
+
+    def look_up(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(numbers of distinct ``strings``, the new ones): new strings are numbered from :attr:`kept` on."""
+        found = pc.index_in(strings, value_set=self.known)
+        out = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(out < 0)
+        out[new] = len(self.known) + np.arange(len(new))
+        return out, strings.take(pa.array(new))
+
+    def keep(self, new: pa.Array) -> int:
+        """Remember the first of the strings that were new, as far as there is room; returns how many stay."""
+        n = min(len(new), self.most - len(self.known))
+        if n:
+            self.known = pa.concat_arrays([self.known, new.slice(0, n)])
+        return n

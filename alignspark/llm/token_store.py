@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alignspark.llm.segments import cut, ragged
+from alignspark.llm.segments import Numbers, cut, ragged
 from alignspark.llm.words import steps
 
 MODEL = "byte_bpe_50k.json"
 WINDOW = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 4096
 #: Distinct pieces that a Python worker remembers.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Bytes of text that are encoded at a time.
 CUT_BYTES = 8_000_000
 #: Plain pieces that are encoded as one string.
@@ -74,7 +74,7 @@ def model_path(name: str = MODEL) -> str:
 
 
 class _Pieces:
-    """Ids of the pieces that a Python worker has met: one flat array, and where each piece's ids stand in it."""
+    """Ids of the pieces that a Python worker has met: one flat array, and how many ids each piece has."""
 
     def __init__(self, path: str):
         self.path, self.tok = path, _tokenizer(path)
@@ -84,50 +84,41 @@ class _Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.extra: list[str] = []
-        self.mark = (0, 0)
-        self.flat, self.first, self.size = np.zeros(0, np.uint16 if len(self.opens) <= 65536 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def look_up(self, words: pa.Array) -> np.ndarray:
-        """The numbers of distinct pieces; new ones are encoded."""
-        for piece in self.extra:
-            del self.number[piece]
-        if self.extra:
-            n, ids = self.mark
-            self.first, self.size, self.flat, self.extra = self.first[:n], self.size[:n], self.flat[:ids], []
-        pieces = words.to_pylist()
-        known = list(map(self.number.get, pieces))
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
-            if len(self.number) + len(new) > MEMO:  # known pieces stay; these are forgotten after this batch
-                self.extra, self.mark = [pieces[i] for i in new], (len(self.size), len(self.flat))
-            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
-            order = [i for i in new if plain[i]]
-            self._add([pieces[i] for i in order], JOIN)
-            self._add([pieces[i] for i in new if not plain[i]], 1)
-            known = list(map(self.number.get, pieces))
-        return np.array(known, dtype=np.int64)
-
-    def _add(self, pieces: list[str], join: int) -> None:
-        """Encode pieces, ``join`` at a time: where a token begins with a space, the next piece begins."""
-        if not pieces:
-            return
+        self.names = Numbers(MEMO)
+        self.flat, self.size = np.zeros(0, np.uint16 if len(self.opens) <= 65536 else np.uint32), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each distinct piece, ids of all pieces by number, how many each has); new pieces are encoded."""
+        number, new = self.names.look_up(words)
+        if not len(new):
+            return number, self.flat, self.size
+        plain = pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        late = number >= self.names.kept
+        number[late] = self.names.kept + rank[number[late] - self.names.kept]
+        new = new.take(pa.array(order))
+        pieces, n = new.to_pylist(), int(plain.sum())
+        parts = [self._encoded(pieces[:n], JOIN), self._encoded(pieces[n:], 1)]
+        flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+        size = np.concatenate([self.size, *(sizes for _, sizes in parts)])
+        stay = len(self.size) + self.names.keep(new)
+        self.size = size[:stay]
+        self.flat = flat[: len(self.flat) + int(size[len(size) - len(new) : stay].sum())]
+        return number, flat, size
+
+    def _encoded(self, pieces: list[str], join: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces, how many each has), encoded ``join`` at a time: where a token begins with a space, the next piece begins."""
         groups = [pieces[i : i + join] for i in range(0, len(pieces), join)]
-        coded = [e.ids for e in self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
-        ids = np.array(list(itertools.chain.from_iterable(coded)), dtype=self.flat.dtype)
+        coded = [e.ids for e in self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)] if pieces else []
+        ids = np.fromiter(itertools.chain.from_iterable(coded), self.flat.dtype)
         if join == 1:
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-        else:
-            edges = np.flatnonzero(self.opens[ids])
-            if len(edges) != len(pieces):  # never seen; then every piece is encoded by itself
-                return self._add(pieces, 1)
-            size = np.diff(np.append(edges, len(ids)))
-        n = len(self.size)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, ids])
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+            return ids, np.fromiter(map(len, coded), np.int64, len(coded))
+        edges = np.flatnonzero(self.opens[ids])
+        if len(edges) != len(pieces):  # never seen; then every piece is encoded by itself
+            return self._encoded(pieces, 1)
+        return ids, np.diff(np.append(edges, len(ids)))
 
 
 @lru_cache(maxsize=2)
@@ -140,13 +131,14 @@ def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndar
     pieces, first = cut(texts)
     memo = _pieces(path)
     coded = pieces.dictionary_encode()
-    pick = memo.look_up(coded.dictionary)[coded.indices.to_numpy()]
-    run = np.concatenate([[0], np.cumsum(memo.size[pick])])
+    number, flat, size = memo.look_up(coded.dictionary)
+    pick = number[coded.indices.to_numpy()]
+    run = np.concatenate([[0], np.cumsum(size[pick])])
     ends = run[first[1:]] + np.arange(1, len(first))
     ids = np.full(int(run[-1]) + len(first) - 1, end_id, dtype=np.uint32)
     keep = np.ones(len(ids), bool)
     keep[ends - 1] = False
-    ids[keep] = memo.flat[ragged(memo.first, memo.size, pick)]
+    ids[keep] = flat[ragged(np.cumsum(size) - size, size, pick)]
     return ids, ends
 
 
