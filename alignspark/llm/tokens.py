@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alignspark.llm.segments import cut
+from alignspark.llm.segments import Numbers, cut
 from alignspark.llm.words import steps
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct pieces that a Python worker remembers.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Bytes of text that are cut at a time.
 CUT_BYTES = 8_000_000
 SPACE = "▁"
@@ -52,22 +52,22 @@ def _processor(path: str, prefixed: bool = True):
     return sp
 
 
-_memo: dict[str, dict[str, int]] = {}
+_memo: dict[str, tuple[Numbers, np.ndarray]] = {}
 
 
-def piece_counts(path: str, pieces: list[str]) -> np.ndarray:
-    """Tokens of each piece.  A piece brings its own leading space, which the library adds itself."""
-    memo = _memo.setdefault(path, {})
-    new = [p for p in pieces if p not in memo]
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = pieces
-        bare = [p[1:] if p.startswith(" ") else p for p in new]
-        memo.update(zip(new, map(len, _processor(path).encode(bare, num_threads=1)), strict=True))
-        if " " in memo:  # the library drops a lone prefix
-            memo[" "] = 1
-    return np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
+def piece_counts(path: str, pieces: pa.Array) -> np.ndarray:
+    """Tokens of each distinct piece.  A piece brings its own leading space, which the library adds itself."""
+    names, counts = _memo.get(path) or (Numbers(MEMO), np.zeros(0, np.int64))
+    number, new = names.look_up(pieces)
+    if not len(new):
+        return counts[number]
+    plain = new.to_pylist()
+    added = np.fromiter(map(len, _processor(path).encode([p[1:] if p.startswith(" ") else p for p in plain], num_threads=1)), np.int64, len(plain))
+    if " " in plain:  # the library drops a lone prefix
+        added[plain.index(" ")] = 1
+    every = np.concatenate([counts, added])
+    _memo[path] = names, every[: len(counts) + names.keep(new)]
+    return every[number]
 
 
 def prefix_tables(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def prefix_tables(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     if not len(pieces):
         return first, np.zeros(0, np.int64), np.zeros(0, np.int64)
     coded = pieces.dictionary_encode()
-    each = piece_counts(path, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    each = piece_counts(path, coded.dictionary)[coded.indices.to_numpy()]
     opening = first[:-1][np.diff(first) > 0]
     opening = opening[pc.starts_with(pieces.take(pa.array(opening)), " ").to_numpy(zero_copy_only=False)]
     if len(opening):  # the library sets its prefix before the space that opens a text
@@ -89,16 +89,18 @@ def prefix_tables(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 def token_counts(df: DataFrame, text: str | Column = "text", id_col: str = "doc_id", limit: int = 4096, path: str | None = None, tables: bool = False) -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit of every whole text.
+    """id, n_bytes, n_tokens, over_limit and fits_chars of every whole text.
 
-    With ``tables`` each row also carries its prefix table as ``prefix_bytes``
+    ``fits_chars`` answers the budget question from the prefix table: the
+    characters of the longest prefix of at most ``limit`` tokens (all of them
+    where the text is within it).  With ``tables`` each row also carries its prefix table as ``prefix_bytes``
     and ``prefix_tokens`` (arrays, one entry for each piece boundary).
     No shuffle: one Arrow pass over the two columns that it reads.
     """
     path = path or model_path()
     src = df.select(F.col(id_col).alias("id"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_bytes array<bigint>, prefix_tokens array<bigint>" * tables
+    schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fits_chars bigint" + ", prefix_bytes array<bigint>, prefix_tokens array<bigint>" * tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in steps(b.column(1), CUT_BYTES)):
@@ -106,13 +108,16 @@ def token_counts(df: DataFrame, text: str | Column = "text", id_col: str = "doc_
             last, some = np.maximum(first[1:] - 1, 0), np.diff(first) > 0
             n = np.where(some, counts[last] if len(counts) else 0, 0)
             size = np.where(some, ends[last] if len(ends) else 0, 0)
-            out = [batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)]
+            fits = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            for i in np.flatnonzero(n > limit).tolist():
+                fits[i] = longest_within(batch.column(1)[i].as_py(), ends[first[i] : first[i + 1]], counts[first[i] : first[i + 1]], limit, path)
+            out = [batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit), pa.array(fits)]
             if tables:
                 edge = pa.array(first.astype(np.int32))
                 out += [pa.ListArray.from_arrays(edge, pa.array(ends)), pa.ListArray.from_arrays(edge, pa.array(counts))]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    names = [id_col, "n_bytes", "n_tokens", "over_limit"] + ["prefix_bytes", "prefix_tokens"] * tables
+    names = [id_col, "n_bytes", "n_tokens", "over_limit", "fits_chars"] + ["prefix_bytes", "prefix_tokens"] * tables
     return src.mapInArrow(run, schema)
 
 
@@ -148,6 +153,28 @@ class PiecePrefix:
         return n
 
 
+@lru_cache(maxsize=2)
+def _prefix(path: str) -> PiecePrefix:
+    return PiecePrefix(path)
+
+
+def longest_within(text: str, ends: np.ndarray, counts: np.ndarray, budget: int, path: str) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens, from a text's prefix table.
+
+    Counts at piece boundaries never fall, so only the piece that crosses the
+    budget is looked at by character.
+    """
+    k = int(np.searchsorted(counts, budget, side="right"))
+    if k == len(counts):
+        return len(text)
+    raw = text.encode()
+    start, base = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
+    piece = raw[start : int(ends[k])].decode()
+    own = _prefix(path).counts(piece if k else " " + piece)[0 if k else 1 :]
+    own[0] = 0
+    return len(raw[:start].decode()) + max(i for i, c in enumerate(own) if base + c <= budget)
+
+
 class PrefixIndex:
     """The whole table of one text: exact counts at every character prefix."""
 
@@ -179,12 +206,11 @@ def truncate_to_budget(df: DataFrame, budget: int, text: str = "text", path: str
     def cut_all(texts):
         arr = pa.array(texts, pa.large_string(), from_pandas=True)
         first, ends, counts = prefix_tables(path, arr)
-        prefix, out = None, []
+        out = []
         for i, t in enumerate(arr.to_pylist()):
-            own = counts[first[i] : first[i + 1]]
-            if t and len(own) and own[-1] > budget:
-                prefix = prefix or PiecePrefix(path)
-                t = t[: PrefixIndex(t, prefix).longest_within(budget)]
+            own = slice(first[i], first[i + 1])
+            if t and counts[own][-1] > budget:
+                t = t[: longest_within(t, ends[own], counts[own], budget, path)]
             out.append(t)
         import pandas as pd
 

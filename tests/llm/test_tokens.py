@@ -17,6 +17,8 @@ def test_counts_equal_the_library(spark):
     for i, t in enumerate(data):
         n = len(sp.encode(t or ""))
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 20), t
+        fits = max((i for i in range(min(len(t or ""), 120) + 1) if len(sp.encode(t[:i])) <= 20), default=0) if n > 20 else len(t or "")
+        assert got[i].fits_chars == fits, t
         for b, c in list(zip(got[i].prefix_bytes, got[i].prefix_tokens, strict=True))[:30]:
             assert len(sp.encode(t.encode()[:b].decode())) == c
     assert tokens.token_counts(df.limit(0)).count() == 0
