@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DatetimeType, MapType, NumericType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +27,16 @@ def small_batches(spark: SparkSession, size: str = "16m") -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset (a
-    local session, as in tests) a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names.  Only in a local session (as in
+    tests) where that is unset, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="alignspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -60,12 +63,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of strings, binaries and arrays that a broadcast frame holds at most.
+BROADCAST_BYTES = 64 << 20
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a frame for broadcast only after counting that it has at most ``max_rows`` rows.
+    """Mark a frame for broadcast only if it is measured to have at most ``max_rows`` rows and BROADCAST_BYTES of data.
 
     Beyond that the join stays an ordinary shuffled one.  The frame should be
     cheap to compute or materialized, as it is counted here.
     """
-    if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows:
-        return F.broadcast(df)
-    return df
+    sized = [F.coalesce(F.octet_length(F.to_json(F.struct(f.name)) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f.name)), F.lit(0)) for f in df.schema if not isinstance(f.dataType, (NumericType, DatetimeType, BooleanType))]
+    wide = sum(sized[1:], sized[0]) if sized else F.lit(0)
+    rows, size = df.select(wide.cast("bigint").alias("size")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= BROADCAST_BYTES else df
