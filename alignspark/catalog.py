@@ -21,7 +21,7 @@ from alignspark.operators.align import Problem, align, score_distinct
 from alignspark.operators.batch import PairBatch
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
 from alignspark.params import AlignParams, SubstMatrix
-from alignspark.plans.oracle import best_sql, log_z_sql
+from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, runs_of
 from alignspark.sources.storage import materialize
 from alignspark.streaming.scoring import score_stream
 
@@ -204,79 +204,83 @@ def _paths(spark, sf_dir, mode, model, values, keep=("path",)):
 _VIEW = ("seq_a", "seq_b", "ops", "start_i", "start_j")
 
 
-def _rescored(al, match, mismatch, open_, ext):
-    """The score of two gapped strings, column by column."""
-    n = F.length(al["a"])
-    at = lambda s, k: F.substring(al[s], k, F.lit(1))
-    cols = F.transform(F.sequence(F.lit(1), n), lambda k: F.when((at("a", k) == "-") | (at("b", k) == "-"), F.lit(-float(ext))).otherwise(F.when(at("a", k) == at("b", k), F.lit(float(match))).otherwise(F.lit(float(mismatch)))))
-    opens = F.size(F.regexp_extract_all(al["a"], F.lit("-+"), F.lit(0))) + F.size(F.regexp_extract_all(al["b"], F.lit("-+"), F.lit(0)))
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(cols, F.lit(0.0), lambda x, y: x + y) - opens * float(open_))
+_GLOBAL_PATHS, _LOCAL_PATHS, _GLOCAL_PATHS = (path_sql(NAMES_SQL, mode, *AFFINE) for mode in ("global", "local", "glocal"))
 
 
-@query("aligned_strings", f"SELECT pair_id, a AS degapped_a, b AS degapped_b, score, TRUE AS same_length FROM ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)}) JOIN ({NAMES_SQL}) USING (pair_id)")
+def _aligned(spark, sf_dir, mode="global"):
+    return _paths(spark, sf_dir, mode, "affine", AFFINE).select("pair_id", "seq_a", "seq_b", "score", render.aligned(*map(F.col, _VIEW)).alias("al"))
+
+
+@query("aligned_strings", f"SELECT pair_id, score, ga AS aligned_a, gb AS aligned_b FROM ({_GLOBAL_PATHS})")
 def aligned_strings(spark, sf_dir):
-    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.aligned(*map(F.col, _VIEW)).alias("al"))
-    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    return al.select("pair_id", bare("al.a").alias("degapped_a"), bare("al.b").alias("degapped_b"), _rescored(F.col("al"), 2, -4, 4, 2).alias("score"), (F.length("al.a") == F.length("al.b")).alias("same_length"))
+    return _aligned(spark, sf_dir).select("pair_id", "score", F.col("al.a").alias("aligned_a"), F.col("al.b").alias("aligned_b"))
 
 
-def _consumed(cigar, kinds: str):
-    """Residues that the operations ``kinds`` of a CIGAR string take."""
-    runs = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{kinds}]"), F.lit(1))
-    return F.aggregate(runs, F.lit(0), lambda acc, x: acc + x.cast("int")).cast("bigint")
+@query("aligned_strings_local", f"SELECT pair_id, score, ga AS aligned_a, gb AS aligned_b FROM ({_LOCAL_PATHS})")
+def aligned_strings_local(spark, sf_dir):
+    return _aligned(spark, sf_dir, "local").select("pair_id", "score", F.col("al.a").alias("aligned_a"), F.col("al.b").alias("aligned_b"))
 
 
-@query("cigar", f"SELECT pair_id, length(a) AS n_query, length(b) AS n_ref FROM ({NAMES_SQL})")
+@query("cigar", f"SELECT pair_id, {cigar_of('ops')} AS cigar FROM ({_GLOBAL_PATHS})")
 def cigar(spark, sf_dir):
-    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW)).alias("c"))
-    return c.select("pair_id", _consumed(F.col("c"), "MI").alias("n_query"), _consumed(F.col("c"), "MD").alias("n_ref"))
+    return _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW)).alias("cigar"))
+
+
+_EXTENDED = "array_to_string(list_transform(range(1, length(ops) + 1), lambda k: CASE substr(ops, k, 1) WHEN 'M' THEN CASE WHEN substr(ga, k, 1) = substr(gb, k, 1) THEN '=' ELSE 'X' END ELSE substr(ops, k, 1) END), '')"
 
 
-@query("cigar_extended", f"SELECT pair_id, CAST(-levenshtein(a, b) AS DOUBLE) AS score FROM ({NAMES_SQL})")
+@query("cigar_extended", f"SELECT pair_id, {cigar_of('ops')} AS cigar FROM (SELECT pair_id, {_EXTENDED} AS ops FROM ({_GLOBAL_PATHS}))")
 def cigar_extended(spark, sf_dir):
-    """The edit distance read off an extended CIGAR: unequal and gapped columns."""
-    c = _paths(spark, sf_dir, "global", "linear", UNIT).select("pair_id", render.cigar(*map(F.col, _VIEW), extended=True).alias("c"))
-    return c.select("pair_id", (-_consumed(F.col("c"), "XID")).cast("double").alias("score"))
+    return _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW), extended=True).alias("cigar"))
 
 
-@query("cigar_soft_clip", f"SELECT pair_id, length(a) AS n_query FROM ({NAMES_SQL})")
+@query("cigar_soft_clip", f"SELECT pair_id, CASE WHEN ops = '' THEN CAST(length(a) AS VARCHAR) || 'S' ELSE CASE WHEN si > 0 THEN CAST(si AS VARCHAR) || 'S' ELSE '' END || {cigar_of('ops')} || CASE WHEN ei < length(a) THEN CAST(length(a) - ei AS VARCHAR) || 'S' ELSE '' END END AS cigar FROM ({_LOCAL_PATHS})")
 def cigar_soft_clip(spark, sf_dir):
-    c = _paths(spark, sf_dir, "local", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW), soft_clip=True).alias("c"))
-    return c.select("pair_id", _consumed(F.col("c"), "MIS").alias("n_query"))
+    return _paths(spark, sf_dir, "local", "affine", AFFINE).select("pair_id", render.cigar(*map(F.col, _VIEW), soft_clip=True).alias("cigar"))
 
 
-@query("coordinates", f"SELECT pair_id, CAST(0 AS BIGINT) AS from_a, CAST(0 AS BIGINT) AS from_b, length(a) AS to_a, length(b) AS to_b FROM ({NAMES_SQL})")
+def _along(start: str, skip: str) -> str:
+    """Positions at the start, after each run and at the end, comma-joined."""
+    runs = runs_of("ops")
+    after = f"list_transform(range(0, len({runs}) + 1), lambda k: CAST({start} + length(replace(array_to_string({runs}[1 : k], ''), '{skip}', '')) AS VARCHAR))"
+    return f"CASE WHEN ops = '' THEN CAST({start} AS VARCHAR) || ',' || CAST({start} AS VARCHAR) ELSE array_to_string({after}, ',') END"
+
+
+@query("coordinates", f"SELECT pair_id, {_along('si', 'D')} AS in_a, {_along('sj', 'I')} AS in_b FROM ({_LOCAL_PATHS})")
 def coordinates(spark, sf_dir):
-    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.coordinates(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("c"))
-    return c.select("pair_id", F.col("c.a")[0].alias("from_a"), F.col("c.b")[0].alias("from_b"), F.element_at("c.a", -1).alias("to_a"), F.element_at("c.b", -1).alias("to_b"))
+    c = _paths(spark, sf_dir, "local", "affine", AFFINE).select("pair_id", render.coordinates(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("c"))
+    return c.select("pair_id", F.array_join("c.a", ",").alias("in_a"), F.array_join("c.b", ",").alias("in_b"))
 
 
-@query("index_pairs", f"SELECT pair_id, CAST(length(a) - levenshtein(a, b) <= length(a) AS BOOLEAN) AS rising FROM ({NAMES_SQL})")
+@query("index_pairs", f"SELECT pair_id, array_to_string(list_transform(list_filter(range(1, length(ops) + 1), lambda k: substr(ops, k, 1) = 'M'), lambda k: CAST(si + length(replace(left(ops, k - 1), 'D', '')) AS VARCHAR) || '-' || CAST(sj + length(replace(left(ops, k - 1), 'I', '')) AS VARCHAR)), ' ') AS aligned FROM ({_GLOCAL_PATHS})")
 def index_pairs(spark, sf_dir):
-    """Aligned positions rise on both sides."""
-    c = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.index_pairs(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("p"))
-    return c.select("pair_id", (F.array_sort("p") == F.col("p")).alias("rising"))
+    """The positions that are aligned with each other, of glocal paths."""
+    c = _paths(spark, sf_dir, "glocal", "affine", AFFINE).select("pair_id", render.index_pairs(F.col("ops"), F.col("start_i"), F.col("start_j")).alias("p"))
+    return c.select("pair_id", F.array_join(F.transform("p", lambda x: F.concat_ws("-", x["i"].cast("string"), x["j"].cast("string"))), " ").alias("aligned"))
+
 
+_MARKS = "array_to_string(list_transform(range(1, length(ops) + 1), lambda k: CASE WHEN substr(ops, k, 1) <> 'M' THEN ' ' WHEN substr(ga, k, 1) = substr(gb, k, 1) THEN '|' ELSE '.' END), '')"
+_NEWLINE = "chr(10)"
 
-@query("formatted_width", f"SELECT pair_id, TRUE AS wrapped FROM ({NAMES_SQL})")
+
+@query("formatted_width", f"SELECT pair_id, array_to_string(list_transform(range(0, CAST(ceil(length(ga) / 8.0) AS BIGINT)), lambda c: substr(ga, c * 8 + 1, 8) || {_NEWLINE} || substr(marks, c * 8 + 1, 8) || {_NEWLINE} || substr(gb, c * 8 + 1, 8)), {_NEWLINE} || {_NEWLINE}) AS formatted FROM (SELECT pair_id, ga, gb, {_MARKS} AS marks FROM ({_GLOBAL_PATHS}))")
 def formatted_width(spark, sf_dir):
-    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", render.aligned(*map(F.col, _VIEW)).alias("al"))
-    lines = F.split(render.formatted(F.col("al"), 8), "\n")
-    widths = F.forall(lines, lambda x: F.length(x) <= 8) & (F.size(lines) == F.ceil(F.length("al.a") / 8) * 4 - 1)
-    return al.select("pair_id", widths.alias("wrapped"))
+    return _aligned(spark, sf_dir).select("pair_id", render.formatted(F.col("al"), 8).alias("formatted"))
+
+
+# the column at which a path leaves each row: before the move that enters the next one, and at its end
+_LEAVES = "list_transform(list_filter(range(1, length(ops) + 1), lambda k: substr(ops, k, 1) <> 'D'), lambda k: CAST(sj + length(replace(left(ops, k - 1), 'I', '')) AS VARCHAR))"
 
 
-@query("guide_path", f"SELECT pair_id, TRUE AS valid FROM ({NAMES_SQL})")
+@query("guide_path", f"SELECT pair_id, array_to_string(list_append({_LEAVES}, CAST(ej AS VARCHAR)), ',') AS guide, TRUE AS valid FROM ({_GLOCAL_PATHS})")
 def guide_path(spark, sf_dir):
     g = _paths(spark, sf_dir, "glocal", "affine", AFFINE, ("guide",))
-    return g.select("pair_id", render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+    return g.select("pair_id", F.array_join("guide_j", ",").alias("guide"), render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
 
 
-@query("guide_from_aligned", f"SELECT pair_id, length(a) + 1 AS entries, TRUE AS valid FROM ({NAMES_SQL})")
+@query("guide_from_aligned", f"SELECT pair_id, array_to_string(list_prepend('0', list_transform(list_filter(range(1, length(ga) + 1), lambda k: substr(ga, k, 1) <> '-'), lambda k: CAST(length(replace(left(gb, k), '-', '')) AS VARCHAR))), ',') AS guide FROM ({_GLOBAL_PATHS})")
 def guide_from_aligned(spark, sf_dir):
-    al = _paths(spark, sf_dir, "global", "affine", AFFINE).select("pair_id", "seq_a", "seq_b", render.aligned(*map(F.col, _VIEW)).alias("al"))
-    g = al.withColumn("g", render.guide_from_aligned(F.col("al.a"), F.col("al.b")))
-    return g.select("pair_id", F.size("g").cast("bigint").alias("entries"), render.valid_guide(F.col("g"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+    return _aligned(spark, sf_dir).select("pair_id", F.array_join(render.guide_from_aligned(F.col("al.a"), F.col("al.b")), ",").alias("guide"))
 
 
 # Gradients ----------------------------------------------------------------
@@ -323,22 +327,45 @@ def weighted_grad(spark, sf_dir):
     return gradient.weighted(_graded(spark, sf_dir), weights).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
 
 
-@query("grads_dense", f"SELECT pair_id, 16 AS n_matrix, 4 AS n_gaps, CAST(32 AS DOUBLE) AS used_a, CAST(32 AS DOUBLE) AS used_b FROM ({DNA_SQL})")
+# what a path counts of each parameter: aligned pairs of symbols, gap columns and gaps, the latter two negative
+_COUNTS = f"""WITH path AS ({_GLOBAL_PATHS}), columns AS (SELECT pair_id, ops, ga, gb, unnest(range(1, length(ops) + 1)) AS k FROM path)
+SELECT pair_id, (strpos('abcdefghijklmnopqrstuvwxyz ', substr(ga, k, 1)) - 1) * 27 + strpos('abcdefghijklmnopqrstuvwxyz ', substr(gb, k, 1)) - 1 AS field, 1.0 AS v FROM columns WHERE substr(ops, k, 1) = 'M'
+UNION ALL SELECT pair_id, CASE substr(ops, k, 1) WHEN 'D' THEN 730 ELSE 732 END, -1.0 FROM columns WHERE substr(ops, k, 1) <> 'M'
+UNION ALL SELECT pair_id, CASE substr(ops, k, 1) WHEN 'D' THEN 729 ELSE 731 END, -1.0 FROM columns WHERE substr(ops, k, 1) <> 'M' AND (k = 1 OR substr(ops, k - 1, 1) <> substr(ops, k, 1))"""
+
+
+def _name_gradients(spark, sf_dir):
+    return align(names(spark, sf_dir), uniform(NAMES, *AFFINE), Problem("global", "affine", "hard"), ("score", "grad"))
+
+
+@query("hard_grad_fields", f"SELECT pair_id, CAST(field AS INTEGER) AS field, CAST(sum(v) AS DOUBLE) AS value FROM ({_COUNTS}) GROUP BY ALL")
+def hard_grad_fields(spark, sf_dir):
+    """Every entry of every pair's gradient."""
+    return gradient.gradient_rows(_name_gradients(spark, sf_dir))
+
+
+@query("grad_fields_total", f"SELECT CAST(field AS INTEGER) AS field, CAST(sum(v) AS DOUBLE) AS value FROM ({_COUNTS}) GROUP BY ALL")
+def grad_fields_total(spark, sf_dir):
+    """The summed gradient, field by field, in a fixed order of additions."""
+    return gradient.summed_in_order(_name_gradients(spark, sf_dir).withColumn("pair_id", F.crc32("pair_id")))
+
+
+@query("grads_dense", f"SELECT pair_id, 729 AS n_matrix, 4 AS n_gaps, string_agg(CAST(field AS VARCHAR) || ':' || CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY field) AS nonzero FROM (SELECT pair_id, field, sum(v) AS value FROM ({_COUNTS}) GROUP BY ALL) GROUP BY pair_id")
 def grads_dense(spark, sf_dir):
-    """Dense gradients: aligned pairs and gap columns use up both sequences."""
-    d = gradient.dense(_graded(spark, sf_dir), uniform(DNA, *AFFINE))
-    pairs = F.aggregate("matrix_grad", F.lit(0.0), lambda x, y: x + y)
-    return d.select("pair_id", F.size("matrix_grad").alias("n_matrix"), F.size("gap_grad").alias("n_gaps"), (pairs - F.col("gap_grad")[3]).alias("used_a"), (pairs - F.col("gap_grad")[1]).alias("used_b"))
+    """Dense gradients; what is not zero in them is listed."""
+    d = gradient.dense(_name_gradients(spark, sf_dir), uniform(NAMES, *AFFINE))
+    both = F.transform(F.concat("matrix_grad", "gap_grad"), lambda v, k: F.when(v != 0, F.concat_ws(":", k.cast("string"), v.cast("bigint").cast("string"))))
+    return d.select("pair_id", F.size("matrix_grad").alias("n_matrix"), F.size("gap_grad").alias("n_gaps"), F.array_join(both, ",").alias("nonzero"))
 
 
 @query("sql_align_grad", f"SELECT pair_id, score FROM ({best_sql(NAMES_SQL, 'global', 'linear', *PLAIN)})")
 def sql_align_grad(spark, sf_dir):
-    """Gradient rows from a SQL table function."""
+    """Gradient rows from a SQL function, times the parameters."""
     p = uniform(NAMES, *PLAIN)
     sqlfn.register(spark, p, "names_")
     names(spark, sf_dir).createOrReplaceTempView("name_pairs")
     spark.createDataFrame(list(enumerate(p.flat().tolist())), "field int, parameter double").createOrReplaceTempView("name_parameters")
-    return spark.sql("SELECT pair_id, sum(g.value * q.parameter) AS score FROM name_pairs, LATERAL names_align_grad(seq_a, seq_b, 'global', 'linear') g JOIN name_parameters q ON g.field = q.field GROUP BY pair_id")
+    return spark.sql("SELECT pair_id, sum(value * parameter) AS score FROM (SELECT pair_id, explode(names_nw_grad(seq_a, seq_b)) AS (field, value) FROM name_pairs) JOIN name_parameters USING (field) GROUP BY pair_id")
 
 
 @query("sql_scores", f"SELECT pair_id, score AS nw FROM ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)})")
@@ -400,6 +427,22 @@ def batch_banded_step(spark, sf_dir):
     return batch.scores().join(full, "pair_id").select("pair_id", (F.col("score") <= F.col("full")).alias("at_most_full"))
 
 
+# the banded pass's guide: the path's columns, and before and after a local path a straight line
+_GUIDES = f"""SELECT pair_id, a, b, list_transform(range(0, length(a) + 1), lambda r: CASE WHEN ops = '' THEN CASE WHEN r = 0 THEN 0 ELSE length(b) * r // length(a) END
+  WHEN r < si THEN first * r // si WHEN r > ei AND r < length(a) THEN ej + (length(b) - ej) * (r - ei) // (length(a) - ei) WHEN r = length(a) AND r > ei THEN length(b) WHEN r = ei THEN ej ELSE leaves[r - si + 1] END) AS g
+FROM (SELECT *, list_transform(list_filter(range(1, length(ops) + 1), lambda k: substr(ops, k, 1) <> 'D'), lambda k: sj + length(replace(left(ops, k - 1), 'I', ''))) AS leaves, leaves[1] AS first FROM ({_LOCAL_PATHS}))"""
+
+
+@query("batch_banded_scores", best_sql(f"SELECT pair_id, a, b, g FROM ({_GUIDES})", "local", "affine", *SKEWED, band=2, guided=True))
+def batch_banded_scores(spark, sf_dir):
+    """Scores of a banded pass around the paths of a pass under other parameters."""
+    batch = PairBatch(names(spark, sf_dir), uniform(NAMES, *AFFINE), mode="local", grad_mode="hard")
+    batch.score_and_grad()
+    batch.set_params(uniform(NAMES, *SKEWED))
+    batch.banded_grad(2)
+    return batch.scores()
+
+
 def _labelled(spark, sf_dir):
     """Scores that follow a document's length, and its quality label."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", ((F.length("text") % 97).cast("double") / 16 - 3).alias("score"))
@@ -422,14 +465,27 @@ def logistic_alpha_residual(spark, sf_dir):
     return rows.agg((F.abs(F.sum(F.col("label") - logistic.probability(F.col("score"), alpha))) < 1e-6).alias("fitted"), F.count(F.lit(1)).alias("n"))
 
 
-@query("logistic_step", "SELECT TRUE AS residual_is_zero")
+_STEP_SQL = f"""WITH RECURSIVE scored AS MATERIALIZED (SELECT score, CAST(nation % 2 AS DOUBLE) AS label FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)}) JOIN ({DNA_SQL}) USING (pair_id)),
+counts AS MATERIALIZED (SELECT score, label, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY ALL),
+halved AS (
+  SELECT 0 AS k, CAST(-200 AS DOUBLE) AS low, CAST(200 AS DOUBLE) AS high
+  UNION ALL
+  SELECT k + 1, CASE WHEN (SELECT sum(n * (label - 1 / (1 + exp(-((low + high) / 2 + score))))) FROM counts) > 0 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN (SELECT sum(n * (label - 1 / (1 + exp(-((low + high) / 2 + score))))) FROM counts) > 0 THEN high ELSE (low + high) / 2 END
+  FROM halved WHERE k < 60
+), fitted AS (SELECT (low + high) / 2 AS alpha FROM halved WHERE k = 60)
+SELECT round(alpha, 6) AS alpha, round(sum(n * (label - 1 / (1 + exp(-(alpha + score)))) * score), 3) AS grad_dot_params FROM fitted, counts GROUP BY alpha"""
+
+
+@query("logistic_step", _STEP_SQL)
 def logistic_step(spark, sf_dir):
-    batch = PairBatch(dna(spark, sf_dir), uniform(DNA, *AFFINE), mode="local")
+    """The fitted intercept, and the log-likelihood's gradient times the parameters: the residuals times the scores."""
+    params = uniform(DNA, *AFFINE)
+    batch = PairBatch(dna(spark, sf_dir), params, mode="local")
     batch.score_and_grad()
     labels = dna(spark, sf_dir).select("pair_id", (F.col("nation") % 2).cast("double").alias("label"))
     found = logistic.step(batch, labels, -3.0)
-    rows = batch.scores().join(labels, "pair_id")
-    return rows.agg((F.abs(F.sum(F.col("label") - logistic.probability(F.col("score"), found.alpha))) < 1e-6).alias("residual_is_zero"))
+    return spark.createDataFrame([(round(found.alpha, 6), round(found.grad.dot(params), 3))], "alpha double, grad_dot_params double")
 
 
 @query("best_hit_topk", f"SELECT pair_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id // 1000000 ORDER BY score DESC, pair_id) AS rank FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)})) WHERE rank <= 3")

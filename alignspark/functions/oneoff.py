@@ -39,8 +39,7 @@ def _run(problem: Problem, a: str, b: str, params: AlignParams, aligned_a: str,
 def _make(name: str, mode: str, model: str, grad: str, precision: str):
     def call(a, b, params, band=0, aligned_a="", aligned_b="", kernel="auto", *, track=None, gap_track=None, soft_impl="scaled", temperature=1.0):
         choice("kernel", kernel, CHOICES["kernel"])
-        choice("soft_impl", soft_impl, CHOICES["soft_impl"])
-        r = _run(Problem(mode, model, grad, precision, temperature, band), a, b, params, aligned_a, aligned_b, track, gap_track)
+        r = _run(Problem(mode, model, grad, precision, temperature, band, soft_impl=soft_impl), a, b, params, aligned_a, aligned_b, track, gap_track)
         if grad == "none":
             return r["score"]
         flat = np.zeros(params.num_sets * params.n_fields)

@@ -1,12 +1,13 @@
-"""SQL functions over a parameter set: scores as Arrow functions, gradients as a table function."""
+"""SQL functions over a parameter set, all on Arrow batches: scores, log Z, and gradients as maps to explode."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.operators.align import Problem, solve
+from alignspark.operators.align import Problem, encode_all, solve_arrays
 from alignspark.params import AlignParams
 
 #: SQL name -> mode and gap model.
@@ -16,36 +17,43 @@ SCORES = {
 }
 
 
+def _solved(a: pa.Array, b: pa.Array, params: AlignParams, problem: Problem, gradient: bool) -> tuple[dict, pa.Array]:
+    """(results of the rows without nulls, where each row's result stands)."""
+    some = ~(a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False))
+    at = pa.array(np.flatnonzero(some))
+    (x, bad), (y, worse) = encode_all(a.take(at), params, "the first sequence"), encode_all(b.take(at), params, "the second sequence")
+    for fault in (*bad.values(), *worse.values()):
+        raise ValueError(fault.lstrip(":, "))
+    return solve_arrays(range(len(x)), x, y, params, problem, paths=False, gradient=gradient), pa.array(np.cumsum(some) - 1, mask=~some)
+
+
 def score_function(params: AlignParams, problem: Problem):
     """A function of two string columns; null if either is null."""
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        ok = (a.notna() & b.notna()).to_numpy()
-        codes = params.alphabet.codes
-        rows = solve(list(range(int(ok.sum()))), [codes(x) for x in a[ok]], [codes(x) for x in b[ok]], params, problem, paths=False)
-        out = pd.Series([None] * len(a), dtype="float64")
-        out[ok] = [r["score"] for r in rows]
-        return out
+    @F.arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        found, place = _solved(a, b, params, problem, False)
+        return pa.array(found["score"]).take(place)
 
     return score
 
 
+def grad_function(params: AlignParams, problem: Problem):
+    """The gradient of two string columns as a map from the field's number to its value; null if either is null."""
+
+    @F.arrow_udf("map<int,double>")
+    def grad(a: pa.Array, b: pa.Array) -> pa.Array:
+        found, place = _solved(a, b, params, problem, True)
+        return pa.MapArray.from_arrays(*map(pa.array, found["grad"])).take(place)
+
+    return grad
+
+
 def register(spark: SparkSession, params: AlignParams, prefix: str = "") -> list[str]:
-    """Register six score functions, six ``log_z`` functions and ``align_grad`` under a prefix; returns their names."""
+    """Register score, ``log_z``, ``grad`` and ``soft_grad`` functions of six problems under a prefix; returns their names."""
     names = []
     for name, (mode, model) in SCORES.items():
-        for grad, sql in (("none", name), ("soft", name.replace("score", "log_z"))):
-            spark.udf.register(prefix + sql, score_function(params, Problem(mode, model, grad)))
+        for sql, make, grad in ((name, score_function, "none"), (name.replace("score", "log_z"), score_function, "soft"), (name.replace("score", "grad"), grad_function, "hard"), (name.replace("score", "soft_grad"), grad_function, "soft")):
+            spark.udf.register(prefix + sql, make(params, Problem(mode, model, grad)))
             names.append(prefix + sql)
-
-    class AlignGrad:
-        def eval(self, a: str, b: str, mode: str, gap_model: str):
-            if a is None or b is None:
-                return
-            field, value = solve([0], [params.alphabet.codes(a)], [params.alphabet.codes(b)], params, Problem(mode, gap_model, "hard"))[0]["grad"]
-            for f, v in zip(field.tolist(), value.tolist(), strict=True):
-                yield f, v
-
-    spark.udtf.register(prefix + "align_grad", F.udtf(AlignGrad, returnType="field int, value double"))
-    return [*names, prefix + "align_grad"]
+    return names

@@ -1,8 +1,9 @@
 """The alignment operator: a DataFrame of pairs in, scores, paths, guides and gradients out.
 
-One Arrow pass over the columns that it needs.  Pairs of similar lengths are
-packed into blocks within each batch; nothing is shuffled, and a pair's
-parameters travel once a task.
+Pairs are dealt out by a hash first (a pair's cells cost far more than moving
+its letters, and joins that make pairs often leave them in one partition), then
+one Arrow pass over the columns that it needs.  Pairs of similar lengths are
+packed into blocks within each batch, and parameters travel once a task.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CHOICES = {
 #: The largest absolute value that each integer type is used for.
 INT_LIMIT = {"int8": 127, "int16": 16383, "int32": 1073741823, "int64": 4611686018427387903}
 INT_MARGIN = 66
+#: Largest step whose probability is a finite double.
+LARGEST_STEP = 709.0
 
 
 def choice(name: str, value: str, allowed: tuple[str, ...]) -> str:
@@ -55,12 +58,14 @@ class Problem:
     temperature: float = 1.0
     band: int = 0
     posterior: bool = False
+    soft_impl: str = "scaled_or_log"
 
     def __post_init__(self):
         choice("mode", self.mode, kn.MODES)
         choice("gap_model", self.gap_model, kn.MODELS)
         choice("grad_mode", self.grad, GRADS)
         choice("precision", self.precision, ("float32", "float64", *INT_LIMIT))
+        choice("soft_impl", self.soft_impl, CHOICES["soft_impl"])
         if self.band < 0:
             raise ValueError(f"band must be 0 or more, got {self.band}")
         if self.grad == "soft" and self.precision in INT_LIMIT:
@@ -74,6 +79,8 @@ class Problem:
             bad = flat[(flat != np.rint(flat)) | (np.abs(flat) > INT_LIMIT[self.precision])]
             if len(bad):
                 raise ValueError(f"{self.precision} needs integral parameters of at most {INT_LIMIT[self.precision]}, got {bad[0]}")
+        if self.grad == "soft" and self.soft_impl == "scaled" and (step := kn.step_bound(self.scoring(params))) > LARGEST_STEP:
+            raise ValueError(f"a step of {step:g} is beyond the range of soft_impl='scaled' ({LARGEST_STEP:g}); use 'scaled_or_log' or 'log'")
 
     def scoring(self, params: AlignParams, steps: int = 1 << 62) -> kn.Scoring:
         """Parameters for paths of up to ``steps`` moves.  Integral ones whose sums stay below 2^24 are exact in 32 bits, too."""
@@ -85,123 +92,202 @@ class Problem:
         return kn.Scoring((params.matrices / t).astype(kind).ravel(), (params.gaps / t).astype(kind), len(params.alphabet), self.mode, self.gap_model)
 
 
-def _rows(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Pairs of similar lengths, in blocks."""
-    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    bucket = lambda x: np.floor(np.log(x + 4) / math.log(1.25)).astype(np.int64)
-    bm, bn = bucket(m), bucket(n)
-    order = np.lexsort((n, m, bn, bm))
-    at = 0
-    while at < len(order):
-        same = (bm[order[at:]] == bm[order[at]]) & (bn[order[at:]] == bn[order[at]])
-        size = len(same) if same.all() else int(same.argmin())
-        group = order[at : at + size]
-        cells = (int(m[group].max()) + 1) * (int(m[group].max()) + int(n[group].max()) + 1)
-        take = max(1, min(size, BLOCK_CELLS // cells))
-        yield order[at : at + take]
-        at += take
-
-
-def check_guide(g: np.ndarray, m: int, n: int, who) -> None:
+def _rows(m: np.ndarray, n: np.ndarray, apart: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of similar lengths, in blocks; ``apart`` holds kinds of pairs that share none.
+
+    Lengths within a quarter of an octave go together, so padding costs a tenth or so of the cells.
+    """
+    bucket = lambda x: np.floor(4 * np.log2(x + 16.0)).astype(np.int64)
+    kind = (bucket(m) * 1024 + bucket(n)) * 2 + apart
+    order = np.lexsort((n, m, kind))
+    edges = np.flatnonzero(np.diff(kind[order])) + 1
+    for group in np.split(order, edges):
+        at = 0
+        while at < len(group):
+            rest = group[at:]
+            cells = (int(m[rest].max()) + 1) * (int(m[rest].max()) + int(n[rest].max()) + 1)
+            take = max(1, min(len(rest), BLOCK_CELLS // cells))
+            yield rest[:take]
+            at += take
+
+
+def guide_fault(g: np.ndarray, m: int, n: int) -> str | None:
     if len(g) != m + 1:
-        raise ValueError(f"pair {who}: the guide has {len(g)} entries, a sequence of length {m} needs {m + 1}")
+        return f"the guide has {len(g)} entries, a sequence of length {m} needs {m + 1}"
     if len(g) and (g.min() < 0 or g.max() > n):
-        raise ValueError(f"pair {who}: a guide entry is outside [0, {n}]")
-    if (np.diff(g) < 0).any():
-        raise ValueError(f"pair {who}: the guide decreases")
+        return f"a guide entry is outside [0, {n}]"
+    return "the guide decreases" if (np.diff(g) < 0).any() else None
+
+
+def track_fault(t: np.ndarray, g: np.ndarray, m: int, k_sets: int) -> str | None:
+    if len(t) != m or len(g) != m + 1:
+        return "a track needs one entry a residue and a gap track one more"
+    if min(t.min(initial=0), g.min(initial=0)) < 0 or max(t.max(initial=0), g.max(initial=0)) >= k_sets:
+        return f"a track names a set outside [0, {k_sets})"
+    return None
+
+
+class Lists:
+    """One list a pair, in the pairs' order, gathered from blocks of pairs."""
+
+    def __init__(self, n: int, *kinds):
+        self.size, self.first, self.flat, self.length = np.zeros(n, np.int64), np.zeros(n, np.int64), [[np.zeros(0, k)] for k in kinds], 0
+
+    def add(self, at: np.ndarray, edges: np.ndarray, *values: np.ndarray) -> None:
+        """The lists of pairs ``at``: values[edges[k]:edges[k + 1]]."""
+        self.size[at], self.first[at] = np.diff(edges), self.length + edges[:-1]
+        self.length += len(values[0])
+        for flat, v in zip(self.flat, values, strict=True):
+            flat.append(v)
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """(offsets, values ...)"""
+        edges = np.concatenate([[0], np.cumsum(self.size)])
+        pick = np.arange(edges[-1]) + np.repeat(self.first - edges[:-1], self.size)
+        return edges.astype(np.int32), *(np.concatenate(flat)[pick].astype(flat[0].dtype) for flat in self.flat)
+
+
+def faults(a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, guides=None, tracks=None, gap_tracks=None) -> dict[int, str]:
+    """What is wrong with the pairs' guides and tracks."""
+    out: dict[int, str] = {}
+    if guides is None and tracks is None and gap_tracks is None:
+        return out
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        fault = guide_fault(np.asarray(guides[i], np.int64), len(x), len(y)) if guides is not None and guides[i] is not None else None
+        if not fault and (tracks is not None or gap_tracks is not None):
+            fault = track_fault(*_tracks(i, len(x), tracks, gap_tracks), len(x), params.num_sets)
+        if fault:
+            out[i] = fault
+    return out
 
 
-def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True) -> list[dict]:
-    """One result a pair: score, and with ``paths`` ops, start, end, guide; with a gradient, its fields."""
-    k_sets = params.num_sets
-    out: list[dict] = [{} for _ in ids]
-    if p.precision in INT_LIMIT and len(ids):
-        worst = max(len(x) + len(y) for x, y in zip(a, b, strict=True)) + INT_MARGIN
-        largest = max(float(np.abs(params.matrices).max()), float(np.abs(params.gaps[:, [0, 2]]).max() + np.abs(params.gaps[:, [1, 3]]).max()))
-        if worst * largest > INT_LIMIT["int16" if p.precision == "int8" else p.precision]:
-            raise OverflowError(f"a score of {p.precision} may overflow: {worst} steps of up to {largest:g}")
-    for at in _rows(a, b):
-        aa, bb = [a[i] for i in at], [b[i] for i in at]
-        m, n = np.array([len(x) for x in aa]), np.array([len(x) for x in bb])
-        width = int(m.max())
-        s = p.scoring(params, width + int(n.max()) + 2)
-        block = kn.Block(kn.pad(aa, width, np.uint8), kn.pad(bb, int(n.max()), np.uint8), m, n)
+def _tracks(i: int, m: int, tracks, gap_tracks) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a pair's residues and of its rows; a row of gaps takes its residue's set by default."""
+    t = np.zeros(m, np.int64) if tracks is None or tracks[i] is None else np.asarray(tracks[i], np.int64)
+    g = np.concatenate([t[:1] if len(t) else np.zeros(1, np.int64), t]) if gap_tracks is None or gap_tracks[i] is None else np.asarray(gap_tracks[i], np.int64)
+    return t, g
+
+
+def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True, gradient: bool = True) -> dict:
+    """Results as arrays over all pairs: score; with ``paths`` ops, guide, start and end; with a gradient, grad."""
+    k_sets, total = params.num_sets, len(ids)
+    m, n = (np.fromiter(map(len, x), np.int64, total) for x in (a, b))
+    if p.precision in INT_LIMIT and total:
+        worst = int((m + n).max()) + INT_MARGIN
+        if worst * kn.step_bound(p.scoring(params)) > INT_LIMIT["int16" if p.precision == "int8" else p.precision]:
+            raise OverflowError(f"a score of {p.precision} may overflow: {worst} steps of up to {kn.step_bound(p.scoring(params)):g}")
+    soft = p.grad == "soft"
+    want_grad = p.grad == "hard" or soft and gradient
+    best_paths = not soft or (paths and not p.posterior)
+    logs = np.zeros(total, bool)
+    if soft:
+        logs = ~kn.in_range(p.scoring(params), m, n) if p.soft_impl != "log" else np.ones(total, bool)
+    score, ends = np.zeros(total), np.zeros((4, total), np.int32)
+    grads, ops, columns = Lists(total, np.int32, np.float64), Lists(total, np.int8, np.int32), Lists(total, np.int32)
+    for at in _rows(m, n, logs.astype(np.int64)):
+        bm, bn = m[at], n[at]
+        rows, cols = int(bm.max()), int(bn.max())
+        s = p.scoring(params, rows + cols + 2)
+        block = kn.Block(kn.pad([a[i] for i in at], rows, np.uint8), kn.pad([b[i] for i in at], cols, np.uint8), bm, bn)
         if k_sets > 1 or tracks is not None or gap_tracks is not None:
-            rows = [np.zeros(len(x), np.int64) if tracks is None or tracks[i] is None else np.asarray(tracks[i], np.int64) for i, x in zip(at, aa, strict=True)]
-            gaps = [np.concatenate([t[:1] if len(t) else np.zeros(1, np.int64), t]) if gap_tracks is None or gap_tracks[i] is None else np.asarray(gap_tracks[i], np.int64) for i, t in zip(at, rows, strict=True)]
-            for i, x, t, g in zip(at, aa, rows, gaps, strict=True):
-                if len(t) != len(x) or len(g) != len(x) + 1:
-                    raise ValueError(f"pair {ids[i]}: a track needs one entry a residue and a gap track one more")
-                if min(t.min(initial=0), g.min(initial=0)) < 0 or max(t.max(initial=0), g.max(initial=0)) >= k_sets:
-                    raise ValueError(f"pair {ids[i]}: a track names a set outside [0, {k_sets})")
-            block.track, block.gap_track = kn.pad(rows, width, np.int64), kn.pad(gaps, width + 1, np.int64)
+            sets = [_tracks(i, x, tracks, gap_tracks) for i, x in zip(at, bm.tolist(), strict=True)]
+            block.track, block.gap_track = kn.pad([t for t, _ in sets], rows, np.int64), kn.pad([g for _, g in sets], rows + 1, np.int64)
         if guides is not None or p.band:
-            chosen = []
-            for i, x, y in zip(at, m, n, strict=True):
-                g = None if guides is None or guides[i] is None else np.asarray(guides[i], np.int64)
-                if g is not None:
-                    check_guide(g, x, y, ids[i])
-                chosen.append(kn.default_guide(x, y) if g is None else g)
-            block.low, block.high = kn.band_columns(chosen, n, p.band, p.mode)
-        grads = hard = None
-        post = None
-        if p.grad == "soft":
-            score, grads, post = kn.forward_backward(block, s, True, p.posterior)
-            score = score * p.temperature
-        if p.grad != "soft" or (paths and not p.posterior):
+            chosen = [kn.default_guide(x, y) if guides is None or guides[i] is None else np.asarray(guides[i], np.int64) for i, x, y in zip(at, bm.tolist(), bn.tolist(), strict=True)]
+            block.low, block.high = kn.band_columns(chosen, bn, p.band, p.mode)
+        grad = hard = post = None
+        if soft:
+            log_z, grad, post = kn.forward_backward(block, s, want_grad, p.posterior, bool(logs[at[0]]))
+            score[at] = log_z * p.temperature
+        if best_paths:
             hard = kn.viterbi(block, replace(s), paths or p.grad == "hard")
-            if p.grad != "soft":
-                score = hard[0].score.astype(np.float64)
+            if not soft:
+                score[at] = hard[0].score
             if p.grad == "hard":
-                grads = kn.path_counts(block, s, *hard)
-        edges = np.searchsorted(grads[0], np.arange(len(at) + 1)) if grads is not None else None
-        with_paths = paths and hard is not None and hard[1] is not None
-        if with_paths:
-            ends, moves, count = hard
-            first, op, length = kn.runs(moves, count)
-            columns = kn.guides(block, ends, moves, count) if post is None else None
-        for k, i in enumerate(at):
-            r = out[i]
-            r["score"] = float(score[k])
-            if grads is not None:
-                r["grad"] = (grads[1][edges[k] : edges[k + 1]], grads[2][edges[k] : edges[k + 1]])
-            if post is not None:
-                r["guide"] = post[k]
-            if with_paths:
-                r["ops"] = (op[first[k] : first[k + 1]], length[first[k] : first[k + 1]])
-                r["start"], r["end"] = (int(ends.start_i[k]), int(ends.start_j[k])), (int(ends.i[k]), int(ends.j[k]))
-                if post is None:
-                    r["guide"] = columns[k, : m[k] + 1]
+                grad = kn.path_counts(block, s, *hard)
+        if grad is not None:
+            grads.add(at, np.searchsorted(grad[0], np.arange(len(at) + 1)), *grad[1:])
+        if post is not None:
+            columns.add(at, np.concatenate([[0], np.cumsum(bm + 1)]), np.concatenate(post))
+        if paths and hard is not None:
+            e, moves, count = hard
+            ops.add(at, *kn.runs(moves, count))
+            ends[:, at] = e.start_i, e.start_j, e.i, e.j
+            if post is None:
+                guide = kn.guides(block, e, moves, count)
+                columns.add(at, np.concatenate([[0], np.cumsum(bm + 1)]), guide[np.arange(rows + 1)[None, :] <= bm[:, None]])
+    out = {"score": score}
+    if want_grad:
+        out["grad"] = grads.arrays()
+    if paths or p.posterior:
+        out["guide"] = columns.arrays()
+    if paths and best_paths:
+        out["ops"], out["ends"] = ops.arrays(), ends
+    return out
+
+
+def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True) -> list[dict]:
+    """One result a pair, for a handful of pairs: score, and with ``paths`` ops, start, end, guide; with a gradient, its fields."""
+    for i, fault in faults(a, b, params, guides, tracks, gap_tracks).items():
+        raise ValueError(f"pair {ids[i]}: {fault}")
+    found = solve_arrays(ids, a, b, params, p, guides, tracks, gap_tracks, paths)
+    out: list[dict] = [{"score": float(x)} for x in found["score"]]
+    for name in ("grad", "ops", "guide"):
+        if name in found:
+            edges, *values = found[name]
+            for k, r in enumerate(out):
+                parts = tuple(v[edges[k] : edges[k + 1]] for v in values)
+                r[name] = parts if len(parts) > 1 else parts[0]
+    if "ends" in found:
+        for r, e in zip(out, found["ends"].T.tolist(), strict=True):
+            r["start"], r["end"] = tuple(e[:2]), tuple(e[2:])
     return out
 
 
-def encode_all(texts: pa.Array, ids: list, params: AlignParams, which: str) -> list[np.ndarray]:
-    out = []
-    for i, t in zip(ids, texts.to_pylist(), strict=True):
-        if t is None:
-            raise ValueError(f"pair {i}: {which} is null")
+def encode_all(texts: pa.Array, params: AlignParams, which: str) -> tuple[list[np.ndarray], dict[int, str]]:
+    """(codes of each text, what is wrong with some): a batch is encoded as a whole."""
+    wrong: dict[int, str] = {int(i): f": {which} is null" for i in np.flatnonzero(texts.is_null().to_numpy(zero_copy_only=False))} if texts.null_count else {}
+    texts = texts.cast(pa.large_string()).fill_null("")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    base, end = int(edges[0]), int(edges[-1])
+    flat = params.alphabet.table[np.frombuffer(texts.buffers()[2], np.uint8)[base:end]] if end > base else np.zeros(0, np.uint8)
+    edges = edges - base
+    bad = np.flatnonzero(flat == 255)
+    for i in np.unique(np.searchsorted(edges, bad, side="right") - 1).tolist():
         try:
-            out.append(params.alphabet.codes(t))
+            params.alphabet.codes(texts[i].as_py())
         except ValueError as e:
-            raise ValueError(f"pair {i}, {which}: {e}") from None
-    return out
+            wrong[i] = f", {which}: {e}"
+    at = edges.tolist()
+    return [flat[x:y] for x, y in zip(at, at[1:])], wrong
 
 
-def joined(parts: list[np.ndarray], kind) -> tuple[pa.Array, pa.Array]:
-    """(offsets, values) of one list a row."""
-    edge = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
-    return pa.array(edge), pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+def dealt(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Pairs dealt out over ``tasks`` tasks by a hash, and sorted by length within each.
+
+    By default four tasks a core or the session's shuffle partitions, whichever is more; 0 leaves them where they are.
+    """
+    if tasks == 0 or pairs.isStreaming:
+        return pairs
+    spark = pairs.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pairs.repartition(tasks, F.xxhash64("pair_id", "seq_a", "seq_b")).sortWithinPartitions(F.length("seq_a"), F.length("seq_b"))
 
 
-def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), outputs: tuple[str, ...] = ("score",), id_col: str = "pair_id") -> DataFrame:
+def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), outputs: tuple[str, ...] = ("score",), id_col: str = "pair_id", on_error: str = "raise", tasks: int | None = None) -> DataFrame:
     """Align every row's ``seq_a`` and ``seq_b``.
 
     ``guide_j``, ``track`` and ``gap_track`` are used where those columns exist
     (null: the default).  Outputs: ``score``; ``path`` adds ops, start_i,
     start_j, end_i, end_j; ``guide`` adds guide_j; ``grad`` adds the gradient as
     a map from the field's number in the flat form to its value.
+
+    A null sequence, a foreign character, a malformed guide or track fails the
+    job; with ``on_error="null"`` such a pair's outputs are null and a column
+    ``error`` says why (null for the others).  ``tasks``: see :func:`dealt`.
     """
     problem.check(params)
+    choice("on_error", on_error, ("raise", "null"))
     wanted = [choice("output", o, ("score", "path", "guide", "grad")) for o in outputs]
     if "grad" in wanted and problem.grad == "none":
         raise ValueError("grad_mode is none: there is no gradient")
@@ -209,7 +295,7 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
         problem = replace(problem, grad="none")
     extra = [c for c in ("guide_j", "track", "gap_track") if c in pairs.columns]
     kind = pairs.schema[id_col].dataType.simpleString()
-    src = pairs.select(F.col(id_col).alias("pair_id"), "seq_a", "seq_b", *(F.col(c).cast("array<int>").alias(c) for c in extra))
+    src = dealt(pairs.select(F.col(id_col).alias("pair_id"), "seq_a", "seq_b", *(F.col(c).cast("array<int>").alias(c) for c in extra)), tasks)
     schema = [f"`{id_col}` {kind}", "score double"]
     if "path" in wanted:
         schema += [f"ops {OPS}", "start_i int", "start_j int", "end_i int", "end_j int"]
@@ -217,39 +303,52 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
         schema.append("guide_j array<int>")
     if "grad" in wanted:
         schema.append("grad map<int,double>")
+    if on_error == "null":
+        schema.append("error string")
     paths = "path" in wanted or "guide" in wanted
     names = [x.split()[0].strip("`") for x in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            (a, wrong), (b, wrong_b) = (encode_all(batch.column(k + 1), params, which) for k, which in enumerate(("seq_a", "seq_b")))
             given = {c: batch.column(3 + k).to_pylist() for k, c in enumerate(extra)}
-            rows = solve(ids, encode_all(batch.column(1), ids, params, "seq_a"), encode_all(batch.column(2), ids, params, "seq_b"), params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), paths)
-            cols = [batch.column(0), pa.array([r["score"] for r in rows], pa.float64())]
+            wrong = wrong_b | wrong
+            for i in wrong:
+                a[i] = b[i] = a[i][:0]
+                for values in given.values():
+                    values[i] = None
+            more = faults(a, b, params, given.get("guide_j"), given.get("track"), given.get("gap_track"))
+            for i in more:
+                for values in given.values():
+                    values[i] = None
+            wrong |= {i: f": {fault}" for i, fault in more.items()}
+            if wrong and on_error == "raise":
+                i = min(wrong)
+                raise ValueError(f"pair {batch.column(0)[i].as_py()}{wrong[i]}")
+            found = solve_arrays(range(len(a)), a, b, params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), paths, "grad" in wanted)
+            cols = [pa.array(found["score"])]
             if "path" in wanted:
-                edge, op = joined([r["ops"][0] for r in rows], np.int8)
-                length = joined([r["ops"][1] for r in rows], np.int32)[1]
-                cols.append(pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays([op, length], ["op", "len"])))
-                cols += [pa.array([r[e][x] for r in rows], pa.int32()) for e, x in (("start", 0), ("start", 1), ("end", 0), ("end", 1))]
+                edge, op, length = found["ops"]
+                cols.append(pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(op), pa.array(length)], ["op", "len"])))
+                cols += map(pa.array, found["ends"])
             if "guide" in wanted:
-                cols.append(pa.ListArray.from_arrays(*joined([r["guide"] for r in rows], np.int32)))
+                cols.append(pa.ListArray.from_arrays(*map(pa.array, found["guide"])))
             if "grad" in wanted:
-                edge, field = joined([r["grad"][0] for r in rows], np.int32)
-                cols.append(pa.MapArray.from_arrays(edge, field, joined([r["grad"][1] for r in rows], np.float64)[1]))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols.append(pa.MapArray.from_arrays(*map(pa.array, found["grad"])))
+            if on_error == "null":
+                good = pa.array([None if i in wrong else i for i in range(len(a))], pa.int64())
+                cols = [c.take(good) for c in cols] + [pa.array([wrong[i].lstrip(":, ") if i in wrong else None for i in range(len(a))], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
     return src.mapInArrow(run, ", ".join(schema))
 
 
 def score_distinct(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), id_col: str = "pair_id") -> DataFrame:
-    """(id, score) with each distinct pair of sequences aligned once; equal sequences are common in joined pairs."""
-    keyed = pairs.select("seq_a", "seq_b").distinct().withColumn("key", F.struct("seq_a", "seq_b"))
-    scored = align(keyed, params, replace(problem, grad="none"), id_col="key").select("key.*", "score")
-    return pairs.join(scored, ["seq_a", "seq_b"]).select(id_col, "score")
-
+    """(id, score) with each distinct pair of sequences aligned once; equal sequences are common in joined pairs.
 
-def spread(pairs: DataFrame, partitions: int, long_cells: int = 1_000_000) -> DataFrame:
-    """Deal pairs out so that no task gets all the long ones: pairs of many cells go round separately from the others."""
-    cells = (F.length("seq_a") + 1).cast("bigint") * (F.length("seq_b") + 1)
-    lane = F.when(cells > long_cells, F.floor(F.log2(cells.cast("double")))).otherwise(0)
-    return pairs.repartition(partitions, lane, F.xxhash64("seq_a", "seq_b"))
+    Distinct pairs are found and joined back by a hash of 128 bits, so that no letters are shuffled for the join.
+    """
+    key = F.struct(F.xxhash64("seq_a", "seq_b").alias("x"), F.xxhash64(F.lit(1), F.reverse("seq_b"), "seq_a").alias("y"))
+    once = pairs.groupBy(key.alias("key")).agg(F.first("seq_a").alias("seq_a"), F.first("seq_b").alias("seq_b"))
+    scored = align(once, params, replace(problem, grad="none"), id_col="key")
+    return pairs.select(id_col, key.alias("key")).join(scored, "key").select(id_col, "score")

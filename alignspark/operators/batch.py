@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from alignspark.functions import render
 from alignspark.operators import gradient
-from alignspark.operators.align import CHOICES, Problem, align, choice
+from alignspark.operators.align import CHOICES, INT_LIMIT, Problem, align, choice
 from alignspark.params import AlignParams
 from alignspark.sources.readers import zip_pairs
-from alignspark.sources.storage import materialize
+from alignspark.sources.storage import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -29,22 +29,25 @@ class PairBatch:
     """Pairs of one problem type, aligned again and again under changing parameters.
 
     ``pairs`` has pair_id, seq_a, seq_b and, optionally, track and gap_track.
-    Results live in written tables, one per pass, so a training loop never
-    computes an earlier pass again.  Parameters are copied.  ``set_params``
-    drops scores, gradients and paths and keeps guides.
+    Results live in a written table, so a training loop never computes an
+    earlier pass again; each pass deletes the one before it.  Parameters are
+    copied.  ``set_params`` drops scores, gradients and paths and keeps guides.
     """
 
-    def __init__(self, pairs: DataFrame | None, params: AlignParams | None, gap_model: str = "affine", mode: str = "global", grad_mode: str = "hard", precision: str = "float64", **options):
-        self._problem = Problem(mode=mode, gap_model=gap_model, grad=grad_mode, precision=precision, temperature=options.pop("soft_temperature", 1.0), posterior=options.get("soft_guide") == "posterior" and grad_mode == "soft")
-        self.hb_cutoff = int(options.pop("hb_cutoff", 512))
-        if self.hb_cutoff < 1:
-            raise ValueError("hb_cutoff must be 1 or more")
+    #: Number type of typed subclasses.
+    PRECISION = "float64"
+
+    def __init__(self, pairs: DataFrame | None, params: AlignParams | None, gap_model: str = "affine", mode: str = "global", grad_mode: str = "hard", precision: str | None = None, **options):
+        self._problem = Problem(mode=mode, gap_model=gap_model, grad=grad_mode, precision=precision or self.PRECISION, temperature=options.pop("soft_temperature", 1.0))
+        self.hb_cutoff = options.pop("hb_cutoff", 512)
         if int(options.pop("n_threads", 0)) < 0:
             raise ValueError("n_threads must be 0 or more")
-        self.options = {k: choice(k, options.pop(k, CHOICES[k][0]), CHOICES[k]) for k in CHOICES}
+        self.options: dict[str, str] = {}
+        for name in CHOICES:
+            setattr(self, name, options.pop(name, CHOICES[name][0]))
         if options:
             raise TypeError(f"unknown option {next(iter(options))!r}")
-        self._pairs, self._results, self._guides, self._has_paths = pairs, None, None, False
+        self._pairs, self._results, self._guides, self._has_paths, self._written = pairs, None, None, False, None
         self._params = None
         if params is not None:
             self._problem.check(params)
@@ -66,8 +69,19 @@ class PairBatch:
     mode = property(lambda self: self._problem.mode)
     gap_model = property(lambda self: self._problem.gap_model)
     grad_mode = property(lambda self: self._problem.grad)
+    precision = property(lambda self: self._problem.precision)
     soft_temperature = property(lambda self: self._problem.temperature)
 
+    @property
+    def hb_cutoff(self) -> int:
+        return self._hb_cutoff
+
+    @hb_cutoff.setter
+    def hb_cutoff(self, n: int) -> None:
+        if int(n) < 1:
+            raise ValueError("hb_cutoff must be 1 or more")
+        self._hb_cutoff = int(n)
+
     @soft_temperature.setter
     def soft_temperature(self, t: float) -> None:
         self._problem = replace(self._problem, temperature=t)
@@ -78,9 +92,14 @@ class PairBatch:
         return self._need_pairs().count()
 
     def __getitem__(self, i: int) -> DataFrame:
-        """The pair with this id, with whatever has been computed of it."""
-        rows = self._need_pairs().where(F.col("pair_id") == i)
-        if rows.isEmpty():
+        """The pair with this id, with whatever has been computed of it; -1 is the pair of the largest id, and so on down."""
+        pairs = self._need_pairs()
+        wanted = i
+        if i < 0:
+            last = pairs.select("pair_id").orderBy(F.desc("pair_id")).limit(-i).agg(F.min("pair_id"), F.count(F.lit(1))).first()
+            wanted = last[0] if last[1] == -i else None
+        rows = pairs.where(F.col("pair_id") == wanted)
+        if wanted is None or rows.isEmpty():
             raise IndexError(f"no pair {i}")
         return rows if self._results is None else rows.join(self._results, "pair_id", "left")
 
@@ -98,8 +117,13 @@ class PairBatch:
 
     def _pass(self, pairs: DataFrame, problem: Problem, keep_paths: bool) -> float:
         self._results, self._has_paths = None, False  # a failed pass leaves nothing that looks valid
+        problem = replace(problem, posterior=self.soft_guide == "posterior" and problem.grad == "soft", soft_impl=self.soft_impl)
+        problem.check(self._params)
         outputs = ["score", "guide"] + ["path"] * keep_paths + ["grad"] * (problem.grad != "none")
-        self._results = materialize(align(pairs, self._params, problem, tuple(outputs)), "alignments")
+        before = self._written  # its guides may be read by this pass
+        self._results = self._written = materialize(align(pairs, self._params, problem, tuple(outputs)), "alignments")
+        if before is not None:
+            discard(before)
         self._guides, self._has_paths = self._results.select("pair_id", "guide_j"), keep_paths
         return gradient.total(self._results)
 
@@ -113,28 +137,30 @@ class PairBatch:
             raise ValueError(f"the bandwidth must be above 0, got {bandwidth}")
         if self._guides is None:
             raise RuntimeError("no guide yet: run score_and_grad first")
+        self._check_band()
         pairs = self._need_pairs().drop("guide_j").join(self._guides, "pair_id")
         return self._pass(pairs, replace(self._problem, band=bandwidth), keep_paths)
 
+    def _check_band(self) -> None:
+        if self.traceback.startswith("hirschberg"):
+            raise ValueError(f"traceback {self.traceback!r} cannot be combined with a band")
+
     def align(self, pairs: DataFrame, params: AlignParams, band: int = 0) -> BatchResult:
-        """Align other pairs without keeping anything per pair but the scores' plan.
+        """Align other pairs, once, and keep nothing of them in this batch.
 
         Guided and unguided pairs may be mixed only with a band.
         """
-        problem = replace(self._problem, band=band)
+        problem = replace(self._problem, band=band, soft_impl=self.soft_impl)
         problem.check(params)
+        if band:
+            self._check_band()
         if "guide_j" in pairs.columns and band == 0 and not pairs.where("guide_j is null").isEmpty() and not pairs.where("guide_j is not null").isEmpty():
             raise ValueError("guided and unguided pairs cannot be mixed without a band")
-        scores = align(pairs, params, replace(problem, grad="soft" if problem.grad == "soft" else "none"))
         if problem.grad == "none":
+            scores = materialize(align(pairs, params, problem), "scores")
             return BatchResult(scores, gradient.total(scores), None)
-        # one pass for both sums: field -1 carries the score
-        rows = align(pairs, params, problem, ("score", "grad"))
-        entries = F.concat(F.array(F.struct(F.lit(-1).alias("key"), F.col("score").alias("value"))), F.map_entries("grad"))
-        sums = rows.select(F.explode(entries).alias("e")).groupBy(F.col("e.key").alias("field")).agg(F.sum("e.value").alias("value"))
-        sums = {r["field"]: r["value"] for r in sums.collect()}  # a row a parameter at most
-        flat = [sums.get(k, 0.0) for k in range(params.num_sets * params.n_fields)]
-        return BatchResult(scores, sums.get(-1, 0.0), params.like_flat(flat))
+        rows = materialize(align(pairs, params, problem, ("score", "grad")), "scores")
+        return BatchResult(rows.select("pair_id", "score"), gradient.total(rows), gradient.to_params(gradient.summed(rows), params))
 
     # results ------------------------------------------------------------------
     def _valid(self, what: str) -> DataFrame:
@@ -209,8 +235,24 @@ class PairBatch:
             self._results, self._has_paths = self._results.drop("ops", "start_i", "start_j", "end_i", "end_j"), False
 
 
+def _setting(name: str):
+    def put(self, value: str) -> None:
+        self.options[name] = choice(name, value, CHOICES[name])
+
+    return property(lambda self: self.options[name], put, doc=f"One of {', '.join(CHOICES[name])}.")
+
+
+for _name in CHOICES:
+    setattr(PairBatch, _name, _setting(_name))
+
+
 class SeqPair:
-    """One pair as a batch of one row, with its results as plain values."""
+    """One pair as a batch of one row, with its results as plain values.
+
+    Reading what is not valid (before a pass, or after new parameters) raises.
+    """
+
+    BATCH = PairBatch
 
     def __init__(self, spark: SparkSession, seq_a: str, seq_b: str, params: AlignParams, gap_model: str = "affine", mode: str = "global", grad_mode: str = "hard", *, track=None, gap_track=None, **options):
         for s in (seq_a, seq_b):
@@ -220,7 +262,7 @@ class SeqPair:
             if t is not None:
                 row = row.withColumn(name, F.array(*map(F.lit, t)).cast("array<int>"))
         self.seq_a, self.seq_b = seq_a, seq_b
-        self.batch = PairBatch(row, params, gap_model, mode, grad_mode, **options)
+        self.batch = self.BATCH(row, params, gap_model, mode, grad_mode, **options)
 
     def align(self, keep_paths: bool = True) -> float:
         return self.batch.score_and_grad(keep_paths)
@@ -245,16 +287,16 @@ class SeqPair:
     stored_path_valid = property(lambda self: self.batch._has_paths)
 
     @property
-    def score(self) -> float | None:
-        return self.batch.scores().first()["score"] if self.score_valid else None
+    def score(self) -> float:
+        return self.batch.scores().first()["score"]
 
     @property
-    def grad(self) -> AlignParams | None:
-        return self.batch.compute_grad() if self.grad_valid else None
+    def grad(self) -> AlignParams:
+        return self.batch.compute_grad()
 
     @property
-    def guide_j(self) -> list[int] | None:
-        return list(self.batch.guides().first()["guide_j"]) if self.path_valid else None
+    def guide_j(self) -> list[int]:
+        return list(self.batch.guides().first()["guide_j"])
 
     def aligned(self) -> tuple[str, str]:
         return tuple(self.batch.aligned().first()["aligned"])
@@ -267,3 +309,18 @@ class SeqPair:
 
     def formatted(self, width: int = 60) -> str:
         return self.batch.formatted(width).first()["formatted"]
+
+
+def _passed_on(name: str):
+    return property(lambda self: getattr(self.batch, name), lambda self, value: setattr(self.batch, name, value))
+
+
+for _name in (*CHOICES, "hb_cutoff", "soft_temperature"):
+    setattr(SeqPair, _name, _passed_on(_name))
+
+#: A batch and a pair class for each number type: PairBatchInt8, SeqPairInt8, ..., PairBatchFloat32, SeqPairFloat32.
+for _type in (*INT_LIMIT, "float32"):
+    _suffix = _type.capitalize()
+    _batch = type(f"PairBatch{_suffix}", (PairBatch,), {"PRECISION": _type, "__doc__": f"A batch whose scores are {_type}.", "__module__": __name__})
+    globals()[_batch.__name__] = _batch
+    globals()[f"SeqPair{_suffix}"] = type(f"SeqPair{_suffix}", (SeqPair,), {"BATCH": _batch, "__doc__": f"A pair whose score is {_type}.", "__module__": __name__})

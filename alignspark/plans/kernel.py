@@ -8,8 +8,13 @@ Y gap in A).  The same recurrence serves the best path (max, +) and the ensemble
 of all paths: in probabilities (+, *) while no sum can leave the range of a
 double, else in logarithms (logaddexp, +).
 
-Memory: of long pairs only every C-th diagonal is kept, the others are filled
-again block by block on the way back.
+Arrays have a row for each row of the table and a column for each pair, so what
+a diagonal touches is one contiguous piece.  With a band, only the rows that
+some pair's band has on a diagonal are filled.
+
+Memory: three diagonals that take turns, unless a backward pass needs them; of
+long pairs only every C-th diagonal is kept, the others are filled again block
+by block on the way back.
 """
 
 from __future__ import annotations
@@ -61,7 +66,7 @@ SAFE_EXPONENT = 600.0
 
 @dataclass
 class Block:
-    """Padded codes of pairs, their lengths, and per-row sets and bands."""
+    """Padded codes of pairs (a column each), their lengths, and per-row sets and bands."""
 
     a: np.ndarray
     b: np.ndarray
@@ -69,7 +74,7 @@ class Block:
     n: np.ndarray
     track: np.ndarray | None = None
     gap_track: np.ndarray | None = None
-    low: np.ndarray | None = None  # (pairs, rows): first and last column of the band
+    low: np.ndarray | None = None  # (rows, pairs): first and last column of the band
     high: np.ndarray | None = None
 
     def __len__(self) -> int:
@@ -77,18 +82,17 @@ class Block:
 
 
 def pad(rows: list[np.ndarray], width: int, dtype) -> np.ndarray:
+    """One column for each of ``rows``, zeros below."""
     out = np.zeros((len(rows), width), dtype)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-        if len(r) and len(r) < width:
-            out[k, len(r) :] = r[-1]
-    return out
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    out[np.arange(width)[None, :] < size[:, None]] = np.concatenate(rows)
+    return np.ascontiguousarray(out.T)
 
 
 def band_columns(guides: list[np.ndarray], n: np.ndarray, width: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
     """First and last column of every row's band around a guide (rows beyond a pair repeat its last)."""
     rows = max(map(len, guides))
-    low, high = np.zeros((len(guides), rows), np.int64), np.zeros((len(guides), rows), np.int64)
+    low, high = np.zeros((rows, len(guides)), np.int64), np.zeros((rows, len(guides)), np.int64)
     for k, g in enumerate(guides):
         top = int(n[k])
         w = min(width, top)
@@ -97,7 +101,8 @@ def band_columns(guides: list[np.ndarray], n: np.ndarray, width: int, mode: str)
         hi = np.minimum(hi, top)
         if mode == "global":
             hi[-1] = top
-        low[k, : len(g)], high[k, : len(g)] = np.maximum(g - w, 0), hi
+        low[: len(g), k], high[: len(g), k] = np.maximum(g - w, 0), hi
+        low[len(g) :, k], high[len(g) :, k] = low[len(g) - 1, k], hi[-1]
     return low, high
 
 
@@ -112,26 +117,33 @@ class Sweep:
     def __init__(self, block: Block, s: Scoring, algebra: Algebra):
         self.k, self.s, self.algebra = block, s, algebra
         self.weights = algebra.enter(s.matrices)
-        self.rows, self.cols = block.a.shape[1], block.b.shape[1]
+        self.rows, self.cols = block.a.shape[0], block.b.shape[0]
         self.affine, self.states = s.model == "affine", 3 if s.model == "affine" else 1
         p, g, kind = len(block), s.gaps, s.matrices.dtype
         if block.track is None:
-            flat = np.zeros((1, self.rows + 1), np.int64)
-            by_row, by_gap = flat, flat
+            by_row = by_gap = np.zeros((self.rows + 1, 1), np.int64)
             self.base = block.a.astype(np.int64) * s.n
         else:
-            by_row = np.concatenate([block.track[:, :1] if self.rows else np.zeros((p, 1), np.int64), block.track], axis=1)
+            by_row = np.concatenate([block.track[:1] if self.rows else np.zeros((1, p), np.int64), block.track])
             by_gap = block.gap_track
             self.base = (block.track * s.n + block.a) * s.n
         self.open_a, self.ext_a = g[by_gap, 0], g[by_gap, 1]
         self.open_b, self.ext_b = g[by_row, 2], g[by_row, 3]
         self.go_a, self.on_a, self.go_b, self.on_b = (algebra.enter(-x) for x in (self.open_a, self.ext_a, self.open_b, self.ext_b))
-        self.b_back = block.b[:, ::-1].astype(np.int64)
+        self.b_back = block.b[::-1].astype(np.int64)
         self.column0 = self._column0(kind)
         self.reach = None
+        d = np.arange(self.rows + self.cols + 4)
+        lo, hi = np.maximum(1, d - self.cols), np.minimum(self.rows, d - 1) + 1
         if block.low is not None:  # rows of column 0 and columns of row 0 that a band leaves
-            guide_top = block.low[:, 1:] == 0
-            self.reach = (np.cumprod(guide_top, axis=1).sum(axis=1), block.high[:, 0])
+            guide_top = block.low[1:] == 0
+            self.reach = (np.cumprod(guide_top, axis=0).sum(axis=0), block.high[0])
+            rows = np.arange(self.rows + 1)  # a row's cells lie on the diagonals first to last
+            first, last = rows + block.low.min(axis=1), rows + block.high.max(axis=1)
+            lo, hi = np.maximum(lo, np.searchsorted(last, d)), np.minimum(hi, np.searchsorted(first, d, side="right"))
+        self.lo, self.hi = lo.tolist(), np.maximum(lo, hi).tolist()
+        self.index, self.found = np.empty((self.rows + 1, p), np.int64), np.empty((self.rows + 1, p), kind)
+        self.spare = np.empty((self.rows + 1, p), kind)
 
     def _column0(self, kind) -> np.ndarray:
         """Scores down column 0: gaps in B from the start.  Runs of equal extends are multiplied, not added up."""
@@ -139,73 +151,97 @@ class Sweep:
         out = np.zeros(ext.shape, kind)
         if not self.rows:
             return out
-        start, total = np.ones(len(ext), np.int64), np.zeros(len(ext), kind)
-        first = np.ones(len(ext), bool)
+        p = ext.shape[1]
+        start, total, first = np.ones(p, np.int64), np.zeros(p, kind), np.ones(p, bool)
         for i in range(1, self.rows + 1):
             if i > 1:
-                turn = ext[:, i] != ext[:, i - 1]
-                closed = np.where(first, np.asarray(i - 1, kind) * ext[:, i - 1], total + (i - start).astype(kind) * ext[:, i - 1])
+                turn = ext[i] != ext[i - 1]
+                closed = np.where(first, np.asarray(i - 1, kind) * ext[i - 1], total + (i - start).astype(kind) * ext[i - 1])
                 total, start, first = np.where(turn, closed, total), np.where(turn, i, start), first & ~turn
-            run = np.where(first, np.asarray(i, kind) * ext[:, i], total + (i - start + 1).astype(kind) * ext[:, i])
-            out[:, i] = -(self.open_b[:, 1] + run) if self.affine else -run
+            run = np.where(first, np.asarray(i, kind) * ext[i], total + (i - start + 1).astype(kind) * ext[i])
+            out[i] = -(self.open_b[1] + run) if self.affine else -run
         return out
 
     def blank(self) -> list[np.ndarray]:
-        return [np.full((len(self.k), self.rows + 1), self.algebra.zero, self.s.matrices.dtype) for _ in range(self.states)]
+        return [np.full((self.rows + 1, len(self.k)), self.algebra.zero, self.s.matrices.dtype) for _ in range(self.states)]
 
     def inner(self, d: int) -> tuple[int, int]:
-        """Rows of diagonal d away from both borders, end exclusive."""
-        return max(1, d - self.cols), min(self.rows, d - 1) + 1
+        """Rows of diagonal d away from both borders and within some band, end exclusive."""
+        return self.lo[d], self.hi[d]
 
     def score(self, d: int, lo: int, hi: int) -> np.ndarray:
-        """Substitution scores (entered into the algebra) of the cells (i, d - i), lo <= i < hi."""
+        """Substitution scores (entered into the algebra) of the cells (i, d - i), lo <= i < hi; overwritten by the next call."""
         at = self.cols - d
-        return self.weights[self.base[:, lo - 1 : hi - 1] + self.b_back[:, at + lo : at + hi]]
+        index = np.add(self.base[lo - 1 : hi - 1], self.b_back[at + lo : at + hi], out=self.index[lo:hi])
+        return np.take(self.weights, index, out=self.found[lo:hi], mode="clip")
 
     def outside(self, d: int, lo: int, hi: int) -> np.ndarray | None:
         if self.k.low is None:
             return None
-        j = d - np.arange(lo, hi)
-        return (j < self.k.low[:, lo:hi]) | (j > self.k.high[:, lo:hi])
+        j = d - np.arange(lo, hi)[:, None]
+        return (j < self.k.low[lo:hi]) | (j > self.k.high[lo:hi])
 
-    def fill(self, d: int, one: list[np.ndarray], two: list[np.ndarray]) -> list[np.ndarray]:
-        """Diagonal d from d - 1 and d - 2."""
-        out, mode, plus, times, one_, zero, enter = self.blank(), self.s.mode, self.algebra.plus, self.algebra.times, self.algebra.one, self.algebra.zero, self.algebra.enter
+    def fill(self, d: int, one: list[np.ndarray], two: list[np.ndarray], out: list[np.ndarray]) -> list[np.ndarray]:
+        """Diagonal d from d - 1 and d - 2, written into ``out``, of which a used diagonal's cells may be left out of reach."""
+        mode, plus, times, one_, zero, enter = self.s.mode, self.algebra.plus, self.algebra.times, self.algebra.one, self.algebra.zero, self.algebra.enter
         lo, hi = self.inner(d)
+        for o in out:  # the range moves by a row at most: no other cell is read
+            o[max(lo - 2, 0) : lo] = zero
+            o[hi : hi + 2] = zero
         if lo < hi:
-            up, here = slice(lo - 1, hi - 1), slice(lo, hi)
+            up, here, spare = slice(lo - 1, hi - 1), slice(lo, hi), self.spare[lo:hi]
             score = self.score(d, lo, hi)
             if self.affine:
                 m1, x1, y1 = one
-                m = times(plus(plus(two[0][:, up], two[1][:, up]), two[2][:, up]), score)
-                x = plus(times(times(plus(m1[:, up], y1[:, up]), self.go_b[:, here]), self.on_b[:, here]), times(x1[:, up], self.on_b[:, here]))
-                y = plus(times(times(plus(m1[:, here], x1[:, here]), self.go_a[:, here]), self.on_a[:, here]), times(y1[:, here], self.on_a[:, here]))
-                cells = [plus(m, one_) if mode == "local" else m, x, y]
+                m, x, y = (o[here] for o in out)
+                plus(two[0][up], two[1][up], out=m)
+                plus(m, two[2][up], out=m)
+                times(m, score, out=m)
+                for gap, opens, runs, from_, go, on in ((x, (m1, y1), x1, up, self.go_b, self.on_b), (y, (m1, x1), y1, here, self.go_a, self.on_a)):
+                    plus(opens[0][from_], opens[1][from_], out=spare)
+                    times(spare, go[here], out=spare)
+                    times(spare, on[here], out=spare)
+                    times(runs[from_], on[here], out=gap)
+                    plus(spare, gap, out=gap)
             else:
-                h = plus(plus(times(two[0][:, up], score), times(one[0][:, up], self.on_b[:, here])), times(one[0][:, here], self.on_a[:, here]))
-                cells = [plus(h, one_) if mode == "local" else h]
+                (m,) = (o[here] for o in out)
+                times(two[0][up], score, out=m)
+                for from_, on in ((up, self.on_b), (here, self.on_a)):
+                    times(one[0][from_], on[here], out=spare)
+                    plus(m, spare, out=m)
+            if mode == "local":
+                plus(m, one_, out=m)
             outside = self.outside(d, lo, hi)
-            for o, c in zip(out, cells, strict=True):
-                o[:, here] = c if outside is None else np.where(outside, zero, c)
+            if outside is not None:
+                for o in out:
+                    o[here][outside] = zero
         if d <= self.cols:  # row 0
+            for o in out:
+                o[0] = zero
             if mode != "global" or d == 0:
-                out[0][:, 0] = one_
+                out[0][0] = one_
             else:
-                v = enter(-(self.open_a[:, 0] + d * self.ext_a[:, 0]) if self.affine else -d * self.ext_a[:, 0])
-                out[-1][:, 0] = v if self.reach is None else np.where(d <= self.reach[1], v, zero)
+                v = enter(-(self.open_a[0] + d * self.ext_a[0]) if self.affine else -d * self.ext_a[0])
+                out[-1][0] = v if self.reach is None else np.where(d <= self.reach[1], v, zero)
         if 0 < d <= self.rows:  # column 0
+            for o in out:
+                o[d] = zero
             if mode == "local":
-                out[0][:, d] = one_
+                out[0][d] = one_
             else:
-                v = enter(self.column0[:, d])
-                out[1 if self.affine else 0][:, d] = v if self.reach is None else np.where(d <= self.reach[0], v, zero)
+                v = enter(self.column0[d])
+                out[1 if self.affine else 0][d] = v if self.reach is None else np.where(d <= self.reach[0], v, zero)
         return out
 
-    def diagonals(self, start: int = 0, stop: int | None = None, one=None, two=None):
-        """(d, states) for start <= d < stop; ``one`` and ``two`` are the diagonals before ``start``."""
+    def diagonals(self, start: int = 0, stop: int | None = None, one=None, two=None, keep: bool = False):
+        """(d, states) for start <= d < stop; ``one`` and ``two`` are the diagonals before ``start``.
+
+        Without ``keep`` a diagonal's arrays are written over three diagonals later.
+        """
         one, two = one or self.blank(), two or self.blank()
+        free = None if keep else [self.blank() for _ in range(3)]
         for d in range(start, self.rows + self.cols + 1 if stop is None else stop):
-            now = self.fill(d, one, two)
+            now = self.fill(d, one, two, self.blank() if keep else free[d % 3])
             yield d, now
             one, two = now, one
 
@@ -227,8 +263,8 @@ class Ends:
         self.score, self.i, self.j, self.state = np.full(p, NEG, sweep.s.matrices.dtype), np.zeros(p, np.int64), np.zeros(p, np.int64), np.zeros(p, np.int8)
         self.mode, self.shortest = sweep.s.mode, int(k.n.min())
         if self.mode == "local":
-            self.row = np.full((p, sweep.rows + 1), NEG, self.score.dtype)
-            self.col, self.row_state = np.zeros((p, sweep.rows + 1), np.int32), np.zeros((p, sweep.rows + 1), np.int8)
+            self.row = np.full((sweep.rows + 1, p), NEG, self.score.dtype)
+            self.col, self.row_state = np.zeros((sweep.rows + 1, p), np.int32), np.zeros((sweep.rows + 1, p), np.int8)
 
     def see(self, d: int, v: list[np.ndarray]) -> None:
         k = self.w.k
@@ -236,21 +272,24 @@ class Ends:
             lo, hi = self.w.inner(d)
             if lo >= hi:
                 return
-            part = [x[:, lo:hi] for x in v]
-            top = part[0] if len(part) == 1 else np.maximum(np.maximum(part[0], part[1]), part[2])
-            j = d - np.arange(lo, hi)
+            part = [x[lo:hi] for x in v]
+            top = part[0]
+            if len(part) == 3:
+                top = np.maximum(np.maximum(part[0], part[1], out=self.w.spare[lo:hi]), part[2], out=self.w.spare[lo:hi])
+            j = d - np.arange(lo, hi)[:, None]
             short = d - lo > self.shortest  # some cells lie beyond a shorter second sequence
             if not self.places:
-                row = self.row[:, lo:hi]
-                np.maximum(row, np.where(j <= k.n[:, None], top, NEG) if short else top, out=row)
+                row = self.row[lo:hi]
+                np.maximum(row, np.where(j <= k.n, top, NEG) if short else top, out=row)
                 return
-            better = top > self.row[:, lo:hi]
+            better = top > self.row[lo:hi]
             if short:
-                better &= j <= k.n[:, None]
-            self.row[:, lo:hi][better] = top[better]
-            self.col[:, lo:hi][better] = np.broadcast_to(j, better.shape)[better]
+                better &= j <= k.n
+            at = np.nonzero(better)
+            self.row[lo:hi][at] = top[at]
+            self.col[lo:hi][at] = d - lo - at[0]
             if len(part) == 3:
-                self.row_state[:, lo:hi][better] = best_state([x[better] for x in part])
+                self.row_state[lo:hi][at] = best_state([x[at] for x in part])
             return
         if self.mode == "global":
             at = np.flatnonzero(k.m + k.n == d)
@@ -258,12 +297,12 @@ class Ends:
             j = d - k.m
             at = (j >= 0) & (j <= k.n)
             if k.low is not None:
-                rows = np.arange(len(k))
-                at &= (j >= k.low[rows, k.m]) & (j <= k.high[rows, k.m])
+                pairs = np.arange(len(k))
+                at &= (j >= k.low[k.m, pairs]) & (j <= k.high[k.m, pairs])
             at = np.flatnonzero(at)
         if not len(at):
             return
-        ends = [x[at, k.m[at]] for x in v]
+        ends = [x[k.m[at], at] for x in v]
         top = ends[0] if len(ends) == 1 else np.maximum(np.maximum(ends[0], ends[1]), ends[2])
         if self.mode == "glocal":  # the first of equal columns
             unset = (self.score[at] == NEG) & (self.i[at] == 0) & (self.j[at] == 0)
@@ -273,14 +312,13 @@ class Ends:
 
     def done(self) -> Ends:
         if self.mode == "local":
-            rows = np.arange(self.w.rows + 1)
-            self.row[rows[None, :] > self.w.k.m[:, None]] = NEG
+            self.row[np.arange(self.w.rows + 1)[:, None] > self.w.k.m] = NEG
             at = np.arange(len(self.score))
-            i = self.row.argmax(axis=1)  # the first row that holds the maximum
-            found = self.row[at, i] > 0
-            self.score = np.where(found, self.row[at, i], 0).astype(self.score.dtype)
-            self.i, self.j = np.where(found, i, 0), np.where(found, self.col[at, i], 0)
-            self.state = np.where(found, self.row_state[at, i], 0).astype(np.int8)
+            i = self.row.argmax(axis=0)  # the first row that holds the maximum
+            found = self.row[i, at] > 0
+            self.score = np.where(found, self.row[i, at], 0).astype(self.score.dtype)
+            self.i, self.j = np.where(found, i, 0), np.where(found, self.col[i, at], 0)
+            self.state = np.where(found, self.row_state[i, at], 0).astype(np.int8)
         return self
 
 
@@ -288,22 +326,22 @@ def codes(sweep: Sweep, d: int, now, one, two) -> np.ndarray:
     """Where each cell of diagonal d came from: linear 0 diagonal, 1 up, 2 left; affine the
     predecessors of M, X and Y in two bits each; 3 where a local alignment starts."""
     lo, hi = sweep.inner(d)
-    out = np.full((len(sweep.k), sweep.rows + 1), 3, np.uint8)
+    out = np.full((sweep.rows + 1, len(sweep.k)), 3, np.uint8)
     if lo >= hi:
         return out
     up, here, local = slice(lo - 1, hi - 1), slice(lo, hi), sweep.s.mode == "local"
     if not sweep.affine:
-        h = now[0][:, here]
-        code = np.where(h == two[0][:, up] + sweep.score(d, lo, hi), 0, np.where(h == one[0][:, up] - sweep.ext_b[:, here], 1, 2)).astype(np.uint8)
-        out[:, here] = np.where(h <= 0, 3, code) if local else code
+        h = now[0][here]
+        code = np.where(h == two[0][up] + sweep.score(d, lo, hi), 0, np.where(h == one[0][up] - sweep.ext_b[here], 1, 2)).astype(np.uint8)
+        out[here] = np.where(h <= 0, 3, code) if local else code
         return out
-    m = best_state([x[:, up] for x in two])
-    ob, eb, oa, ea = sweep.open_b[:, here], sweep.ext_b[:, here], sweep.open_a[:, here], sweep.ext_a[:, here]
-    x = best_state([one[0][:, up] - ob - eb, one[1][:, up] - eb, one[2][:, up] - ob - eb])
-    y = best_state([one[0][:, here] - oa - ea, one[1][:, here] - oa - ea, one[2][:, here] - ea])
+    m = best_state([x[up] for x in two])
+    ob, eb, oa, ea = sweep.open_b[here], sweep.ext_b[here], sweep.open_a[here], sweep.ext_a[here]
+    x = best_state([one[0][up] - ob - eb, one[1][up] - eb, one[2][up] - ob - eb])
+    y = best_state([one[0][here] - oa - ea, one[1][here] - oa - ea, one[2][here] - ea])
     if local:
-        m = np.where(now[0][:, here] <= 0, 3, m)
-    out[:, here] = (m | (x << 2) | (y << 4)).astype(np.uint8)
+        m[now[0][here] <= 0] = 3
+    out[here] = m | (x << 2) | (y << 4)
     return out
 
 
@@ -321,7 +359,7 @@ def viterbi(block: Block, s: Scoring, paths: bool) -> tuple[Ends, np.ndarray | N
     marks, kept, one, two = {}, {}, sweep.blank(), sweep.blank()
     for d, v in sweep.diagonals():
         if d % step == 0:
-            marks[d] = (one, two)
+            marks[d] = ([x.copy() for x in one], [x.copy() for x in two])
         if step == total:
             kept[d] = codes(sweep, d, v, one, two)
         ends.see(d, v)
@@ -341,7 +379,7 @@ def viterbi(block: Block, s: Scoring, paths: bool) -> tuple[Ends, np.ndarray | N
             if not len(p):
                 continue
             ip, jp = i[p], j[p]
-            code, st = kept[d][p, ip], state[p]
+            code, st = kept[d][ip, p], state[p]
             if s.mode == "local":
                 stop = (ip == 0) | (jp == 0) if not sweep.affine else ((st == 0) & ((ip == 0) | (jp == 0) | ((code & 3) == 3)))
                 if not sweep.affine:
@@ -378,12 +416,12 @@ def path_counts(block: Block, s: Scoring, ends: Ends, moves: np.ndarray, count:
     track = np.zeros(len(pair), np.int64)
     if block.track is not None:
         across = mv == 2
-        track[across] = block.gap_track[pair[across], i[across]]
-        track[~across] = block.track[pair[~across], i[~across] - 1]
+        track[across] = block.gap_track[i[across], pair[across]]
+        track[~across] = block.track[i[~across] - 1, pair[~across]]
     base, square = track * s.fields, s.n * s.n
     new_run = (at == 0) | (moves[pair, np.maximum(at - 1, 0)] != mv)
     aligned = mv == 0
-    keys = [base[aligned] + block.a[pair[aligned], i[aligned] - 1].astype(np.int64) * s.n + block.b[pair[aligned], j[aligned] - 1]]
+    keys = [base[aligned] + block.a[i[aligned] - 1, pair[aligned]].astype(np.int64) * s.n + block.b[j[aligned] - 1, pair[aligned]]]
     owners, values = [pair[aligned]], [np.ones(int(aligned.sum()))]
     for kind, off in ((1, 2), (2, 0)):  # gaps in B, gaps in A
         gap = mv == kind
@@ -395,11 +433,15 @@ def path_counts(block: Block, s: Scoring, ends: Ends, moves: np.ndarray, count:
             keys.append(base[opens] + square + off)
             owners.append(pair[opens])
             values.append(-np.ones(int(opens.sum())))
-    return _summed(np.concatenate(owners), np.concatenate(keys), np.concatenate(values), s)
+    return _summed(np.concatenate(owners), np.concatenate(keys), np.concatenate(values), s, len(block))
 
 
-def _summed(owner: np.ndarray, key: np.ndarray, value: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(owner: np.ndarray, key: np.ndarray, value: np.ndarray, s: Scoring, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = len(s.gaps) * s.fields
+    if pairs * width <= 4 * len(key):  # few fields: a table of all of them is the shorter way; entries of one field have one sign
+        full = np.bincount(owner * width + key, weights=value, minlength=pairs * width)
+        at = np.flatnonzero(full)
+        return at // width, at % width, full[at]
     both, where = np.unique(owner * width + key, return_inverse=True)
     return both // width, both % width, np.bincount(where, weights=value, minlength=len(both))
 
@@ -417,7 +459,7 @@ def guides(block: Block, ends: Ends, moves: np.ndarray, count: np.ndarray) -> np
 
     Rows before and after a local path are interpolated from (0, 0) and to (m, n).
     """
-    p, rows = len(block), np.arange(block.a.shape[1] + 1)[None, :]
+    p, rows = len(block), np.arange(block.a.shape[0] + 1)[None, :]
     every = np.arange(p)
     used = np.arange(moves.shape[1])[None, :] < count[:, None]
     i = ends.start_i[:, None] + np.cumsum((moves != 2) & used, axis=1)  # the cell each move enters
@@ -433,13 +475,23 @@ def guides(block: Block, ends: Ends, moves: np.ndarray, count: np.ndarray) -> np
     return np.where((rows > e) & (rows < m), at_e + (n - at_e) * (rows - e) // np.maximum(m - e, 1), g)
 
 
-def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False) -> tuple[np.ndarray, tuple | None, list | None]:
-    """(log Z, gradient as (pair, field, value), posterior guides) of the ensemble of all paths."""
-    steps = block.a.shape[1] + block.b.shape[1] + 2
-    step = max(float(np.abs(s.matrices).max()), float(np.abs(s.gaps[:, [0, 2]]).max() + np.abs(s.gaps[:, [1, 3]]).max()))
-    safe = steps * (step + np.log(3)) < SAFE_EXPONENT  # three moves at most lead out of a cell
+def step_bound(s: Scoring) -> float:
+    """No step of a path changes its score by more than this."""
+    return max(float(np.abs(s.matrices).max()), float(np.abs(s.gaps[:, [0, 2]]).max() + np.abs(s.gaps[:, [1, 3]]).max()))
+
+
+def in_range(s: Scoring, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which pairs' sums over all paths stay within a double as plain probabilities; three moves at most lead out of a cell."""
+    return (m + n + 2) * (step_bound(s) + np.log(3)) < SAFE_EXPONENT
+
+
+def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False, logs: bool = False) -> tuple[np.ndarray, tuple | None, list | None]:
+    """(log Z, gradient as (pair, field, value), posterior guides) of the ensemble of all paths.
+
+    ``logs`` computes in logarithms, which pairs beyond :func:`in_range` need.
+    """
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-        return _forward_backward(block, s, PROBABILITIES if safe else LOGS, gradient, posterior)
+        return _forward_backward(block, s, LOGS if logs else PROBABILITIES, gradient, posterior)
 
 
 def _forward_backward(block, s, algebra, gradient, posterior):
@@ -447,6 +499,7 @@ def _forward_backward(block, s, algebra, gradient, posterior):
     plus, times, zero, logs = algebra.plus, algebra.times, algebra.zero, algebra is LOGS
     p, total, mode = len(block), sweep.rows + sweep.cols + 1, s.mode
     rows = np.arange(sweep.rows + 1)
+    pairs = np.arange(p)
 
     def sums(*xs):
         out = xs[0]
@@ -454,59 +507,75 @@ def _forward_backward(block, s, algebra, gradient, posterior):
             out = plus(out, x)
         return out
 
-    def in_band(d: int) -> np.ndarray:
-        j = d - rows
-        ok = (j >= 0)[None, :] & (j[None, :] <= block.n[:, None]) & (rows[None, :] <= block.m[:, None])
-        return ok if block.low is None else ok & (j >= block.low) & (j <= block.high)
+    def in_band(d: int, lo: int = 0, hi: int = sweep.rows + 1) -> np.ndarray:
+        i = rows[lo:hi, None]
+        j = d - i
+        ok = (j >= 0) & (j <= block.n) & (i <= block.m)
+        return ok if block.low is None else ok & (j >= block.low[lo:hi]) & (j <= block.high[lo:hi])
 
     def is_end(d: int, band: np.ndarray) -> np.ndarray:
         if mode == "global":
-            return band & (rows[None, :] == block.m[:, None]) & (d == block.m + block.n)[:, None]
-        return band & (rows[None, :] == block.m[:, None]) if mode == "glocal" else band
+            return band & (rows[:, None] == block.m) & (d == block.m + block.n)
+        return band & (rows[:, None] == block.m) if mode == "glocal" else band
+
+    def ending(d: int, v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, sums) of the paths that end on a diagonal."""
+        if mode == "local":
+            lo, hi = max(0, d - sweep.cols), min(sweep.rows, d) + 1
+            return pairs, plus.reduce(np.where(in_band(d, lo, hi), sums(*(x[lo:hi] for x in v)), zero), axis=0)
+        j = d - block.m
+        at = (j == block.n) if mode == "global" else (j >= 0) & (j <= block.n)
+        if block.low is not None:
+            at &= (j >= block.low[block.m, pairs]) & (j <= block.high[block.m, pairs])
+        at = np.flatnonzero(at)
+        return at, sums(*(x[block.m[at], at] for x in v))
 
     z = np.full(p, zero)
+    backward = gradient or posterior
     per_table = total * p * (sweep.rows + 1) * 8 * sweep.states
     step = total if per_table <= 4 * TABLE_BYTES else max(2, int(np.sqrt(2 * total)))
     marks, kept, one, two = {}, {}, sweep.blank(), sweep.blank()
-    for d, v in sweep.diagonals():
-        if d % step == 0:
+    for d, v in sweep.diagonals(keep=backward):
+        if backward and d % step == 0:
             marks[d] = (one, two)
-        if step == total and (gradient or posterior):
+        if backward and step == total:
             kept[d] = v
-        z = plus(z, plus.reduce(np.where(is_end(d, in_band(d)), sums(*v), zero), axis=1))
+        at, ended = ending(d, v)
+        if len(at):
+            z[at] = plus(z[at], ended)
         one, two = v, one
     log_z = z if logs else np.log(z)
-    if not (gradient or posterior):
+    if not backward:
         return log_z, None, None
     n_sets, square = len(s.gaps), s.n * s.n
     grad = np.zeros(p * n_sets * s.fields)
-    share = z[:, None]
-    guide_value, guide_at = np.full((p, sweep.rows + 1), -1.0), np.zeros((p, sweep.rows + 1), np.int64)
+    guide_value, guide_at = np.full((sweep.rows + 1, p), -1.0), np.zeros((sweep.rows + 1, p), np.int64)
     if block.low is not None:
         guide_at[:] = block.low
-    owner = np.arange(p)[:, None] * (n_sets * s.fields)
+    owner = pairs * (n_sets * s.fields)
 
     def part(x: np.ndarray) -> np.ndarray:
         """The share of all paths."""
-        x = np.exp(x - share) if logs else x / share
+        x = np.exp(x - z) if logs else x / z
         return np.where(np.isfinite(x), x, 0.0)
 
     def add(where: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
         weight = np.where(where, part(weight), 0.0)
-        if at.shape[1] == 1:  # one field a pair
-            grad[at[:, 0]] += weight.sum(axis=1)
+        if at.shape[0] == 1:  # one field a pair
+            grad[at[0]] += weight.sum(axis=0)
             return
         np.add(grad, np.bincount(np.broadcast_to(at, weight.shape).ravel(), weights=weight.ravel(), minlength=len(grad)), out=grad)
 
     if block.track is None:
         by_row = by_gap = np.zeros((1, 1), np.int64)
     else:
-        by_row = np.concatenate([block.track[:, :1] if sweep.rows else np.zeros((p, 1), np.int64), block.track], axis=1) * s.fields
+        by_row = np.concatenate([block.track[:1] if sweep.rows else np.zeros((1, p), np.int64), block.track]) * s.fields
         by_gap = block.gap_track * s.fields
-    down = lambda x: np.concatenate([x[:, 1:], np.full((p, 1), zero)], axis=1)  # noqa: E731  row i + 1 seen from row i
-    above = lambda x: np.concatenate([np.full((p, 1), zero), x[:, :-1]], axis=1)
-    ob, eb, oa, ea = (np.broadcast_to(x, (p, sweep.rows + 1)) for x in (sweep.go_b, sweep.on_b, sweep.go_a, sweep.on_a))
-    nothing = np.full((p, sweep.rows + 1), zero)
+    edge = np.full((1, p), zero)
+    down = lambda x: np.concatenate([x[1:], edge])  # noqa: E731  row i + 1 seen from row i
+    above = lambda x: np.concatenate([edge, x[:-1]])
+    ob, eb, oa, ea = (np.broadcast_to(x, (sweep.rows + 1, p)) for x in (sweep.go_b, sweep.on_b, sweep.go_a, sweep.on_a))
+    nothing = np.full((sweep.rows + 1, p), zero)
     after = after2 = [nothing] * sweep.states  # what diagonals d + 1 and d + 2 push back
     last_y = nothing
     min_j, min_i = int(mode == "local"), int(mode != "global")
@@ -515,15 +584,15 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         if step != total:
             one, two = marks[start]
             kept = {start - 1: one, start - 2: two}
-            for d, v in sweep.diagonals(start, stop, one, two):
+            for d, v in sweep.diagonals(start, stop, one, two, keep=True):
                 kept[d] = v
         for d in range(stop - 1, start - 1, -1):
-            band, j = in_band(d), d - rows
+            band, j = in_band(d), (d - rows)[:, None]
             end = np.where(is_end(d, band), algebra.one, zero)
             score = nothing.copy()  # of the move into (i + 1, j + 1)
             lo, hi = sweep.inner(d + 2)
             if lo < hi:
-                score[:, lo - 1 : hi - 1] = sweep.score(d + 2, lo, hi)
+                score[lo - 1 : hi - 1] = sweep.score(d + 2, lo, hi)
             diag = plus(times(down(after2[0]), score), end)
             if sweep.affine:
                 x_on, y_on = down(times(after[1], eb)), times(after[2], ea)  # the penalties of the row that is entered
@@ -536,22 +605,22 @@ def _forward_backward(block, s, algebra, gradient, posterior):
             lo, hi = sweep.inner(d)
             if gradient and lo < hi:
                 here = slice(lo, hi)
-                pred = times(sums(*(x[:, lo - 1 : hi - 1] for x in f2)), sweep.score(d, lo, hi))
-                key = sweep.base[:, lo - 1 : hi - 1] + sweep.b_back[:, sweep.cols - d + lo : sweep.cols - d + hi]
-                track = 0 if block.track is None else by_row[:, here] // s.fields * 4
-                add(band[:, here], owner + key + track, times(pred, b[0][:, here]))
+                pred = times(sums(*(x[lo - 1 : hi - 1] for x in f2)), sweep.score(d, lo, hi))
+                key = sweep.base[lo - 1 : hi - 1] + sweep.b_back[sweep.cols - d + lo : sweep.cols - d + hi]
+                track = 0 if block.track is None else by_row[here] // s.fields * 4
+                add(band[here], owner + key + track, times(pred, b[0][here]))
             if gradient:
-                i_ok, j_ok = rows >= 1, j >= min_j
+                i_ok, j_ok = rows[:, None] >= 1, j >= min_j
                 if sweep.affine:
                     counted = (
                         (i_ok, by_row, 3, times(f[1], b[1])), (j >= 1, by_gap, 1, times(f[2], b[2])),
                         (i_ok & j_ok, by_row, 2, times(times(times(plus(above(f1[0]), above(f1[2])), ob), eb), b[1])),
-                        ((rows >= min_i) & (j >= 1), by_gap, 0, times(times(times(plus(f1[0], f1[1]), oa), ea), b[2])),
+                        ((rows[:, None] >= min_i) & (j >= 1), by_gap, 0, times(times(times(plus(f1[0], f1[1]), oa), ea), b[2])),
                     )
                 else:
-                    counted = ((i_ok & j_ok, by_row, 3, times(times(above(f1[0]), eb), b[0])), ((rows >= min_i) & (j >= 1), by_gap, 1, times(times(f1[0], ea), b[0])))
+                    counted = ((i_ok & j_ok, by_row, 3, times(times(above(f1[0]), eb), b[0])), ((rows[:, None] >= min_i) & (j >= 1), by_gap, 1, times(times(f1[0], ea), b[0])))
                 for where, at, gap, weight in counted:
-                    add(band & where[None, :], owner + at + square + gap, weight)
+                    add(band & where, owner + at + square + gap, weight)
             if posterior:
                 value = part(sums(*(times(x, y) for x, y in zip(f, b, strict=True))))
                 value = value - part(last_y if sweep.affine else times(times(f[0], ea), last_y))
@@ -565,5 +634,5 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         full[:, :, square:] *= -1
         pair, at = np.nonzero(full.reshape(p, -1))
         out = (pair, at, full.reshape(p, -1)[pair, at])
-    guides = [np.maximum.accumulate(np.clip(guide_at[k, : block.m[k] + 1], 0, block.n[k])) for k in range(p)] if posterior else None
+    guides = [np.maximum.accumulate(np.clip(guide_at[: block.m[k] + 1, k], 0, block.n[k])) for k in range(p)] if posterior else None
     return log_z, out, guides

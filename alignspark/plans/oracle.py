@@ -15,11 +15,11 @@ def _match(match: float, mismatch: float) -> str:
     return f"CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN {match} ELSE {mismatch} END"
 
 
-def best_sql(pairs: str, mode: str, model: str, match: float, mismatch: float, open_a: float, ext_a: float, open_b: float, ext_b: float, band: int | None = None, subst: str | None = None, by_row: dict[str, str] | None = None) -> str:
+def best_sql(pairs: str, mode: str, model: str, match: float, mismatch: float, open_a: float, ext_a: float, open_b: float, ext_b: float, band: int | None = None, subst: str | None = None, by_row: dict[str, str] | None = None, guided: bool = False) -> str:
     """A query of (pair_id, score).
 
     ``pairs`` is a query of pair_id, a, b.  ``band`` keeps columns around the main
-    diagonal.  ``by_row`` gives expressions in i (the row before the filled one)
+    diagonal, or with ``guided`` around the list g of ``pairs`` (affine gaps only).  ``by_row`` gives expressions in i (the row before the filled one)
     for penalties that differ by row: open_a, ext_a, open_b, ext_b.
     """
     score = subst or _match(match, mismatch)
@@ -30,7 +30,7 @@ def best_sql(pairs: str, mode: str, model: str, match: float, mismatch: float, o
     ends = {"global": "i = m AND j = n", "glocal": "i = m", "local": "TRUE"}[mode]
     inside = "TRUE"
     if band is not None:
-        g = lambda row: f"CASE WHEN m = 0 THEN 0 ELSE CAST(floor({row} * n / CAST(m AS DOUBLE) + 0.5) AS BIGINT) END"
+        g = lambda row: f"g[{row} + 1]" if guided else f"CASE WHEN m = 0 THEN 0 ELSE CAST(floor({row} * n / CAST(m AS DOUBLE) + 0.5) AS BIGINT) END"
         inside = f"(j >= ({g('(i + 1)')}) - {band} AND (j <= greatest(({g('(i + 1)')}) + {band}, CASE WHEN i + 1 < m THEN ({g('(i + 2)')}) - 1 + {band} ELSE 0 END) OR (i + 1 = m AND '{mode}' = 'global')))"
     w = "OVER (PARTITION BY pair_id ORDER BY j)"
     carry = "OVER (PARTITION BY pair_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND {} )"
@@ -50,11 +50,13 @@ SELECT pair_id, max(h) AS score FROM dp WHERE {ends} GROUP BY pair_id"""
     row0_y = f"CASE WHEN j = 0 THEN {NEG} ELSE -({open_a} + j * {ext_a}) END" if mode == "global" else NEG
     diag = f"greatest(lag(mm) {w}, lag(x) {w}, lag(y) {w}) + {score}"
     col0_m, col0_x = ("0", NEG) if mode == "local" else (NEG, f"CASE WHEN i = 0 THEN -{ob} - {eb} ELSE x - {eb} END")
+    more = ", g" if guided else ""
+    head = head.replace("length(b) AS n,", f"length(b) AS n{more},")
     return f"""{head},
 dp AS (
-  SELECT pair_id, a, b, m, n, CAST(0 AS BIGINT) AS i, j, CAST({first} AS DOUBLE) AS mm, CAST({NEG} AS DOUBLE) AS x, CAST({row0_y} AS DOUBLE) AS y FROM cells
+  SELECT pair_id, a, b, m, n{more}, CAST(0 AS BIGINT) AS i, j, CAST({first} AS DOUBLE) AS mm, CAST({NEG} AS DOUBLE) AS x, CAST({row0_y} AS DOUBLE) AS y FROM cells
   UNION ALL
-  SELECT pair_id, a, b, m, n, i + 1, j, nm, nx,
+  SELECT pair_id, a, b, m, n{more}, i + 1, j, nm, nx,
          CASE WHEN j > 0 AND {inside} THEN greatest(coalesce(max(greatest(nm, nx) + j * {ea}) {carry.format('1 PRECEDING')}, {NEG}) - {oa} - j * {ea}, {NEG}) ELSE {NEG} END
   FROM (
     SELECT *, CAST(CASE WHEN j = 0 THEN {col0_m} WHEN {inside} THEN {f'greatest({diag}, 0)' if mode == 'local' else diag} ELSE {NEG} END AS DOUBLE) AS nm,
@@ -103,3 +105,80 @@ dp AS (
   )
 )
 SELECT pair_id, round({t} * ln(sum(mm + x + y)), 6) AS log_z FROM dp WHERE {ends} GROUP BY pair_id"""
+
+
+def _best(m: str, x: str, y: str, less_m: str = "", less_x: str = "", less_y: str = "") -> str:
+    """The best of three cells (structs with a value v) after what is taken off each: M before X before Y."""
+    vm, vx, vy = f"({m}.v{less_m})", f"({x}.v{less_x})", f"({y}.v{less_y})"
+    with_value = lambda c, v: f"{{'v': {v}, 'p': {c}.p, 'ga': {c}.ga, 'gb': {c}.gb, 'si': {c}.si, 'sj': {c}.sj}}"
+    return f"CASE WHEN {vm} >= {vx} AND {vm} >= {vy} THEN {with_value(m, vm)} WHEN {vx} >= {vy} THEN {with_value(x, vx)} ELSE {with_value(y, vy)} END"
+
+
+def path_sql(pairs: str, mode: str, match: float, mismatch: float, open_a: float, ext_a: float, open_b: float, ext_b: float) -> str:
+    """The best path of every pair under affine gaps, ties M before X before Y, the first end in row order.
+
+    Returns pair_id, a, b, score, ops (M both advance, I gap in B, D gap in A), ga and gb (the gapped
+    strings), si, sj (where the path starts) and ei, ej (where it ends).  One recursion step fills one
+    cell; each cell carries the path that led to it, so it is meant for short sequences.
+    """
+    oa, ea, ob, eb = (f"{float(x)}" for x in (open_a, ext_a, open_b, ext_b))
+    cell = lambda v, p="''", ga="''", gb="''", si="0", sj="0": f"{{'v': CAST({v} AS DOUBLE), 'p': {p}, 'ga': {ga}, 'gb': {gb}, 'si': CAST({si} AS BIGINT), 'sj': CAST({sj} AS BIGINT)}}"
+    none = cell(NEG)
+    row0 = {
+        "global": (f"CASE WHEN c = 0 THEN {cell(0)} ELSE {none} END", f"CASE WHEN c = 0 THEN {none} ELSE {cell(f'-({oa} + c * {ea})', 'repeat({}, c)'.format(chr(39) + 'D' + chr(39)), 'repeat({}, c)'.format(chr(39) + '-' + chr(39)), 'left(b, c)')} END"),
+    }.get(mode, (cell(0, sj="c"), none))
+    i1 = "(i + 1)"
+    col0 = (cell(0, si=i1), none) if mode == "local" else (none, cell(f"-({ob} + {i1} * {eb})", f"repeat('I', {i1})", f"left(a, {i1})", f"repeat('-', {i1})"))
+    # column k of a list stands at k + 1; the new cell is (i, j + 1)
+    grown = lambda c, op, x, y: f"{{'v': {c}.v, 'p': {c}.p || '{op}', 'ga': {c}.ga || {x}, 'gb': {c}.gb || {y}, 'si': {c}.si, 'sj': {c}.sj}}"
+    sub = f"(CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN {float(match)} ELSE {float(mismatch)} END)"
+    value = f"(dm.v + {sub})"
+    m_cell = grown(f"{{'v': {value}, 'p': dm.p, 'ga': dm.ga, 'gb': dm.gb, 'si': dm.si, 'sj': dm.sj}}", "M", "substr(a, i, 1)", "substr(b, j + 1, 1)")
+    if mode == "local":
+        m_cell = f"CASE WHEN {value} <= 0 THEN {cell(0, si='i', sj='j + 1')} ELSE {m_cell} END"
+    top = "greatest(nm.v, nx.v, ny.v)"
+    state = _best("nm", "nx", "ny")
+    found = {
+        "global": f"CASE WHEN i = m AND j + 1 = n THEN {state} ELSE best END",
+        "glocal": f"CASE WHEN i = m AND {top} > best.v THEN {state} ELSE best END",
+        "local": f"CASE WHEN {top} > best.v THEN {state} ELSE best END",
+    }[mode]
+    better = {"global": "i = m AND j + 1 = n", "glocal": f"i = m AND {top} > best.v", "local": f"{top} > best.v"}[mode]
+    edge = "i + 1 = m" if mode != "local" else "FALSE"  # the last row's first cell ends a glocal path (and a global one if b is empty)
+    none_yet = cell(0) if mode == "local" else none
+    return f"""WITH RECURSIVE pairs AS ({pairs}),
+dp AS (
+  SELECT pair_id, a, b, CAST(length(a) AS BIGINT) AS m, CAST(length(b) AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(length(b) AS BIGINT) AS j,
+         list_transform(range(0, length(b) + 1), lambda c: {none}) AS pm, list_transform(range(0, length(b) + 1), lambda c: {none}) AS px, list_transform(range(0, length(b) + 1), lambda c: {none}) AS py,
+         list_transform(range(0, length(b) + 1), lambda c: {row0[0]}) AS cm, list_transform(range(0, length(b) + 1), lambda c: {none}) AS cx, list_transform(range(0, length(b) + 1), lambda c: {row0[1]}) AS cy,
+         {none_yet} AS best, CAST(0 AS BIGINT) AS ei, CAST(0 AS BIGINT) AS ej
+  FROM pairs
+  UNION ALL
+  SELECT pair_id, a, b, m, n, CASE WHEN turn THEN i + 1 ELSE i END, CASE WHEN turn THEN 0 ELSE j + 1 END,
+         CASE WHEN turn THEN cm ELSE pm END, CASE WHEN turn THEN cx ELSE px END, CASE WHEN turn THEN cy ELSE py END,
+         CASE WHEN turn THEN [{col0[0]}] ELSE list_append(cm, nm) END, CASE WHEN turn THEN [{col0[1]}] ELSE list_append(cx, nx) END, CASE WHEN turn THEN [{none}] ELSE list_append(cy, ny) END,
+         CASE WHEN turn THEN CASE WHEN {edge} THEN {col0[1]} ELSE best END ELSE {found} END,
+         CASE WHEN turn THEN CASE WHEN {edge} THEN i + 1 ELSE ei END WHEN {better} THEN i ELSE ei END,
+         CASE WHEN turn THEN CASE WHEN {edge} THEN 0 ELSE ej END WHEN {better} THEN j + 1 ELSE ej END
+  FROM (
+    SELECT *, {m_cell} AS nm, {grown('ux', 'I', 'substr(a, i, 1)', "'-'")} AS nx, {grown('ly', 'D', "'-'", 'substr(b, j + 1, 1)')} AS ny
+    FROM (
+      SELECT *, j = n AS turn, {_best('pm[j + 1]', 'px[j + 1]', 'py[j + 1]')} AS dm,
+             {_best('pm[j + 2]', 'px[j + 2]', 'py[j + 2]', f' - {ob} - {eb}', f' - {eb}', f' - {ob} - {eb}')} AS ux,
+             {_best('cm[j + 1]', 'cx[j + 1]', 'cy[j + 1]', f' - {oa} - {ea}', f' - {oa} - {ea}', f' - {ea}')} AS ly
+      FROM dp WHERE i < m OR j < n
+    )
+  )
+)
+SELECT pair_id, a, b, best.v AS score, best.p AS ops, best.ga AS ga, best.gb AS gb,
+       CASE WHEN best.p = '' THEN 0 ELSE best.si END AS si, CASE WHEN best.p = '' THEN 0 ELSE best.sj END AS sj, ei, ej
+FROM dp WHERE i = m AND j = n"""
+
+
+def runs_of(ops: str) -> str:
+    """The runs of equal letters of a string, as a list in SQL."""
+    return f"regexp_extract_all({ops}, 'M+|I+|D+|=+|X+')"
+
+
+def cigar_of(ops: str) -> str:
+    return f"array_to_string(list_transform({runs_of(ops)}, lambda r: CAST(length(r) AS VARCHAR) || substr(r, 1, 1)), '')"

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder is set only where it is unset."""
+    """What ``spark.checkpoint.dir`` names; a temporary folder is made only in a local session that has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = have.get() if have.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="alignspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,3 +27,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`materialize` wrote; nothing may read the frame any more."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    for name in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

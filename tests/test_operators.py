@@ -9,7 +9,7 @@ from alignspark import DNA, AlignParams, SubstMatrix
 from alignspark.functions import encoding, render
 from alignspark.functions.oneoff import guide_j_from_aligned
 from alignspark.operators import gradient, logistic
-from alignspark.operators.align import Problem, align, score_distinct, spread
+from alignspark.operators.align import Problem, align, dealt, score_distinct
 from alignspark.operators.batch import PairBatch, SeqPair
 from alignspark.operators.pairs import block_pairs, seed_pairs
 from alignspark.sources import readers
@@ -86,7 +86,10 @@ def test_batch_lifecycle(spark):
 
 def test_single_pair(spark):
     p = SeqPair(spark, "TTTTGATTACAGGGG", "CCGATTACACC", AlignParams(SubstMatrix(2 * np.eye(4) - 1, "ACGT"), 4, 2, 4, 2), mode="local")
-    assert p.score is None and not p.path_valid
+    assert not p.score_valid and not p.path_valid
+    for read in (lambda: p.score, lambda: p.grad, lambda: p.guide_j, p.aligned):
+        with pytest.raises(RuntimeError):
+            read()
     assert p.align() == 7 == p.score and p.cigar() == "7M" and p.cigar(soft_clip=True) == "4S7M4S" and p.coordinates() == ([4, 11], [2, 9])
     assert p.formatted(0) == "GATTACA\n|||||||\nGATTACA" and p.aligned() == ("GATTACA", "GATTACA")
     assert p.grad.matrix.score("A", "A") == 3 and p.guide_j[4] == 2
@@ -112,7 +115,7 @@ def test_distinct_scoring_and_spreading(spark):
     pairs = pairs_of(spark, 30, 3)
     one = {r.pair_id: r.score for r in align(pairs, PARAMS, Problem(grad="none")).collect()}
     assert {r.pair_id: r.score for r in score_distinct(pairs, PARAMS).collect()} == one
-    assert spread(pairs, 5).rdd.getNumPartitions() == 5 and spread(pairs, 5).count() == 30
+    assert dealt(pairs.coalesce(1), 5).rdd.getNumPartitions() == 5 and dealt(pairs, 5).count() == 30 and dealt(pairs, 0) is pairs
 
 
 def test_errors_name_the_pair(spark):
