@@ -63,6 +63,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Ids that are sent to every task at most; beyond it texts are joined by shuffle.
+BROADCAST_IDS = 500_000
 #: Bytes of strings, binaries and arrays that a broadcast frame holds at most.
 BROADCAST_BYTES = 64 << 20
 
@@ -77,3 +79,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     wide = sum(sized[1:], sized[0]) if sized else F.lit(0)
     rows, size = df.select(wide.cast("bigint").alias("size")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
     return F.broadcast(df) if rows <= max_rows and (size or 0) <= BROADCAST_BYTES else df
+
+
+def distinct_texts(documents: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """(id, texts): the distinct texts of the documents that ``ids`` (id) names, one for nearly all; null counts as empty."""
+    rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("texts"))
+
+
+def with_texts(pairs: DataFrame, documents: DataFrame, id_col: str, hub: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with texts_a and texts_b, the distinct texts of both documents.
+
+    Only texts of candidates are moved.  The pairs of a document ``b`` with ``hub`` of them or more
+    are dealt out by a salt, and its text is sent along as often as needed.
+    """
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
+    texts = distinct_texts(documents, ids, id_col)
+    often = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= hub).select("b", F.ceil(F.col("k") / hub).cast("int").alias("salts")), "candidate-hubs")
+    hubs = broadcast_if_small(often, BROADCAST_IDS)
+    of_a = pairs.join(texts.withColumnsRenamed({"id": "a", "texts": "texts_a"}), "a")
+    plain = of_a.join(hubs, "b", "left_anti").join(texts.withColumnsRenamed({"id": "b", "texts": "texts_b"}), "b")
+    salted = distinct_texts(documents, often.select(F.col("b").alias("id")), id_col).withColumnsRenamed({"id": "b", "texts": "texts_b"}).join(hubs, "b")
+    salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    spread = of_a.join(hubs, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).join(salted, ["b", "salt"])
+    names = [*pairs.columns, "texts_a", "texts_b"]
+    return plain.select(names).unionByName(spread.select(names))
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let the driver forget finished shuffles, so that executors delete their files before the next step writes its own."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote; nothing may read the frame any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
