@@ -1,28 +1,36 @@
 """Licence scans in DataFrame functions only.
 
-Texts are cut into statements (lines, and sentences within lines); those that
-hold an anchor word (licence, copyright, SPDX, public domain ...) are compared
-with templates by the cosine of sparse TF-IDF vectors.  Word weights come from
-the templates: idf = ln((1 + templates) / (1 + templates with the word)) + 1, a
-word that no template has weighs the most.  A statement is a header if its best
-cosine reaches ``threshold``.  A file is a licence file if its name says so or
-if half of its words or more stand in such statements; it speaks for its
-directory.  A file without a header of its own inherits from the nearest
-ancestor directory that has a licence file, found by joining directories with
-all their ancestors.
+Three kinds of units of a text are compared with templates by the cosine of
+sparse TF-IDF vectors: statements (lines, and sentences within lines) that hold
+an anchor word (licence, copyright, SPDX, warranty ...; every template holds
+one); blocks, that is runs of neighbouring paragraphs that hold one each; and
+the whole of every text that holds one.  Templates are one-line grants, the
+usual notices at the head of source files, and whole licence texts
+(``license_texts/``).  Word weights come from the templates: idf =
+ln((1 + templates) / (1 + templates with the word)) + 1, a word that no template
+has weighs the most.  A unit is a header if its best cosine reaches
+``threshold``; the text takes its best header, one that merely reserves all
+rights only if there is no other.  A file is a licence file if its name says so
+or if half of its words or more stand in such statements, or in such blocks; it
+speaks for its directory.  A file without a header of its own inherits from the
+nearest ancestor directory that has a licence file, found by joining directories
+with all their ancestors.
 
 What is small by definition (the templates) is sent to every executor; equal
-statements are scored once.  Directories are resolved once each and then joined
-to their files, so a directory with a third of all files costs one row.
+units are scored once.  Directories are resolved once each and then joined to
+their files, so a directory with a third of all files costs one row.
 
 Defined results: null and empty texts have no header; a null path has no
-directory and inherits nothing; between equal cosines the first licence name
-wins; of several licence files in a directory the one with the highest cosine,
-then the first name.
+directory and inherits nothing; rows with one id share their header, and a row
+with a null id is known by its text; between equal cosines the first licence
+name wins; of several licence files in a directory the one with the highest
+cosine, then the first name.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +38,13 @@ from alignspark.llm.common import broadcast_if_small, materialize
 
 THRESHOLD = 0.6
 #: Words by which a statement can be about a licence at all.
-ANCHORS = r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|all rights reserved"
+ANCHORS = r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|all rights reserved|permission|redistribut|warrant|liab|free software|as[ -]is|restriction|altered source"
+#: Where paragraphs end: at lines without a letter or digit.
+PARAGRAPHS = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
-#: Short statements by which licences are granted.
-TEMPLATES: list[tuple[str, str]] = [
+# Statements and notices by which licences are granted.
+GRANTS: list[tuple[str, str]] = [
     ("AGPL-3.0", "licensed under the GNU Affero General Public License version 3"),
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -62,9 +72,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "released into the public domain by the Unlicense"),
     ("proprietary", "Copyright all rights reserved"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((name, f"This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this program. If not, see http://www.gnu.org/licenses/") for name, kind, version, mark in (
+        ("AGPL-3.0", "Affero General Public License", "3", ":"), ("GPL-2.0", "General Public License", "2", ";"), ("GPL-3.0", "General Public License", "3", ":"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1", ";"), ("LGPL-3.0", "Lesser General Public License", "3", ":"))),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 ]
 
 
+def _texts() -> list[tuple[str, str]]:
+    """(licence, its whole text), in the order of names."""
+    return [(path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+TEMPLATES: list[tuple[str, str]] = GRANTS + _texts()
+
+
 def terms(text: Column) -> Column:
     """Words of a statement: runs of ASCII letters, digits and inner dots or hyphens."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
@@ -87,6 +111,19 @@ def statements(text: Column) -> Column:
     return F.filter(F.split(text, r"\n|(?<=[.!?;])\s"), lambda s: s.rlike(ANCHORS))
 
 
+def blocks(text: Column) -> Column:
+    """The runs of neighbouring paragraphs that hold an anchor word each; runs of one line are statements already."""
+    state = lambda done, run: F.struct(done.alias("done"), run.alias("run"))
+
+    def step(acc: Column, part: Column) -> Column:
+        grown = F.when(acc["run"] == "", part).otherwise(F.concat_ws("\n", acc["run"], part))
+        return F.when(part.rlike(ANCHORS), state(acc["done"], grown)).otherwise(state(F.when(acc["run"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["run"])), F.lit("")))
+
+    parts = F.concat(F.split(text, PARAGRAPHS), F.array(F.lit("")))  # the last one ends every run
+    found = F.aggregate(parts, state(F.array().cast("array<string>"), F.lit("")), step, lambda acc: acc["done"])
+    return F.filter(found, lambda b: b.contains("\n"))
+
+
 def score_statements(found: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(statement, license, score, n_terms): the best template of each distinct statement."""
     vectors, unknown = template_vectors(found.sparkSession, templates)
@@ -115,13 +152,19 @@ def ancestors(folder: Column) -> Column:
 
 def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """id, license, score, origin ('header', 'file', 'inherited' or 'none') and inherited_from of every file."""
-    rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text).cast("string").alias("text"))
-    said = rows.where(F.col("text").rlike(ANCHORS)).select("id", F.explode(statements(F.col("text"))).alias("statement"))
-    said = materialize(said.groupBy("id", "statement").agg(F.count(F.lit(1)).alias("times")), "license-statements")
+    body = F.col(text).cast("string")
+    key = F.struct(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), F.sha2(body, 256)).alias("digest"))
+    rows = files.select(key.alias("id"), path.alias("path"), body.alias("text"))
+    units = F.array(
+        *(F.struct(F.lit(kind).alias("kind"), parts.alias("parts")) for kind, parts in (("line", statements(F.col("text"))), ("block", blocks(F.col("text"))), ("whole", F.array("text")))),
+    )
+    said = rows.where(F.col("text").rlike(ANCHORS)).select("id", F.explode(units).alias("u")).select("id", "u.kind", F.explode("u.parts").alias("statement"))
+    said = materialize(said.groupBy("id", "kind", "statement").agg(F.count(F.lit(1)).alias("times")), "license-statements")
     scored = materialize(score_statements(said, templates).where(F.col("score") >= threshold), "license-scores")
+    words_in = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("times") * F.col("n_terms"))), F.lit(0))
     own = (
         said.join(scored, "statement").groupBy("id")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"), F.sum(F.col("times") * F.col("n_terms")).alias("said"))
+        .agg(F.min(F.struct((F.col("license") == "proprietary").alias("p"), (-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"), F.greatest(*map(words_in, ("line", "block", "whole"))).alias("said"))
         .select("id", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), "said")
     )
     own = materialize(own, "license-headers")
@@ -142,7 +185,7 @@ def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", thresh
     out = rows.select("id", directory(F.col("path")).alias("folder")).join(broadcast_if_small(materialize(mine, "license-own"), 200_000), "id", "left").join(nearest, "folder", "left")
     header = F.col("license").isNotNull()
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("id.id").alias(id_col),
         F.when(header, F.col("license")).otherwise(F.col("from_license")).alias("license"),
         F.when(header, F.col("score")).otherwise(F.col("from_score")).alias("score"),
         F.when(header, F.when(F.col("is_file"), F.lit("file")).otherwise(F.lit("header"))).when(F.col("from_license").isNotNull(), F.lit("inherited")).otherwise(F.lit("none")).alias("origin"),
@@ -156,8 +199,9 @@ def document_path() -> Column:
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The scan of ``documents`` in DuckDB."""
-    rows = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(templates))
+    """The scan of ``documents`` in DuckDB (ids not null)."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, '{a}', {quoted(b)})" for i, (a, b) in enumerate(templates))
     anchors, names = ANCHORS, FILE_NAMES
     words = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
     return f"""
@@ -165,13 +209,20 @@ WITH tpl(template, license, body) AS (VALUES {rows}),
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({words.format('body')}) AS term FROM tpl) GROUP BY ALL),
 idf AS (SELECT term, ln((1 + {len(templates)}) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
 tv AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
-st AS (SELECT doc_id, statement FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\x0B\\f\\r]', E'\\\\1\\n', 'g'), E'\\n')) AS statement FROM documents) WHERE regexp_matches(statement, '{anchors}')),
+an AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{anchors}')),
+ln AS (SELECT doc_id, statement FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\x0B\\f\\r]', E'\\\\1\\n', 'g'), E'\\n')) AS statement FROM an) WHERE regexp_matches(statement, '{anchors}')),
+pa AS (SELECT doc_id, p, unnest(parts[p : p]) AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT doc_id, string_split_regex(text, '{PARAGRAPHS}') AS parts FROM an))),
+isl AS (SELECT doc_id, p, part, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM pa WHERE regexp_matches(part, '{anchors}')),
+bl AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY p) AS statement FROM isl GROUP BY doc_id, island),
+st AS (SELECT doc_id, 'line' AS kind, statement FROM ln UNION ALL SELECT doc_id, 'block', statement FROM bl WHERE contains(statement, chr(10)) UNION ALL SELECT doc_id, 'whole', text FROM an),
 sw AS (SELECT statement, term, count(*) AS tf FROM (SELECT statement, unnest({words.format('statement')}) AS term FROM (SELECT DISTINCT statement FROM st)) GROUP BY ALL),
 sv AS (SELECT statement, term, tf, tf * coalesce(idf, ln(1 + {len(templates)}) + 1) AS w FROM sw LEFT JOIN idf USING (term)),
 sn AS (SELECT statement, sqrt(sum(w * w)) AS norm, sum(tf) AS n_terms FROM sv GROUP BY statement),
 sc AS (SELECT statement, license, round(max(dot) / any_value(norm), 6) AS score, any_value(n_terms) AS n_terms FROM (SELECT statement, template, license, sum(w * weight) AS dot FROM sv JOIN tv USING (term) GROUP BY ALL) JOIN sn USING (statement) GROUP BY statement, license),
 sb AS (SELECT * FROM sc WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY statement ORDER BY score DESC, license) = 1),
-dh AS (SELECT doc_id, license, score, said FROM (SELECT doc_id, license, score, sum(n_terms) OVER (PARTITION BY doc_id) AS said, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM st JOIN sb USING (statement)) WHERE r = 1),
+hits AS (SELECT doc_id, kind, license, score, n_terms FROM st JOIN sb USING (statement)),
+sums AS (SELECT doc_id, max(s) AS said FROM (SELECT doc_id, kind, sum(n_terms) AS s FROM hits GROUP BY ALL) GROUP BY doc_id),
+dh AS (SELECT doc_id, license, score, said FROM (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY license = 'proprietary', score DESC, license) AS r FROM hits) JOIN sums USING (doc_id) WHERE r = 1),
 fo AS (SELECT doc_id, coalesce(source, '_') AS top, coalesce(source, '_') || '/' || coalesce(lang, '_') AS folder, license, score, regexp_matches(CAST(doc_id AS VARCHAR), '{names}') OR said * 2 >= len({words.format("coalesce(text, '')")}) AS is_file FROM documents LEFT JOIN dh USING (doc_id)),
 sp AS (SELECT folder, license, score FROM fo WHERE license IS NOT NULL AND is_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license) = 1)
 SELECT fo.doc_id, coalesce(fo.license, sp.license) AS license, coalesce(fo.score, sp.score) AS score,

@@ -40,6 +40,23 @@ def test_every_template_finds_its_licence(spark):
     assert [got[f"d{i}/x"].license for i in range(len(licenses.TEMPLATES))] == [a for a, _ in licenses.TEMPLATES]
 
 
+def test_whole_texts_and_notices_in_files(spark):
+    filled = lambda t: t.replace("<year>", "2021").replace("<copyright holders>", "Jane Doe. All rights reserved.")
+    whole = [(f"w{i}/LICENSE", filled(t)) for i, (_, t) in enumerate(licenses._texts())]
+    commented = [(f"c{i}/main.c", "/*\n * " + filled(t).replace("\n", "\n * ") + "\n */\n\nint main(void) { return twice(thrice(once)); }\n" + "static int f(int x) { return x; }\n" * 40) for i, (name, t) in enumerate(licenses._texts()) if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    got = scan(spark, whole + commented + [("p/x.c", "Copyright 2020 Foo Inc. All rights reserved.\n\nint x;\n" * 1 + "int y;\n" * 30)])
+    for i, (name, _) in enumerate(licenses._texts()):
+        assert (got[f"w{i}/LICENSE"].license, got[f"w{i}/LICENSE"].origin) == (name, "file")
+        if f"c{i}/main.c" in got:
+            assert (got[f"c{i}/main.c"].license, got[f"c{i}/main.c"].origin) == (name, "header")
+    assert got["p/x.c"].license == "proprietary"
+
+
+def test_a_null_id_keeps_its_header(spark):
+    df = spark.createDataFrame([(None, "a/b", "Released under the MIT License"), (None, "a/c", "nothing here"), (1, "q/b", "nothing here")], "n int, path string, text string")
+    assert sorted(str(r.license) for r in licenses.scan(df, "n", F.col("path")).collect()) == ["MIT", "MIT", "None"]  # a/c inherits
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a/b", "MIT License"), (1, "a/b", "MIT License")], "n int, path string, text string")
     assert licenses.scan(df, "n", F.col("path")).count() == 2
