@@ -1,11 +1,12 @@
 """Quality classifier: zstandard dictionaries of good and of bad text, compared by compressed size.
 
 Each text is compressed in blocks of 2 KiB, once with a dictionary trained on
-good text and once with one trained on bad text.  The difference of the two
-sizes over the text's own size, and the size with the good dictionary over the
-text's own size, pass through a logistic curve fitted on labelled texts that
-trained neither dictionary.  Blocks keep the dictionary's influence alike in
-short and long texts; every byte of a text counts.
+good text and once with one trained on bad text.  The score is the difference of
+the two sizes over the text's own size, wb * bad - wg * good, through a logistic
+curve.  The weights of the two sizes are fitted with the curve on labelled texts
+that trained neither dictionary, as one dictionary helps any text more than the
+other does.  Blocks keep the dictionary's influence alike in short and long
+texts; every byte of a text counts.
 
 Training uses a bounded sample of the labelled rows: ``sample_docs`` a class at
 most, the first by a hash of the id, half for the dictionaries (``sample_blocks``
@@ -36,7 +37,7 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Two dictionaries and the curve's weights (bias, size difference, size)."""
+    """Two dictionaries and the curve's weights (bias, size with the bad one, size with the good one)."""
 
     bad: bytes
     good: bytes
@@ -56,7 +57,7 @@ def _coder(content: bytes):
 
 
 def sizes(bad: bytes, good: bytes, text: str | None) -> tuple[float, float]:
-    """((size by bad - size by good) / bytes, size by good / bytes) of a whole text."""
+    """(size with the bad dictionary / bytes, size with the good one / bytes) of a whole text."""
     if (bad, good) not in _coders:
         _coders.clear()
         _coders[bad, good] = (_coder(bad), _coder(good))
@@ -68,7 +69,7 @@ def sizes(bad: bytes, good: bytes, text: str | None) -> tuple[float, float]:
         b += len(by_bad.compress(block))
         g += len(by_good.compress(block))
     n = max(len(raw), 1)
-    return (b - g) / n, g / n
+    return b / n, g / n
 
 
 def train_dictionary(blocks: list[bytes], size: int = 112_640) -> bytes:
@@ -82,15 +83,22 @@ def train_dictionary(blocks: list[bytes], size: int = 112_640) -> bytes:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
-    """Logistic weights on the two figures, by Newton steps on standardized columns."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    a = np.c_[np.ones(len(x)), (x - mean) / spread]
+    """Logistic weights on the two sizes, by Newton steps on their standardized difference and sum."""
+    turned = np.c_[x[:, 0] - x[:, 1], x[:, 1]]  # the sizes go up and down together: these two hardly do
+    mean, spread = turned.mean(0), turned.std(0) + 1e-9
+    a = np.c_[np.ones(len(x)), (turned - mean) / spread]
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
         w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(3), a.T @ (y - p) - ridge * w)
-    w1, w2 = w[1] / spread[0], w[2] / spread[1]
-    return float(w[0] - w1 * mean[0] - w2 * mean[1]), float(w1), float(w2)
+    gap, good = w[1] / spread[0], w[2] / spread[1]
+    return float(w[0] - gap * mean[0] - good * mean[1]), float(gap), float(good - gap)
+
+
+def scores(model: QualityModel, texts) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of label 1, the two sizes) of each text."""
+    x = np.array([sizes(model.bad, model.good, t) for t in texts], float).reshape(-1, 2)
+    return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -35, 35))), x
 
 
 def training_rows(labels: DataFrame, sample_docs: int) -> DataFrame:
@@ -139,8 +147,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample_docs: int = 3000
     rows = sample.where("half = 1").select("quality", figures("text").alias("x")).collect()  # bounded by sample_docs
     y = np.array([r[0] for r in rows], float)
     drop_path(spark, path)
-    if len(rows) < 4 or y.min() == y.max():
-        return QualityModel(bad, good, (0.0, 1.0, 0.0))
+    if len(rows) < 4 or y.min() == y.max():  # nothing to calibrate on: the plain difference
+        return QualityModel(bad, good, (0.0, 1.0, -1.0))
     return QualityModel(bad, good, fit_curve(np.array([r[1] for r in rows]), y))
 
 
@@ -149,25 +157,19 @@ def score_quality(documents: DataFrame, model: QualityModel, id_col: str = "doc_
     src = documents.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w0, w1, w2 = model.weights
         for batch in batches:
-            x = np.array([sizes(model.bad, model.good, t.as_py()) for t in batch.column(1)], float).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-np.clip(w0 + x @ np.array([w1, w2]), -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[id_col, "score", "predicted", "size_gap", "size_good"])
+            score, x = scores(model, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[id_col, "score", "predicted", "size_bad", "size_good"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, size_gap double, size_good double")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, size_bad double, size_good double")
 
 
 def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """The rows that the classifier accepts, with the columns that they came with."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        w0, w1, w2 = model.weights
-        x = np.array([sizes(model.bad, model.good, t) for t in texts], float).reshape(-1, 2)
-        return pd.Series(1 / (1 + np.exp(-np.clip(w0 + x @ np.array([w1, w2]), -35, 35))))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(model, texts.to_pylist())[0])
 
     return documents.where(score(F.col("text").cast("string")) >= threshold)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -16,6 +17,27 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.97
     good = [r for r in rows if r.quality == 1]
     assert sum(r.predicted for r in good) / len(good) > 0.98
+    # calibrated: in each tenth of the scores, their mean is near the share of label 1, weighed by its rows
+    tenths = {}
+    for r in rows:
+        tenths.setdefault(min(int(r.score * 10), 9), []).append((r.score, r.quality))
+    assert sum(abs(sum(s for s, _ in x) - sum(q for _, q in x)) for x in tenths.values()) / len(rows) < 0.03
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in rows[:200]:
+        assert r.score == pytest.approx(plain_score(model, text[r.doc_id]), abs=1e-12)
+
+
+def plain_score(model, text):
+    """The score by its definition: two compressors, blocks of 2 KiB, a weighted difference, the logistic curve."""
+    import zstandard
+
+    raw, total = (text or "").encode(), []
+    for content in (model.bad, model.good):
+        z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        total.append(sum(len(z.compress(raw[i : i + 2048])) for i in range(0, max(len(raw), 1), 2048)))
+    n = max(len(raw), 1)
+    bias, wb, wg = model.weights
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, bias + wb * total[0] / n + wg * total[1] / n))))
 
 
 def test_training_rows_are_bounded_and_not_held_out(spark):
