@@ -14,10 +14,13 @@ The documents' side never leaves its task before it has met an item.  The
 items' fingerprints are sent to every executor if they are counted to be at
 most ``BROADCAST_ROWS``; beyond that both sides are shuffled by hash.
 
+All shifts at which an item meets a document are looked at in one row, so the
+document's words are copied once for each item that it meets.
+
 Defined results: null and empty texts have no words, no hits and no items;
-items without words match nothing; rows with one id share their findings; rows
-with a null id have none; extra columns are ignored; with an empty benchmark
-nothing is hit.
+items without words match nothing; rows with one id share their findings; a row
+with a null id is known by its text instead, and so is judged by that alone;
+extra columns are ignored; with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
@@ -67,68 +70,79 @@ def fingerprints(rows: DataFrame, key: str, gram: int, span: int) -> DataFrame:
     return kept.select(key, F.shiftright("kept", PLACE_BITS).alias("print"), F.col("kept").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
 
 
+def _doc() -> Column:
+    """What a document is known by: its id, or where that is null the digest of its text.  It is never null itself."""
+    return F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest")).alias("doc")
+
+
 def occurrences(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, places): which items have windows in which documents, and the document's words they cover.
+    """(doc, item_id, places): which items have windows in which documents, and the document's words they cover.
 
-    One row for each document, item and shift at which they match.
+    One row for each document and item that match.
     """
     if window != GRAM + SPAN - 1:
         raise ValueError(f"fingerprints are set for windows of {GRAM + SPAN - 1} words")
     # an item, once for each of its texts
     item_words = materialize(items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct(), "benchmark-words")
     lengths = [r[0] for r in item_words.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]  # ten values at most
-    docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = documents.select(_doc(), "text")
     met = None
     for n in lengths:
         gram, span = (GRAM, SPAN) if n == window else (n, 1)
         own = item_words.where(F.size("words") >= window if n == window else F.size("words") == n)
         prints = fingerprints(own, "item_id", gram, span).withColumnRenamed("place", "item_place")
         found = (
-            fingerprints(docs.select("doc_id", words(F.col("text")).alias("words")), "doc_id", gram, span)
+            fingerprints(docs.select("doc", words(F.col("text")).alias("words")), "doc", gram, span)
             .join(broadcast_if_small(prints, BROADCAST_ROWS), "print")
-            .select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
+            .select("doc", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
         )
         met = found if met is None else met.unionByName(found)
     if met is None:
-        return documents.sparkSession.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, places array<int>")
-    met = materialize(met.distinct(), "benchmark-meetings")
-    hit_docs = docs.join(broadcast_if_small(met.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+        return documents.sparkSession.createDataFrame([], f"doc struct<doc_id:{documents.schema['doc_id'].dataType.simpleString()},digest:string>, item_id {items.schema['item_id'].dataType.simpleString()}, places array<int>")
+    met = materialize(met.groupBy("doc", "item_id").agg(F.collect_set("shift").alias("shifts")), "benchmark-meetings")
+    hit_docs = docs.join(broadcast_if_small(met.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi")
     both = (
-        hit_docs.select("doc_id", words(F.col("text")).alias("words"))
-        .join(met, "doc_id")
+        hit_docs.select("doc", words(F.col("text")).alias("words"))
+        .join(met, "doc")
         .join(broadcast_if_small(item_words.withColumnRenamed("words", "item_words"), BROADCAST_ROWS // 100), "item_id")
     )
     n = F.least(F.size("item_words"), F.lit(window))
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - n
-    starts = F.when(high >= low, F.filter(F.sequence(low, F.greatest(low, high)), lambda q: F.slice("words", q + F.col("shift") + 1, n) == F.slice("item_words", q + 1, n))).otherwise(F.array().cast("array<int>"))
+
+    def covered(shift: Column) -> Column:
+        """The document's words within windows of the item along one shift."""
+        low = F.greatest(F.lit(0), -shift)
+        high = F.least(F.size("item_words"), F.size("words") - shift) - n
+        starts = F.when(high >= low, F.filter(F.sequence(low, F.greatest(low, high)), lambda q: F.slice("words", q + shift + 1, n) == F.slice("item_words", q + 1, n))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda q: F.sequence(q + shift, q + shift + n - 1)))
+
     return (
-        both.select("doc_id", "item_id", "shift", n.alias("n"), starts.alias("starts"))
-        .where(F.size("starts") > 0)
-        .select("doc_id", "item_id", F.array_distinct(F.flatten(F.transform("starts", lambda q: F.sequence(q + F.col("shift"), q + F.col("shift") + F.col("n") - 1)))).alias("places"))
+        both.select("doc", "item_id", F.array_distinct(F.flatten(F.transform("shifts", covered))).alias("places"))
+        .where(F.size("places") > 0)
     )
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), items_sha256 and contaminated of every document."""
     found = materialize(occurrences(documents, items, window), "benchmark-occurrences")
-    n_hit = found.select("doc_id", F.explode("places").alias("place")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
+    n_hit = found.select("doc", F.explode("places").alias("place")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
     # as many entries as the benchmark has items, at most
-    which = found.select("doc_id", F.col("item_id").cast("string").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    rows = documents.select("doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    out = rows.join(n_hit.join(which, "doc_id", "full"), "doc_id", "left")
+    which = found.select("doc", F.col("item_id").cast("string").alias("item")).groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = documents.select(_doc(), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    out = rows.join(n_hit.join(which, "doc", "full"), "doc", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     hits = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
-        "doc_id", "n_words", hits.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), items_.alias("items"),
+        "doc.doc_id", "n_words", hits.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), items_.alias("items"),
         F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no window of any item, with the columns that they came with."""
-    found = occurrences(documents, items, window).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    found = materialize(occurrences(documents, items, window).select("doc").distinct(), "contaminated-ids")
+    mark = documents.select("*", _doc().alias("_contaminated_key"))
+    gone = broadcast_if_small(found.withColumnRenamed("doc", "_contaminated_key"), BROADCAST_ROWS)
+    return mark.join(gone, "_contaminated_key", "left_anti").select(documents.columns)
 
 
 #: The same result in DuckDB.

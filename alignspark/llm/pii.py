@@ -215,10 +215,12 @@ def redact_text(text: str) -> str:
 def redacted(text: Column) -> Column:
     """A text column without personal data; null stays null."""
 
-    @F.pandas_udf("string")
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([redact_text(t) if t else t for t in texts], dtype=object)
-
-    return F.when(text.rlike("[0-9@]"), run(text)).otherwise(text)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        some = _proposals(texts)
+        if not some.any():
+            return texts
+        at = pa.array(some)
+        return pc.replace_with_mask(texts, at, pa.array([redact_text(t) for t in texts.filter(at).to_pylist()], texts.type))
+
+    return run(text)

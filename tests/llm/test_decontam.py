@@ -65,7 +65,9 @@ def test_rows_that_share_an_id(spark):
     d = spark.createDataFrame([(1, "x y z"), (1, "x y z"), (None, "x y z")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "y"), (7, "y z"), (7, "y")], "item_id long, text string")
     rows = decontam.contamination(d, b).collect()
-    assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in rows) == [(0, 0, 0), (1, 2, 1), (1, 2, 1)]
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in rows) == [(0, 2, 1), (1, 2, 1), (1, 2, 1)]
+    more = d.unionByName(spark.createDataFrame([(None, "clean"), (None, None)], "doc_id long, text string"))
+    assert sorted((r.text or "") for r in decontam.drop_contaminated(more, b).collect()) == ["", "clean"]
 
 
 def test_table(spark, sf):
