@@ -7,6 +7,7 @@ Parameters are integral where exact scores are compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -22,8 +23,9 @@ from alignspark.operators.batch import PairBatch
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
 from alignspark.params import AlignParams, SubstMatrix
 from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, runs_of
-from alignspark.sources.storage import materialize
-from alignspark.streaming.scoring import score_stream
+from alignspark.sources.readers import read_fasta, read_pairs_tsv, write_pairs_tsv
+from alignspark.sources.storage import materialize, shared_dir
+from alignspark.streaming.scoring import run_to_parquet, score_stream, windowed_scores
 
 NAMES = Alphabet.get("abcdefghijklmnopqrstuvwxyz ")
 
@@ -161,6 +163,8 @@ for _name, _mode in (("nw_score", "global"), ("sw_score", "local"), ("glocal_sco
 _score_query("nw_score_asymmetric", dna, DNA_PAIRS, DNA, "global", "affine", SKEWED)
 _score_query("nw_score_banded", dna, DNA_PAIRS, DNA, "global", "affine", AFFINE, band=4)
 _score_query("sw_score_banded", names, NAMES_SQL, NAMES, "local", "linear", PLAIN, band=2)
+for _type in ("int8", "int32", "int64"):
+    _score_query(f"nw_score_{_type}", names, NAMES_SQL, NAMES, "global", "affine", AFFINE, precision=_type)
 _score_query("nw_score_int16", names, NAMES_SQL, NAMES, "global", "affine", AFFINE, precision="int16")
 _score_query("sw_score_float32", names, NAMES_SQL, NAMES, "local", "affine", AFFINE, precision="float32")
 
@@ -195,6 +199,47 @@ def nw_score_tracked(spark, sf_dir):
     return align(names(spark, sf_dir).withColumn("track", track), _two_sets(NAMES), Problem("local", "affine", "none"))
 
 
+@query("align_errors", f"SELECT pair_id, CASE WHEN n % 3 > 0 THEN score END AS score, CASE n % 3 WHEN 0 THEN 'seq_b is null' END AS error FROM (SELECT pair_id, length(a) + length(b) AS n FROM ({NAMES_SQL})) JOIN ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)}) USING (pair_id)")
+def align_errors(spark, sf_dir):
+    """Pairs that cannot be aligned get a null score and the reason."""
+    pairs = names(spark, sf_dir).withColumn("seq_b", F.when((F.length("seq_a") + F.length("seq_b")) % 3 > 0, F.col("seq_b")))
+    return align(pairs, uniform(NAMES, *AFFINE), Problem("global", "affine", "none"), on_error="null")
+
+
+# the DNA of a nation's suppliers, one after another
+_LONG_SQL = f"""WITH s AS (SELECT s_nationkey AS nation, string_agg({_DNA.format("'s' || CAST(s_suppkey AS VARCHAR)")}, '' ORDER BY s_suppkey) AS dna FROM supplier GROUP BY s_nationkey)
+SELECT x.nation * 100 + y.nation AS pair_id, x.dna AS a, y.dna AS b FROM s x JOIN nation nx ON nx.n_nationkey = x.nation JOIN s y ON x.nation < y.nation JOIN nation ny ON ny.n_nationkey = y.nation AND nx.n_regionkey = ny.n_regionkey"""
+
+
+@query("long_pairs_edits", f"SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(-levenshtein(a, b) AS DOUBLE) AS score, CAST(levenshtein(a, b) AS BIGINT) AS edits FROM ({_LONG_SQL})")
+def long_pairs_edits(spark, sf_dir):
+    """Edit distances of long sequences, as the score and as counted along the path."""
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.struct("s_suppkey", dna_of(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("dna")).alias("x"))
+    s = s.groupBy("nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["dna"]), "").alias("dna"))
+    s = s.join(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")), "nation")
+    pairs = block_pairs(s, "nation", "dna", "region").select((F.col("id_a") * 100 + F.col("id_b")).cast("bigint").alias("pair_id"), "seq_a", "seq_b")
+    found = align(pairs, uniform(DNA, *UNIT), Problem("global", "linear", "none"), ("score", "path")).join(pairs, "pair_id")
+    c = render.cigar(*map(F.col, _VIEW), extended=True)
+    runs = F.regexp_extract_all(c, F.lit("([0-9]+)[XID]"), F.lit(1))
+    return found.select("pair_id", "score", F.aggregate(runs, F.lit(0), lambda acc, x: acc + x.cast("int")).cast("bigint").alias("edits"))
+
+
+@query("pairs_tsv_roundtrip", f"SELECT a AS seq_a, b AS seq_b FROM ({NAMES_SQL})")
+def pairs_tsv_roundtrip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    write_pairs_tsv(names(spark, sf_dir), path)
+    return read_pairs_tsv(spark, path).select("seq_a", "seq_b")
+
+
+@query("fasta_records", "SELECT 'part' || CAST(p_partkey AS VARCHAR) AS name, 'part' || CAST(p_partkey AS VARCHAR) || ' ' || p_brand AS description, replace(p_name, ' ', '') AS sequence FROM part")
+def fasta_records(spark, sf_dir):
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("part"), F.col("p_partkey").cast("string"))
+    record = F.concat(F.lit(">"), name, F.lit(" "), F.col("p_brand"), F.lit("\n"), F.replace("p_name", F.lit(" "), F.lit("\n")))
+    _read(spark, sf_dir, "part").select(record.alias("value")).write.text(path)
+    return read_fasta(spark, path)
+
+
 # Paths --------------------------------------------------------------------
 def _paths(spark, sf_dir, mode, model, values, keep=("path",)):
     pairs = names(spark, sf_dir)
@@ -504,10 +549,6 @@ def score_histogram(spark, sf_dir):
 @query("stream_equals_batch", best_sql(NAMES_SQL, "local", "linear", *PLAIN))
 def stream_equals_batch(spark, sf_dir):
     """Pairs read as a stream, aligned by the same operator, and written once."""
-    from alignspark.sources.storage import shared_dir
-    from alignspark.streaming.scoring import run_to_parquet
-    import uuid
-
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     pairs = names(spark, sf_dir)
     pairs.write.parquet(f"{base}/in")
@@ -516,6 +557,19 @@ def stream_equals_batch(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("stream_windowed_scores", f"SELECT CAST((length(a) * 60 + length(b)) // 120 AS BIGINT) AS window_minute, count(*) AS n, sum(score) AS total, max(score) AS best FROM ({NAMES_SQL}) JOIN ({best_sql(NAMES_SQL, 'local', 'linear', *PLAIN)}) USING (pair_id) GROUP BY ALL")
+def stream_windowed_scores(spark, sf_dir):
+    """Event-time windows of two hours over scores of a stream; the last windows close with it."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = names(spark, sf_dir).withColumn("ts", F.timestamp_seconds((F.length("seq_a") * 60 + F.length("seq_b")) * 60))
+    pairs.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(pairs.schema).parquet(f"{base}/in")
+    sums = windowed_scores(score_stream(stream, uniform(NAMES, *PLAIN), Problem("local", "linear", "none"), keep=("ts",)), "ts", "120 minutes", "1 day")
+    table_name = f"windows_{uuid.uuid4().hex}"
+    sums.writeStream.outputMode("complete").format("memory").queryName(table_name).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(table_name).select((F.unix_timestamp(F.col("window.start")) / 7200).cast("bigint").alias("window_minute"), "n", "total", "best")
+
+
 # User journeys: a letter an event type.
 _LETTERS = (("click", "A"), ("error", "B"), ("purchase", "C"), ("signup", "D"), ("view", "E"))
 JOURNEY = Alphabet.get("ABCDE")

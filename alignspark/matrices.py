@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import SparkSession
 
-from alignspark.alphabet import IUPAC_DNA
+from alignspark.alphabet import IUPAC_DNA, NCBI_PROTEIN
 from alignspark.params import SubstMatrix
 
 # Which bases each IUPAC code stands for.
@@ -81,3 +81,16 @@ def parse_ncbi(text: str, symbols: str | None = None) -> SubstMatrix:
 def read_ncbi(spark: SparkSession, path: str, symbols: str | None = None) -> SubstMatrix:
     """Read BLOSUM, PAM, VTML or other NCBI-format matrix files through Spark's reader (a few KB each)."""
     return parse_ncbi(spark.read.text(path, wholetext=True).first()[0], symbols)
+
+
+#: Protein matrices that are published in NCBI's format; each is a file of its own name.
+PUBLISHED = ("BLOSUM45", "BLOSUM50", "BLOSUM62", "BLOSUM80", "BLOSUM90", "PAM30", "PAM70", "PAM250", "VTML40", "VTML80", "VTML160", "VTML200")
+
+
+def load(spark: SparkSession, name: str, folder: str) -> SubstMatrix:
+    """A published matrix by name, over the 23 letters of NCBI's order, from a folder of NCBI-format files; NUC44 needs none."""
+    if name == "NUC44":
+        return NUC44
+    if name not in PUBLISHED:
+        raise ValueError(f"unknown matrix {name!r}: expected NUC44 or one of {', '.join(PUBLISHED)}")
+    return read_ncbi(spark, f"{folder.rstrip('/')}/{name}", NCBI_PROTEIN.symbols)

@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def block_pairs(rows: DataFrame, id_col: str, seq_col: str, *blocks: str) -> DataFrame:
+#: Parts into which the left rows of each key are dealt, so that no key is joined in one task; the right rows are repeated.
+SALTS = 8
+
+
+def _salted(a: DataFrame, b: DataFrame, on: list[str], by: str, salts: int) -> DataFrame:
+    """The join of two frames on keys that few tasks would share."""
+    if salts <= 1:
+        return a.join(b, on)
+    a = a.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*on, "_salt"]).drop("_salt")
+
+
+def block_pairs(rows: DataFrame, id_col: str, seq_col: str, *blocks: str, salts: int = SALTS) -> DataFrame:
     """Every two rows of one block, once: id_a < id_b."""
     a = rows.select(*blocks, F.col(id_col).alias("id_a"), F.col(seq_col).alias("seq_a"))
     b = rows.select(*blocks, F.col(id_col).alias("id_b"), F.col(seq_col).alias("seq_b"))
-    return a.join(b, list(blocks)).where("id_a < id_b")
+    return _salted(a, b, list(blocks), "id_a", salts).where("id_a < id_b")
 
 
-def bipartite_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_seq: str, right_id: str, right_seq: str) -> DataFrame:
+def bipartite_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_seq: str, right_id: str, right_seq: str, salts: int = SALTS) -> DataFrame:
     """Every row of one table with every row of the other that shares the key."""
     a = left.select(*on, F.col(left_id).alias("id_a"), F.col(left_seq).alias("seq_a"))
     b = right.select(*on, F.col(right_id).alias("id_b"), F.col(right_seq).alias("seq_b"))
-    return a.join(b, on)
+    return _salted(a, b, on, "id_a", salts)
 
 
 def seed_pairs(queries: DataFrame, subjects: DataFrame, k: int, id_col: str, seq_col: str, least: int = 1) -> DataFrame:
@@ -44,9 +58,11 @@ def pending_pairs(pairs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def best_hits(scored: DataFrame, query: str, k: int, *ties: str) -> DataFrame:
-    """The k best-scored rows of each query."""
-    from pyspark.sql import Window as W
+    """The k best-scored rows of each query.
 
+    Spark keeps k rows a query and task before it shuffles (a window group limit), so a query that
+    meets a third of all rows sends k rows a task.
+    """
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), *ties))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
