@@ -203,3 +203,67 @@ def test_stream(spark, tmp_path):
     want = align(pairs, PARAMS, Problem("local", grad="none")).agg(F.sum("score")).first()[0]
     got = spark.sql("select count(*) n, sum(total) t from windows").first()
     assert got.n == 3 and got.t == want
+
+
+def test_pairs_in_one_partition_are_dealt_out(spark):
+    pairs = pairs_of(spark, 400, 20).coalesce(1)
+    plan = align(pairs, PARAMS, Problem("local", grad="none"))
+    used = plan.withColumn("task", F.spark_partition_id()).agg(F.countDistinct("task")).first()[0]
+    assert used > 4
+    one = align(pairs, PARAMS, Problem("local", grad="none"), tasks=0)
+    assert one.withColumn("task", F.spark_partition_id()).agg(F.countDistinct("task")).first()[0] == 1
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_errors_as_a_column(spark):
+    rows = [(1, "ACGT", "ACG", None), (2, None, "A", None), (3, "A", "AN", None), (4, "AC", "AC", [0, 2, 1]), (5, "AC", "AC", [0, 1, 2])]
+    df = spark.createDataFrame(rows, "pair_id long, seq_a string, seq_b string, guide_j array<int>")
+    got = {r.pair_id: r for r in align(df, PARAMS, Problem(band=1), ("score", "path", "guide", "grad"), on_error="null").collect()}
+    assert [got[i].error is None for i in range(1, 6)] == [True, False, False, False, True]
+    assert got[2].error == "seq_a is null" and "position 1" in got[3].error and got[4].error == "the guide decreases"
+    assert all(got[i][c] is None for i in (2, 3, 4) for c in ("score", "ops", "start_i", "guide_j", "grad")) and got[5].score is not None
+
+
+def test_settings_and_typed_classes(spark):
+    from alignspark.operators import batch as b
+
+    whole = AlignParams(SubstMatrix(3 * np.eye(4) - 1, "ACGT"), 4, 2, 4, 2)
+    small = b.PairBatchInt8(pairs_of(spark, 5), whole)
+    assert small.precision == "int8" and small.score_and_grad() == PairBatch(pairs_of(spark, 5), whole).score_and_grad()
+    pair = b.SeqPairInt8(spark, "ACGT", "ACGT", whole)
+    assert pair.align() == 8 and pair.traceback == "auto"
+    pair.traceback, pair.hb_cutoff, pair.fill = "hirschberg", 64, "rowwise"
+    assert (pair.batch.traceback, pair.batch.hb_cutoff, pair.fill) == ("hirschberg", 64, "rowwise")
+    for wrong in (lambda: pair.banded_align(3), lambda: setattr(pair, "fill", "x"), lambda: setattr(pair, "hb_cutoff", 0)):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(ValueError):
+        b.PairBatchInt8(pairs_of(spark, 5), whole * 0.5)
+    assert small[-1].first().pair_id == 4
+    with pytest.raises(IndexError):
+        small[-6]
+
+
+def test_range_of_soft_sums(spark):
+    steep = AlignParams(SubstMatrix(2000 * np.eye(4), "ACGT"), 4, 2, 4, 2)
+    pairs = pairs_of(spark, 3)
+    with pytest.raises(ValueError, match="beyond the range"):
+        align(pairs, steep, Problem(grad="soft", soft_impl="scaled"))
+    logs, chosen = (align(pairs, steep, Problem(grad="soft", soft_impl=i)).orderBy("pair_id").collect() for i in ("log", "scaled_or_log"))
+    assert logs == chosen
+    mild = [align(pairs, PARAMS, Problem(grad="soft", soft_impl=i), ("score", "grad")).orderBy("pair_id").collect() for i in ("log", "scaled")]
+    for x, y in zip(*mild, strict=True):
+        assert x.score == pytest.approx(y.score, rel=1e-11) and all(y.grad[k] == pytest.approx(v, abs=1e-9) for k, v in x.grad.items() if abs(v) > 1e-9)
+
+
+def test_published_matrices_come_from_a_folder(spark, tmp_path):
+    from alignspark import matrices
+
+    letters = "ARNDCQEGHILKMFPSTWYVBZX*"
+    rows = "\n".join(f"{a} " + " ".join(str((i * j) % 7 - 3) for j in range(24)) for i, a in enumerate(letters))
+    (tmp_path / "BLOSUM50").write_text("# comment\n  " + " ".join(letters) + "\n" + rows + "\n")
+    found = matrices.load(spark, "BLOSUM50", str(tmp_path))
+    assert found.alphabet == "ARNDCQEGHILKMFPSTWYVBZX" and found.score("R", "D") == (1 * 3) % 7 - 3
+    assert matrices.load(spark, "NUC44", "") is matrices.NUC44
+    with pytest.raises(ValueError):
+        matrices.load(spark, "BLOSUM51", str(tmp_path))
