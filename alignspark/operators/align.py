@@ -193,8 +193,13 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
             sets = [_tracks(i, x, tracks, gap_tracks) for i, x in zip(at, bm.tolist(), strict=True)]
             block.track, block.gap_track = kn.pad([t for t, _ in sets], rows, np.int64), kn.pad([g for _, g in sets], rows + 1, np.int64)
         if guides is not None or p.band:
-            chosen = [kn.default_guide(x, y) if guides is None or guides[i] is None else np.asarray(guides[i], np.int64) for i, x, y in zip(at, bm.tolist(), bn.tolist(), strict=True)]
-            block.low, block.high = kn.band_columns(chosen, bn, p.band, p.mode)
+            if guides is None:  # pairs of the same lengths have the same band
+                kinds, of_pair = np.unique(np.stack([bm, bn]), axis=1, return_inverse=True)
+                low, high = kn.band_columns([kn.default_guide(x, y) for x, y in kinds.T.tolist()], kinds[1], p.band, p.mode)
+                block.low, block.high = low[:, of_pair.ravel()], high[:, of_pair.ravel()]
+            else:
+                chosen = [kn.default_guide(x, y) if guides[i] is None else np.asarray(guides[i], np.int64) for i, x, y in zip(at, bm.tolist(), bn.tolist(), strict=True)]
+                block.low, block.high = kn.band_columns(chosen, bn, p.band, p.mode)
         grad = hard = post = None
         if soft:
             log_z, grad, post = kn.forward_backward(block, s, want_grad, p.posterior, bool(logs[at[0]]))

@@ -141,6 +141,8 @@ class Sweep:
             rows = np.arange(self.rows + 1)  # a row's cells lie on the diagonals first to last
             first, last = rows + block.low.min(axis=1), rows + block.high.max(axis=1)
             lo, hi = np.maximum(lo, np.searchsorted(last, d)), np.minimum(hi, np.searchsorted(first, d, side="right"))
+        #: Whether some pair's band is narrower than the rows that are filled.
+        self.uneven = block.low is not None and bool((block.low != block.low[:, :1]).any() or (block.high != block.high[:, :1]).any())
         self.lo, self.hi = lo.tolist(), np.maximum(lo, hi).tolist()
         self.index, self.found = np.empty((self.rows + 1, p), np.int64), np.empty((self.rows + 1, p), kind)
         self.spare = np.empty((self.rows + 1, p), kind)
@@ -176,7 +178,7 @@ class Sweep:
         return np.take(self.weights, index, out=self.found[lo:hi], mode="clip")
 
     def outside(self, d: int, lo: int, hi: int) -> np.ndarray | None:
-        if self.k.low is None:
+        if not self.uneven:
             return None
         j = d - np.arange(lo, hi)[:, None]
         return (j < self.k.low[lo:hi]) | (j > self.k.high[lo:hi])
@@ -249,9 +251,11 @@ class Sweep:
 def best_state(v: list[np.ndarray]) -> np.ndarray:
     """Which state is the best: M before X before Y."""
     if len(v) == 1:
-        return np.zeros(v[0].shape, np.int8)
+        return np.zeros(v[0].shape, np.uint8)
     m, x, y = v
-    return np.where((m >= x) & (m >= y), 0, np.where(x >= y, 1, 2)).astype(np.int8)
+    out = (x < y).view(np.uint8) + np.uint8(1)
+    out *= ((m < x) | (m < y)).view(np.uint8)
+    return out
 
 
 class Ends:
