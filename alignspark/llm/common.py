@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Let Arrow batches of this session hold at most ``size`` of data.
 
     Texts are long: a batch exists in the JVM and, in several forms, in the

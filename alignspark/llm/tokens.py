@@ -30,9 +30,9 @@ from alignspark.llm.words import steps
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct pieces that a Python worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Bytes of text that are cut at a time.
-CUT_BYTES = 8_000_000
+CUT_BYTES = 2_000_000
 SPACE = "▁"
 
 
