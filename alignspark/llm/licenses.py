@@ -125,18 +125,22 @@ def blocks(text: Column) -> Column:
 
 
 def score_statements(found: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(statement, license, score, n_terms): the best template of each distinct statement."""
+    """(unit, license, score, n_terms): the best template of each distinct unit of ``found`` (unit, statement).
+
+    ``unit`` is a digest: one shuffle brings equal units together, and all that follows stays where they are.
+    """
     vectors, unknown = template_vectors(found.sparkSession, templates)
     vectors = F.broadcast(materialize(vectors, "license-templates"))  # one row a word of the templates
     words = F.broadcast(vectors.select("term", "idf").distinct())
-    tf = found.select("statement").distinct().select("statement", F.explode(terms(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(words, "term", "left").select("statement", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norm = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_terms"))
-    dots = weighed.join(vectors.drop("idf"), "term").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = dots.groupBy("statement", "license").agg(F.max("dot").alias("dot"))
-    return best.join(norm, "statement").groupBy("statement").agg(
+    once = found.groupBy("unit").agg(F.first("statement").alias("statement"))
+    tf = once.select("unit", F.explode(terms(F.col("statement"))).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = tf.join(words, "term", "left").select("unit", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    norm = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_terms"))
+    dots = weighed.join(vectors.drop("idf"), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    best = dots.groupBy("unit", "license").agg(F.max("dot").alias("dot"))
+    return best.join(norm, "unit").groupBy("unit").agg(
         F.min(F.struct((-F.round(F.col("dot") / F.col("norm"), 6)).alias("s"), F.col("license").alias("l"))).alias("b"), F.first("n_terms").alias("n_terms")
-    ).select("statement", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), "n_terms")
+    ).select("unit", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), "n_terms")
 
 
 def directory(path: Column) -> Column:
@@ -159,11 +163,11 @@ def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", thresh
         *(F.struct(F.lit(kind).alias("kind"), parts.alias("parts")) for kind, parts in (("line", statements(F.col("text"))), ("block", blocks(F.col("text"))), ("whole", F.array("text")))),
     )
     said = rows.where(F.col("text").rlike(ANCHORS)).select("id", F.explode(units).alias("u")).select("id", "u.kind", F.explode("u.parts").alias("statement"))
-    said = materialize(said.groupBy("id", "kind", "statement").agg(F.count(F.lit(1)).alias("times")), "license-statements")
+    said = materialize(said.select("id", "kind", F.unhex(F.md5("statement")).alias("unit"), "statement"), "license-statements")
     scored = materialize(score_statements(said, templates).where(F.col("score") >= threshold), "license-scores")
-    words_in = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("times") * F.col("n_terms"))), F.lit(0))
+    words_in = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n_terms"))), F.lit(0))
     own = (
-        said.join(scored, "statement").groupBy("id")
+        said.select("id", "kind", "unit").join(scored, "unit").groupBy("id")
         .agg(F.min(F.struct((F.col("license") == "proprietary").alias("p"), (-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"), F.greatest(*map(words_in, ("line", "block", "whole"))).alias("said"))
         .select("id", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), "said")
     )
