@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import decontam, filter_audit, hamming, licenses, near_dedup, packing, pii, quality, substring, token_store, tokens
+from alignspark.llm import decontam, filter_audit, hamming, licenses, multiset, near_dedup, packing, pii, quality, substring, token_store, tokens
 from alignspark.llm.common import new_path, small_batches, table
 
 
@@ -74,6 +74,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", licenses.document_path())
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return multiset.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove, for each source, in every order of application."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op11_fingerprints": op11_fingerprints,
     "op12_filter_audit": op12_filter_audit,
 }
 
