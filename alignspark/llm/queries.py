@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm import decontam, filter_audit, hamming, licenses, multiset, near_dedup, packing, pii, quality, substring, token_store, tokens
+from alignspark.llm import decontam, filter_audit, hamming, licenses, multiset, near_dedup, packing, pii, quality, spelling, substring, token_store, tokens
 from alignspark.llm.common import new_path, small_batches, table
 
 
@@ -84,6 +84,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents and the frequent words that they are variants of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_fingerprints": op11_fingerprints,
     "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +110,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_top_k": hamming.ORACLE,
     "op10_licenses": licenses.oracle(),
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_spelling_variants": spelling.oracle(),
 }
