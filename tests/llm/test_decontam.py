@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from alignspark.llm import decontam
 from alignspark.llm.common import table
@@ -75,3 +76,20 @@ def test_table(spark, sf):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, items).collect()}
     assert got == plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert any(v[4] for v in got.values())
+
+
+def test_repeated_words_cost_no_more_than_others(spark):
+    """Every window of both equals every other: places are found in seconds, and exactly."""
+    items = [(1, "again " * 1000), (2, "again and " * 500), (3, "again")]
+    docs = [(1, "again " * 20_000), (2, "and again " * 10_000), (3, "again " * 9), (4, "and " * 9)]
+    begun = time.time()
+    check(spark, docs, items)
+    assert time.time() - begun < 60
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "x y z", "a", 1, "b", 2), (2, "clean", "c", 3, "d", 4)], "doc_id long, text string, contaminated_key string, n int, window string, `_contaminated_key` int")
+    b = spark.createDataFrame([(7, "y z", "k", 1)], "item_id long, text string, window string, n int")
+    got = decontam.drop_contaminated(d, b)
+    assert got.columns == d.columns and [tuple(r) for r in got.collect()] == [(2, "clean", "c", 3, "d", 4)]
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(d, b).collect()} == {1: 2, 2: 0}
