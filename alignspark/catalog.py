@@ -20,6 +20,7 @@ from alignspark.functions import sql as sqlfn
 from alignspark.operators import gradient, logistic
 from alignspark.operators.align import Problem, align, score_distinct
 from alignspark.operators.batch import PairBatch
+from alignspark.operators.numbering import zip_frames
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
 from alignspark.params import AlignParams, SubstMatrix
 from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, runs_of
@@ -231,6 +232,13 @@ def pairs_tsv_roundtrip(spark, sf_dir):
     return read_pairs_tsv(spark, path).select("seq_a", "seq_b")
 
 
+@query("pairs_zip", "SELECT x.pair_id, x.s AS seq_a, y.s AS seq_b FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pair_id, c_name AS s FROM customer) x JOIN (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pair_id, c_name AS s FROM customer) y USING (pair_id)")
+def pairs_zip(spark, sf_dir):
+    """Two columns of sequences, each in an order of its own, matched by position."""
+    c = _read(spark, sf_dir, "customer").select("c_name", "c_custkey", (-F.col("c_acctbal")).alias("debt"))
+    return zip_frames(c, c, ("c_custkey",), ("debt", "c_custkey"))
+
+
 @query("fasta_records", "SELECT 'part' || CAST(p_partkey AS VARCHAR) AS name, 'part' || CAST(p_partkey AS VARCHAR) || ' ' || p_brand AS description, replace(p_name, ' ', '') AS sequence FROM part")
 def fasta_records(spark, sf_dir):
     path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
@@ -372,6 +380,18 @@ def weighted_grad(spark, sf_dir):
     return gradient.weighted(_graded(spark, sf_dir), weights).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
 
 
+@query("weighted_grad_list", f"SELECT sum(score * (k % 5)) AS total FROM (SELECT score, row_number() OVER (ORDER BY a, b) - 1 AS k FROM ({NAMES_SQL}) JOIN ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)}) USING (pair_id))")
+def weighted_grad_list(spark, sf_dir):
+    """A list of weights over pairs of a TSV file, whose ids are not consecutive; times the parameters."""
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    write_pairs_tsv(names(spark, sf_dir).orderBy("seq_a", "seq_b"), path)
+    params = uniform(NAMES, *AFFINE)
+    batch = PairBatch(read_pairs_tsv(spark, path), params)
+    batch.score_and_grad()
+    total = batch.weighted_grad([float(k % 5) for k in range(len(batch))]).dot(params)
+    return spark.createDataFrame([(total,)], "total double")
+
+
 # what a path counts of each parameter: aligned pairs of symbols, gap columns and gaps, the latter two negative
 _COUNTS = f"""WITH path AS ({_GLOBAL_PATHS}), columns AS (SELECT pair_id, ops, ga, gb, unnest(range(1, length(ops) + 1)) AS k FROM path)
 SELECT pair_id, (strpos('abcdefghijklmnopqrstuvwxyz ', substr(ga, k, 1)) - 1) * 27 + strpos('abcdefghijklmnopqrstuvwxyz ', substr(gb, k, 1)) - 1 AS field, 1.0 AS v FROM columns WHERE substr(ops, k, 1) = 'M'

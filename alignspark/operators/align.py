@@ -279,7 +279,7 @@ def dealt(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     return pairs.repartition(tasks, F.xxhash64("pair_id", "seq_a", "seq_b")).sortWithinPartitions(F.length("seq_a"), F.length("seq_b"))
 
 
-def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), outputs: tuple[str, ...] = ("score",), id_col: str = "pair_id", on_error: str = "raise", tasks: int | None = None) -> DataFrame:
+def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), outputs: tuple[str, ...] = ("score",), id_col: str = "pair_id", on_error: str = "raise", tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Align every row's ``seq_a`` and ``seq_b``.
 
     ``guide_j``, ``track`` and ``gap_track`` are used where those columns exist
@@ -290,6 +290,7 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
     A null sequence, a foreign character, a malformed guide or track fails the
     job; with ``on_error="null"`` such a pair's outputs are null and a column
     ``error`` says why (null for the others).  ``tasks``: see :func:`dealt`.
+    ``keep`` names columns that pass through; they must be among those read.
     """
     problem.check(params)
     choice("on_error", on_error, ("raise", "null"))
@@ -310,6 +311,8 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
         schema.append("grad map<int,double>")
     if on_error == "null":
         schema.append("error string")
+    kept = [src.columns.index(choice("column to keep", c, tuple(src.columns[1:]))) for c in keep]
+    schema += [f"{c} {src.schema[c].dataType.simpleString()}" for c in keep]
     paths = "path" in wanted or "guide" in wanted
     names = [x.split()[0].strip("`") for x in schema]
 
@@ -343,6 +346,7 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
             if on_error == "null":
                 good = pa.array([None if i in wrong else i for i in range(len(a))], pa.int64())
                 cols = [c.take(good) for c in cols] + [pa.array([wrong[i].lstrip(":, ") if i in wrong else None for i in range(len(a))], pa.string())]
+            cols += [batch.column(k) for k in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
     return src.mapInArrow(run, ", ".join(schema))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from alignspark.functions import render
 from alignspark.operators import gradient
 from alignspark.operators.align import CHOICES, INT_LIMIT, Problem, align, choice
+from alignspark.operators.numbering import one_each, values_by_position
 from alignspark.params import AlignParams
 from alignspark.sources.readers import zip_pairs
 from alignspark.sources.storage import discard, materialize
@@ -29,9 +30,9 @@ class PairBatch:
     """Pairs of one problem type, aligned again and again under changing parameters.
 
     ``pairs`` has pair_id, seq_a, seq_b and, optionally, track and gap_track.
-    Results live in a written table, so a training loop never computes an
-    earlier pass again; each pass deletes the one before it.  Parameters are
-    copied.  ``set_params`` drops scores, gradients and paths and keeps guides.
+    The first pass deals the pairs out; its results are written with them, so a
+    later pass reads sequences and guides together and shuffles nothing.  Each
+    pass deletes the table of the one before it.  Parameters are copied.  ``set_params`` drops scores, gradients and paths and keeps guides.
     """
 
     #: Number type of typed subclasses.
@@ -101,7 +102,7 @@ class PairBatch:
         rows = pairs.where(F.col("pair_id") == wanted)
         if wanted is None or rows.isEmpty():
             raise IndexError(f"no pair {i}")
-        return rows if self._results is None else rows.join(self._results, "pair_id", "left")
+        return rows if self._results is None else rows.join(self._results.drop("seq_a", "seq_b", *self._tracks()), "pair_id", "left")
 
     def set_params(self, params: AlignParams) -> None:
         if self._params is not None and (params.alphabet != self._params.alphabet or params.num_sets != self._params.num_sets):
@@ -115,13 +116,23 @@ class PairBatch:
             raise RuntimeError("this batch holds no pairs; use align()")
         return self._pairs
 
-    def _pass(self, pairs: DataFrame, problem: Problem, keep_paths: bool) -> float:
+    def _laid_out(self) -> tuple[DataFrame, int | None]:
+        """(pairs, tasks): the pairs, dealt out and sorted by the first pass; later ones read them, and guides, where they lie."""
+        if self._written is None:
+            return self._need_pairs().drop("guide_j"), None
+        return self._written.select("pair_id", "seq_a", "seq_b", *self._tracks(), "guide_j"), 0
+
+    def _tracks(self) -> list[str]:
+        return [c for c in ("track", "gap_track") if c in self._need_pairs().columns]
+
+    def _pass(self, pairs: DataFrame, tasks: int | None, problem: Problem, keep_paths: bool) -> float:
         self._results, self._has_paths = None, False  # a failed pass leaves nothing that looks valid
         problem = replace(problem, posterior=self.soft_guide == "posterior" and problem.grad == "soft", soft_impl=self.soft_impl)
         problem.check(self._params)
         outputs = ["score", "guide"] + ["path"] * keep_paths + ["grad"] * (problem.grad != "none")
-        before = self._written  # its guides may be read by this pass
-        self._results = self._written = materialize(align(pairs, self._params, problem, tuple(outputs)), "alignments")
+        before = self._written  # this pass may read its pairs and guides
+        aligned = align(pairs, self._params, problem, tuple(outputs), tasks=tasks, keep=("seq_a", "seq_b", *self._tracks()))
+        self._results = self._written = materialize(aligned, "alignments")
         if before is not None:
             discard(before)
         self._guides, self._has_paths = self._results.select("pair_id", "guide_j"), keep_paths
@@ -129,7 +140,8 @@ class PairBatch:
 
     def score_and_grad(self, keep_paths: bool = False) -> float:
         """Align every pair in full; returns the sum of scores."""
-        return self._pass(self._need_pairs().drop("guide_j"), self._problem, keep_paths)
+        pairs, tasks = self._laid_out()
+        return self._pass(pairs.drop("guide_j"), tasks, self._problem, keep_paths)
 
     def banded_grad(self, bandwidth: int, keep_paths: bool = False) -> float:
         """Align every pair within ``bandwidth`` columns of the path of the pass before."""
@@ -138,8 +150,7 @@ class PairBatch:
         if self._guides is None:
             raise RuntimeError("no guide yet: run score_and_grad first")
         self._check_band()
-        pairs = self._need_pairs().drop("guide_j").join(self._guides, "pair_id")
-        return self._pass(pairs, replace(self._problem, band=bandwidth), keep_paths)
+        return self._pass(*self._laid_out(), replace(self._problem, band=bandwidth), keep_paths)
 
     def _check_band(self) -> None:
         if self.traceback.startswith("hirschberg"):
@@ -190,14 +201,15 @@ class PairBatch:
         return gradient.to_params(gradient.summed_in_order(rows) if in_order else gradient.summed(rows), self._params)
 
     def weighted_grad(self, weights: DataFrame | Sequence[float]) -> AlignParams:
-        """The sum of gradients times weights: a frame (pair_id, weight), or one number a pair in id order."""
+        """The sum of gradients times weights: a frame (pair_id, weight), or one number a pair in the order of their ids.
+
+        Every pair needs exactly one weight, whatever the ids are.
+        """
         rows = self._graded()
-        if not isinstance(weights, DataFrame):
-            n = rows.count()
-            if len(weights) != n:
-                raise ValueError(f"{n} pairs need as many weights, not {len(weights)}")
-            spark = rows.sparkSession
-            weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "pair_id long, weight double")
+        if isinstance(weights, DataFrame):
+            one_each(rows, weights, "weight")
+        else:
+            weights = values_by_position(rows, weights, "weight")
         return gradient.to_params(gradient.weighted(rows, weights), self._params)
 
     def grads(self) -> DataFrame:
@@ -208,7 +220,7 @@ class PairBatch:
         rows = self._valid("path")
         if not self._has_paths:
             raise RuntimeError("no stored paths: align with keep_paths=True")
-        return rows.join(self._need_pairs().select("pair_id", "seq_a", "seq_b"), "pair_id")
+        return rows
 
     def _view(self, name: str, column) -> DataFrame:
         return self._paths().select("pair_id", column.alias(name))
