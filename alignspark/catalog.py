@@ -22,6 +22,7 @@ from alignspark.operators.align import Problem, align, score_distinct
 from alignspark.operators.batch import PairBatch
 from alignspark.operators.numbering import zip_frames
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
+from alignspark.operators.tiles import align_tiled
 from alignspark.params import AlignParams, SubstMatrix
 from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, runs_of
 from alignspark.sources.readers import read_fasta, read_pairs_tsv, write_pairs_tsv
@@ -225,6 +226,24 @@ def long_pairs_edits(spark, sf_dir):
     return found.select("pair_id", "score", F.aggregate(runs, F.lit(0), lambda acc, x: acc + x.cast("int")).cast("bigint").alias("edits"))
 
 
+# the DNA of a region's suppliers, one after another
+_REGION_SQL = f"""WITH s AS (SELECT n_regionkey AS region, string_agg({_DNA.format("'s' || CAST(s_suppkey AS VARCHAR)")}, '' ORDER BY s_suppkey) AS dna FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_regionkey)
+SELECT x.region * 100 + y.region AS pair_id, x.dna AS a, y.dna AS b FROM s x JOIN s y ON x.region < y.region"""
+
+
+@query("tiled_pairs_edits", f"SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(-levenshtein(a, b) AS DOUBLE) AS score, CAST(levenshtein(a, b) AS BIGINT) AS edits, length(a) AS end_i, length(b) AS end_j FROM ({_REGION_SQL})")
+def tiled_pairs_edits(spark, sf_dir):
+    """Edit distances of the longest sequences, each table in tiles over many tasks; as the score and as counted along the path."""
+    s = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region")), "s_nationkey")
+    s = s.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", dna_of(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("dna")))).alias("x"))
+    s = s.select("region", F.array_join(F.transform("x", lambda x: x["dna"]), "").alias("dna"), F.lit(0).alias("all"))
+    pairs = block_pairs(s, "region", "dna", "all").select((F.col("id_a") * 100 + F.col("id_b")).cast("bigint").alias("pair_id"), "seq_a", "seq_b")
+    found = align_tiled(pairs, uniform(DNA, *UNIT), Problem("global", "linear", "none"), ("score", "path"), tile=256).join(pairs, "pair_id")
+    runs = F.regexp_extract_all(render.cigar(*map(F.col, _VIEW), extended=True), F.lit("([0-9]+)[XID]"), F.lit(1))
+    edits = F.aggregate(runs, F.lit(0), lambda acc, x: acc + x.cast("int")).cast("bigint")
+    return found.select("pair_id", "score", edits.alias("edits"), F.col("end_i").cast("bigint").alias("end_i"), F.col("end_j").cast("bigint").alias("end_j"))
+
+
 @query("pairs_tsv_roundtrip", f"SELECT a AS seq_a, b AS seq_b FROM ({NAMES_SQL})")
 def pairs_tsv_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
