@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from alignspark.alphabet import DNA, Alphabet
 from alignspark.functions import encoding, render
 from alignspark.functions import sql as sqlfn
+from alignspark.functions.rowfold import fold_scores
 from alignspark.operators import gradient, logistic
 from alignspark.operators.align import Problem, align, score_distinct
 from alignspark.operators.batch import PairBatch
@@ -24,7 +25,7 @@ from alignspark.operators.numbering import zip_frames
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
 from alignspark.operators.tiles import align_tiled
 from alignspark.params import AlignParams, SubstMatrix
-from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, runs_of
+from alignspark.plans.oracle import best_sql, cigar_of, log_z_sql, path_sql, posterior_guide_sql, runs_of, soft_counts_sql
 from alignspark.sources.readers import read_fasta, read_pairs_tsv, write_pairs_tsv
 from alignspark.sources.storage import materialize, shared_dir
 from alignspark.streaming.scoring import run_to_parquet, score_stream, windowed_scores
@@ -171,6 +172,19 @@ _score_query("nw_score_int16", names, NAMES_SQL, NAMES, "global", "affine", AFFI
 _score_query("sw_score_float32", names, NAMES_SQL, NAMES, "local", "affine", AFFINE, precision="float32")
 
 
+def _folded(name, mode, model, values):
+    def run(spark, sf_dir):
+        """Scores by built-in functions alone."""
+        return fold_scores(names(spark, sf_dir), uniform(NAMES, *values), mode, model)
+
+    QUERIES[name], ORACLE_SQL[name] = run, best_sql(NAMES_SQL, mode, model, *values)
+
+
+for _name, _mode in (("nw_score", "global"), ("sw_score", "local"), ("glocal_score", "glocal")):
+    _folded(f"{_name}_folded", _mode, "linear", PLAIN)
+    _folded(f"{_name}_affine_folded", _mode, "affine", AFFINE)
+
+
 @query("band_wide_equals_full", f"SELECT pair_id, TRUE AS same FROM ({DNA_SQL})")
 def band_wide_equals_full(spark, sf_dir):
     pairs, p = dna(spark, sf_dir), uniform(DNA, *AFFINE)
@@ -485,11 +499,26 @@ def soft_grad_uses_both(spark, sf_dir):
     return d.groupBy("pair_id").agg(F.round(pairs - at(3), 6).alias("used_a"), F.round(pairs - at(1), 6).alias("used_b"))
 
 
-@query("posterior_guide", f"SELECT pair_id, TRUE AS valid FROM ({NAMES_SQL})")
+def _soft_grad(name, mode, model, values):
+    def run(spark, sf_dir):
+        """Every entry of every pair's expected counts."""
+        rows = align(names(spark, sf_dir), uniform(NAMES, *values), Problem(mode, model, "soft"), ("score", "grad"))
+        value = F.round("value", 5)
+        return gradient.gradient_rows(rows).select("pair_id", "field", value.alias("value")).where("value != 0")
+
+    QUERIES[name], ORACLE_SQL[name] = run, soft_counts_sql(NAMES_SQL, NAMES.symbols, mode, model, *values)
+
+
+for _name, _mode in (("nw", "global"), ("sw", "local"), ("glocal", "glocal")):
+    _soft_grad(f"{_name}_soft_grad_fields", _mode, "linear", PLAIN)
+    _soft_grad(f"{_name}_affine_soft_grad_fields", _mode, "affine", AFFINE)
+
+
+@query("posterior_guide", posterior_guide_sql(NAMES_SQL, "global", *AFFINE))
 def posterior_guide(spark, sf_dir):
-    pairs = names(spark, sf_dir)
-    g = align(pairs, uniform(NAMES, *AFFINE), Problem("global", "affine", "soft", posterior=True), ("score", "guide")).join(pairs, "pair_id")
-    return g.select("pair_id", render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
+    """Where most alignments leave each row."""
+    g = align(names(spark, sf_dir), uniform(NAMES, *AFFINE), Problem("global", "affine", "soft", posterior=True), ("score", "guide"))
+    return g.select("pair_id", F.array_join("guide_j", ",").alias("guide"))
 
 
 # Batches, training, analysis ------------------------------------------------

@@ -182,3 +182,67 @@ def runs_of(ops: str) -> str:
 
 def cigar_of(ops: str) -> str:
     return f"array_to_string(list_transform({runs_of(ops)}, lambda r: CAST(length(r) AS VARCHAR) || substr(r, 1, 1)), '')"
+
+
+def posterior_sql(pairs: str, mode: str, match: float, mismatch: float, open_a: float, ext_a: float, open_b: float, ext_b: float) -> str:
+    """CTEs of the sums over all alignments through each cell, under affine gaps (linear ones cost nothing to open).
+
+    ``f`` sums the ways to reach a cell in each state; ``r`` those of the
+    reversed sequences, so at (m - i, n - j) the ways to go on from it; ``z`` all
+    alignments.  ``cell`` joins them: fm (a pair of letters was aligned into the
+    cell), fx, fy and what follows each: tm, tx, ty.  A gap that goes on has paid
+    its opening once: the reversed one's is given back.
+    """
+    w = "OVER (PARTITION BY pair_id ORDER BY j)"
+    before = "OVER (PARTITION BY pair_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    score = f"exp({_match(match, mismatch)})"
+    carry = f"coalesce(sum((nm + nx) * exp(j * {ext_a})) {before}, 0) * exp(-{open_a} - j * {ext_a})"
+    down = f"(mm + y) * exp(-{open_b} - {ext_b}) + x * exp(-{ext_b})"
+    anywhere = 1 if mode == "local" else 0
+    inner = f"(lag(mm) {w} + lag(x) {w} + lag(y) {w}) * {score} + {anywhere}"
+    ends = {"global": "i = m AND j = n", "glocal": "i = m", "local": "TRUE"}[mode]
+    top = {"global": "CASE WHEN j = 0 THEN 1 ELSE 0 END"}.get(mode, "1")
+
+    def table(name: str, source: str, free: bool) -> str:
+        """``free``: gaps along the borders as along any row; else only where the mode has them."""
+        row0 = f"coalesce(sum(CAST({top} AS DOUBLE) * exp(j * {ext_a})) {before}, 0) * exp(-{open_a} - j * {ext_a})" if free or mode == "global" else "0"
+        col0 = down if free or mode != "local" else "0"
+        return f"""{name} AS (
+  SELECT pair_id, a, b, m, n, CAST(0 AS BIGINT) AS i, j, CAST({top} AS DOUBLE) AS mm, CAST(0 AS DOUBLE) AS x, CAST(CASE WHEN j = 0 THEN 0 ELSE {row0} END AS DOUBLE) AS y FROM {source}
+  UNION ALL
+  SELECT pair_id, a, b, m, n, i + 1, j, nm, nx, CASE WHEN j = 0 THEN 0 ELSE {carry} END
+  FROM (SELECT *, CAST(CASE WHEN j = 0 THEN {anywhere} ELSE {inner} END AS DOUBLE) AS nm, CAST(CASE WHEN j = 0 THEN {col0} ELSE {down} END AS DOUBLE) AS nx FROM {name} WHERE i < m)
+)"""
+
+    sized = "length(a) AS m, length(b) AS n, unnest(range(0, length(b) + 1)) AS j FROM pairs"
+    return f"""WITH RECURSIVE pairs AS ({pairs}), fc AS (SELECT pair_id, a, b, {sized}), rc AS (SELECT pair_id, reverse(a) AS a, reverse(b) AS b, {sized}),
+{table('f', 'fc', False)}, {table('r', 'rc', True)},
+z AS (SELECT pair_id, sum(mm + x + y) AS z FROM f WHERE {ends} GROUP BY pair_id),
+cell AS MATERIALIZED (
+  SELECT f.pair_id, f.a, f.b, f.m, f.n, f.i, f.j, z.z, f.mm AS f0, CASE WHEN f.i > 0 AND f.j > 0 THEN f.mm - {anywhere} ELSE 0 END AS fm, f.x AS fx, f.y AS fy,
+         r.mm + r.x + r.y AS tm, r.mm + r.y + r.x * exp({open_b}) AS tx, r.mm + r.x + r.y * exp({open_a}) AS ty, r.mm + r.y AS ends_x, r.mm + r.x AS ends_y
+  FROM f JOIN r ON r.pair_id = f.pair_id AND r.i = f.m - f.i AND r.j = f.n - f.j JOIN z ON z.pair_id = f.pair_id
+)"""
+
+
+def soft_counts_sql(pairs: str, symbols: str, mode: str, model: str, *values: float) -> str:
+    """(pair_id, field, value): every entry of the expected counts that is not 0 to five places; gaps count negative."""
+    match, mismatch, open_a, ext_a, open_b, ext_b = values
+    if model == "linear":
+        open_a = open_b = 0
+    n = len(symbols)
+    opens = f"UNION ALL SELECT pair_id, {n * n}, -fy * ends_y / z FROM cell UNION ALL SELECT pair_id, {n * n + 2}, -fx * ends_x / z FROM cell" if model == "affine" else ""
+    return f"""{posterior_sql(pairs, mode, match, mismatch, open_a, ext_a, open_b, ext_b)}
+SELECT pair_id, CAST(field AS INTEGER) AS field, round(sum(v), 5) AS value FROM (
+  SELECT pair_id, (strpos('{symbols}', substr(a, i, 1)) - 1) * {n} + strpos('{symbols}', substr(b, j, 1)) - 1 AS field, fm * tm / z AS v FROM cell WHERE i > 0 AND j > 0
+  UNION ALL SELECT pair_id, {n * n + 1}, -fy * ty / z FROM cell UNION ALL SELECT pair_id, {n * n + 3}, -fx * tx / z FROM cell {opens}
+) GROUP BY ALL HAVING round(sum(v), 5) <> 0"""
+
+
+def posterior_guide_sql(pairs: str, mode: str, *values: float) -> str:
+    """(pair_id, guide): for each row the column that most paths leave it at, the first of equals, never decreasing."""
+    return f"""{posterior_sql(pairs, mode, *values)},
+leaving AS (SELECT pair_id, i, j, (f0 * tm + fx * tx + fy * ty - coalesce(lead(fy * ty) OVER (PARTITION BY pair_id, i ORDER BY j), 0)) / z AS v FROM cell),
+best AS (SELECT pair_id, i, arg_min(j, (-round(v, 10), j)) AS j FROM leaving GROUP BY pair_id, i),
+rising AS (SELECT pair_id, i, max(j) OVER (PARTITION BY pair_id ORDER BY i) AS j FROM best)
+SELECT pair_id, string_agg(CAST(j AS VARCHAR), ',' ORDER BY i) AS guide FROM rising GROUP BY pair_id"""
