@@ -14,13 +14,17 @@ Layout of a store, all Parquet in one folder:
   its chunk hashes in order (a Merkle manifest of depth one).  Length and root
   are those of the ids as they were encoded.
 * ``manifest/`` - one row per recipe partition: its number of documents, its
-  ids and a sum of the hashes of its roots, the next level of the Merkle tree.
+  ids and its root.  Documents' roots are hashed in order by BLOCK, and these
+  hashes in order to the partition's.
+* ``root/`` - one row: the hash of all partitions' roots in order, the top of
+  the Merkle tree, and the bytes of one stored id.
 
 A rolling hash over the last ``WINDOW`` ids decides where chunks end, so equal
 passages give equal chunks wherever they stand.  Ids travel once, to the row of
 their chunk; everything else that is shuffled is small.  Chunks are deduplicated
 within a batch before the shuffle, so a chunk that a third of all documents
-hold arrives as one row a batch.
+hold arrives as one row a batch; these rows are dealt out by SALTS, and only the
+first of each salt, of which one keeps its payload, meet in one task.
 
 Defined results: null and empty texts consist of the end id alone; documents
 with a null id are not stored; rows with one id are stored, placed and read back
@@ -37,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,6 +51,10 @@ from alignspark.llm.words import steps
 MODEL = "byte_bpe_50k.json"
 WINDOW = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 4096
+#: Parts into which the rows of one chunk are dealt out.
+SALTS = 1024
+#: Documents, or hashes of them, that one hash of the manifest's tree covers.
+BLOCK = 1024
 #: Distinct pieces that a Python worker remembers.
 MEMO = 1_000_000
 #: Bytes of text that are encoded at a time.
@@ -214,9 +222,13 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
 
     uses = pa.list_(pa.struct([("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("offset", pa.int64()), ("total", pa.int64()), ("root", pa.string())]))
     met = src.mapInArrow(run, f"hash binary, n_ids int, payload binary, uses {_USES}")
-    first = F.row_number().over(W.partitionBy("hash").orderBy(F.lit(1)))
+    # one row of each chunk keeps its payload: of the first rows of all salts the first
+    row = F.col("uses")[0]["row"]
+    of_salt = F.row_number().over(W.partitionBy("hash", "salt").orderBy(row, F.col("uses")[0]["pos"]))
+    dealt = met.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).withColumn("nth", of_salt)
+    dealt = dealt.withColumn("salt", F.when(F.col("nth") == 1, -1).otherwise(F.col("salt"))).withColumn("payload", F.when(F.col("nth") == 1, F.col("payload")))
     (
-        met.withColumn("n", first)
+        dealt.withColumn("n", of_salt)
         .select("hash", "n_ids", F.when(F.col("n") == 1, F.col("payload")).alias("payload"), "uses")
         .write.option("compression", "none").parquet(f"{path}/chunks")
     )
@@ -225,12 +237,27 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes.repartitionByRange(n, id_col).sortWithinPartitions(id_col, "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     _summed(spark.read.parquet(f"{path}/recipes"), id_col).coalesce(1).write.parquet(f"{path}/manifest")
+    _top(spark.read.parquet(f"{path}/manifest")).withColumn("width", F.lit(wide)).coalesce(1).write.parquet(f"{path}/root")
+
+
+def _chained(hashes) -> Column:
+    """One hash of (number, hash) entries in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(hashes)), lambda x: x["h"]), ","), 256)
 
 
 def _summed(recipes: DataFrame, id_col: str) -> DataFrame:
     """One row per recipe partition, as the manifest holds it."""
-    root = F.pmod(F.xxhash64(id_col, "root"), F.lit(2**40))
-    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_ids"), F.min(id_col).alias("first_doc"), F.sum(root).alias("roots"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy(id_col, "root")) - 1
+    leaf = F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), "n_tokens", "root"), 256)
+    leaves = recipes.select("part", id_col, "n_tokens", nth.alias("nth"), leaf.alias("h")).withColumn("block", F.floor(F.col("nth") / BLOCK))
+    blocks = leaves.groupBy("part", "block").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_ids"), F.min(id_col).alias("first_doc"), _chained(F.struct("nth", "h")).alias("h"))
+    wide = blocks.withColumn("over", F.floor(F.col("block") / BLOCK)).groupBy("part", "over").agg(F.sum("documents").alias("documents"), F.sum("n_ids").alias("n_ids"), F.min("first_doc").alias("first_doc"), _chained(F.struct("block", "h")).alias("h"))
+    return wide.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("n_ids").alias("n_ids"), F.min("first_doc").alias("first_doc"), _chained(F.struct("over", "h")).alias("roots"))
+
+
+def _top(manifest: DataFrame) -> DataFrame:
+    """The root of the tree: one hash of all partitions' (as many as the writer's tasks)."""
+    return manifest.agg(_chained(F.struct("part", F.concat_ws(":", "documents", "n_ids", F.col("first_doc").cast("string"), "roots").alias("h"))).alias("root"))
 
 
 def _root():
@@ -259,14 +286,25 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", narrow: bool = True) -> DataFrame:
+def id_width(spark: SparkSession, path: str) -> int:
+    """Bytes of one stored id, as the store says; a store whose top root does not fit its manifest raises."""
+    root = spark.read.parquet(f"{path}/root").collect()
+    now = _top(spark.read.parquet(f"{path}/manifest")).first()["root"]
+    if len(root) != 1 or root[0]["root"] != now:
+        raise ValueError("the manifest does not match the store's root")
+    return root[0]["width"]
+
+
+def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every stored document, from the store's files.
 
     Each chunk is read once, checked against its hash and summed up; recipes
     put the sums together.  A document whose chunks do not give its root and
     length, chunks without a recipe, or a partition that disagrees with the
-    manifest (also one that is missing on either side) raises.
+    manifest (also one that is missing on either side) raises; so does, at once,
+    a manifest that does not give the root.
     """
+    narrow = id_width(spark, path) == 2
     stored = spark.read.parquet(f"{path}/chunks")
     payloads = stored.where(F.col("payload").isNotNull()).select("hash", "n_ids", "payload")
 
@@ -328,8 +366,9 @@ def _ids(key: bytes, n: int, payload: bytes, narrow: bool) -> np.ndarray:
     return ids
 
 
-def read_documents(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id", narrow: bool = True) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The full id arrays of chosen documents: (id, ids array<int>), one row for each stored row."""
+    narrow = id_width(spark, path) == 2
     stored = spark.read.parquet(f"{path}/chunks")
     wanted = stored.select("hash", F.explode("uses").alias("u")).select("hash", F.col("u.doc").alias(id_col), F.col("u.row").alias("row"), F.col("u.pos").alias("pos")).join(ids.select(id_col).distinct(), id_col, "left_semi")
     payloads = stored.where(F.col("payload").isNotNull()).select("hash", "n_ids", "payload")

@@ -100,9 +100,12 @@ def rewritten(spark, path, name, change):
 
 
 @pytest.mark.parametrize("name, change, says", [
-    ("manifest", lambda d: d.selectExpr("part", "documents", "n_ids", "first_doc", "roots + 1 as roots"), "do not match the manifest"),
-    ("manifest", lambda d: d.selectExpr("part", "documents + 1 as documents", "n_ids", "first_doc", "roots"), "do not match the manifest"),
-    ("manifest", lambda d: d.limit(0), "do not match the manifest"),
+    ("manifest", lambda d: d.selectExpr("part", "documents", "n_ids", "first_doc", "sha2(roots, 256) as roots"), "does not match the store's root"),
+    ("manifest", lambda d: d.selectExpr("part", "documents + 1 as documents", "n_ids", "first_doc", "roots"), "does not match the store's root"),
+    ("manifest", lambda d: d.limit(0), "does not match the store's root"),
+    ("root", lambda d: d.limit(0), "does not match the store's root"),
+    ("root", lambda d: d.selectExpr("sha2(root, 256) as root", "width"), "does not match the store's root"),
+    ("recipes", lambda d: d.selectExpr("3 - doc_id as doc_id", "n_tokens", "root", "part"), "does not match"),
     ("recipes", lambda d: d.where("doc_id > 1"), "does not match its recipe"),
     ("chunks", lambda d: d.where("uses[0].doc > 1"), "does not match its recipe"),
 ])
@@ -121,3 +124,34 @@ def test_a_partition_lost_with_its_documents_is_found(spark):
     rewritten(spark, path, "chunks", lambda d: d.where("uses[0].doc > 1"))
     with pytest.raises(Exception, match="manifest"):
         ts.read_store(spark, path).collect()
+
+
+def test_damage_below_a_sound_root_is_found(spark):
+    """A partition's root is wrong and the top one was made to fit."""
+    path = new_path(spark, "store")
+    ts.write_store(spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string"), path, partitions=3)
+    rewritten(spark, path, "manifest", lambda d: d.selectExpr("part", "documents", "n_ids", "first_doc", "if(part = 1, sha2(roots, 256), roots) as roots"))
+    rewritten(spark, path, "root", lambda d: ts._top(spark.read.parquet(f"{path}/manifest")).selectExpr("root", "2 as width"))
+    with pytest.raises(Exception, match="do not match the manifest, partition 1"):
+        ts.read_store(spark, path).collect()
+    swapped = new_path(spark, "store")
+    ts.write_store(spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string"), swapped, partitions=3)
+    rewritten(spark, swapped, "manifest", lambda d: d.selectExpr("case part when 0 then 1 when 1 then 0 else part end as part", "documents", "n_ids", "first_doc", "roots"))
+    with pytest.raises(Exception, match="does not match the store's root"):
+        ts.read_store(spark, swapped).collect()
+
+
+def test_a_third_of_empty_texts(spark, monkeypatch):
+    """The rows of the chunk that all of them share are dealt out; one keeps the payload, and the store reads back."""
+    monkeypatch.setattr(ts, "CUT_BYTES", 40)
+    monkeypatch.setattr(ts, "BLOCK", 7)
+    data = [(k, "" if k % 3 else f"some text {k}") for k in range(300)]
+    path = new_path(spark, "store")
+    ts.write_store(spark.createDataFrame(data, "doc_id long, text string").repartition(5), path, partitions=4)
+    stored = spark.read.parquet(f"{path}/chunks")
+    assert stored.where("payload is not null").count() == stored.select("hash").distinct().count() == 101
+    got = {r.doc_id: r for r in ts.read_store(spark, path).collect()}
+    at = 0
+    for i, t in data:
+        assert (got[i].start, got[i].n_tokens) == (at, len(plain(t)))
+        at += len(plain(t))
