@@ -21,7 +21,7 @@ from alignspark.functions.rowfold import fold_scores
 from alignspark.operators import gradient, logistic
 from alignspark.operators.align import Problem, align, score_distinct
 from alignspark.operators.batch import PairBatch
-from alignspark.operators.numbering import zip_frames
+from alignspark.operators.numbering import numbered, zip_frames
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
 from alignspark.operators.tiles import align_tiled
 from alignspark.params import AlignParams, SubstMatrix
@@ -442,6 +442,18 @@ def hard_grad_fields(spark, sf_dir):
     return gradient.gradient_rows(_name_gradients(spark, sf_dir))
 
 
+@query("path_grad_fields", f"SELECT pair_id, CAST(field AS INTEGER) AS field, CAST(sum(v) AS DOUBLE) AS value FROM ({_COUNTS}) GROUP BY ALL")
+def path_grad_fields(spark, sf_dir):
+    """Every entry of every pair's gradient, from the runs of its path by joins and sums."""
+    return gradient.path_fields(_paths(spark, sf_dir, "global", "affine", AFFINE), uniform(NAMES, *AFFINE), "pair_id")
+
+
+@query("path_grad_total", f"SELECT CAST(field AS INTEGER) AS field, CAST(sum(v) AS DOUBLE) AS value FROM ({_COUNTS}) GROUP BY ALL")
+def path_grad_total(spark, sf_dir):
+    """The summed gradient from the runs of all paths."""
+    return gradient.path_fields(_paths(spark, sf_dir, "global", "affine", AFFINE), uniform(NAMES, *AFFINE))
+
+
 @query("grad_fields_total", f"SELECT CAST(field AS INTEGER) AS field, CAST(sum(v) AS DOUBLE) AS value FROM ({_COUNTS}) GROUP BY ALL")
 def grad_fields_total(spark, sf_dir):
     """The summed gradient, field by field, in a fixed order of additions."""
@@ -458,7 +470,17 @@ def grads_dense(spark, sf_dir):
 
 @query("sql_align_grad", f"SELECT pair_id, score FROM ({best_sql(NAMES_SQL, 'global', 'linear', *PLAIN)})")
 def sql_align_grad(spark, sf_dir):
-    """Gradient rows from a SQL function, times the parameters."""
+    """Gradient rows from a table function, times the parameters."""
+    p = uniform(NAMES, *PLAIN)
+    sqlfn.register(spark, p, "names_")
+    names(spark, sf_dir).createOrReplaceTempView("name_pairs")
+    spark.createDataFrame(list(enumerate(p.flat().tolist())), "field int, parameter double").createOrReplaceTempView("name_parameters")
+    return spark.sql("SELECT pair_id, sum(value * parameter) AS score FROM (SELECT pair_id, g.field, g.value FROM name_pairs, LATERAL names_nw_grad_rows(seq_a, seq_b) AS g) JOIN name_parameters USING (field) GROUP BY pair_id")
+
+
+@query("sql_align_grad_map", f"SELECT pair_id, score FROM ({best_sql(NAMES_SQL, 'global', 'linear', *PLAIN)})")
+def sql_align_grad_map(spark, sf_dir):
+    """The same from a SQL function that returns a map."""
     p = uniform(NAMES, *PLAIN)
     sqlfn.register(spark, p, "names_")
     names(spark, sf_dir).createOrReplaceTempView("name_pairs")
@@ -514,6 +536,16 @@ for _name, _mode in (("nw", "global"), ("sw", "local"), ("glocal", "glocal")):
     _soft_grad(f"{_name}_affine_soft_grad_fields", _mode, "affine", AFFINE)
 
 
+@query("soft_grad_in_order", f"SELECT *, TRUE AS same FROM ({soft_counts_sql(NAMES_SQL, NAMES.symbols, 'global', 'affine', *AFFINE, total=True)})")
+def soft_grad_in_order(spark, sf_dir):
+    """Sums of fractions in the order of pairs: every bit is the same over 1, 3 and 17 partitions."""
+    rows = align(names(spark, sf_dir), uniform(NAMES, *AFFINE), Problem("global", "affine", "soft"), ("score", "grad"))
+    rows = materialize(numbered(rows.select("pair_id", "grad"), "pair_id"), "numbered-gradients")
+    one, three, many = (gradient.summed_in_order(rows.repartition(k), "position").withColumnRenamed("value", f"v{k}") for k in (1, 3, 17))
+    same = (F.col("v1") == F.col("v3")) & (F.col("v1") == F.col("v17"))
+    return one.join(three, "field").join(many, "field").select("field", F.round("v1", 3).alias("value"), same.alias("same")).where("value != 0")
+
+
 @query("posterior_guide", posterior_guide_sql(NAMES_SQL, "global", *AFFINE))
 def posterior_guide(spark, sf_dir):
     """Where most alignments leave each row."""
@@ -638,6 +670,35 @@ def stream_windowed_scores(spark, sf_dir):
     return spark.table(table_name).select((F.unix_timestamp(F.col("window.start")) / 7200).cast("bigint").alias("window_minute"), "n", "total", "best")
 
 
+# Files that arrive in this order: pairs of even length sum, in time; the clock, 100 days on, twice; pairs of odd length sum,
+# by then a season late but for one in five, which come a quarter of an hour after the clock; and the clock, 200 days on.
+_LATE = f"""SELECT pair_id, score, s, CASE WHEN s % 2 = 0 THEN s * 600 WHEN s % 5 = 0 THEN 8640000 + s * 900 END AS ts
+FROM (SELECT pair_id, CAST(length(a) + length(b) AS BIGINT) AS s FROM ({NAMES_SQL})) JOIN ({best_sql(NAMES_SQL, 'local', 'linear', *PLAIN)}) USING (pair_id)"""
+
+
+@query("stream_late_rows", f"""SELECT CAST(start AS BIGINT) AS start, count(*) AS n, sum(score) AS total, max(score) AS best
+FROM (SELECT score, unnest([ts // 1800, ts // 1800 - 1]) * 1800 AS start FROM ({_LATE}) WHERE ts IS NOT NULL) GROUP BY ALL""")
+def stream_late_rows(spark, sf_dir):
+    """Sums over sliding windows of an hour, appended to files once the watermark has passed them; late rows are left out."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = materialize(names(spark, sf_dir).withColumn("s", (F.length("seq_a") + F.length("seq_b")).cast("bigint")), "stream-pairs")
+    day = 86_400
+    even, odd, fifth = F.col("s") % 2 == 0, F.col("s") % 2 == 1, F.col("s") % 5 == 0
+    clock = lambda days: spark.createDataFrame([("clock", "", "", 0)], "pair_id string, seq_a string, seq_b string, s long").withColumn("ts", F.timestamp_seconds(F.lit(days * day)))
+    arrivals = [
+        pairs.where(even).withColumn("ts", F.timestamp_seconds(F.col("s") * 600)), clock(100), clock(100),  # a batch counts as late what the batch before it would have
+        pairs.where(odd).withColumn("ts", F.timestamp_seconds(F.when(fifth, 100 * day + F.col("s") * 900).otherwise(F.col("s") * 600))), clock(200),
+    ]
+    for k, rows in enumerate(arrivals):
+        rows.coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = spark.readStream.schema(arrivals[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    scored = score_stream(stream, uniform(NAMES, *PLAIN), Problem("local", "linear", "none"), keep=("ts",))
+    run_to_parquet(windowed_scores(scored, "ts", "1 hour", "6 hours", slide="30 minutes"), f"{base}/out", f"{base}/state").awaitTermination()
+    out = spark.read.parquet(f"{base}/out").select(F.unix_timestamp(F.col("window.start")).alias("start"), "n", "total", "best")
+    # the clock's own row, of no letters, is in two windows
+    return out.where(~F.col("start").isin(100 * day, 100 * day - 1800))
+
+
 # User journeys: a letter an event type.
 _LETTERS = (("click", "A"), ("error", "B"), ("purchase", "C"), ("signup", "D"), ("view", "E"))
 JOURNEY = Alphabet.get("ABCDE")

@@ -1,4 +1,4 @@
-"""SQL functions over a parameter set, all on Arrow batches: scores, log Z, and gradients as maps to explode."""
+"""SQL functions over a parameter set, all on Arrow batches: scores, log Z, gradients as maps to explode, and as table functions."""
 
 from __future__ import annotations
 
@@ -49,11 +49,32 @@ def grad_function(params: AlignParams, problem: Problem):
     return grad
 
 
+def gradient_rows_function(params: AlignParams, problem: Problem):
+    """A table function of two strings for LATERAL joins: rows (field, value) of their gradient; none if either is null.
+
+    It aligns a pair a call; for many pairs the map of :func:`grad_function`, exploded, costs less.
+    """
+
+    class GradientRows:
+        def eval(self, a: str, b: str):
+            if a is None or b is None:
+                return
+            found, _ = _solved(pa.array([a], pa.string()), pa.array([b], pa.string()), params, problem, True)
+            _, fields, values = found["grad"]
+            for field, value in zip(fields.tolist(), values.tolist(), strict=True):
+                yield field, value
+
+    return F.udtf(GradientRows, returnType="field int, value double")
+
+
 def register(spark: SparkSession, params: AlignParams, prefix: str = "") -> list[str]:
-    """Register score, ``log_z``, ``grad`` and ``soft_grad`` functions of six problems under a prefix; returns their names."""
+    """Register score, ``log_z``, ``grad`` and ``soft_grad`` functions of six problems under a prefix, and table functions ``grad_rows`` and ``soft_grad_rows``; returns their names."""
     names = []
     for name, (mode, model) in SCORES.items():
         for sql, make, grad in ((name, score_function, "none"), (name.replace("score", "log_z"), score_function, "soft"), (name.replace("score", "grad"), grad_function, "hard"), (name.replace("score", "soft_grad"), grad_function, "soft")):
             spark.udf.register(prefix + sql, make(params, Problem(mode, model, grad)))
             names.append(prefix + sql)
+        for sql, grad in ((name.replace("score", "grad_rows"), "hard"), (name.replace("score", "soft_grad_rows"), "soft")):
+            spark.udtf.register(prefix + sql, gradient_rows_function(params, Problem(mode, model, grad)))
+            names.append(prefix + sql)
     return names

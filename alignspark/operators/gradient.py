@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alignspark.functions import render
 from alignspark.params import AlignParams
 
 #: Rows of one block of an ordered sum.
@@ -65,3 +66,37 @@ def dense(results: DataFrame, params: AlignParams, id_col: str = "pair_id") -> D
 def total(results: DataFrame) -> float:
     """The sum of scores; 0 of no rows."""
     return float(results.agg(F.sum("score")).first()[0] or 0.0)
+
+
+def path_fields(paths: DataFrame, params: AlignParams, *keys: str, gap_model: str = "affine") -> DataFrame:
+    """(keys, field, value): what best paths count of each parameter, from their runs alone.
+
+    ``paths`` has seq_a, seq_b, ops, start_i and start_j, and track and gap_track
+    where there are several sets.  Runs become rows, each with the fields that it
+    counts; sums are formed before the shuffle.  Without ``keys`` it is the summed
+    gradient.
+    """
+    n, fields = len(params.alphabet), params.n_fields
+    symbols = F.lit(params.alphabet.symbols)
+    cols = [*keys, "seq_a", "seq_b", "ops", *(c for c in ("track", "gap_track") if c in paths.columns)]
+    at = render.coordinates(F.col("ops"), F.col("start_i"), F.col("start_j"))
+    placed = paths.where(F.size("ops") > 0).withColumn("at", at).select(*cols, F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"))
+    runs = placed.select(*cols, F.posexplode("ops").alias("k", "run"), "at_a", "at_b")
+    runs = runs.withColumns({"op": F.col("run.op"), "len": F.col("run.len"), "i": F.get("at_a", F.col("k")), "j": F.get("at_b", F.col("k"))})
+    zero = F.lit(0)
+    of_row = (lambda i: F.coalesce(F.get("track", i), zero)) if "track" in cols else (lambda i: zero)
+    # a gap in A lies between two rows; by default it takes the set of the row above it
+    above = of_row(F.greatest(F.col("i") - 1, zero))
+    of_gap = F.coalesce(F.get("gap_track", F.col("i")), above) if "gap_track" in cols else above
+    letters = lambda seq, first: F.split(F.substring(seq, F.col(first) + 1, F.col("len")), "")
+    runs = runs.withColumns({"la": letters("seq_a", "i"), "lb": letters("seq_b", "j"), "steps": F.sequence(zero, F.col("len") - 1)})
+    entry = lambda s, field, v: F.struct((s * fields + field).cast("int").alias("field"), v.cast("double").alias("value"))
+    symbol = lambda c: F.position(c, symbols) - 1
+    pairs = F.transform("steps", lambda s: entry(of_row(F.col("i") + s), symbol(F.get("la", s)) * n + symbol(F.get("lb", s)), F.lit(1.0)))
+    in_b = F.transform("steps", lambda s: entry(of_row(F.col("i") + s), F.lit(n * n + 3), F.lit(-1.0)))
+    in_a = F.array(entry(of_gap, F.lit(n * n + 1), -F.col("len")))
+    if gap_model == "affine":
+        in_b = F.concat(in_b, F.array(entry(of_row(F.col("i")), F.lit(n * n + 2), F.lit(-1.0))))
+        in_a = F.concat(in_a, F.array(entry(of_gap, F.lit(n * n), F.lit(-1.0))))
+    counted = runs.select(*keys, F.explode(F.when(F.col("op") == 0, pairs).when(F.col("op") == 1, in_b).otherwise(in_a)).alias("x"))
+    return counted.groupBy(*keys, F.col("x.field").alias("field")).agg(F.sum("x.value").alias("value"))

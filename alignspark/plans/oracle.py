@@ -225,18 +225,22 @@ cell AS MATERIALIZED (
 )"""
 
 
-def soft_counts_sql(pairs: str, symbols: str, mode: str, model: str, *values: float) -> str:
-    """(pair_id, field, value): every entry of the expected counts that is not 0 to five places; gaps count negative."""
+def soft_counts_sql(pairs: str, symbols: str, mode: str, model: str, *values: float, total: bool = False) -> str:
+    """(pair_id, field, value): every entry of the expected counts that is not 0 to five places; gaps count negative.
+
+    With ``total`` the sums over all pairs, (field, value), to three places.
+    """
+    key, digits = ("", 3) if total else ("pair_id, ", 5)
     match, mismatch, open_a, ext_a, open_b, ext_b = values
     if model == "linear":
         open_a = open_b = 0
     n = len(symbols)
     opens = f"UNION ALL SELECT pair_id, {n * n}, -fy * ends_y / z FROM cell UNION ALL SELECT pair_id, {n * n + 2}, -fx * ends_x / z FROM cell" if model == "affine" else ""
     return f"""{posterior_sql(pairs, mode, match, mismatch, open_a, ext_a, open_b, ext_b)}
-SELECT pair_id, CAST(field AS INTEGER) AS field, round(sum(v), 5) AS value FROM (
+SELECT {key}CAST(field AS INTEGER) AS field, round(sum(v), {digits}) AS value FROM (
   SELECT pair_id, (strpos('{symbols}', substr(a, i, 1)) - 1) * {n} + strpos('{symbols}', substr(b, j, 1)) - 1 AS field, fm * tm / z AS v FROM cell WHERE i > 0 AND j > 0
   UNION ALL SELECT pair_id, {n * n + 1}, -fy * ty / z FROM cell UNION ALL SELECT pair_id, {n * n + 3}, -fx * tx / z FROM cell {opens}
-) GROUP BY ALL HAVING round(sum(v), 5) <> 0"""
+) GROUP BY ALL HAVING round(sum(v), {digits}) <> 0"""
 
 
 def posterior_guide_sql(pairs: str, mode: str, *values: float) -> str:

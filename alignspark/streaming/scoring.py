@@ -26,5 +26,9 @@ def windowed_scores(scored: DataFrame, time_col: str, window: str, late: str, *b
 
 
 def run_to_parquet(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream as Parquet, exactly once, until no input is left."""
+    """Write a stream as Parquet, exactly once, until no input is left.
+
+    A windowed sum is appended when the watermark has passed its window, once and
+    for all; rows that come later than that are left out.
+    """
     return scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -267,3 +267,29 @@ def test_published_matrices_come_from_a_folder(spark, tmp_path):
     assert matrices.load(spark, "NUC44", "") is matrices.NUC44
     with pytest.raises(ValueError):
         matrices.load(spark, "BLOSUM51", str(tmp_path))
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "glocal"])
+@pytest.mark.parametrize("model", ["affine", "linear"])
+def test_gradients_from_runs_equal_the_kernels(spark, mode, model):
+    both = AlignParams.stack([PARAMS, AlignParams(SubstMatrix(5 * np.eye(4) - 3, "ACGT"), 3, 1, 2, 2)])
+    pairs = pairs_of(spark, 40, 15, 7).withColumn("track", F.transform(F.split("seq_a", "(?!^)(?!$)"), lambda c, i: (i % 3 % 2).cast("int")))
+    pairs = pairs.withColumn("track", F.when(F.length("seq_a") == 0, F.array().cast("array<int>")).otherwise(F.col("track")))
+    pairs = pairs.withColumn("gap_track", F.when(F.col("pair_id") % 2 == 0, F.concat(F.array(F.lit(1)), F.transform("track", lambda t: 1 - t))))
+    for params, rows in ((both, pairs), (PARAMS, pairs.drop("track", "gap_track"))):
+        found = align(rows, params, Problem(mode, model, "hard"), ("score", "path", "grad"))
+        want = {(r.pair_id, r.field): r.value for r in gradient.gradient_rows(found).collect()}
+        seen = gradient.path_fields(found.join(rows, "pair_id"), params, "pair_id", gap_model=model)
+        assert {(r.pair_id, r.field): r.value for r in seen.collect() if r.value} == want
+        total = {r.field: r.value for r in gradient.path_fields(found.join(rows, "pair_id"), params, gap_model=model).collect()}
+        assert all(v == sum(x for (_, f), x in want.items() if f == k) for k, v in total.items())
+
+
+def test_table_function_of_gradient_rows(spark):
+    from alignspark.functions import sql as sqlfn
+
+    sqlfn.register(spark, PARAMS, "acgt_")
+    spark.createDataFrame([(1, "ACGT", "AGT"), (2, None, "A"), (3, "", "")], "pair_id long, seq_a string, seq_b string").createOrReplaceTempView("some_pairs")
+    rows = spark.sql("SELECT pair_id, field, value FROM some_pairs, LATERAL acgt_nw_grad_rows_affine(seq_a, seq_b)").collect()
+    want = gradient.gradient_rows(align(spark.table("some_pairs").where("seq_a is not null"), PARAMS, Problem("global"), ("score", "grad"))).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and rows
