@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from alignspark.params import AlignParams
 from alignspark.plans import kernel as kn
 
-#: Cells that one block fills at most (a longer pair is a block of its own).
-BLOCK_CELLS = 2_000_000
+#: Cells that one block fills at most (a longer pair is a block of its own); ensembles hold some ten times as much a cell.
+BLOCK_CELLS, SOFT_CELLS = 8_000_000, 2_000_000
 OPS = "array<struct<op:tinyint,len:int>>"
 
 GRADS = ("hard", "soft", "none")
@@ -92,8 +92,8 @@ class Problem:
         return kn.Scoring((params.matrices / t).astype(kind).ravel(), (params.gaps / t).astype(kind), len(params.alphabet), self.mode, self.gap_model)
 
 
-def _rows(m: np.ndarray, n: np.ndarray, apart: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of similar lengths, in blocks; ``apart`` holds kinds of pairs that share none.
+def _rows(m: np.ndarray, n: np.ndarray, apart: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Pairs of similar lengths, in blocks of ``most`` cells; ``apart`` holds kinds of pairs that share none.
 
     Lengths within a quarter of an octave go together, so padding costs a tenth or so of the cells.
     """
@@ -106,7 +106,7 @@ def _rows(m: np.ndarray, n: np.ndarray, apart: np.ndarray) -> Iterator[np.ndarra
         while at < len(group):
             rest = group[at:]
             cells = (int(m[rest].max()) + 1) * (int(m[rest].max()) + int(n[rest].max()) + 1)
-            take = max(1, min(len(rest), BLOCK_CELLS // cells))
+            take = max(1, min(len(rest), most // cells))
             yield rest[:take]
             at += take
 
@@ -184,7 +184,7 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
         logs = ~kn.in_range(p.scoring(params), m, n) if p.soft_impl != "log" else np.ones(total, bool)
     score, ends = np.zeros(total), np.zeros((4, total), np.int32)
     grads, ops, columns = Lists(total, np.int32, np.float64), Lists(total, np.int8, np.int32), Lists(total, np.int32)
-    for at in _rows(m, n, logs.astype(np.int64)):
+    for at in _rows(m, n, logs.astype(np.int64), SOFT_CELLS if soft else BLOCK_CELLS):
         bm, bn = m[at], n[at]
         rows, cols = int(bm.max()), int(bn.max())
         s = p.scoring(params, rows + cols + 2)
