@@ -2,7 +2,7 @@
 
 Layout of a store, all Parquet in one folder:
 
-* ``chunks/`` - one row per distinct chunk of ids and per batch that met it:
+* ``chunks/`` - a row for each distinct chunk of ids and for further uses of it:
   ``hash`` (BLAKE2b, 16 bytes), ``n_ids``, ``payload`` and ``uses``.  The
   payload (ids as little-endian unsigned 16-bit integers, or 32-bit where the
   vocabulary needs it, zstandard-compressed) stands in exactly one row of each
@@ -22,9 +22,9 @@ Layout of a store, all Parquet in one folder:
 A rolling hash over the last ``WINDOW`` ids decides where chunks end, so equal
 passages give equal chunks wherever they stand.  Ids travel once, to the row of
 their chunk; everything else that is shuffled is small.  Chunks are deduplicated
-within a batch before the shuffle, so a chunk that a third of all documents
-hold arrives as one row a batch; these rows are dealt out by SALTS, and only the
-first of each salt, of which one keeps its payload, meet in one task.
+within a task before the shuffle: a chunk that a third of all documents hold
+sends its payload once a task (once in SEEN others), with INLINE uses, and all
+its further uses are dealt out by SALTS.
 
 Defined results: null and empty texts consist of the end id alone; documents
 with a null id are not stored; rows with one id are stored, placed and read back
@@ -51,8 +51,10 @@ from alignspark.llm.words import steps
 MODEL = "byte_bpe_50k.json"
 WINDOW = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 4096
-#: Parts into which the rows of one chunk are dealt out.
-SALTS = 1024
+#: Parts into which the uses of one chunk are dealt out, and how many of them go with its payload.
+SALTS, INLINE = 1024, 4
+#: Chunks that a task remembers to have sent.
+SEEN = 200_000
 #: Documents, or hashes of them, that one hash of the manifest's tree covers.
 BLOCK = 1024
 #: Distinct pieces that a Python worker remembers.
@@ -189,7 +191,7 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        zip_ = zstandard.ZstdCompressor(level=1, write_checksum=False)
+        zip_, seen = zstandard.ZstdCompressor(level=1, write_checksum=False), set()
         for big in batches:
             for lo, hi in steps(big.column(1), CUT_BYTES):
                 batch = big.slice(lo, hi - lo)
@@ -210,7 +212,7 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
                     key = hashlib.blake2b(raw, digest_size=16).digest()
                     entry = found.get(key)
                     if entry is None:
-                        entry = found[key] = [b - a, zip_.compress(raw), []]
+                        entry = found[key] = [b - a, raw, []]
                     use = {"doc": d, "row": w, "pos": k, "offset": o, "total": n, "root": None}
                     entry[2].append(use)
                     if k == 0:
@@ -218,17 +220,26 @@ def write_store(documents: DataFrame, path: str, id_col: str = "doc_id", tokeniz
                     hashes.append(key)
                     if o + b - a == n:
                         head["root"] = hashlib.sha256(b"".join(hashes).hex().upper().encode()).hexdigest()
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([e[0] for e in found.values()], pa.int32()), pa.array([e[1] for e in found.values()], pa.binary()), pa.array([e[2] for e in found.values()], uses)], names=["hash", "n_ids", "payload", "uses"])
+                # (hash, salt, ids, payload, uses): a payload goes to its hash, once a task; further uses stay spread
+                rows = []
+                for key, (n, raw, own) in found.items():
+                    new = key not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        rows.append((key, 0, n, zip_.compress(raw), own[:INLINE]))
+                    if rest := own[INLINE:] if new else own:
+                        rows.append((key, 1 + rest[0]["row"] % SALTS, n, None, rest))
+                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), uses)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "salt", "n_ids", "payload", "uses"])
 
     uses = pa.list_(pa.struct([("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("offset", pa.int64()), ("total", pa.int64()), ("root", pa.string())]))
-    met = src.mapInArrow(run, f"hash binary, n_ids int, payload binary, uses {_USES}")
-    # one row of each chunk keeps its payload: of the first rows of all salts the first
-    row = F.col("uses")[0]["row"]
-    of_salt = F.row_number().over(W.partitionBy("hash", "salt").orderBy(row, F.col("uses")[0]["pos"]))
-    dealt = met.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).withColumn("nth", of_salt)
-    dealt = dealt.withColumn("salt", F.when(F.col("nth") == 1, -1).otherwise(F.col("salt"))).withColumn("payload", F.when(F.col("nth") == 1, F.col("payload")))
+    met = src.mapInArrow(run, f"hash binary, salt int, n_ids int, payload binary, uses {_USES}")
+    # of a chunk's payloads, one a task at most, the first is kept
+    first = F.row_number().over(W.partitionBy("hash", "salt").orderBy(F.col("uses")[0]["row"], F.col("uses")[0]["pos"]))
     (
-        dealt.withColumn("n", of_salt)
+        met.withColumn("n", first)
         .select("hash", "n_ids", F.when(F.col("n") == 1, F.col("payload")).alias("payload"), "uses")
         .write.option("compression", "none").parquet(f"{path}/chunks")
     )
