@@ -19,7 +19,7 @@ from alignspark.functions import encoding, render
 from alignspark.functions import sql as sqlfn
 from alignspark.functions.rowfold import fold_scores
 from alignspark.operators import gradient, logistic
-from alignspark.operators.align import Problem, align, score_distinct
+from alignspark.operators.align import Problem, align, align_summed, score_distinct
 from alignspark.operators.batch import PairBatch
 from alignspark.operators.numbering import numbered, zip_frames
 from alignspark.operators.pairs import best_hits, bipartite_pairs, block_pairs, dna_of, pending_pairs, seed_pairs
@@ -387,7 +387,17 @@ def compute_grad_total(spark, sf_dir):
     """The summed gradient times the parameters is the sum of scores."""
     p = uniform(DNA, *AFFINE)
     flat = F.array(*(F.lit(float(x)) for x in p.flat()))
-    return gradient.summed(_graded(spark, sf_dir, "local")).agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
+    sums = align_summed(dna(spark, sf_dir), p, Problem("local", "affine", "hard")).where("field is not null")
+    return sums.agg(F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("total"))
+
+
+@query("align_totals", f"SELECT count(*) AS n, sum(score) AS total, sum(score) AS grad_dot_params FROM ({best_sql(NAMES_SQL, 'glocal', 'affine', *AFFINE)})")
+def align_totals(spark, sf_dir):
+    """Number, sum of scores, and summed gradient times the parameters, of a pass that keeps nothing of any pair."""
+    p = uniform(NAMES, *AFFINE)
+    flat = F.array(*(F.lit(float(x)) for x in p.flat()))
+    sums = align_summed(names(spark, sf_dir), p, Problem("glocal", "affine", "hard"))
+    return sums.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("value") * F.get(flat, F.col("field"))).alias("grad_dot_params"))
 
 
 @query("compute_grad_by_set", f"SELECT sum(score) AS total, TRUE AS in_two_sets FROM ({ORACLE_SQL['nw_score_tracked']})")

@@ -168,8 +168,11 @@ def _tracks(i: int, m: int, tracks, gap_tracks) -> tuple[np.ndarray, np.ndarray]
     return t, g
 
 
-def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True, gradient: bool = True) -> dict:
-    """Results as arrays over all pairs: score; with ``paths`` ops, guide, start and end; with a gradient, grad."""
+def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignParams, p: Problem, guides=None, tracks=None, gap_tracks=None, paths: bool = True, gradient: bool = True, together: bool = False) -> dict:
+    """Results as arrays over all pairs: score; with ``paths`` ops, guide, start and end; with a gradient, grad.
+
+    ``together`` sums the gradient over all pairs: grad is an array over the fields.
+    """
     k_sets, total = params.num_sets, len(ids)
     m, n = (np.fromiter(map(len, x), np.int64, total) for x in (a, b))
     if p.precision in INT_LIMIT and total:
@@ -184,6 +187,7 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
         logs = ~kn.in_range(p.scoring(params), m, n) if p.soft_impl != "log" else np.ones(total, bool)
     score, ends = np.zeros(total), np.zeros((4, total), np.int32)
     grads, ops, columns = Lists(total, np.int32, np.float64), Lists(total, np.int8, np.int32), Lists(total, np.int32)
+    sums = np.zeros(k_sets * params.n_fields) if together else None
     for at in _rows(m, n, logs.astype(np.int64), SOFT_CELLS if soft else BLOCK_CELLS):
         bm, bn = m[at], n[at]
         rows, cols = int(bm.max()), int(bn.max())
@@ -209,8 +213,10 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
             if not soft:
                 score[at] = hard[0].score
             if p.grad == "hard":
-                grad = kn.path_counts(block, s, *hard)
-        if grad is not None:
+                grad = kn.path_counts(block, s, *hard, together)
+        if together:
+            sums += np.bincount(grad[1], weights=grad[2], minlength=len(sums))
+        elif grad is not None:
             grads.add(at, np.searchsorted(grad[0], np.arange(len(at) + 1)), *grad[1:])
         if post is not None:
             columns.add(at, np.concatenate([[0], np.cumsum(bm + 1)]), np.concatenate(post))
@@ -223,7 +229,7 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
                 columns.add(at, np.concatenate([[0], np.cumsum(bm + 1)]), guide[np.arange(rows + 1)[None, :] <= bm[:, None]])
     out = {"score": score}
     if want_grad:
-        out["grad"] = grads.arrays()
+        out["grad"] = sums if together else grads.arrays()
     if paths or p.posterior:
         out["guide"] = columns.arrays()
     if paths and best_paths:
@@ -352,6 +358,39 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
     return src.mapInArrow(run, ", ".join(schema))
 
 
+def align_summed(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), tasks: int | None = None) -> DataFrame:
+    """(n, total, field, value): the gradient summed over all pairs, nothing kept of any one.
+
+    Each task sums its pairs where they are aligned and returns one row a field
+    that they touch.  The row without a field has the number of pairs and the sum
+    of their scores.  Sums of fractions may differ in their last bits from run to
+    run; :func:`alignspark.operators.gradient.summed_in_order` fixes their order.
+    """
+    problem.check(params)
+    if problem.grad == "none":
+        raise ValueError("grad_mode is none: there is no gradient")
+    extra = [c for c in ("guide_j", "track", "gap_track") if c in pairs.columns]
+    src = dealt(pairs.select("pair_id", "seq_a", "seq_b", *(F.col(c).cast("array<int>").alias(c) for c in extra)), tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n, total = np.zeros(params.num_sets * params.n_fields), 0, 0.0
+        for batch in batches:
+            (a, wrong), (b, wrong_b) = (encode_all(batch.column(k + 1), params, which) for k, which in enumerate(("seq_a", "seq_b")))
+            given = {c: batch.column(3 + k).to_pylist() for k, c in enumerate(extra)}
+            if wrong := wrong_b | wrong:
+                raise ValueError(f"pair {batch.column(0)[min(wrong)].as_py()}{wrong[min(wrong)]}")
+            if more := faults(a, b, params, given.get("guide_j"), given.get("track"), given.get("gap_track")):
+                raise ValueError(f"pair {batch.column(0)[min(more)].as_py()}: {more[min(more)]}")
+            found = solve_arrays(range(len(a)), a, b, params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), False, True, True)
+            sums, n, total = sums + found["grad"], n + len(a), total + float(found["score"].sum())
+        at = np.flatnonzero(sums)
+        cols = [pa.array([n, *[0] * len(at)]), pa.array([total, *[0.0] * len(at)]), pa.array([None, *at.tolist()], pa.int32()), pa.array([None, *sums[at].tolist()], pa.float64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["n", "total", "field", "value"])
+
+    rows = src.mapInArrow(run, "n long, total double, field int, value double")
+    return rows.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("value").alias("value")).select("n", "total", "field", "value")
+
+
 def score_distinct(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), id_col: str = "pair_id") -> DataFrame:
     """(id, score) with each distinct pair of sequences aligned once; equal sequences are common in joined pairs.
 

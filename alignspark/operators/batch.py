@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alignspark.functions import render
 from alignspark.operators import gradient
-from alignspark.operators.align import CHOICES, INT_LIMIT, Problem, align, choice
+from alignspark.operators.align import CHOICES, INT_LIMIT, Problem, align, align_summed, choice
 from alignspark.operators.numbering import one_each, values_by_position
 from alignspark.params import AlignParams
 from alignspark.sources.readers import zip_pairs
@@ -173,6 +173,18 @@ class PairBatch:
         rows = materialize(align(pairs, params, problem, ("score", "grad")), "scores")
         return BatchResult(rows.select("pair_id", "score"), gradient.total(rows), gradient.to_params(gradient.summed(rows), params))
 
+    def align_total(self, pairs: DataFrame, params: AlignParams, band: int = 0) -> tuple[float, AlignParams]:
+        """The sums of :meth:`align` alone, of scores and gradients: nothing is written or shuffled of any one pair."""
+        problem = replace(self._problem, band=band, soft_impl=self.soft_impl)
+        if band:
+            self._check_band()
+        rows = align_summed(pairs, params, problem).collect()  # a row a parameter at most
+        flat = params.flat() * 0.0
+        for r in rows:
+            if r.field is not None:
+                flat[r.field] = r.value
+        return next((r.total for r in rows if r.field is None), 0.0), params.like_flat(flat)
+
     # results ------------------------------------------------------------------
     def _valid(self, what: str) -> DataFrame:
         if self._results is None:

@@ -409,8 +409,11 @@ def viterbi(block: Block, s: Scoring, paths: bool) -> tuple[Ends, np.ndarray | N
     return ends, moves, count
 
 
-def path_counts(block: Block, s: Scoring, ends: Ends, moves: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, field, value) of the gradient of the best path: what it counts of each parameter."""
+def path_counts(block: Block, s: Scoring, ends: Ends, moves: np.ndarray, count: np.ndarray, together: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, field, value) of the gradient of the best path: what it counts of each parameter.
+
+    ``together`` sums over all pairs, as of pair 0.
+    """
     total = moves.shape[1]
     used = np.arange(total)[None, :] < count[:, None]
     i = ends.start_i[:, None] + np.cumsum((moves != 2) & used, axis=1)  # the cell each move enters
@@ -437,7 +440,8 @@ def path_counts(block: Block, s: Scoring, ends: Ends, moves: np.ndarray, count:
             keys.append(base[opens] + square + off)
             owners.append(pair[opens])
             values.append(-np.ones(int(opens.sum())))
-    return _summed(np.concatenate(owners), np.concatenate(keys), np.concatenate(values), s, len(block))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    return _summed(np.zeros_like(key) if together else np.concatenate(owners), key, value, s, 1 if together else len(block))
 
 
 def _summed(owner: np.ndarray, key: np.ndarray, value: np.ndarray, s: Scoring, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -293,3 +293,19 @@ def test_table_function_of_gradient_rows(spark):
     rows = spark.sql("SELECT pair_id, field, value FROM some_pairs, LATERAL acgt_nw_grad_rows_affine(seq_a, seq_b)").collect()
     want = gradient.gradient_rows(align(spark.table("some_pairs").where("seq_a is not null"), PARAMS, Problem("global"), ("score", "grad"))).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and rows
+
+
+@pytest.mark.parametrize("grad", ["hard", "soft"])
+def test_sums_without_rows(spark, grad):
+    """The sums that tasks form equal those over every pair's row; tracked, guided and empty ones, too."""
+    both = AlignParams.stack([PARAMS, AlignParams(SubstMatrix(5 * np.eye(4) - 3, "ACGT"), 3, 1, 2, 2)])
+    pairs = pairs_of(spark, 50, 20, 3)
+    tracked = pairs.withColumn("track", F.when(F.length("seq_a") == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split("seq_a", "(?!^)(?!$)"), lambda c, i: (i % 2).cast("int"))))
+    for params, rows in ((PARAMS, pairs), (both, tracked)):
+        batch = PairBatch(None, None, mode="local", grad_mode=grad)
+        want = batch.align(rows, params)
+        total, summed = batch.align_total(rows, params)
+        assert abs(total - want.total) < 1e-9 * abs(total) and np.allclose(summed.flat(), want.grad.flat(), rtol=1e-12, atol=1e-9)
+    assert batch.align_total(pairs.limit(0), PARAMS)[0] == 0
+    with pytest.raises(Exception, match="pair 7: seq_b is null|pair 7, seq_b|pair 7"):
+        batch.align_total(spark.createDataFrame([(7, "AC", None)], "pair_id long, seq_a string, seq_b string"), PARAMS)
