@@ -31,7 +31,7 @@ def numbered_and_counted(rows: DataFrame, *order: str, name: str = "position") -
     of files that are read in their order.  Rows that ``order`` does not tell
     apart are numbered in any order.
     """
-    part, place = _free("part_", [*rows.columns, name]), _free("place_", [*rows.columns, name])
+    part, place, start = (_free(x, [*rows.columns, name]) for x in ("part_", "place_", "start_"))
     ordered = rows.orderBy(*order) if order else rows
     # two runs of one plan may deal rows out differently, so partitions and places are written down
     held = materialize(ordered.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(_PLACE).alias(place)), "numbered")
@@ -40,8 +40,8 @@ def numbered_and_counted(rows: DataFrame, *order: str, name: str = "position") -
     for p, n in sizes:
         starts.append((p, total))
         total += n
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{part} int, start_ long"))
-    out = held.join(offsets, part).withColumn(name, F.col(place) + F.col("start_"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{part} int, {start} long"))
+    out = held.join(offsets, part).withColumn(name, F.col(place) + F.col(start))
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), name), total
 
 
