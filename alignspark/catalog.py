@@ -123,6 +123,32 @@ def params_axpy(spark, sf_dir):
     return rows.select(F.substring_index(gradient.field_names(p, F.col("k")), ".", -1).alias("field"), "value")
 
 
+def _letter_params(spark, sf_dir, column):
+    """Parameters counted from a text column: how often a letter begins and another ends a value; gaps from its lengths."""
+    p = _read(spark, sf_dir, "part").select(F.lower(column).alias("s"))
+    ends = p.groupBy(F.substring("s", 1, 1).alias("a"), F.expr("right(s, 1)").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a pair of letters
+    n, at = len(NAMES), NAMES.symbols.index
+    matrix = np.zeros((n, n))
+    for r in ends:
+        matrix[at(r.a), at(r.b)] = r.n
+    longest, shortest = p.agg(F.max(F.length("s")), F.min(F.length("s"))).first()
+    return AlignParams(SubstMatrix(matrix, NAMES.symbols), longest, shortest, 2 * longest, 2 * shortest)
+
+
+_LETTER_SQL = """SELECT strpos('abcdefghijklmnopqrstuvwxyz ', lower(left({0}, 1))) - 1 AS i, strpos('abcdefghijklmnopqrstuvwxyz ', lower(right({0}, 1))) - 1 AS j, count(*) AS n FROM part GROUP BY ALL"""
+_SIZES_SQL = "(SELECT max(length({0})) AS longest, min(length({0})) AS shortest FROM part)"
+
+
+@query("params_from_rows", f"""WITH x AS ({_LETTER_SQL.format('p_name')}), y AS ({_LETTER_SQL.format('p_type')}), s AS (SELECT i, j FROM (SELECT unnest(range(27)) AS i), (SELECT unnest(range(27)) AS j))
+SELECT CAST(s.i * 27 + s.j AS INTEGER) AS field, CAST(2.0 * coalesce(x.n, 0) - 0.5 * coalesce(y.n, 0) AS DOUBLE) AS value FROM s LEFT JOIN x ON x.i = s.i AND x.j = s.j LEFT JOIN y ON y.i = s.i AND y.j = s.j
+UNION ALL SELECT CAST(729 + k AS INTEGER), CAST(CASE k WHEN 0 THEN 2.0 * a.longest - 0.5 * b.longest WHEN 1 THEN 2.0 * a.shortest - 0.5 * b.shortest WHEN 2 THEN 4.0 * a.longest - b.longest ELSE 4.0 * a.shortest - b.shortest END AS DOUBLE)
+FROM {_SIZES_SQL.format('p_name')} a, {_SIZES_SQL.format('p_type')} b, (SELECT unnest(range(4)) AS k)""")
+def params_from_rows(spark, sf_dir):
+    """The algebra of parameters that come from a table: 2 x - y / 2, field by field."""
+    p = 2 * _letter_params(spark, sf_dir, "p_name") - 0.5 * _letter_params(spark, sf_dir, "p_type")
+    return spark.createDataFrame(list(enumerate(p.flat().tolist())), "field int, value double")
+
+
 # Pairs --------------------------------------------------------------------
 @query("pairs_block_join", f"SELECT p_brand, count(*) AS n, min(a) AS first_a, max(b) AS last_b FROM ({BRANDS_SQL}) GROUP BY p_brand")
 def pairs_block_join(spark, sf_dir):
@@ -364,6 +390,24 @@ def guide_path(spark, sf_dir):
     return g.select("pair_id", F.array_join("guide_j", ",").alias("guide"), render.valid_guide(F.col("guide_j"), F.length("seq_a"), F.length("seq_b")).alias("valid"))
 
 
+_KINDS = "(length(a) + 2 * length(b)) % 6"
+
+
+@query("guide_faults", f"""SELECT pair_id, len(g) = length(a) + 1 AND list_min(g) >= 0 AND list_max(g) <= length(b) AND list_sort(g) = g AS valid
+FROM (SELECT pair_id, a, b, CASE {_KINDS} WHEN 1 THEN g[1:len(g) - 1] WHEN 2 THEN list_append(g[1:len(g) - 1], length(b) + 1) WHEN 3 THEN list_prepend(-1, g[2:]) WHEN 4 THEN list_reverse(g) WHEN 5 THEN list_append(g, length(b)) ELSE g END AS g
+  FROM (SELECT pair_id, a, b, list_transform(list_append({_LEAVES}, CAST(ej AS VARCHAR)), lambda v: CAST(v AS BIGINT)) AS g FROM ({_GLOCAL_PATHS})))""")
+def guide_faults(spark, sf_dir):
+    """Guides, five in six of them broken: too short, beyond the end, below 0, backwards, too long."""
+    g, m, n = F.col("guide_j"), F.length("seq_a"), F.length("seq_b")
+    kind, short = (m + 2 * n) % 6, F.slice("guide_j", F.lit(1), m)
+    put = lambda *xs: F.concat(*(x if x is g or x is short else x.cast("array<int>") for x in xs))
+    broken = (
+        F.when(kind == 1, short).when(kind == 2, put(short, F.array(n + 1))).when(kind == 3, put(F.array(F.lit(-1)), F.slice("guide_j", F.lit(2), m)))
+        .when(kind == 4, F.reverse(g)).when(kind == 5, put(g, F.array(n))).otherwise(g)
+    )
+    return _paths(spark, sf_dir, "glocal", "affine", AFFINE, ("guide",)).select("pair_id", render.valid_guide(broken, m, n).alias("valid"))
+
+
 @query("guide_from_aligned", f"SELECT pair_id, array_to_string(list_prepend('0', list_transform(list_filter(range(1, length(ga) + 1), lambda k: substr(ga, k, 1) <> '-'), lambda k: CAST(length(replace(left(gb, k), '-', '')) AS VARCHAR))), ',') AS guide FROM ({_GLOBAL_PATHS})")
 def guide_from_aligned(spark, sf_dir):
     return _aligned(spark, sf_dir).select("pair_id", F.array_join(render.guide_from_aligned(F.col("al.a"), F.col("al.b")), ",").alias("guide"))
@@ -643,6 +687,23 @@ def logistic_step(spark, sf_dir):
     return spark.createDataFrame([(round(found.alpha, 6), round(found.grad.dot(params), 3))], "alpha double, grad_dot_params double")
 
 
+_FIELDS_SQL = _STEP_SQL.split("counts AS MATERIALIZED")[1].split("SELECT round(alpha")[0]
+
+
+@query("logistic_step_fields", f"""WITH RECURSIVE scored AS MATERIALIZED (SELECT pair_id, score, CAST((length(a) + length(b)) % 2 AS DOUBLE) AS label FROM ({best_sql(NAMES_SQL, 'global', 'affine', *AFFINE)}) JOIN ({NAMES_SQL}) USING (pair_id)),
+counts AS MATERIALIZED{_FIELDS_SQL}
+SELECT CAST(field AS INTEGER) AS field, round(sum(v * (label - 1 / (1 + exp(-(alpha + score))))), 4) AS value FROM ({_COUNTS}) JOIN scored USING (pair_id), fitted GROUP BY ALL HAVING round(sum(v * (label - 1 / (1 + exp(-(alpha + score))))), 4) <> 0""")
+def logistic_step_fields(spark, sf_dir):
+    """Every entry of the log-likelihood's gradient at the fitted intercept."""
+    params, pairs = uniform(NAMES, *AFFINE), names(spark, sf_dir)
+    batch = PairBatch(pairs, params)
+    batch.score_and_grad()
+    labels = pairs.select("pair_id", ((F.length("seq_a") + F.length("seq_b")) % 2).cast("double").alias("label"))
+    found = logistic.step(batch, labels).grad.flat().tolist()
+    rows = spark.createDataFrame(list(enumerate(found)), "field int, value double")
+    return rows.select("field", F.round("value", 4).alias("value")).where("value != 0")
+
+
 @query("best_hit_topk", f"SELECT pair_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id // 1000000 ORDER BY score DESC, pair_id) AS rank FROM ({best_sql(DNA_PAIRS, 'local', 'affine', *AFFINE)})) WHERE rank <= 3")
 def best_hit_topk(spark, sf_dir):
     scored = align(dna(spark, sf_dir), uniform(DNA, *AFFINE), Problem("local", "affine", "none"))
