@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,10 @@ class PairBatch:
             raise IndexError(f"no pair {i}")
         return rows if self._results is None else rows.join(self._results.drop("seq_a", "seq_b", *self._tracks()), "pair_id", "left")
 
+    def pair(self, i: int) -> PairView:
+        """A view of one pair: its sequences and its results as plain values."""
+        return PairView(self, self[i].first())
+
     def set_params(self, params: AlignParams) -> None:
         if self._params is not None and (params.alphabet != self._params.alphabet or params.num_sets != self._params.num_sets):
             raise ValueError("new parameters must keep the alphabet and the number of sets")
@@ -129,6 +134,7 @@ class PairBatch:
         self._results, self._has_paths = None, False  # a failed pass leaves nothing that looks valid
         problem = replace(problem, posterior=self.soft_guide == "posterior" and problem.grad == "soft", soft_impl=self.soft_impl)
         problem.check(self._params)
+        self._check_splits(pairs)
         outputs = ["score", "guide"] + ["path"] * keep_paths + ["grad"] * (problem.grad != "none")
         before = self._written  # this pass may read its pairs and guides
         aligned = align(pairs, self._params, problem, tuple(outputs), tasks=tasks, keep=("seq_a", "seq_b", *self._tracks()))
@@ -152,6 +158,15 @@ class PairBatch:
         self._check_band()
         return self._pass(*self._laid_out(), replace(self._problem, band=bandwidth), keep_paths)
 
+    def _check_splits(self, pairs: DataFrame) -> None:
+        """An explicit Hirschberg traceback divides pairs of more than ``hb_cutoff`` rows, which some negative penalties forbid."""
+        if not self.traceback.startswith("hirschberg"):
+            return
+        opens, extends = self._params.gaps[:, [0, 2]], self._params.gaps[:, [1, 3]]
+        negative = self.gap_model == "affine" and (opens < 0).any() or self.mode == "local" and (extends < 0).any()
+        if negative and not pairs.where(F.length("seq_a") > self.hb_cutoff).isEmpty():
+            raise ValueError(f"traceback {self.traceback!r} needs gap penalties of 0 or more beyond {self.hb_cutoff} rows; use 'pointers' or 'auto'")
+
     def _check_band(self) -> None:
         if self.traceback.startswith("hirschberg"):
             raise ValueError(f"traceback {self.traceback!r} cannot be combined with a band")
@@ -342,6 +357,26 @@ def _passed_on(name: str):
 for _name in (*CHOICES, "hb_cutoff", "soft_temperature"):
     setattr(SeqPair, _name, _passed_on(_name))
 
+class PairView(SeqPair):
+    """One pair of a batch: it reads what the batch's passes left, and has no settings of its own."""
+
+    def __init__(self, batch: PairBatch, row):
+        one = copy(batch)
+        only = F.col("pair_id") == row["pair_id"]
+        one._pairs = batch._pairs.where(only)
+        one._results = batch._results if batch._results is None else batch._results.where(only)
+        one._guides = batch._guides if batch._guides is None else batch._guides.where(only)
+        self.__dict__.update(seq_a=row["seq_a"], seq_b=row["seq_b"], pair_id=row["pair_id"], batch=one)
+
+    def __setattr__(self, name: str, value) -> None:
+        raise RuntimeError(f"{name} of a pair in a batch is the batch's: set it on the batch, which applies to every pair")
+
+    def _of_the_batch(self, *_, **__):
+        raise RuntimeError("a pair in a batch is aligned by the batch's passes, under the batch's parameters")
+
+    align = banded_align = score_and_grad = set_params = drop_paths = _of_the_batch
+
+
 #: A batch and a pair class for each number type: PairBatchInt8, SeqPairInt8, ..., PairBatchFloat32, SeqPairFloat32.
 for _type in (*INT_LIMIT, "float32"):
     _suffix = _type.capitalize()

@@ -309,3 +309,38 @@ def test_sums_without_rows(spark, grad):
     assert batch.align_total(pairs.limit(0), PARAMS)[0] == 0
     with pytest.raises(Exception, match="pair 7: seq_b is null|pair 7, seq_b|pair 7"):
         batch.align_total(spark.createDataFrame([(7, "AC", None)], "pair_id long, seq_a string, seq_b string"), PARAMS)
+
+
+def test_views_of_a_batch(spark):
+    batch = PairBatch(spark.createDataFrame([(5, "ACGT", "ACT"), (9, "GG", "GG")], "pair_id long, seq_a string, seq_b string"), PARAMS)
+    view = batch.pair(9)
+    assert (view.seq_a, view.pair_id, view.score_valid, view.path_valid) == ("GG", 9, False, False)
+    with pytest.raises(RuntimeError, match="no valid scores"):
+        _ = view.score
+    batch.score_and_grad(keep_paths=True)
+    view = batch.pair(9)
+    assert view.score == 4 and view.cigar() == "2M" and view.guide_j == [0, 1, 2] and view.grad.dot(PARAMS) == 4 and batch.pair(-2).seq_a == "ACGT"
+    for name, value in (("traceback", "grid"), ("hb_cutoff", 7), ("soft_temperature", 2.0), ("soft_impl", "log")):
+        with pytest.raises(RuntimeError, match=f"{name} of a pair in a batch is the batch's"):
+            setattr(view, name, value)
+    for call in (view.align, view.score_and_grad, view.drop_paths, lambda: view.set_params(PARAMS)):
+        with pytest.raises(RuntimeError, match="batch's"):
+            call()
+    with pytest.raises(IndexError):
+        batch.pair(6)
+
+
+def test_hirschberg_refuses_negative_penalties_past_the_cutoff(spark):
+    pairs = spark.createDataFrame([(5, "ACGTACGT", "ACT")], "pair_id long, seq_a string, seq_b string")
+    negative = AlignParams(SubstMatrix(6 * np.eye(4) - 4, "ACGT"), -1, 2, 5, 1)
+    batch = PairBatch(pairs, negative, traceback="hirschberg", hb_cutoff=4)
+    with pytest.raises(ValueError, match="needs gap penalties of 0 or more beyond 4 rows"):
+        batch.score_and_grad()
+    batch.hb_cutoff = 8
+    short = batch.score_and_grad()
+    batch.hb_cutoff, batch.traceback = 4, "pointers"
+    assert batch.score_and_grad() == short
+    falling = AlignParams(SubstMatrix(6 * np.eye(4) - 4, "ACGT"), 1, -2, 5, 1)
+    assert PairBatch(pairs, falling, traceback="hirschberg", hb_cutoff=4).score_and_grad() == PairBatch(pairs, falling).score_and_grad()
+    with pytest.raises(ValueError, match="beyond 4 rows"):
+        PairBatch(pairs, falling, mode="local", traceback="hirschberg_pmax", hb_cutoff=4).score_and_grad()
