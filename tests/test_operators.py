@@ -344,3 +344,13 @@ def test_hirschberg_refuses_negative_penalties_past_the_cutoff(spark):
     assert PairBatch(pairs, falling, traceback="hirschberg", hb_cutoff=4).score_and_grad() == PairBatch(pairs, falling).score_and_grad()
     with pytest.raises(ValueError, match="beyond 4 rows"):
         PairBatch(pairs, falling, mode="local", traceback="hirschberg_pmax", hb_cutoff=4).score_and_grad()
+
+
+@pytest.mark.parametrize("guide,says", [([0, 1, 2], "2 entries|3 entries"), ([0, 1, 2, 9], "outside"), ([-1, 1, 2, 3], "outside"), ([0, 2, 1, 3], "decreases")])
+def test_one_broken_guide_among_sound_ones_is_named(spark, guide, says):
+    rows = [(k, "ACG", "ACG", [0, 1, 2, 3]) for k in range(20)] + [(77, "ACG", "ACG", guide), (78, "ACG", "ACG", None)]
+    pairs = spark.createDataFrame(rows, "pair_id long, seq_a string, seq_b string, guide_j array<int>").coalesce(1)
+    with pytest.raises(Exception, match=f"pair 77.*({says})"):
+        align(pairs, PARAMS, Problem(band=2)).collect()
+    errors = {r.pair_id: r.error for r in align(pairs, PARAMS, Problem(band=2), on_error="null").collect()}
+    assert errors.pop(77) and not any(errors.values())
