@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -575,6 +576,33 @@ def soft_grad_uses_both(spark, sf_dir):
     return d.groupBy("pair_id").agg(F.round(pairs - at(3), 6).alias("used_a"), F.round(pairs - at(1), 6).alias("used_b"))
 
 
+#: Scores under which a prefix that matches weighs some e^656 more than what can follow it.
+STEEP = (21, -10, 0, 0.5, 0, 20.5)
+_HALF = "translate(md5({}), '0123456789abcdef', '{}')"
+_GT, _AC = _HALF.format("CAST(c_custkey AS VARCHAR)", "GTGTGTGTGTGTGTGT"), _HALF.format("CAST(c_custkey AS VARCHAR) || '{}'", "ACACACACACACACAC")
+WIDE_SQL = f"SELECT c_custkey AS pair_id, {_GT} || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE {_AC.format('x')} END AS a, {_AC.format('y')} || {_GT} AS b FROM customer"
+
+
+@query("soft_lost_mass", f"SELECT z.pair_id, z.log_z, CASE WHEN z.pair_id % 2 = 0 THEN 'float64' ELSE 'log' END AS way, CASE WHEN z.pair_id % 2 = 1 THEN 'rescaled sums may lose more than 2^-45' END AS refused FROM ({log_z_sql(WIDE_SQL, 'glocal', 'linear', *STEEP)}) z")
+def soft_lost_mass(spark, sf_dir):
+    """Pairs on both sides of the bound on lost mass: those whose forward and backward sums peak far apart need logarithms.
+
+    Every first sequence begins with letters that the second one ends with; the odd ones have others after them, for which
+    nothing is left.
+    """
+    key = F.col("c_custkey").cast("string")
+    half = lambda x, letters: F.translate(F.md5(x), "0123456789abcdef", letters * 8)
+    head, other = half(key, "GT"), lambda mark: half(F.concat(key, F.lit(mark)), "AC")
+    tail = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(other("x"))
+    pairs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pair_id"), F.concat(head, tail).alias("seq_a"), F.concat(other("y"), head).alias("seq_b"))
+    params, problem = uniform(DNA, *STEEP), Problem("glocal", "linear", "soft")
+    chosen = align(pairs, params, problem, ("score", "grad", "way"))
+    strict = align(pairs, params, replace(problem, soft_impl="scaled"), ("score", "grad"), on_error="null").select("pair_id", F.col("score").alias("strict"), F.regexp_extract("error", "rescaled sums may lose more than 2\\^-45", 0).alias("refused"))
+    both = chosen.join(strict, "pair_id")
+    same = F.abs(F.coalesce("strict", "score") - F.col("score")) < 1e-6
+    return both.select("pair_id", F.when(same, F.round("score", 6)).alias("log_z"), "way", "refused")
+
+
 def _soft_grad(name, mode, model, values):
     def run(spark, sf_dir):
         """Every entry of every pair's expected counts."""

@@ -25,20 +25,25 @@ BLOCK_CELLS, SOFT_CELLS = 8_000_000, 2_000_000
 OPS = "array<struct<op:tinyint,len:int>>"
 
 GRADS = ("hard", "soft", "none")
-#: Other ways in which the same result can be asked for; all are accepted, none changes it.
+#: Ways in which the same result can be asked for.  ``soft_impl`` and ``soft_precision`` say how sums over all paths are formed
+#: (see :func:`ways`); the others are accepted and change nothing.
 CHOICES = {
     "traceback": ("auto", "scores", "pointers", "hirschberg", "hirschberg_pmax", "grid"),
     "kernel": ("auto", "scalar", "simd"),
     "fill": ("striped", "rowwise"),
     "soft_impl": ("scaled", "log", "scaled_or_log"),
     "soft_guide": ("eager", "lazy", "posterior"),
-    "soft_precision": ("float32", "double"),
+    "soft_precision": ("double", "float32"),
 }
 #: The largest absolute value that each integer type is used for.
 INT_LIMIT = {"int8": 127, "int16": 16383, "int32": 1073741823, "int64": 4611686018427387903}
 INT_MARGIN = 66
 #: Largest step whose probability is a finite double.
 LARGEST_STEP = 709.0
+#: How the sums of a pair are formed, in the order in which they are tried.
+WAYS = ("float32", "plain", "float64", "log")
+#: With steps beyond this few pairs' rescaled sums are sound, so a free choice goes to logarithms at once.
+WORTH_A_TRY = 100.0
 
 
 def choice(name: str, value: str, allowed: tuple[str, ...]) -> str:
@@ -59,6 +64,7 @@ class Problem:
     band: int = 0
     posterior: bool = False
     soft_impl: str = "scaled_or_log"
+    soft_precision: str = "double"
 
     def __post_init__(self):
         choice("mode", self.mode, kn.MODES)
@@ -66,6 +72,8 @@ class Problem:
         choice("grad_mode", self.grad, GRADS)
         choice("precision", self.precision, ("float32", "float64", *INT_LIMIT))
         choice("soft_impl", self.soft_impl, CHOICES["soft_impl"])
+        if choice("soft_precision", self.soft_precision, CHOICES["soft_precision"]) == "float32" and self.precision != "float32":
+            raise ValueError("soft_precision='float32' needs precision='float32'")
         if self.band < 0:
             raise ValueError(f"band must be 0 or more, got {self.band}")
         if self.grad == "soft" and self.precision in INT_LIMIT:
@@ -92,13 +100,34 @@ class Problem:
         return kn.Scoring((params.matrices / t).astype(kind).ravel(), (params.gaps / t).astype(kind), len(params.alphabet), self.mode, self.gap_model)
 
 
+def ways(p: Problem, s: kn.Scoring, m: np.ndarray, n: np.ndarray, forward_only: bool = False) -> np.ndarray:
+    """How each pair's sums over all paths are formed first, as a place in WAYS.
+
+    Plain doubles where no sum can leave their range; else rescaled ones, unless a step itself is too large for them.  With
+    ``soft_precision`` float32, rescaled floats come before either.  Pairs whose rescaled sums may have lost too much to
+    underflow go on to the next way (:func:`next_way`), at last to logarithms; ``soft_impl`` "scaled" refuses them instead.
+    ``forward_only`` totals need no backward sweep in logarithms, so a free choice takes these rather than rescaled doubles.
+    """
+    if p.soft_impl == "log":
+        return np.full(len(m), 3)
+    step = kn.step_bound(s)
+    rescale = step < kn.RESCALED["float64"][0] and (p.soft_impl == "scaled" or step < WORTH_A_TRY and not forward_only)
+    way = np.where(kn.in_range(s, m, n), 1, 2 if rescale else 3)
+    return np.zeros_like(way) if p.soft_precision == "float32" and step < kn.RESCALED["float32"][0] else way
+
+
+def next_way(way: int, fits: bool) -> int:
+    """The way after one that was not sound; ``fits``: plain doubles do."""
+    return (1 if fits else 2) if way == 0 else 3
+
+
 def _rows(m: np.ndarray, n: np.ndarray, apart: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """Pairs of similar lengths, in blocks of ``most`` cells; ``apart`` holds kinds of pairs that share none.
 
     Lengths within a quarter of an octave go together, so padding costs a tenth or so of the cells.
     """
     bucket = lambda x: np.floor(4 * np.log2(x + 16.0)).astype(np.int64)
-    kind = (bucket(m) * 1024 + bucket(n)) * 2 + apart
+    kind = (bucket(m) * 1024 + bucket(n)) * 8 + apart
     order = np.lexsort((n, m, kind))
     edges = np.flatnonzero(np.diff(kind[order])) + 1
     for group in np.split(order, edges):
@@ -209,13 +238,16 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
     soft = p.grad == "soft"
     want_grad = p.grad == "hard" or soft and gradient
     best_paths = not soft or (paths and not p.posterior)
-    logs = np.zeros(total, bool)
-    if soft:
-        logs = ~kn.in_range(p.scoring(params), m, n) if p.soft_impl != "log" else np.ones(total, bool)
+    way, refused = ways(p, p.scoring(params), m, n, not (gradient or p.posterior)) if soft else np.zeros(total, np.int64), {}
+    fits = kn.in_range(p.scoring(params), m, n) if soft else None
     score, ends = np.zeros(total), np.zeros((4, total), np.int32)
     grads, ops, columns = Lists(total, np.int32, np.float64), Lists(total, np.int8, np.int32), Lists(total, np.int32)
     sums = np.zeros(k_sets * params.n_fields) if together else None
-    for at in _rows(m, n, logs.astype(np.int64), SOFT_CELLS if soft else BLOCK_CELLS):
+    if soft and p.soft_impl == "scaled":
+        refused = {i: f"steps of {kn.step_bound(p.scoring(params)):g} are too large for rescaled sums; use soft_impl 'scaled_or_log' or 'log'" for i in np.flatnonzero(way == 3).tolist()}
+    todo = list(_rows(m, n, way, SOFT_CELLS if soft else BLOCK_CELLS))[::-1]
+    while todo:
+        at = todo.pop()
         bm, bn = m[at], n[at]
         rows, cols = int(bm.max()), int(bn.max())
         s = p.scoring(params, rows + cols + 2)
@@ -233,7 +265,14 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
                 block.low, block.high = kn.band_columns(chosen, bn, p.band, p.mode)
         grad = hard = post = None
         if soft:
-            log_z, grad, post = kn.forward_backward(block, s, want_grad, p.posterior, bool(logs[at[0]]))
+            log_z, grad, post, sound = kn.forward_backward(block, s, want_grad, p.posterior, WAYS[way[at[0]]])
+            if sound is not None and not sound.all():  # the others once more without them
+                for i in at[~sound].tolist():
+                    way[i] = next_way(int(way[i]), bool(fits[i]))
+                    if way[i] == 3 and p.soft_impl == "scaled":
+                        refused[i] = f"{len(a[i])} by {len(b[i])} letters: rescaled sums may lose more than 2^-45 to underflow; use soft_impl 'scaled_or_log' or 'log'"
+                todo += [x for x in (at[sound], *(at[~sound & (way[at] == w)] for w in (1, 2, 3))) if len(x)]
+                continue
             score[at] = log_z * p.temperature
         if best_paths:
             hard = kn.viterbi(block, replace(s), paths or p.grad == "hard")
@@ -255,6 +294,8 @@ def solve_arrays(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: Al
                 guide = kn.guides(block, e, moves, count)
                 columns.add(at, np.concatenate([[0], np.cumsum(bm + 1)]), guide[np.arange(rows + 1)[None, :] <= bm[:, None]])
     out = {"score": score}
+    if soft:
+        out["way"], out["refused"] = way, refused
     if want_grad:
         out["grad"] = sums if together else grads.arrays()
     if paths or p.posterior:
@@ -269,6 +310,8 @@ def solve(ids: list, a: list[np.ndarray], b: list[np.ndarray], params: AlignPara
     for i, fault in faults(a, b, params, guides, tracks, gap_tracks).items():
         raise ValueError(f"pair {ids[i]}: {fault}")
     found = solve_arrays(ids, a, b, params, p, guides, tracks, gap_tracks, paths)
+    for i, fault in found.get("refused", {}).items():
+        raise ValueError(f"pair {ids[i]}: {fault}")
     out: list[dict] = [{"score": float(x)} for x in found["score"]]
     for name in ("grad", "ops", "guide"):
         if name in found:
@@ -324,10 +367,13 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
     job; with ``on_error="null"`` such a pair's outputs are null and a column
     ``error`` says why (null for the others).  ``tasks``: see :func:`dealt`.
     ``keep`` names columns that pass through; they must be among those read.
+    ``way`` adds how a pair's sums over all paths were formed, one of WAYS.
     """
     problem.check(params)
     choice("on_error", on_error, ("raise", "null"))
-    wanted = [choice("output", o, ("score", "path", "guide", "grad")) for o in outputs]
+    wanted = [choice("output", o, ("score", "path", "guide", "grad", "way")) for o in outputs]
+    if "way" in wanted and problem.grad != "soft":
+        raise ValueError("only sums over all paths (grad 'soft') have a way")
     if "grad" in wanted and problem.grad == "none":
         raise ValueError("grad_mode is none: there is no gradient")
     if "grad" not in wanted and problem.grad == "hard":
@@ -342,6 +388,8 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
         schema.append("guide_j array<int>")
     if "grad" in wanted:
         schema.append("grad map<int,double>")
+    if "way" in wanted:
+        schema.append("way string")
     if on_error == "null":
         schema.append("error string")
     kept = [src.columns.index(choice("column to keep", c, tuple(src.columns[1:]))) for c in keep]
@@ -367,6 +415,10 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
                 i = min(wrong)
                 raise ValueError(f"pair {batch.column(0)[i].as_py()}{wrong[i]}")
             found = solve_arrays(range(len(a)), a, b, params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), paths, "grad" in wanted)
+            if late := found.get("refused"):
+                if on_error == "raise":
+                    raise ValueError(f"pair {batch.column(0)[min(late)].as_py()}: {late[min(late)]}")
+                wrong |= {i: f": {fault}" for i, fault in late.items() if i not in wrong}
             cols = [pa.array(found["score"])]
             if "path" in wanted:
                 edge, op, length = found["ops"]
@@ -376,6 +428,8 @@ def align(pairs: DataFrame, params: AlignParams, problem: Problem = Problem(), o
                 cols.append(pa.ListArray.from_arrays(*map(pa.array, found["guide"])))
             if "grad" in wanted:
                 cols.append(pa.MapArray.from_arrays(*map(pa.array, found["grad"])))
+            if "way" in wanted:
+                cols.append(pa.array([WAYS[w] for w in found["way"].tolist()], pa.string()))
             if on_error == "null":
                 good = pa.array([None if i in wrong else i for i in range(len(a))], pa.int64())
                 cols = [c.take(good) for c in cols] + [pa.array([wrong[i].lstrip(":, ") if i in wrong else None for i in range(len(a))], pa.string())]
@@ -409,6 +463,8 @@ def align_summed(pairs: DataFrame, params: AlignParams, problem: Problem = Probl
             if more := faults(a, b, params, given.get("guide_j"), given.get("track"), given.get("gap_track")):
                 raise ValueError(f"pair {batch.column(0)[min(more)].as_py()}: {more[min(more)]}")
             found = solve_arrays(range(len(a)), a, b, params, problem, given.get("guide_j"), given.get("track"), given.get("gap_track"), False, True, True)
+            if late := found.get("refused"):
+                raise ValueError(f"pair {batch.column(0)[min(late)].as_py()}: {late[min(late)]}")
             sums, n, total = sums + found["grad"], n + len(a), total + float(found["score"].sum())
         at = np.flatnonzero(sums)
         cols = [pa.array([n, *[0] * len(at)]), pa.array([total, *[0.0] * len(at)]), pa.array([None, *at.tolist()], pa.int32()), pa.array([None, *sums[at].tolist()], pa.float64())]

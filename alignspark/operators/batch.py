@@ -132,7 +132,7 @@ class PairBatch:
 
     def _pass(self, pairs: DataFrame, tasks: int | None, problem: Problem, keep_paths: bool) -> float:
         self._results, self._has_paths = None, False  # a failed pass leaves nothing that looks valid
-        problem = replace(problem, posterior=self.soft_guide == "posterior" and problem.grad == "soft", soft_impl=self.soft_impl)
+        problem = replace(problem, posterior=self.soft_guide == "posterior" and problem.grad == "soft", soft_impl=self.soft_impl, soft_precision=self.soft_precision)
         problem.check(self._params)
         self._check_splits(pairs)
         outputs = ["score", "guide"] + ["path"] * keep_paths + ["grad"] * (problem.grad != "none")
@@ -176,7 +176,7 @@ class PairBatch:
 
         Guided and unguided pairs may be mixed only with a band.
         """
-        problem = replace(self._problem, band=band, soft_impl=self.soft_impl)
+        problem = replace(self._problem, band=band, soft_impl=self.soft_impl, soft_precision=self.soft_precision)
         problem.check(params)
         if band:
             self._check_band()
@@ -190,7 +190,7 @@ class PairBatch:
 
     def align_total(self, pairs: DataFrame, params: AlignParams, band: int = 0) -> tuple[float, AlignParams]:
         """The sums of :meth:`align` alone, of scores and gradients: nothing is written or shuffled of any one pair."""
-        problem = replace(self._problem, band=band, soft_impl=self.soft_impl)
+        problem = replace(self._problem, band=band, soft_impl=self.soft_impl, soft_precision=self.soft_precision)
         if band:
             self._check_band()
         rows = align_summed(pairs, params, problem).collect()  # a row a parameter at most
@@ -276,6 +276,8 @@ class PairBatch:
 
 def _setting(name: str):
     def put(self, value: str) -> None:
+        if name == "soft_precision":
+            replace(self._problem, soft_precision=value)  # refuses what this number type cannot have
         self.options[name] = choice(name, value, CHOICES[name])
 
     return property(lambda self: self.options[name], put, doc=f"One of {', '.join(CHOICES[name])}.")

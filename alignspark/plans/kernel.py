@@ -6,7 +6,9 @@ all pairs at once, with the operands of each cell in their textbook order.
 States: linear gaps have one (H), affine gaps three (M aligned, X gap in B,
 Y gap in A).  The same recurrence serves the best path (max, +) and the ensemble
 of all paths: in probabilities (+, *) while no sum can leave the range of a
-double, else in logarithms (logaddexp, +).
+double; beyond, in probabilities whose diagonals are rescaled by powers of two
+as they go, with a bound on what underflow may have lost; or in logarithms
+(logaddexp, +).
 
 Arrays have a row for each row of the table and a column for each pair, so what
 a diagonal touches is one contiguous piece.  With a band, only the rows that
@@ -62,6 +64,12 @@ LOGS = Algebra(np.logaddexp, np.add, NEG, 0.0, lambda x: x)
 PROBABILITIES = Algebra(np.add, np.multiply, 0.0, 1.0, np.exp)
 #: Largest exponent for which sums and products of probabilities stay far within a double.
 SAFE_EXPONENT = 600.0
+LN2 = float(np.log(2))
+#: Operations on a cell's state in which a rescaled sum may underflow, at most.
+CELL_STEPS = 16
+#: Of each width of rescaled sums: the largest step, the growth between two rescalings (both natural logarithms), and the
+#: share of all paths that underflow may lose.
+RESCALED = {"float32": (70.0, 20.0, 2.0**-20), "float64": (690.0, 150.0, 2.0**-45)}
 
 
 @dataclass
@@ -115,7 +123,8 @@ class Sweep:
     """Fills diagonals of a block, forwards."""
 
     def __init__(self, block: Block, s: Scoring, algebra: Algebra):
-        self.k, self.s, self.algebra = block, s, algebra
+        self.k, self.s, self.algebra, self.kind = block, s, algebra, s.matrices.dtype
+        self.unit, self.last = algebra.one, None
         self.weights = algebra.enter(s.matrices)
         self.rows, self.cols = block.a.shape[0], block.b.shape[0]
         self.affine, self.states = s.model == "affine", 3 if s.model == "affine" else 1
@@ -165,7 +174,7 @@ class Sweep:
         return out
 
     def blank(self) -> list[np.ndarray]:
-        return [np.full((self.rows + 1, len(self.k)), self.algebra.zero, self.s.matrices.dtype) for _ in range(self.states)]
+        return [np.full((self.rows + 1, len(self.k)), self.algebra.zero, self.kind) for _ in range(self.states)]
 
     def inner(self, d: int) -> tuple[int, int]:
         """Rows of diagonal d away from both borders and within some band, end exclusive."""
@@ -185,7 +194,7 @@ class Sweep:
 
     def fill(self, d: int, one: list[np.ndarray], two: list[np.ndarray], out: list[np.ndarray]) -> list[np.ndarray]:
         """Diagonal d from d - 1 and d - 2, written into ``out``, of which a used diagonal's cells may be left out of reach."""
-        mode, plus, times, one_, zero, enter = self.s.mode, self.algebra.plus, self.algebra.times, self.algebra.one, self.algebra.zero, self.algebra.enter
+        mode, plus, times, one_, zero = self.s.mode, self.algebra.plus, self.algebra.times, self.unit, self.algebra.zero
         lo, hi = self.inner(d)
         for o in out:  # the range moves by a row at most: no other cell is read
             o[max(lo - 2, 0) : lo] = zero
@@ -223,7 +232,7 @@ class Sweep:
             if mode != "global" or d == 0:
                 out[0][0] = one_
             else:
-                v = enter(-(self.open_a[0] + d * self.ext_a[0]) if self.affine else -d * self.ext_a[0])
+                v = self.border(-(self.open_a[0] + d * self.ext_a[0]) if self.affine else -d * self.ext_a[0])
                 out[-1][0] = v if self.reach is None else np.where(d <= self.reach[1], v, zero)
         if 0 < d <= self.rows:  # column 0
             for o in out:
@@ -231,23 +240,98 @@ class Sweep:
             if mode == "local":
                 out[0][d] = one_
             else:
-                v = enter(self.column0[d])
+                v = self.border(self.column0[d])
                 out[1 if self.affine else 0][d] = v if self.reach is None else np.where(d <= self.reach[0], v, zero)
         return out
 
+    def border(self, x: np.ndarray) -> np.ndarray:
+        """A score that a border cell has from the start, in the algebra."""
+        return self.algebra.enter(x)
+
+    def settle(self, d: int, now: list[np.ndarray], one: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Diagonals d and d - 1 as the next ones read them."""
+        return now, one
+
     def diagonals(self, start: int = 0, stop: int | None = None, one=None, two=None, keep: bool = False):
         """(d, states) for start <= d < stop; ``one`` and ``two`` are the diagonals before ``start``.
 
-        Without ``keep`` a diagonal's arrays are written over three diagonals later.
+        Without ``keep`` a diagonal's arrays are written over three diagonals later.  ``last`` holds diagonals d and d - 1.
         """
         one, two = one or self.blank(), two or self.blank()
         free = None if keep else [self.blank() for _ in range(3)]
         for d in range(start, self.rows + self.cols + 1 if stop is None else stop):
-            now = self.fill(d, one, two, self.blank() if keep else free[d % 3])
+            now, one = self.settle(d, self.fill(d, one, two, self.blank() if keep else free[d % 3]), one)
+            self.last = (now, one)
             yield d, now
             one, two = now, one
 
 
+class Rescaled(Sweep):
+    """Sums of probabilities, every few diagonals multiplied by a power of two for each pair, so that their largest is about 1.
+
+    What is stored is the sum over 2 ** ``exponent``; ``exponents`` has those of every diagonal so far.
+    """
+
+    def __init__(self, block: Block, s: Scoring, kind: str):
+        super().__init__(block, s, PROBABILITIES)
+        self.kind, p = np.dtype(kind), len(block)
+        largest, growth, self.tolerance = RESCALED[kind]
+        self.every = max(1, int(growth / (step_bound(s) + np.log(6))))
+        self.weights, self.go_a, self.on_a, self.go_b, self.on_b = (x.astype(self.kind) for x in (self.weights, self.go_a, self.on_a, self.go_b, self.on_b))
+        self.found, self.spare = np.empty((self.rows + 1, p), self.kind), np.empty((self.rows + 1, p), self.kind)
+        self.exponents = np.zeros((self.rows + self.cols + 2, p))
+        self.turn_to(np.zeros(p))
+
+    def turn_to(self, exponent: np.ndarray) -> None:
+        self.exponent, self.unit = exponent, np.exp2(-exponent)
+
+    def border(self, x):
+        return np.exp(x - self.exponent * LN2)
+
+    def live(self, d: int) -> np.ndarray:
+        """Which rows of diagonal d are cells of each pair's own table and band."""
+        i = np.arange(self.rows + 1)[:, None]
+        j = d - i
+        ok = (j >= 0) & (j <= self.k.n) & (i <= self.k.m)
+        return ok if self.k.low is None else ok & (j >= self.k.low) & (j <= self.k.high)
+
+    def largest(self, d: int, v: list[np.ndarray]) -> np.ndarray:
+        ok = self.live(d)
+        return np.max([np.where(ok, x, 0).max(axis=0) for x in v], axis=0).astype(np.float64)
+
+    def shift(self, top: np.ndarray) -> np.ndarray:
+        """The power of two that ``top`` is nearest above, 0 of nothing."""
+        return np.clip(np.where((top > 0) & np.isfinite(top), np.frexp(top)[1] - 1.0, 0.0), -120 if self.kind == np.float32 else -1000, 1000)
+
+    def settle(self, d, now, one):
+        if d % self.every == 0:
+            by = self.shift(np.maximum(self.largest(d, now), self.largest(d - 1, one)))
+            if by.any():
+                self.turn_to(self.exponent + by)
+                factor = np.exp2(-by).astype(self.kind)
+                now, one = [x * factor for x in now], [x * factor for x in one]
+        self.exponents[d] = self.exponent
+        return now, one
+
+    def lost(self, log_z: np.ndarray, forward: np.ndarray | None, back: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """A bound on the share of all paths that underflow lost, of the total and, given ``forward``, of any part.
+
+        ``forward`` and ``back`` are the largest sums of each diagonal into and out of its cells, these in units of
+        2 ** ``before``; ``after`` has the units after rescaling.  A lost term is below the least normal number of its
+        units, may still be multiplied by two steps, and counts as often as paths lead on from its cell.
+        """
+        d = len(back)
+        e = self.exponents[:d]
+        neighbour = np.maximum(np.maximum(e, np.concatenate([e[:1], e[:-1]])), np.concatenate([e[1:], e[-1:]]))
+        tiny = np.log2(float(np.finfo(self.kind).tiny)) + np.log2((self.rows + 1) * self.states * CELL_STEPS) + 2 * step_bound(self.s) / LN2
+        least = np.exp2(tiny)
+        share = np.exp2(tiny + neighbour + before - log_z / LN2 + np.log2(back + least))
+        if forward is not None:
+            units = np.maximum(np.maximum(before, after), np.concatenate([after[:1], after[:-1]]))
+            share = share + np.exp2(tiny + units + e - log_z / LN2 + np.log2(forward + least)) + np.exp2(tiny + e + before - log_z / LN2)
+        return share.sum(axis=0)
+
+
 def best_state(v: list[np.ndarray]) -> np.ndarray:
     """Which state is the best: M before X before Y."""
     if len(v) == 1:
@@ -493,17 +577,19 @@ def in_range(s: Scoring, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (m + n + 2) * (step_bound(s) + np.log(3)) < SAFE_EXPONENT
 
 
-def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False, logs: bool = False) -> tuple[np.ndarray, tuple | None, list | None]:
-    """(log Z, gradient as (pair, field, value), posterior guides) of the ensemble of all paths.
+def forward_backward(block: Block, s: Scoring, gradient: bool, posterior: bool = False, way: str = "plain") -> tuple[np.ndarray, tuple | None, list | None, np.ndarray | None]:
+    """(log Z, gradient as (pair, field, value), posterior guides, which pairs are sound) of the ensemble of all paths.
 
-    ``logs`` computes in logarithms, which pairs beyond :func:`in_range` need.
+    ``way``: "plain" sums of pairs within :func:`in_range`; "float32" or "float64" for rescaled sums of that width, where
+    results of pairs that are not sound mean nothing; "log" for logarithms.
     """
-    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-        return _forward_backward(block, s, LOGS if logs else PROBABILITIES, gradient, posterior)
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore", under="ignore"):
+        return _forward_backward(block, s, way, gradient, posterior)
 
 
-def _forward_backward(block, s, algebra, gradient, posterior):
-    sweep = Sweep(block, s, algebra)
+def _forward_backward(block, s, way, gradient, posterior):
+    algebra, scaled = LOGS if way == "log" else PROBABILITIES, way in RESCALED
+    sweep = Rescaled(block, s, way) if scaled else Sweep(block, s, algebra)
     plus, times, zero, logs = algebra.plus, algebra.times, algebra.zero, algebra is LOGS
     p, total, mode = len(block), sweep.rows + sweep.cols + 1, s.mode
     rows = np.arange(sweep.rows + 1)
@@ -521,10 +607,10 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         ok = (j >= 0) & (j <= block.n) & (i <= block.m)
         return ok if block.low is None else ok & (j >= block.low[lo:hi]) & (j <= block.high[lo:hi])
 
-    def is_end(d: int, band: np.ndarray) -> np.ndarray:
+    def is_end(d: int, band: np.ndarray, r: np.ndarray) -> np.ndarray:
         if mode == "global":
-            return band & (rows[:, None] == block.m) & (d == block.m + block.n)
-        return band & (rows[:, None] == block.m) if mode == "glocal" else band
+            return band & (r == block.m) & (d == block.m + block.n)
+        return band & (r == block.m) if mode == "glocal" else band
 
     def ending(d: int, v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, sums) of the paths that end on a diagonal."""
@@ -538,7 +624,7 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         at = np.flatnonzero(at)
         return at, sums(*(x[block.m[at], at] for x in v))
 
-    z = np.full(p, zero)
+    z = np.full(p, NEG if scaled else zero)
     backward = gradient or posterior
     per_table = total * p * (sweep.rows + 1) * 8 * sweep.states
     step = total if per_table <= 4 * TABLE_BYTES else max(2, int(np.sqrt(2 * total)))
@@ -550,11 +636,13 @@ def _forward_backward(block, s, algebra, gradient, posterior):
             kept[d] = v
         at, ended = ending(d, v)
         if len(at):
-            z[at] = plus(z[at], ended)
-        one, two = v, one
-    log_z = z if logs else np.log(z)
-    if not backward:
-        return log_z, None, None
+            z[at] = np.logaddexp(z[at], np.log(ended.astype(np.float64)) + sweep.exponent[at] * LN2) if scaled else plus(z[at], ended)
+        one, two = sweep.last
+    log_z = z if logs or scaled else np.log(z)
+    if not backward and not scaled:
+        return log_z, None, None, None
+    if not backward:  # what leads on from each cell, for the bound alone
+        marks, step = {0: (one, two)}, total
     n_sets, square = len(s.gaps), s.n * s.n
     grad = np.zeros(p * n_sets * s.fields)
     guide_value, guide_at = np.full((sweep.rows + 1, p), -1.0), np.zeros((sweep.rows + 1, p), np.int64)
@@ -562,11 +650,22 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         guide_at[:] = block.low
     owner = pairs * (n_sets * s.fields)
 
+    share = None  # of one path sum in the units of the diagonal at hand
+    tops, bottoms, units, unit = np.zeros((total, p)), np.zeros((total, p)), np.zeros((2, total, p)), np.zeros(p)
+
     def part(x: np.ndarray) -> np.ndarray:
         """The share of all paths."""
-        x = np.exp(x - z) if logs else x / z
+        x = np.exp(x - z) if logs else x * share if scaled else x / z
         return np.where(np.isfinite(x), x, 0.0)
 
+    def stored(d: int) -> list[np.ndarray]:
+        """Sums of a diagonal before the one at hand, in its units."""
+        v = kept.get(d) or sweep.blank()
+        if not scaled or d < 0:
+            return v
+        by = of.get(d, sweep.exponents[d]) - here_unit
+        return [x * np.exp2(by).astype(x.dtype) for x in v] if by.any() else v
+
     def add(where: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
         weight = np.where(where, part(weight), 0.0)
         if at.shape[0] == 1:  # one field a pair
@@ -579,63 +678,92 @@ def _forward_backward(block, s, algebra, gradient, posterior):
     else:
         by_row = np.concatenate([block.track[:1] if sweep.rows else np.zeros((1, p), np.int64), block.track]) * s.fields
         by_gap = block.gap_track * s.fields
-    edge = np.full((1, p), zero)
-    down = lambda x: np.concatenate([x[1:], edge])  # noqa: E731  row i + 1 seen from row i
-    above = lambda x: np.concatenate([edge, x[:-1]])
+    edge = np.full((1, p), zero, sweep.kind)
+    whole = np.full((sweep.rows + 2, p), zero, sweep.kind)  # a row more than the table, where nothing leads on
+    enter = np.concatenate([np.broadcast_to(sweep.on_b, (sweep.rows + 1, p)), edge])
+    enter_new = np.concatenate([np.broadcast_to(times(sweep.on_b, sweep.go_b), (sweep.rows + 1, p)), edge])
     ob, eb, oa, ea = (np.broadcast_to(x, (sweep.rows + 1, p)) for x in (sweep.go_b, sweep.on_b, sweep.go_a, sweep.on_a))
-    nothing = np.full((sweep.rows + 1, p), zero)
-    after = after2 = [nothing] * sweep.states  # what diagonals d + 1 and d + 2 push back
-    last_y = nothing
+    after = after2 = [whole] * sweep.states  # what diagonals d + 1 and d + 2 push back
+    last_y, of = np.zeros((sweep.rows + 1, p)) if sweep.affine else whole, {}
     min_j, min_i = int(mode == "local"), int(mode != "global")
+    largest = lambda xs: (xs[0] if len(xs) == 1 else np.maximum(np.maximum(xs[0], xs[1]), xs[2])).max(axis=0)
     for start in sorted(marks, reverse=True):
         stop = min(start + step, total)
         if step != total:
             one, two = marks[start]
             kept = {start - 1: one, start - 2: two}
+            if scaled:
+                sweep.turn_to(sweep.exponents[start - 1] if start else np.zeros(p))
+                of = {start - 2: sweep.exponent}
             for d, v in sweep.diagonals(start, stop, one, two, keep=True):
                 kept[d] = v
         for d in range(stop - 1, start - 1, -1):
-            band, j = in_band(d), (d - rows)[:, None]
-            end = np.where(is_end(d, band), algebra.one, zero)
-            score = nothing.copy()  # of the move into (i + 1, j + 1)
+            top, low = max(0, d - sweep.cols), min(sweep.rows, d) + 1  # the rows that the diagonal has
+            w, below = slice(top, low), slice(top + 1, low + 1)
+            r = rows[w, None]
+            band, j = in_band(d, top, low), d - r
+            if scaled:
+                here_unit = sweep.exponents[d]
+                share = np.exp((here_unit + unit) * LN2 - log_z)
+            end = np.where(is_end(d, band, r), np.exp2(-unit).astype(sweep.kind) if scaled else algebra.one, zero)
+            score = np.full((low - top, p), zero, sweep.kind)  # of the move into (i + 1, j + 1)
             lo, hi = sweep.inner(d + 2)
             if lo < hi:
-                score[lo - 1 : hi - 1] = sweep.score(d + 2, lo, hi)
-            diag = plus(times(down(after2[0]), score), end)
-            if sweep.affine:
-                x_on, y_on = down(times(after[1], eb)), times(after[2], ea)  # the penalties of the row that is entered
-                x_open, y_open = down(times(times(after[1], eb), ob)), times(y_on, oa)
+                score[lo - 1 - top : hi - 1 - top] = sweep.score(d + 2, lo, hi)
+            diag = plus(times(after2[0][below], score), end)
+            if sweep.affine:  # gaps at the penalties of the row that is entered
+                x_on, x_open = times(after[1][below], enter[below]), times(after[1][below], enter_new[below])
+                y_on = times(after[2][w], ea[w])
+                y_open = times(y_on, oa[w])
                 b = [sums(diag, x_open, y_open), sums(diag, x_on, y_open), sums(diag, x_open, y_on)]
             else:
-                b = [sums(diag, down(times(after[0], eb)), times(after[0], ea))]
+                b = [sums(diag, times(after[0][below], enter[below]), times(after[0][w], ea[w]))]
             b = [np.where(band, x, zero) for x in b]
-            f, f1, f2 = kept[d], kept.get(d - 1) or sweep.blank(), kept.get(d - 2) or sweep.blank()
+            if scaled:
+                bottoms[d], units[0, d] = largest(b), unit
+            if backward:
+                f, f1, f2 = [x[w] for x in kept[d]], stored(d - 1), stored(d - 2)
+                if scaled:
+                    tops[d] = largest([np.where(band, x, 0) for x in f])
             lo, hi = sweep.inner(d)
             if gradient and lo < hi:
-                here = slice(lo, hi)
+                here = slice(lo - top, hi - top)
                 pred = times(sums(*(x[lo - 1 : hi - 1] for x in f2)), sweep.score(d, lo, hi))
                 key = sweep.base[lo - 1 : hi - 1] + sweep.b_back[sweep.cols - d + lo : sweep.cols - d + hi]
-                track = 0 if block.track is None else by_row[here] // s.fields * 4
+                track = 0 if block.track is None else by_row[lo:hi] // s.fields * 4
                 add(band[here], owner + key + track, times(pred, b[0][here]))
             if gradient:
-                i_ok, j_ok = rows[:, None] >= 1, j >= min_j
+                above = lambda x: x[top - 1 : low - 1] if top else np.concatenate([edge, x[: low - 1]])  # noqa: B023, E731
+                set_row, set_gap = (by_row, by_gap) if block.track is None else (by_row[w], by_gap[w])
+                i_ok, j_ok = r >= 1, j >= min_j
                 if sweep.affine:
                     counted = (
-                        (i_ok, by_row, 3, times(f[1], b[1])), (j >= 1, by_gap, 1, times(f[2], b[2])),
-                        (i_ok & j_ok, by_row, 2, times(times(times(plus(above(f1[0]), above(f1[2])), ob), eb), b[1])),
-                        ((rows[:, None] >= min_i) & (j >= 1), by_gap, 0, times(times(times(plus(f1[0], f1[1]), oa), ea), b[2])),
+                        (i_ok, set_row, 3, times(f[1], b[1])), (j >= 1, set_gap, 1, times(f[2], b[2])),
+                        (i_ok & j_ok, set_row, 2, times(times(times(plus(above(f1[0]), above(f1[2])), ob[w]), eb[w]), b[1])),
+                        ((r >= min_i) & (j >= 1), set_gap, 0, times(times(times(plus(f1[0][w], f1[1][w]), oa[w]), ea[w]), b[2])),
                     )
                 else:
-                    counted = ((i_ok & j_ok, by_row, 3, times(times(above(f1[0]), eb), b[0])), ((rows[:, None] >= min_i) & (j >= 1), by_gap, 1, times(times(f1[0], ea), b[0])))
+                    counted = ((i_ok & j_ok, set_row, 3, times(times(above(f1[0]), eb[w]), b[0])), ((r >= min_i) & (j >= 1), set_gap, 1, times(times(f1[0][w], ea[w]), b[0])))
                 for where, at, gap, weight in counted:
                     add(band & where, owner + at + square + gap, weight)
             if posterior:
                 value = part(sums(*(times(x, y) for x, y in zip(f, b, strict=True))))
-                value = value - part(last_y if sweep.affine else times(times(f[0], ea), last_y))
-                better = band & (value >= guide_value)
-                guide_value[better], guide_at[better] = value[better], np.broadcast_to(j, band.shape)[better]
-                last_y = times(f[2], b[2]) if sweep.affine else b[0]
-            after2, after = after, b
+                value = value - (last_y[w] if sweep.affine else part(times(times(f[0], ea[w]), last_y[w])))
+                better = band & (value >= guide_value[w])
+                guide_value[w][better], guide_at[w][better] = value[better], np.broadcast_to(j, band.shape)[better]
+                if sweep.affine:
+                    last_y = np.zeros((sweep.rows + 1, p))
+                    last_y[w] = part(times(f[2], b[2]))
+            if scaled:
+                if d % sweep.every == 0 and (by := sweep.shift(np.maximum(bottoms[d], largest(after)))).any():
+                    unit, factor = unit + by, np.exp2(-by).astype(sweep.kind)
+                    b, after = [x * factor for x in b], [x * factor for x in after]
+                units[1, d] = unit
+            after2, after = after, [whole.copy() for _ in b]
+            for x, y in zip(after, b, strict=True):
+                x[w] = y
+            if posterior and not sweep.affine:
+                last_y = after[0]
     out = None
     if gradient:
         full = grad.reshape(p, n_sets, s.fields)
@@ -643,4 +771,5 @@ def _forward_backward(block, s, algebra, gradient, posterior):
         pair, at = np.nonzero(full.reshape(p, -1))
         out = (pair, at, full.reshape(p, -1)[pair, at])
     guides = [np.maximum.accumulate(np.clip(guide_at[: block.m[k] + 1, k], 0, block.n[k])) for k in range(p)] if posterior else None
-    return log_z, out, guides
+    sound = np.isfinite(log_z) & (sweep.lost(log_z, tops if backward else None, bottoms, *units) <= sweep.tolerance) if scaled else None
+    return log_z, out, guides, sound
