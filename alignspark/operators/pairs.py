@@ -34,17 +34,19 @@ def bipartite_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: s
     return _salted(a, b, on, "id_a", salts)
 
 
-def seed_pairs(queries: DataFrame, subjects: DataFrame, k: int, id_col: str, seq_col: str, least: int = 1) -> DataFrame:
+def seed_pairs(queries: DataFrame, subjects: DataFrame, k: int, id_col: str, seq_col: str, least: int = 1, salts: int = SALTS) -> DataFrame:
     """A stated set of queries against all subjects that share at least ``least`` distinct words of k residues.
 
-    An all-against-all without pairs that cannot score: the join is on words, not on everything.
+    An all-against-all without pairs that cannot score: the join is on words, not on everything.  The subjects that hold
+    a word are dealt over ``salts`` parts, so a word that many hold is not joined in one task; the queries' words are repeated.
+    Null and shorter sequences have no words.
     """
 
     def words(df: DataFrame, name: str) -> DataFrame:
         spots = F.when(F.length(seq_col) >= k, F.transform(F.sequence(F.lit(1), F.length(seq_col) - (k - 1)), lambda i: F.substring(F.col(seq_col), i, F.lit(k))))
         return df.select(F.col(id_col).alias(name), F.explode(F.array_distinct(spots)).alias("word"))
 
-    hits = words(queries, "id_a").join(words(subjects, "id_b"), "word").where("id_a != id_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    hits = _salted(words(subjects, "id_b"), words(queries, "id_a"), ["word"], "id_b", salts).where("id_a != id_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     return (
         hits.join(queries.select(F.col(id_col).alias("id_a"), F.col(seq_col).alias("seq_a")), "id_a")
         .join(subjects.select(F.col(id_col).alias("id_b"), F.col(seq_col).alias("seq_b")), "id_b")

@@ -166,6 +166,14 @@ def test_pair_joins_and_reductions(spark):
     rows = spark.createDataFrame([(1, "x", "ACGTA"), (2, "x", "CGTAC"), (3, "y", "GGGGG"), (4, "x", "AC")], "id long, g string, s string")
     assert sorted((r.id_a, r.id_b) for r in block_pairs(rows, "id", "s", "g").collect()) == [(1, 2), (1, 4), (2, 4)]
     assert [(r.id_a, r.id_b, r.shared) for r in seed_pairs(rows.where("id = 1"), rows, 3, "id", "s").collect()] == [(1, 2, 2)]
+
+
+def test_a_word_that_many_sequences_hold_is_dealt_out(spark):
+    rows = spark.createDataFrame([(k, "ACGTAC" + "ACGT"[k % 4] * (k % 3)) for k in range(60)] + [(60, None), (61, "AC"), (62, "")], "id long, s string")
+    found = [sorted(map(tuple, seed_pairs(rows.where("id % 20 = 0 or id > 59"), rows, 6, "id", "s", salts=k).collect())) for k in (1, 8)]
+    assert found[0] == found[1] and len(found[0]) == 3 * 59 and {r[:2] for r in found[0]} == {(q, k) for q in (0, 20, 40) for k in range(60) if k != q}
+    plan = seed_pairs(rows.where("id = 0"), rows, 6, "id", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "_salt" in plan
     named = gradient.summed(align(pairs_of(spark), PARAMS, outputs=("score", "grad"))).select(gradient.field_names(PARAMS, F.col("field")).alias("n"))
     assert {"0.AA", "0.gap_extend_a", "0.gap_open_b"} <= {r.n for r in named.collect()}
 
