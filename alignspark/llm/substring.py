@@ -23,6 +23,12 @@ other of it (the smallest, or for the smallest the largest), so a passage that
 a third of all documents share gives one pair a document; the pairs of a
 document that many meet are dealt out by a salt.
 
+That partner need not be the one that holds the passage.  So the windows of a
+key that more than two have are all compared with each other, by the shingles
+up to a passage's length around their centres (:func:`crowded`): whatever part
+of a window is in a passage with any other one is so with one that it meets.
+A key of very many windows is compared block against block, over many tasks.
+
 Equal passages do not depend on that one partner.  Every run of MIN_WORDS words
 whose function-0 window has a key in another document is hashed as a whole and
 grouped by that hash, so each document meets one that holds the run in full,
@@ -62,6 +68,16 @@ HUB = 512
 PLACE_BITS = 26
 #: Reach of a window to either side that is written down at most: more never decides.
 REACH = 63
+#: Shingles to either side of a centre that windows of one key are compared by.
+AROUND = MIN_WORDS - SHINGLE
+#: Equal shingles around their centres from which two windows are worth a look, though a word more or less breaks their passage.
+ALIKE = 12
+#: Windows of one key in a block; a task compares two blocks at a time.
+CROWD = 4096
+#: Windows that one window is compared with at once.
+LOOKED_AT = 1024
+#: Shingles of a piece by which windows of one key are looked up.
+PIECE = 3
 
 _rng = np.random.default_rng(11)
 _SEED = _rng.integers(1, 2**63, size=FUNCTIONS, dtype=np.uint64)
@@ -188,8 +204,8 @@ def _reach(packed, shift: int):
 def shared_windows(windows_: DataFrame) -> DataFrame:
     """The windows whose key several documents have, each with the window of another document that it meets."""
     entry = F.struct("doc", "packed")
-    heads = windows_.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high")).where("low.doc < high.doc")
-    return windows_.join(heads, "key").select("key", "doc", "packed", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")).alias("with"))
+    heads = windows_.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.count(F.lit(1)).alias("windows")).where("low.doc < high.doc")
+    return windows_.join(heads, "key").select("key", "doc", "packed", "windows", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")).alias("with"))
 
 
 def _gram_rows(texts: pa.Array, keys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,6 +272,151 @@ def equal_passages(shared: DataFrame, documents: DataFrame, id_col: str) -> Data
     return spans
 
 
+def _surroundings(tokens: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """A row a window: 16 bits of each shingle around its centre, 0 beyond the window."""
+    place, steps_ = packed >> 16, np.arange(-AROUND, AROUND + 1)
+    inside = (steps_ >= -((packed >> 10) & REACH)[:, None]) & (steps_ <= ((packed >> 4) & REACH)[:, None])
+    at = place[:, None] + steps_
+    inside &= (at >= 0) & (at < len(tokens))
+    short = (tokens % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+    return np.where(inside, short[np.clip(at, 0, len(tokens) - 1)], np.uint16(0))
+
+
+def _in_passages(equal: np.ndarray) -> np.ndarray:
+    """Of rows of marks, the places within a passage's length of which 8 of 9 are marked."""
+    span = AROUND + 1
+    sums = np.zeros((len(equal), equal.shape[1] + 1), np.int16)
+    np.cumsum(equal, axis=1, out=sums[:, 1:])
+    change = np.zeros(sums.shape, np.int16)
+    dense = sums[:, span:] - sums[:, :-span] >= span * 8 // 9
+    change[:, : dense.shape[1]] += dense
+    change[:, span : span + dense.shape[1]] -= dense
+    return np.cumsum(change, axis=1)[:, :-1] > 0
+
+
+def _crowd_pairs(doc: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(window, window) of one key that meet; windows are in the order of their documents.
+
+    A window meets those that hold a part of it in a passage, until every such part is met, and of those that are alike
+    without one along this shift, the ones that add equal shingles.  Both kinds share a piece of PIECE shingles off the
+    centre: of 46 shingles with 8 of 9 equal, some piece is whole.  So windows are looked up by their pieces, not one by one.
+    """
+    firsts = [o for o in range(0, around.shape[1] - PIECE + 1, PIECE) if not o <= AROUND < o + PIECE]
+    orders, starts, ends, valid = [], [], [], []
+    for o in firsts:
+        code = np.zeros(len(doc), np.uint64)
+        for k in range(PIECE):
+            code = (code << np.uint64(16)) | around[:, o + k]
+        order = np.argsort(code, kind="stable")
+        ordered = code[order]
+        orders.append(order)
+        starts.append(np.searchsorted(ordered, code, side="left"))
+        ends.append(np.searchsorted(ordered, code, side="right"))
+        valid.append((around[:, o : o + PIECE] != 0).all(axis=1))
+    start, end = np.array(starts), np.array(ends)
+    shared = np.array(valid) & (end - start > 1)
+    for i in np.flatnonzero(shared.any(axis=0)).tolist():
+        mine, to_cover, seen = around[i], around[i] != 0, np.zeros(around.shape[1], bool)
+        to_cover[AROUND] = False  # the key's own shingle, which all have
+        pieces, done = np.flatnonzero(shared[:, i]).tolist(), np.zeros(0, np.int64)
+        for most in (2, len(doc)):  # the two smallest documents of a piece often cover all of a window
+            found = [orders[k][start[k, i] : min(end[k, i], start[k, i] + most)] for k in pieces if to_cover[firsts[k] : firsts[k] + PIECE].any() and (most == 2 or end[k, i] - start[k, i] > 2)]
+            if not found:
+                break
+            every = np.setdiff1d(np.concatenate(found), done)
+            done = every
+            for at in range(0, len(every), LOOKED_AT):
+                there = every[at : at + LOOKED_AT]
+                there = there[doc[there] != doc[i]]
+                equal = (around[there] == mine) & (mine != 0)
+                while len(there):
+                    many = equal.sum(axis=1) >= (AROUND + 1) * 8 // 9
+                    held = np.zeros(equal.shape, bool)
+                    if many.any():
+                        held[many] = _in_passages(equal[many])
+                    held &= to_cover
+                    use = np.flatnonzero(held.any(axis=1) | ((equal & to_cover & ~seen).sum(axis=1) >= ALIKE))
+                    if not len(use):
+                        break
+                    yield i, int(there[use[0]])
+                    to_cover &= ~held[use[0]]
+                    seen |= equal[use[0]]
+                    there, equal = there[use[1:]], equal[use[1:]]
+
+
+def crowded(shared: DataFrame, documents: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, shift): documents whose windows of a key that more than two have are alike around their centres."""
+    held = shared.where("windows > 2").select("key", "doc", "packed").distinct()
+    held = materialize(held.groupBy("doc").agg(F.collect_list(F.struct("key", "packed")).alias("held")), "crowded-windows")
+    texts = distinct_texts(documents, held.select(F.col("doc").alias("id")), id_col)
+    keyed = texts.join(held, texts.id == held.doc).select("doc", F.explode("texts").alias("text"), "held")
+    names = ["key", "doc", "place", "around"]
+
+    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(), 0
+            of_row = batch.column(2)
+            for lo, hi in steps(batch.column(1)):
+                tokens, first = shingles(*words(batch.column(1).slice(lo, hi - lo), ALNUM), SHINGLE)
+                for i in range(lo, hi):
+                    mine, own = of_row[i].values, tokens[first[i - lo] : first[i - lo + 1]]
+                    if not len(own):
+                        continue
+                    packed = mine.field("packed").to_numpy()
+                    around = _surroundings(own, packed)
+                    body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1] * 2), len(packed), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([mine.field("key"), pa.array(np.full(len(packed), ids[i])), pa.array((packed >> 16).astype(np.int32)), body], names=names)
+
+    rows = keyed.mapInArrow(surround, "key bigint, doc bigint, place int, around binary")
+    # documents with the same surroundings hold an equal passage; the smallest stands for them, with all its places
+    kinds = rows.groupBy("key", "around", "doc").agg(F.collect_set("place").alias("places"))
+    kinds = kinds.groupBy("key", "around").agg(F.min(F.struct("doc", "places")).alias("x")).select("key", "around", "x.doc", "x.places")
+    kinds = materialize(kinds, "crowded-kinds")
+    sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("windows")).where("windows > 1")
+    blocks = F.ceil(F.col("windows") / CROWD).cast("int")
+    mine = F.pmod(F.xxhash64("doc", "around"), blocks).cast("int")
+    with_block = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    placed = kinds.join(sizes, "key").select("key", mine.alias("mine"), with_block, "doc", "places", "around")
+    placed = placed.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "doc", "places", "around")
+    placed = placed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def met(table: pa.Table) -> pa.RecordBatch:
+            key, one, two, doc = (table.column(k).to_numpy() for k in range(4))
+            places = table.column(4).to_pylist()
+            around = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint16).reshape(len(doc), -1)
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
+            pairs: list[tuple[int, int, int]] = []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)], strict=True):
+                for i, k in _crowd_pairs(doc[lo:hi], around[lo:hi]):
+                    i, k = (lo + i, lo + k) if doc[lo + i] > doc[lo + k] else (lo + k, lo + i)
+                    # each place of either with one of the other
+                    shifts = {x - places[k][0] for x in places[i]} | {places[i][0] - y for y in places[k]}
+                    pairs += [(doc[i], doc[k], x) for x in shifts]
+            a, b, shift = np.array(pairs, np.int64).reshape(-1, 3).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shift.astype(np.int32))], names=["a", "b", "shift"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key = [table.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield met(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and len(rest):
+            yield met(rest)
+
+    pairs = materialize(placed.mapInArrow(compare, "a bigint, b bigint, shift int").distinct(), "crowded-pairs")
+    drop_table(held)
+    drop_table(kinds)
+    let_go(documents.sparkSession)
+    return pairs
+
+
 def meetings(shared: DataFrame) -> DataFrame:
     """(doc, other, shifts): which documents meet by enough functions, and how far they are shifted."""
     span = MIN_WORDS - SHINGLE + 1
@@ -373,8 +534,11 @@ def _distinct_passages(documents: DataFrame, id_col: str) -> DataFrame:
     let_go(documents.sparkSession)
     pairs = materialize(meetings(found), "passage-meetings")
     equal = equal_passages(found, documents, id_col)
+    more = crowded(found, documents, id_col)
     drop_table(found)
     let_go(documents.sparkSession)
+    every = pairs.unionByName(more.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
+    pairs = materialize(every.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts")), "passage-pairs")
     both = with_texts(pairs, documents, id_col, HUB)
 
     def tokens_of(texts: pa.Array) -> Iterator[np.ndarray]:

@@ -168,3 +168,29 @@ def test_recall_of_changed_passages(spark, n, changed):
     got = {(r.doc_id, r.other_doc) for r in sub.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got <= {(i, i ^ 1) for i, _ in docs}
     assert sum((2 * g, 2 * g + 1) in got and (2 * g + 1, 2 * g) in got for g in range(200)) >= 180
+
+
+def test_changed_passage_of_two_documents_under_outliers_of_smaller_ids(spark):
+    """Each of twenty smaller documents holds one of the passage's equal stretches, all shorter than a passage."""
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    stretches = [text(45) for _ in range(4)]
+    passage = lambda: [w for s in stretches for w in [*s, *text(1)]]
+    outliers = [(i, " ".join(text(60) + stretches[i % 4] + text(60))) for i in range(20)]
+    rows = [*outliers, (100, " ".join(text(70) + passage() + text(70))), (101, " ".join(text(90) + passage() + text(70)))]
+    found = {r.doc_id: r for r in sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert set(found) == {100, 101}
+    assert found[100].other_doc == 101 and found[101].other_doc == 100
+    assert found[100].n_words >= 180 and found[100].start_word == 70 and found[101].start_word == 90
+
+
+def test_windows_of_a_large_key_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    around = rng.integers(1, 60000, (40, 2 * sub.AROUND + 1)).astype(np.uint16)
+    around[7] = around[31]
+    around[12, :50], around[12, 60:] = around[20, :50], 0
+    assert set(sub._crowd_pairs(np.arange(40), around)) == {(7, 31), (31, 7), (12, 20), (20, 12)}
+    monkeypatch.setattr(sub, "LOOKED_AT", 5)
+    assert set(sub._crowd_pairs(np.arange(40), around)) == {(7, 31), (31, 7), (12, 20), (20, 12)}
+    monkeypatch.setattr(sub, "CROWD", 3)
+    test_changed_passage_of_two_documents_under_outliers_of_smaller_ids(spark)
