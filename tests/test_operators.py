@@ -362,3 +362,15 @@ def test_one_broken_guide_among_sound_ones_is_named(spark, guide, says):
         align(pairs, PARAMS, Problem(band=2)).collect()
     errors = {r.pair_id: r.error for r in align(pairs, PARAMS, Problem(band=2), on_error="null").collect()}
     assert errors.pop(77) and not any(errors.values())
+
+
+def test_pairs_of_small_inputs_are_made_in_many_tasks_without_broadcasts(spark, sf):
+    from alignspark import catalog
+    from alignspark.operators.pairs import bipartite_pairs, seed_pairs
+
+    a = spark.range(200).selectExpr("id", "id % 2 as k", "md5(string(id)) as s")
+    both = bipartite_pairs(a, a, ["k"], "id", "s", "id", "s")
+    sizes = [len(x) for x in both.rdd.glom().collect()]
+    assert sum(sizes) == 20000 and sum(n > 0 for n in sizes) > 4 and max(sizes) < 10000
+    for df in (both, seed_pairs(a, a, 8, "id", "s"), catalog.QUERIES["pairs_seed_join"](spark, sf)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
