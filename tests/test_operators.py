@@ -374,3 +374,12 @@ def test_pairs_of_small_inputs_are_made_in_many_tasks_without_broadcasts(spark,
     assert sum(sizes) == 20000 and sum(n > 0 for n in sizes) > 4 and max(sizes) < 10000
     for df in (both, seed_pairs(a, a, 8, "id", "s"), catalog.QUERIES["pairs_seed_join"](spark, sf)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pending_pairs_are_joined_as_they_are(spark):
+    from alignspark.operators.pairs import pending_pairs
+
+    done = spark.createDataFrame([(1,), (1,), (3,)], "pair_id long")
+    left = pending_pairs(spark.range(5).withColumnRenamed("id", "pair_id"), done, "pair_id")
+    assert sorted(r.pair_id for r in left.collect()) == [0, 2, 4]
+    assert "Aggregate" not in left._jdf.queryExecution().optimizedPlan().toString()
