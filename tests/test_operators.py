@@ -383,3 +383,11 @@ def test_pending_pairs_are_joined_as_they_are(spark):
     left = pending_pairs(spark.range(5).withColumnRenamed("id", "pair_id"), done, "pair_id")
     assert sorted(r.pair_id for r in left.collect()) == [0, 2, 4]
     assert "Aggregate" not in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["nw_score_affine", "nw_score_banded", "hard_grad_dot_params", "compute_grad_total", "best_hit_topk", "score_histogram"])
+def test_dna_pairs_are_aligned_where_they_are_joined(spark, sf, name):
+    from alignspark import catalog
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # customers and suppliers, not their pairs
