@@ -1,6 +1,13 @@
 """Work and plans of queries whose pairs outgrow their tables."""
 
-from alignspark import catalog
+import numpy as np
+
+from alignspark import AlignParams, SubstMatrix, catalog
+from alignspark.operators import align, tiles
+from alignspark.operators.align import Problem
+from alignspark.plans import kernel
+
+UNIT = AlignParams(SubstMatrix(np.eye(4) - 1, "ACGT"), 0, 1, 0, 1)
 
 
 def test_journeys_are_paired_without_a_shuffle_of_pairs(spark, tmp_path):
@@ -14,3 +21,37 @@ def test_journeys_are_paired_without_a_shuffle_of_pairs(spark, tmp_path):
     assert len(scores) == 300 * 299 // 2 and all(x < y and s == (6 if x % 3 == y % 3 else 4) for (x, y), s in scores.items())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2 and "Aggregate" not in plan
+
+
+def test_edit_paths_by_bits_equal_the_kernel(monkeypatch):
+    """Distances and moves of pairs whose table is filled a bit a cell, and of tiles of one; a pair of 8,000 letters in a second or so."""
+    rng, problem = np.random.default_rng(4), Problem("global", "linear", "none")
+    pairs = [tuple(rng.integers(0, k, rng.integers(0, 40)).astype(np.uint8) for _ in range(2)) for k in (2, 3, 4) for _ in range(60)]
+    a, b = zip(*pairs, strict=True)
+    want = align.solve(range(len(a)), list(a), list(b), UNIT, problem)
+    monkeypatch.setattr(align, "EDIT_CELLS", 0)
+    got = align.solve(range(len(a)), list(a), list(b), UNIT, problem)
+    for x, y in zip(want, got, strict=True):
+        assert x["score"] == y["score"] and all((u == v).all() for u, v in zip(x["ops"], y["ops"], strict=True)) and (x["guide"] == y["guide"]).all()
+    monkeypatch.setattr(kernel, "viterbi", None)
+    long = [rng.integers(0, 4, 8000).astype(np.uint8) for _ in range(2)]
+    found = align.solve([0], [long[0]], [long[1]], UNIT, problem)[0]
+    assert found["end"] == (8000, 8000) and sum(found["ops"][1][found["ops"][0] != 1]) == 8000
+
+
+def test_tiles_of_edit_distances(spark):
+    """As many waves for long pairs as for short ones, and the paths of the kernel."""
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(np.array(list("ACGT"))[rng.integers(0, 4, n)])
+    pairs = spark.createDataFrame([(1, text(70), text(50)), (2, text(9), text(64)), (3, "", text(5)), (4, text(5), ""), (5, "", "")], "pair_id long, seq_a string, seq_b string")
+    problem, names = Problem("global", "linear", "none"), ["pair_id", "score", "ops", "start_i", "start_j", "end_i", "end_j"]
+    want = sorted(map(tuple, align.align(pairs, UNIT, problem, ("score", "path")).select(names).collect()))
+    assert sorted(map(tuple, tiles.align_tiled(pairs, UNIT, problem, ("score", "path"), 13).select(names).collect())) == want
+    waves, filled = [], tiles._filled
+    tiles._filled = lambda *x: waves.append(1) or filled(*x)
+    try:
+        long = spark.createDataFrame([(1, text(3000), text(3000))], "pair_id long, seq_a string, seq_b string")
+        assert tiles.align_tiled(long, UNIT, problem, tile=20).first().score < 0
+    finally:
+        tiles._filled = filled
+    assert len(waves) <= 2 * tiles.SIDE
