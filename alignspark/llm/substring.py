@@ -74,8 +74,8 @@ AROUND = MIN_WORDS - SHINGLE
 ALIKE = 12
 #: Windows of one key in a block; a task compares two blocks at a time.
 CROWD = 4096
-#: Windows that one window is compared with at once.
-LOOKED_AT = 1024
+#: Windows that look at their next candidates together, and marks of candidates that these hold at most.
+LOOKED_AT, MARKS = 4096, 1 << 22
 #: Shingles of a piece by which windows of one key are looked up.
 PIECE = 3
 
@@ -294,54 +294,100 @@ def _in_passages(equal: np.ndarray) -> np.ndarray:
     return np.cumsum(change, axis=1)[:, :-1] > 0
 
 
-def _crowd_pairs(doc: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(window, window) of one key that meet; windows are in the order of their documents.
+def _crowd_pairs(doc: np.ndarray, around: np.ndarray, first: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """(window, window) of one key that meet; windows are in the order of their documents, key k's are first[k]:first[k + 1].
 
     A window meets those that hold a part of it in a passage, until every such part is met, and of those that are alike
     without one along this shift, the ones that add equal shingles.  Both kinds share a piece of PIECE shingles off the
     centre: of 46 shingles with 8 of 9 equal, some piece is whole.  So windows are looked up by their pieces, not one by one.
+    Many windows, of whatever keys, take a step together: each looks at its next candidate in the order of documents.
     """
+    first = np.array([0, len(doc)]) if first is None else first
+    group = np.repeat(np.arange(len(first) - 1), np.diff(first))
     firsts = [o for o in range(0, around.shape[1] - PIECE + 1, PIECE) if not o <= AROUND < o + PIECE]
-    orders, starts, ends, valid = [], [], [], []
-    for o in firsts:
+    order, start, end = (np.empty((len(firsts), len(doc)), np.int32) for _ in range(3))
+    shared = np.empty(order.shape, bool)
+    for k, o in enumerate(firsts):
         code = np.zeros(len(doc), np.uint64)
-        for k in range(PIECE):
-            code = (code << np.uint64(16)) | around[:, o + k]
-        order = np.argsort(code, kind="stable")
-        ordered = code[order]
-        orders.append(order)
-        starts.append(np.searchsorted(ordered, code, side="left"))
-        ends.append(np.searchsorted(ordered, code, side="right"))
-        valid.append((around[:, o : o + PIECE] != 0).all(axis=1))
-    start, end = np.array(starts), np.array(ends)
-    shared = np.array(valid) & (end - start > 1)
-    for i in np.flatnonzero(shared.any(axis=0)).tolist():
-        mine, to_cover, seen = around[i], around[i] != 0, np.zeros(around.shape[1], bool)
-        to_cover[AROUND] = False  # the key's own shingle, which all have
-        pieces, done = np.flatnonzero(shared[:, i]).tolist(), np.zeros(0, np.int64)
-        for most in (2, len(doc)):  # the two smallest documents of a piece often cover all of a window
-            found = [orders[k][start[k, i] : min(end[k, i], start[k, i] + most)] for k in pieces if to_cover[firsts[k] : firsts[k] + PIECE].any() and (most == 2 or end[k, i] - start[k, i] > 2)]
-            if not found:
-                break
-            every = np.setdiff1d(np.concatenate(found), done)
-            done = every
-            for at in range(0, len(every), LOOKED_AT):
-                there = every[at : at + LOOKED_AT]
-                there = there[doc[there] != doc[i]]
-                equal = (around[there] == mine) & (mine != 0)
-                while len(there):
-                    many = equal.sum(axis=1) >= (AROUND + 1) * 8 // 9
-                    held = np.zeros(equal.shape, bool)
-                    if many.any():
-                        held[many] = _in_passages(equal[many])
-                    held &= to_cover
-                    use = np.flatnonzero(held.any(axis=1) | ((equal & to_cover & ~seen).sum(axis=1) >= ALIKE))
-                    if not len(use):
-                        break
-                    yield i, int(there[use[0]])
-                    to_cover &= ~held[use[0]]
-                    seen |= equal[use[0]]
-                    there, equal = there[use[1:]], equal[use[1:]]
+        for x in range(PIECE):
+            code = (code << np.uint64(16)) | around[:, o + x]
+        by = np.lexsort((code, group))
+        new = np.flatnonzero(np.append(True, (np.diff(code[by]) != 0) | (np.diff(group[by]) != 0))) if len(by) else by
+        size = np.diff(np.append(new, len(doc)))
+        order[k], start[k, by], end[k, by] = by, np.repeat(new, size), np.repeat(new + size, size)
+        shared[k] = (around[:, o : o + PIECE] != 0).all(axis=1) & (end[k] - start[k] > 1)
+    windows_, size = np.flatnonzero(shared.any(axis=0)), np.diff(first)[group]
+    windows_ = windows_[np.argsort(size[windows_], kind="stable")]  # keys of one size share a step
+    lo = 0
+    while lo < len(windows_):
+        mine = windows_[lo : lo + LOOKED_AT]
+        fits = size[mine] * np.arange(1, len(mine) + 1) <= MARKS
+        mine = mine[: max(1, int(fits.sum()))]
+        lo += len(mine)
+        yield from _next_ones(mine, doc, around, first[group[mine]], int(size[mine[-1]]), firsts, order, start, end, shared)
+
+
+def _next_ones(mine: np.ndarray, doc: np.ndarray, around: np.ndarray, base: np.ndarray, spread: int, firsts: list[int], order: np.ndarray, start: np.ndarray, end: np.ndarray, shared: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs of windows ``mine``, whose keys' windows begin at ``base``."""
+    own = around[mine]
+    some = own != 0
+    to_cover, seen = some.copy(), np.zeros(own.shape, bool)
+    to_cover[:, AROUND] = False  # the key's own shingle, which all have
+    # the two smallest documents of a piece often cover all of a window
+    marks = np.zeros((len(mine), spread), bool)
+    for k in range(len(firsts)):
+        rows = np.flatnonzero(shared[k, mine])
+        for x in (0, 1):
+            marks[rows, order[k, start[k, mine[rows]] + x] - base[rows]] = True
+    who, there = np.nonzero(marks)
+    there += base[who]
+    others = doc[there] != doc[mine[who]]
+    who, there = who[others], there[others]
+    count = np.bincount(who, minlength=len(mine))
+    at, turn = np.cumsum(count) - count, 0
+    live = np.flatnonzero(count)
+    while len(live):
+        now = there[at[live] + turn]
+        equal = (around[now] == own[live]) & some[live]
+        alike = equal.sum(axis=1)
+        near = np.flatnonzero(alike >= ALIKE)
+        if len(near):
+            rows, equal = live[near], equal[near]
+            many, held = alike[near] >= (AROUND + 1) * 8 // 9, np.zeros(equal.shape, bool)
+            if many.any():
+                held[many] = _in_passages(equal[many])
+            held &= to_cover[rows]
+            use = held.any(axis=1) | ((equal & to_cover[rows] & ~seen[rows]).sum(axis=1) >= ALIKE)
+            yield from zip(mine[rows[use]].tolist(), now[near[use]].tolist(), strict=True)
+            to_cover[rows[use]] &= ~held[use]
+            seen[rows[use]] |= equal[use]
+        turn += 1
+        live = live[(count[live] > turn) & to_cover[live].any(axis=1)]
+    left = np.array([shared[k, mine] & (end[k, mine] - start[k, mine] > 2) & to_cover[:, o : o + PIECE].any(axis=1) for k, o in enumerate(firsts)])
+    for w in np.flatnonzero(left.any(axis=0)).tolist():  # all others of the pieces that are left
+        i, wanted = mine[w], np.zeros(spread, bool)
+        for k in np.flatnonzero(left[:, w]).tolist():
+            wanted[order[k, start[k, i] : end[k, i]] - base[w]] = True
+        every = np.flatnonzero(wanted & ~marks[w]) + base[w]
+        every = every[doc[every] != doc[i]]
+        for lo in range(0, len(every), LOOKED_AT):
+            there = every[lo : lo + LOOKED_AT]
+            equal = (around[there] == own[w]) & some[w]
+            alike = equal.sum(axis=1)
+            near = np.flatnonzero((alike >= ALIKE) & ((alike >= (AROUND + 1) * 8 // 9) | ((equal & (to_cover[w] & ~seen[w])).sum(axis=1) >= ALIKE)))
+            there, equal, many = there[near], equal[near], alike[near] >= (AROUND + 1) * 8 // 9
+            held = np.zeros(equal.shape, bool)
+            if many.any():
+                held[many] = _in_passages(equal[many])
+            while len(there):
+                held &= to_cover[w]
+                use = np.flatnonzero(held.any(axis=1) | ((equal & (to_cover[w] & ~seen[w])).sum(axis=1) >= ALIKE))
+                if not len(use):
+                    break
+                yield i, int(there[use[0]])
+                to_cover[w] &= ~held[use[0]]
+                seen[w] |= equal[use[0]]
+                there, equal, held = there[use[0] + 1 :], equal[use[0] + 1 :], held[use[0] + 1 :]
 
 
 def crowded(shared: DataFrame, documents: DataFrame, id_col: str) -> DataFrame:
@@ -389,12 +435,11 @@ def crowded(shared: DataFrame, documents: DataFrame, id_col: str) -> DataFrame:
             around = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint16).reshape(len(doc), -1)
             edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
             pairs: list[tuple[int, int, int]] = []
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)], strict=True):
-                for i, k in _crowd_pairs(doc[lo:hi], around[lo:hi]):
-                    i, k = (lo + i, lo + k) if doc[lo + i] > doc[lo + k] else (lo + k, lo + i)
-                    # each place of either with one of the other
-                    shifts = {x - places[k][0] for x in places[i]} | {places[i][0] - y for y in places[k]}
-                    pairs += [(doc[i], doc[k], x) for x in shifts]
+            for i, k in _crowd_pairs(doc, around, np.concatenate([[0], edges, [len(doc)]])):
+                i, k = (i, k) if doc[i] > doc[k] else (k, i)
+                # each place of either with one of the other
+                shifts = {x - places[k][0] for x in places[i]} | {places[i][0] - y for y in places[k]}
+                pairs += [(doc[i], doc[k], x) for x in shifts]
             a, b, shift = np.array(pairs, np.int64).reshape(-1, 3).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shift.astype(np.int32))], names=["a", "b", "shift"])
 

@@ -194,3 +194,17 @@ def test_windows_of_a_large_key_are_compared_in_blocks(spark, monkeypatch):
     assert set(sub._crowd_pairs(np.arange(40), around)) == {(7, 31), (31, 7), (12, 20), (20, 12)}
     monkeypatch.setattr(sub, "CROWD", 3)
     test_changed_passage_of_two_documents_under_outliers_of_smaller_ids(spark)
+
+
+def test_windows_of_many_keys_take_steps_together(monkeypatch):
+    """Four windows a key, two of them alike; what meets is as if each key were alone, in a few steps for all of them."""
+    rng, keys = np.random.default_rng(6), 500
+    around = rng.integers(1, 60000, (4 * keys, 2 * sub.AROUND + 1)).astype(np.uint16)
+    around[2::4] = around[::4]
+    around[2::4, :9] = 0
+    doc, calls, plain = np.tile(np.arange(4), keys), [], sub._in_passages
+    monkeypatch.setattr(sub, "_in_passages", lambda equal: calls.append(len(equal)) or plain(equal))
+    alone = {(4 * k + i, 4 * k + j) for k in range(keys) for i, j in sub._crowd_pairs(doc[:4], around[4 * k : 4 * k + 4])}
+    assert alone == {x for k in range(keys) for x in ((4 * k, 4 * k + 2), (4 * k + 2, 4 * k))}
+    calls.clear()
+    assert set(sub._crowd_pairs(doc, around, np.arange(0, 4 * keys + 1, 4))) == alone and len(calls) < 20
