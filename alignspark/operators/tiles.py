@@ -14,6 +14,9 @@ to.  All pairs of a frame advance together.
 Results equal those of :func:`alignspark.operators.align.align`: values, ends,
 and paths with ties M before X before Y.  A linear gap is an affine one that
 costs nothing to open.
+
+Tables of edit distances are filled a bit a cell, in larger tiles: borders are
+distances, 4 bytes a place, and a path is found from every k-th column.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 
 from alignspark.operators.align import OPS, Problem
 from alignspark.params import AlignParams
+from alignspark.plans import kernel as kn
 from alignspark.sources.storage import discard, materialize
 
 TILE = 4096
+#: Tiles along the longest sequence to which tables of edit distances are held, however small a tile is asked for: a wave is a job.
+SIDE = 24
 _NONE = -np.inf
 _WAVE = "pair_id long, p int, q int, m long, n long, a string, b string, top binary, left binary, low binary, right binary, score double, end_i long, end_j long, state int"
 _STEP = f"pair_id long, step int, done boolean, p int, q int, i long, j long, state int, runs {OPS}"
@@ -106,6 +112,29 @@ class Tile:
         return i, j, state, [tuple(r) for r in runs], False
 
 
+class EditTile:
+    """The same of edit distances; borders are the distances at them."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, top: np.ndarray, left: np.ndarray):
+        self.rows, self.cols, self.top, self.left = len(a), len(b), top, left
+        bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
+        step = np.diff(left)
+        self.table = kn.Edits(a, b, (bits(step > 0), bits(step < 0)), np.diff(top))
+
+    def fill(self, traced: bool = False) -> None:
+        self.table.fill()
+        rises, falls = (np.unpackbits(np.frombuffer(x.to_bytes(self.rows + 7 >> 3, "little"), np.uint8), count=self.rows, bitorder="little").astype(np.int32) for x in self.table.right)
+        self.low = np.cumsum(np.concatenate([self.left[-1:], self.table.low]), dtype=np.int32)
+        self.right = np.cumsum(np.concatenate([self.top[-1:], rises - falls]), dtype=np.int32)
+
+    def walk(self, i: int, j: int, state: int) -> tuple[int, int, int, list[tuple[int, int]], bool]:
+        i, j, moves = self.table.walk(i, j)
+        if not len(moves):
+            return i, j, state, [], False
+        first = np.flatnonzero(np.append(True, moves[1:] != moves[:-1]))
+        return i, j, 0, list(zip(moves[first].tolist(), np.diff(np.append(first, len(moves))).tolist(), strict=True)), False
+
+
 def _border(mode: str, gap_open: float, extend: float, first: int, size: int, down: bool) -> np.ndarray:
     """(M, X, Y) of row 0 from column ``first``, or of column 0 from row ``first`` (``down``)."""
     out = np.full((3, size + 1), _NONE)
@@ -127,15 +156,19 @@ def _shape(params: AlignParams, problem: Problem) -> tuple[np.ndarray, np.ndarra
     return np.asarray(params.matrices[0], np.float64), gaps
 
 
-def _tile_of(row: dict, params: AlignParams, problem: Problem, tile: int) -> Tile:
+def _tile_of(row: dict, params: AlignParams, problem: Problem, tile: int) -> Tile | EditTile:
     matrix, gaps = _shape(params, problem)
     a, b = params.alphabet.codes(row["a"]), params.alphabet.codes(row["b"])
+    if kn.is_unit(problem.scoring(params)):
+        top = np.arange(row["q"] * tile, row["q"] * tile + len(b) + 1, dtype=np.int32) if row["top"] is None else np.frombuffer(row["top"], np.int32)
+        left = np.arange(row["p"] * tile, row["p"] * tile + len(a) + 1, dtype=np.int32) if row["left"] is None else np.frombuffer(row["left"], np.int32)
+        return EditTile(a, b, top, left)
     top = _border(problem.mode, gaps[0], gaps[1], row["q"] * tile, len(b), False) if row["top"] is None else np.frombuffer(row["top"]).reshape(3, -1)
     left = _border(problem.mode, gaps[2], gaps[3], row["p"] * tile, len(a), True) if row["left"] is None else np.frombuffer(row["left"]).reshape(3, -1)
     return Tile(a, b, matrix, gaps, problem.mode == "local", top, left)
 
 
-def _end(t: Tile, row: dict, mode: str, tile: int) -> tuple[float | None, int, int, int]:
+def _end(t: Tile | EditTile, row: dict, mode: str, tile: int) -> tuple[float | None, int, int, int]:
     """The best end within a tile: (score, i, j, state), the first of equals."""
     i0, j0 = row["p"] * tile, row["q"] * tile
     last = i0 + t.rows == row["m"]
@@ -144,6 +177,8 @@ def _end(t: Tile, row: dict, mode: str, tile: int) -> tuple[float | None, int, i
         return (float(t.best[i]), i0 + i, j0 + int(t.column[i]), int(t.kind[i])) if t.best[i] > 0 else (None, 0, 0, 0)
     if not last or mode == "global" and j0 + t.cols < row["n"]:
         return None, 0, 0, 0
+    if isinstance(t, EditTile):
+        return -float(t.low[-1]), i0 + t.rows, j0 + t.cols, 0
     high = t.low.max(axis=0)
     j = int(high.argmax()) if mode == "glocal" else t.cols
     if mode == "glocal" and j == 0 and j0:
@@ -193,9 +228,12 @@ def align_tiled(pairs: DataFrame, params: AlignParams, problem: Problem = Proble
     long_ids = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "seq_a", "seq_b")
     for c in ("seq_a", "seq_b"):
         long_ids = long_ids.withColumn(c, F.coalesce(c, F.raise_error(F.concat(F.lit("pair "), F.col("pair_id").cast("string"), F.lit(f": {c} is null")))))
+    sizes = materialize(long_ids.select("pair_id", F.length("seq_a").cast("long").alias("m"), F.length("seq_b").cast("long").alias("n")), "tiles-sizes")
+    if kn.is_unit(problem.scoring(params)):
+        longest = sizes.agg(F.max(F.greatest("m", "n"))).first()[0] or 0
+        tile = max(tile, -(-longest // SIDE))
     a = materialize(_pieces(long_ids, "seq_a", "p", "a", tile), "tiles-a")
     b = materialize(_pieces(long_ids, "seq_b", "q", "b", tile), "tiles-b")
-    sizes = materialize(long_ids.select("pair_id", F.length("seq_a").cast("long").alias("m"), F.length("seq_b").cast("long").alias("n")), "tiles-sizes")
     nothing = F.lit(None).cast("binary")
     # the tiles of a wave, with the borders that the wave before left
     ready = sizes.select("pair_id", F.lit(0).alias("p"), F.lit(0).alias("q"), "m", "n", nothing.alias("top"), nothing.alias("left"))
@@ -227,6 +265,20 @@ def align_tiled(pairs: DataFrame, params: AlignParams, problem: Problem = Proble
     return ends
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (the second column) of which neighbours of one move are joined."""
+    for batch in batches:
+        lists, rows = batch.column(1), []
+        for k in range(len(batch)):
+            op, size = (lists[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("op", "len"))
+            first = np.flatnonzero(np.append(True, op[1:] != op[:-1])) if len(op) else np.zeros(0, np.int64)
+            rows.append((op[first], np.add.reduceat(size, first) if len(op) else size))
+        edges = np.concatenate([[0], np.cumsum([len(op) for op, _ in rows])]).astype(np.int32)
+        op, size = (np.concatenate([np.zeros(0, kind), *x]).astype(kind) for kind, x in zip((np.int8, np.int32), zip(*rows), strict=True)) if rows else (np.zeros(0, np.int8), np.zeros(0, np.int32))
+        joined = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(op), pa.array(size)], ["op", "len"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), joined, batch.column(2), batch.column(3)], names=["pair_id", "ops", "start_i", "start_j"])
+
+
 def _traced(ends: DataFrame, grid: DataFrame, params: AlignParams, problem: Problem, tile: int) -> DataFrame:
     """Paths back from the ends, a tile of each pair a round."""
     mode = problem.mode
@@ -268,13 +320,8 @@ def _traced(ends: DataFrame, grid: DataFrame, params: AlignParams, problem: Prob
     last_first = F.reverse(F.array_sort(F.collect_list(F.struct("step", F.reverse("runs").alias("runs"), "i", "j"))))
     each = walked.groupBy("pair_id").agg(last_first.alias("parts"))
     flat = F.flatten(F.transform("parts", lambda x: x["runs"]))
-    one = lambda o, k: F.array(F.struct(o.alias("op"), k.alias("len")))
-    # the last run so far is the array's last entry
-    joined = F.aggregate(
-        F.col("flat"), F.array().cast(OPS),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["op"] == r["op"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(r["op"], (F.get(acc, F.size(acc) - 1)["len"] + r["len"]).cast("int")))).otherwise(F.concat(acc, one(r["op"], r["len"]))),
-    )
-    paths = each.withColumn("flat", flat).select("pair_id", joined.alias("ops"), F.col("parts")[0]["i"].cast("int").alias("start_i"), F.col("parts")[0]["j"].cast("int").alias("start_j"))
+    each = each.select("pair_id", flat.alias("flat"), F.col("parts")[0]["i"].cast("int").alias("start_i"), F.col("parts")[0]["j"].cast("int").alias("start_j"))
+    paths = each.mapInArrow(_whole_runs, f"pair_id long, ops {OPS}, start_i int, start_j int")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = ends.join(paths, "pair_id", "left").select("pair_id", "score", F.coalesce("ops", F.array().cast(OPS)).alias("ops"), zero("start_i"), zero("start_j"), "end_i", "end_j")
     out = materialize(out, "tiles-paths")
