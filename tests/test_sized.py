@@ -1,10 +1,14 @@
 """Work and plans of queries whose pairs outgrow their tables."""
 
+import duckdb
 import numpy as np
+import pytest
 
 from alignspark import AlignParams, SubstMatrix, catalog
+from alignspark.alphabet import DNA
 from alignspark.operators import align, tiles
 from alignspark.operators.align import Problem
+from alignspark.plans import crossed as cross
 from alignspark.plans import kernel
 
 UNIT = AlignParams(SubstMatrix(np.eye(4) - 1, "ACGT"), 0, 1, 0, 1)
@@ -55,3 +59,38 @@ def test_tiles_of_edit_distances(spark):
     finally:
         tiles._filled = filled
     assert len(waves) <= 2 * tiles.SIDE
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "glocal"])
+def test_crossed_lists_equal_the_kernel(monkeypatch, mode):
+    """Scores of whole cross products in 8 and more bits, lists longer than a block, are the kernel's."""
+    rng = np.random.default_rng(5)
+    for model, match, mismatch, *gaps in (("affine", *catalog.AFFINE), ("affine", *catalog.SKEWED), ("linear", *catalog.PLAIN), ("affine", 200, -300, 50, 100, 70, 10)):
+        params, problem = catalog.uniform(DNA, match, mismatch, *gaps), Problem(mode, model, "none")
+        for m, n in ((0, 0), (0, 3), (4, 0), (5, 9), (32, 32), (40, 7)):
+            a, b = (rng.integers(0, 4, (k, width)).astype(np.uint8) for k, width in ((7, m), (11, n)))
+            want = align.solve_arrays(range(77), [x for x in a for _ in b], [y for _ in a for y in b], params, problem, paths=False)["score"].reshape(7, 11)
+            for most in (100, 1 << 19):
+                monkeypatch.setattr(cross, "BYTES", most)
+                assert (cross.Crossed(problem.scoring(params), m, n).scores(a, b) == want).all()
+    with pytest.raises(ValueError):
+        cross.Crossed(problem.scoring(catalog.uniform(DNA, 1, 0.5, 1, 1, 1, 1)), 3, 3)
+
+
+@pytest.mark.parametrize("name", ["batch_total"])
+def test_pairs_that_are_counted_have_no_row(spark, tmp_path, monkeypatch, name):
+    """Tables with missing nations and segments, and supplier keys that carry: as in SQL, with rows far fewer than pairs."""
+    nation = lambda k: None if k % 50 == 7 else k % 2
+    customers = [(k, nation(k), None if k % 3 == 0 else f"S{k % 3}") for k in range(1, 301)]
+    suppliers = [(k, nation(k)) for k in range(1, 100)] + [(1_000_000 + k, 5) for k in range(4)]
+    spark.createDataFrame([*customers, (400, 5, "S8"), (401, 3, "S9")], "c_custkey long, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(catalog, "align", None)
+    blocks, counted = [], catalog.score_counts
+    monkeypatch.setattr(catalog, "score_counts", lambda x, *rest: blocks.append(x) or counted(x, *rest))
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert blocks[0].count() < 100
+    con = duckdb.connect()
+    for table in ("customer", "supplier"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL[name]).fetchall()))
