@@ -77,7 +77,7 @@ def test_crossed_lists_equal_the_kernel(monkeypatch, mode):
         cross.Crossed(problem.scoring(catalog.uniform(DNA, 1, 0.5, 1, 1, 1, 1)), 3, 3)
 
 
-@pytest.mark.parametrize("name", ["batch_total"])
+@pytest.mark.parametrize("name", ["batch_total", "score_histogram"])
 def test_pairs_that_are_counted_have_no_row(spark, tmp_path, monkeypatch, name):
     """Tables with missing nations and segments, and supplier keys that carry: as in SQL, with rows far fewer than pairs."""
     nation = lambda k: None if k % 50 == 7 else k % 2
