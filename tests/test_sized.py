@@ -77,7 +77,7 @@ def test_crossed_lists_equal_the_kernel(monkeypatch, mode):
         cross.Crossed(problem.scoring(catalog.uniform(DNA, 1, 0.5, 1, 1, 1, 1)), 3, 3)
 
 
-@pytest.mark.parametrize("name", ["batch_total", "score_histogram"])
+@pytest.mark.parametrize("name", ["batch_total", "score_histogram", "logistic_step"])
 def test_pairs_that_are_counted_have_no_row(spark, tmp_path, monkeypatch, name):
     """Tables with missing nations and segments, and supplier keys that carry: as in SQL, with rows far fewer than pairs."""
     nation = lambda k: None if k % 50 == 7 else k % 2
@@ -94,3 +94,22 @@ def test_pairs_that_are_counted_have_no_row(spark, tmp_path, monkeypatch, name):
     for table in ("customer", "supplier"):
         con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL[name]).fetchall()))
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "glocal"])
+def test_gradients_by_score_equal_the_kernel(monkeypatch, mode):
+    """Gradients of the best paths of whole cross products, summed by score, are sums of the kernel's."""
+    rng = np.random.default_rng(6)
+    for model, match, mismatch, *gaps in (("affine", *catalog.AFFINE), ("affine", *catalog.SKEWED), ("linear", *catalog.PLAIN), ("affine", 5, -3, 2, 1, 0, 0)):
+        params, problem = catalog.uniform(DNA, match, mismatch, *gaps), Problem(mode, model, "hard")
+        for m, n in ((0, 0), (0, 3), (4, 0), (5, 9), (32, 32), (40, 7)):
+            a, b = (rng.integers(0, 4, (k, width)).astype(np.uint8) for k, width in ((7, m), (11, n)))
+            found = align.solve_arrays(range(77), [x for x in a for _ in b], [y for _ in a for y in b], params, problem, paths=False)
+            edges, field, value = found["grad"]
+            scores, of_pair = np.unique(found["score"], return_inverse=True)
+            want = np.zeros((len(scores), params.n_fields))
+            np.add.at(want, (np.repeat(of_pair, np.diff(edges)), field), value)
+            for most in (1000, 1 << 20):
+                monkeypatch.setattr(cross, "PATH_BYTES", most)
+                got = cross.Crossed(problem.scoring(params), m, n).path_sums(a, b)
+                assert (got[0] == scores).all() and (got[1] == np.bincount(of_pair)).all() and (got[2] == want).all()
