@@ -1,5 +1,7 @@
 """Work and plans of queries whose pairs outgrow their tables."""
 
+from dataclasses import replace
+
 import duckdb
 import numpy as np
 import pytest
@@ -113,3 +115,22 @@ def test_gradients_by_score_equal_the_kernel(monkeypatch, mode):
                 monkeypatch.setattr(cross, "PATH_BYTES", most)
                 got = cross.Crossed(problem.scoring(params), m, n).path_sums(a, b)
                 assert (got[0] == scores).all() and (got[1] == np.bincount(of_pair)).all() and (got[2] == want).all()
+
+
+def test_the_bound_of_gradients_without_them(spark, sf, monkeypatch):
+    """Ways and refusals are those of a pass that forms gradients; the query forms none, nor sums in logarithms backwards."""
+    rng = np.random.default_rng(7)
+    params, problem = catalog.uniform(DNA, *catalog.STEEP), Problem("glocal", "linear", "soft")
+    heads = [rng.integers(2, 4, 32).astype(np.uint8) for _ in range(20)]
+    a = [x if k % 2 else np.concatenate([x, x % 2]) for k, x in enumerate(heads)]
+    b = [np.concatenate([1 - x % 2, x]) for x in heads]
+    for impl in ("scaled_or_log", "scaled", "log"):
+        p = replace(problem, soft_impl=impl)
+        want = align.solve_arrays(range(20), a, b, params, p, paths=False)
+        got = align.solve_arrays(range(20), a, b, params, p, paths=False, gradient=False, bounded=True)
+        assert (want["way"] == got["way"]).all() and want["refused"] == got["refused"] and "grad" not in got
+        assert all(x == y for k, (x, y) in enumerate(zip(want["score"], got["score"], strict=True)) if k not in want["refused"])
+    asked, aligned = [], catalog.align
+    monkeypatch.setattr(catalog, "align", lambda *x, **y: asked.append(aligned(*x, **y)) or asked[-1])
+    assert "way" in catalog.QUERIES["soft_lost_mass"](spark, sf).columns
+    assert len(asked) == 2 and not any("grad" in df.columns for df in asked)
