@@ -134,3 +134,66 @@ def test_the_bound_of_gradients_without_them(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "align", lambda *x, **y: asked.append(aligned(*x, **y)) or asked[-1])
     assert "way" in catalog.QUERIES["soft_lost_mass"](spark, sf).columns
     assert len(asked) == 2 and not any("grad" in df.columns for df in asked)
+
+
+@pytest.mark.parametrize("weights", [("affine", *catalog.AFFINE), ("affine", 5, -3, 7, 2, 1, 2), ("linear", *catalog.PLAIN), ("affine", 200, -300, 50, 160, 70, 160), ("affine", 2, -2, 0, 1, 0, 1), ("affine", 1, 0, 0, 0, 0, 0)])
+def test_rows_equal_diagonals(monkeypatch, weights):
+    """Local scores of long lists, filled row by row, are those of diagonals: equal sequences, long gaps and gaps near the ends, too."""
+    rng = np.random.default_rng(8)
+    model, *costs = weights
+    monkeypatch.setattr(cross, "LONG", 50)
+    monkeypatch.setattr(cross, "WIDE", 40)
+    used, by_rows = [], cross.Crossed._by_rows
+    for m, n, left, right in ((32, 32, 20, 90), (32, 32, 90, 20), (20, 9, 60, 70), (3, 50, 20, 90), (1, 1, 5, 60)):
+        a, b = rng.integers(0, 4, (left, m)).astype(np.uint8), rng.integers(0, 4, (right, n)).astype(np.uint8)
+        a[5 % left] = a[0]
+        for k in range(min(left, right) - 2 if m == 32 else 0):  # letters put in or left out after some
+            at, gap = 4 + k % 9, 1 + k % 13
+            b[k] = np.concatenate([a[k][:at], rng.integers(0, 4, gap), a[k][at:]])[:n] if k % 2 else np.concatenate([a[k][:at], a[k][at + gap :], a[k][:gap]])
+        s = cross.Crossed(Problem("local", model, "none").scoring(catalog.uniform(DNA, *costs)), m, n)
+        monkeypatch.setattr(cross.Crossed, "_by_rows", lambda *x: used.append(by_rows(*x)) or used[-1])
+        found = s.scores(a, b)
+        monkeypatch.setattr(cross.Crossed, "_by_rows", lambda *x: False)
+        assert (found == s.scores(a, b)).all()
+    assert any(used)
+
+
+def test_named_pairs_do_not_repeat_sequences(spark, monkeypatch):
+    """Names by id and offset, over spans, with ids that have no, two and null names: as counted one by one, each sequence in one chunk."""
+    from alignspark.operators import crossed
+
+    monkeypatch.setattr(crossed, "SPAN", 16)
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("ACGT"), n))
+    left = [(None if k == 4 else k % 2, None if k == 9 else k, word(6 + k % 2)) for k in range(-5, 40)]
+    right = [(k % 3, None if k == 8 else (0, 3, 16, 37, -2)[k % 5], word(7)) for k in range(30)]
+    names = [(k, None if k % 5 == 0 else f"n{k % 3}") for k in range(60) if k % 7] + [(10, "twice"), (None, "none")]
+    a, b = (spark.createDataFrame(rows, f"k int, {i} long, s string") for rows, i in ((left, "id"), (right, "by")))
+    blocks = crossed.crossed_named(a, b.withColumnRenamed("s", "t"), ["k"], "id", "s", "t", "by", spark.createDataFrame(names, "id long, name string"), "id", "name")
+    params, problem = catalog.uniform(DNA, *catalog.AFFINE), Problem("local", "affine", "none")
+    want: dict[tuple, int] = {}
+    for k, i, s in left:
+        for q, by, t in right:
+            if k is not None and k == q and i is not None and by is not None:
+                score = align.solve_arrays([0], *([np.array(["ACGT".index(c) for c in x], np.uint8)] for x in (s, t)), params, problem, paths=False)["score"][0]
+                for j, name in names:
+                    if j == i + by:
+                        want[name, float(score)] = want.get((name, float(score)), 0) + 1
+    found = crossed.score_counts(blocks, params, problem, (), "name")
+    assert {(r[0], r.score): r.n for r in found.collect()} == want
+    # Offsets of one span (here three: below 0, 0 to 15 and from 16 on twice) share a chunk, so no id is repeated for each of them.
+    assert blocks.selectExpr("sum(size(seqs_a))").first()[0] <= 4 * len(left)
+
+
+def test_supplier_keys_that_carry_repeat_no_customer(spark, tmp_path, monkeypatch):
+    # Customers of the suppliers' nation are so far apart that no two pairs have one number.
+    spark.range(1, 201).selectExpr("id c_custkey", "if(id % 60 = 0, 1, 2) c_nationkey", "'S' || id % 3 c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(50).selectExpr("id * 1000000 + 7 s_suppkey", "1 s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    blocks, counted = [], catalog.score_counts
+    monkeypatch.setattr(catalog, "score_counts", lambda x, *rest: blocks.append(x) or counted(x, *rest))
+    found = catalog.QUERIES["score_histogram"](spark, str(tmp_path))
+    assert blocks[0].selectExpr("sum(size(seqs_a))").first()[0] == 3
+    con = duckdb.connect()
+    for table in ("customer", "supplier"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL["score_histogram"]).fetchall()))
