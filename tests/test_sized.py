@@ -197,3 +197,58 @@ def test_supplier_keys_that_carry_repeat_no_customer(spark, tmp_path, monkeypatc
     for table in ("customer", "supplier"):
         con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL["score_histogram"]).fetchall()))
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "glocal"])
+def test_bands_and_dots_of_crossed_lists_equal_the_kernel(monkeypatch, mode):
+    """Scores within a band of the main diagonal, and gradients of best paths times the parameters, are the kernel's."""
+    rng = np.random.default_rng(10)
+    for model, match, mismatch, *gaps in (("affine", *catalog.AFFINE), ("affine", *catalog.SKEWED), ("linear", *catalog.PLAIN), ("affine", 200, -300, 50, 100, 70, 10)):
+        params = catalog.uniform(DNA, match, mismatch, *gaps)
+        for m, n in ((0, 3), (4, 0), (1, 20), (9, 30), (32, 32), (40, 7)):
+            a, b = (rng.integers(0, 4, (k, width)).astype(np.uint8) for k, width in ((7, m), (11, n)))
+            for band in (0, 1, 4, 64):
+                problem = Problem(mode, model, "none", band=band)
+                want = align.solve_arrays(range(77), [x for x in a for _ in b], [y for _ in a for y in b], params, problem, paths=False)["score"].reshape(7, 11)
+                s = cross.Crossed(problem.scoring(params), m, n, band)
+                assert (s.scores(a, b) == want).all()
+                if not band:
+                    monkeypatch.setattr(cross, "PATH_BYTES", 20000)
+                    assert (s.path_dots(a, b, params.flat()) == want).all()
+
+
+def test_the_best_of_a_block_are_kept():
+    """Of every number's pairs the k best, ties included; numbers that are no multiples are all kept."""
+    from alignspark.operators.crossed import _near_best
+
+    rng = np.random.default_rng(11)
+    scores, left, right = rng.integers(0, 9, (5, 40)), 100 * np.arange(5), rng.integers(0, 300, 40)
+    keep, ids = _near_best(scores, left, right, 3, 100), left[:, None] + right
+    for row in range(5):
+        for q in set(ids[row] // 100):
+            of = ids[row] // 100 == q
+            assert (keep[row][of] == (scores[row][of] >= sorted(scores[row][of])[-min(3, of.sum())])).all()
+    assert _near_best(scores, left + 1, right, 3, 100).all()
+
+
+CROSSED = ["nw_score_affine", "nw_score_asymmetric", "nw_score_banded", "sw_score_affine", "glocal_score_affine"]
+
+
+@pytest.mark.parametrize("name", CROSSED)
+def test_pairs_have_a_row_from_their_score_on(spark, tmp_path, monkeypatch, name):
+    """As in SQL, from blocks far fewer than pairs; no pair is a row before it has a score, or is joined after."""
+    customers = [(k, None if k % 50 == 7 else k % 2) for k in range(1, 61)]
+    suppliers = [(k, None if k % 50 == 7 else k % 2) for k in range(1, 40)] + [(1_000_000 + k, 5) for k in range(4)]
+    spark.createDataFrame([*customers, (400, 5), (401, 3)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = []
+    for f in ("align", "align_summed"):
+        monkeypatch.setattr(catalog, f, None)
+    for f in ("crossed", "crossed_numbered"):
+        monkeypatch.setattr(catalog, f, lambda *x, make=getattr(catalog, f): made.append(make(*x)) or made[-1])
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert made[0].count() < 20
+    con = duckdb.connect()
+    for table in ("customer", "supplier"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL[name]).fetchall()))
