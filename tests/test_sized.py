@@ -231,7 +231,7 @@ def test_the_best_of_a_block_are_kept():
     assert _near_best(scores, left + 1, right, 3, 100).all()
 
 
-CROSSED = ["nw_score_affine", "nw_score_asymmetric", "nw_score_banded", "sw_score_affine", "glocal_score_affine", "best_hit_topk", "band_wide_equals_full", "hard_grad_dot_params", "compute_grad_total", "grad_in_order"]
+CROSSED = ["nw_score_affine", "nw_score_asymmetric", "nw_score_banded", "sw_score_affine", "glocal_score_affine", "best_hit_topk", "band_wide_equals_full", "hard_grad_dot_params", "compute_grad_total", "grad_in_order", "weighted_grad"]
 
 
 @pytest.mark.parametrize("name", CROSSED)
