@@ -252,3 +252,10 @@ def test_pairs_have_a_row_from_their_score_on(spark, tmp_path, monkeypatch, name
     for table in ("customer", "supplier"):
         con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL[name]).fetchall()))
+
+
+def test_pending_pairs_are_not_shuffled(spark, sf):
+    """What is done is left out before pairs are made: a nation's customers, once."""
+    plan = catalog.QUERIES["pairs_pending_antijoin"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    anti, pairs = plan.index("Join LeftAnti"), plan.index("Join Inner")
+    assert pairs < anti and plan.count("Join") == 2  # the tree's leaves come last
