@@ -231,7 +231,7 @@ def test_the_best_of_a_block_are_kept():
     assert _near_best(scores, left + 1, right, 3, 100).all()
 
 
-CROSSED = ["nw_score_affine", "nw_score_asymmetric", "nw_score_banded", "sw_score_affine", "glocal_score_affine", "best_hit_topk", "band_wide_equals_full", "hard_grad_dot_params", "compute_grad_total", "grad_in_order", "weighted_grad"]
+CROSSED = ["nw_score_affine", "nw_score_asymmetric", "nw_score_banded", "sw_score_affine", "glocal_score_affine", "best_hit_topk", "band_wide_equals_full", "hard_grad_dot_params", "compute_grad_total", "grad_in_order", "weighted_grad", "batch_banded_step"]
 
 
 @pytest.mark.parametrize("name", CROSSED)
@@ -259,3 +259,21 @@ def test_pending_pairs_are_not_shuffled(spark, sf):
     plan = catalog.QUERIES["pairs_pending_antijoin"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     anti, pairs = plan.index("Join LeftAnti"), plan.index("Join Inner")
     assert pairs < anti and plan.count("Join") == 2  # the tree's leaves come last
+
+
+def test_guides_of_crossed_lists_equal_the_kernel(monkeypatch):
+    """Guides of best local paths, and local scores around them under other parameters."""
+    rng = np.random.default_rng(12)
+    for model, old, new in (("affine", catalog.AFFINE, catalog.SKEWED), ("linear", catalog.PLAIN, (3, -2, 0, 2, 0, 1)), ("affine", (200, -300, 50, 100, 70, 10), catalog.AFFINE)):
+        before, after, problem = catalog.uniform(DNA, *old), catalog.uniform(DNA, *new), Problem("local", model, "none")
+        for m, n in ((0, 3), (4, 0), (1, 1), (9, 30), (32, 32), (40, 7)):
+            a, b = (rng.integers(0, 4, (k, width)).astype(np.uint8) for k, width in ((7, m), (11, n)))
+            left, right = [x for x in a for _ in b], [y for _ in a for y in b]
+            edges, flat = align.solve_arrays(range(77), left, right, before, problem)["guide"]
+            monkeypatch.setattr(cross, "PATH_BYTES", 100_000)
+            guides = cross.Crossed(problem.scoring(before), m, n).guides(a, b)
+            assert (guides.reshape(m + 1, 77).T.ravel() == flat).all()
+            for band in (1, 4, 64):
+                p = replace(problem, band=band)
+                want = align.solve_arrays(range(77), left, right, after, p, guides=[flat[x:y] for x, y in zip(edges, edges[1:])], paths=False)["score"]
+                assert (cross.Crossed(p.scoring(after), m, n, band).scores_around(a, b, guides).ravel() == want).all()
