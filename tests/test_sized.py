@@ -277,3 +277,21 @@ def test_guides_of_crossed_lists_equal_the_kernel(monkeypatch):
                 p = replace(problem, band=band)
                 want = align.solve_arrays(range(77), left, right, after, p, guides=[flat[x:y] for x, y in zip(edges, edges[1:])], paths=False)["score"]
                 assert (cross.Crossed(p.scoring(after), m, n, band).scores_around(a, b, guides).ravel() == want).all()
+
+
+def test_shared_words_are_counted_where_chunks_meet(spark, sf, monkeypatch):
+    """As counted pair by pair, with many letters and few, a few hits at a time; no shared word or pair is a row to be grouped."""
+    from alignspark.operators import pairs
+
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(pairs, "HITS", 50)
+    for letters, k in (("ACGT", 3), ("ab", 2), ("".join(map(chr, range(200, 900))) + "\U0001f600", 8)):
+        base = "".join(rng.choice(list(letters), 30))
+        texts = [[base[x : x + 12] + "".join(rng.choice(list(letters), rng.integers(0, 9))) for x in rng.integers(0, 18, n)] for n in (25, 40)]
+        words = [[{s[x : x + k] for x in range(len(s) - k + 1)} for s in side] for side in texts]
+        for least in (1, 3):
+            want = {(x, y): len(a & b) for x, a in enumerate(words[0]) for y, b in enumerate(words[1]) if len(a & b) >= least}
+            found = [(int(x), int(y), int(n)) for part in pairs._shared_words(*map(pairs.pa.array, texts), k, least) for x, y, n in zip(*part, strict=True)]
+            assert len(found) == len(want) and {x[:2]: x[2] for x in found} == want
+    plan = catalog.QUERIES["pairs_seed_join"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and "Generate explode(" in plan
